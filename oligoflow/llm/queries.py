@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash, token_arrow
 from .common import table
 
 
@@ -14,6 +14,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_arrow.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, size=2048)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_texts(table(spark, sf_dir, "documents"))
 
@@ -30,7 +44,7 @@ FROM t JOIN g ON t.norm = g.norm
 
 
 def queries() -> dict:
-    return {"op5_simhash": op5_simhash, "op8_exact_dedup": op8_exact_dedup}
+    return {"op5_simhash": op5_simhash, "op6_token_arrow": op6_token_arrow, "op9_packing": op9_packing, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict:
