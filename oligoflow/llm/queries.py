@@ -5,8 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash, token_arrow
-from .common import table
+from . import chat, decontaminate, exact_dedup, langid, license_scan, packing, quality, simhash, token_arrow, toxicity
+from .common import id_bucket, table
+
+
+def op1_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", license_scan.scan_column(docs).alias("s"))
+    return found.select("doc_id", "s.n_words", "s.n_base", "s.first_word", "s.last_word", "s.base_labels", "s.labels", "s.score")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, id_bucket("doc_id", 5) != 0)
+    scored = docs.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), quality.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, id_bucket("doc_id", 3) != 1)
+    found = docs.select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), langid.identify(docs, model).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, id_bucket("doc_id", 4) != 2)
+    scored = docs.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
+    return chat.digests(chat.read_back(chat.format_conversations(rows)))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +81,34 @@ FROM t JOIN g ON t.norm = g.norm
 """
 
 
+OP7_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *,
+    row_number() OVER w - 1 AS k, lag(role, 1, '<start>') OVER w AS state, lead(role) OVER w IS NULL AS is_last,
+    length(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':' || chr(10), '\n'))
+    + length(replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t'), ':' || chr(10), '\n')) + 13 AS chars
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), s AS (
+  SELECT *, (state || '>' || role) IN ('<start>>system', '<start>>user', 'system>user', 'user>assistant', 'assistant>user', 'assistant>tool', 'tool>assistant') AS good FROM e
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(good) AND bool_or(is_last AND role = 'assistant') AS valid,
+  min(CASE WHEN NOT good THEN k END) AS first_bad
+FROM s GROUP BY conv_id
+"""
+
+
 def queries() -> dict:
-    return {"op5_simhash": op5_simhash, "op6_token_arrow": op6_token_arrow, "op9_packing": op9_packing, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_license": op1_license, "op4_decontaminate": op4_decontaminate, "op2_quality": op2_quality, "op3_language": op3_language, "op7_chat": op7_chat, "op10_toxicity": op10_toxicity, "op5_simhash": op5_simhash, "op6_token_arrow": op6_token_arrow, "op9_packing": op9_packing, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op7_chat": OP7_SQL, "op8_exact_dedup": OP8_SQL}
