@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,13 +197,15 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     spark = docs.sparkSession
     common.small_batches(spark)
     for items in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(items)
+        docs = docs.where(~_leaked(spark.sparkContext.broadcast(items), coverage)(docs["text"].cast("string")))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def leaked(batches: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            block = Block(sent.value)
-            for texts in batches:
-                yield pd.Series([bool(block.leaks(t, coverage)) for t in texts], dtype=bool)
 
-        docs = docs.where(~leaked(docs["text"].cast("string")))
-    return docs
+def _leaked(sent: Broadcast, coverage: float):
+    @F.pandas_udf("boolean")
+    def leaked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        block = Block(sent.value)
+        for texts in batches:
+            yield pd.Series([bool(block.leaks(t, coverage)) for t in texts], dtype=bool)
+
+    return leaked

@@ -6,7 +6,8 @@ k + 1 pieces, at least one of which then stands in the text as it is; all pieces
 each the regex library's bounded-error matching verifies the notice between word ends and reports span and edits.
 
 Cases: null and empty texts have no words, no labels and score 0; a text of any length is read whole; a notice that
-occurs many times gives a span each time; overlapping windows are merged first; other columns are never looked at.
+occurs many times gives a span each time; of spans that overlap the one with the fewest edits stays, of equals the
+longest, then the first; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "licensed under the apache license version 2 0": "apache-2",
     "licensed under cc by nc 4 0": "cc-by-nc",
+    "licensed under cc by 4 0": "cc-by",
+    "licensed under cc by sa 4 0": "cc-by-sa",
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution sharealike": "cc-by-sa",
     "licensed under the gnu general public license version 3": "gpl-3",
@@ -44,7 +47,7 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 #: Letters of a notice for each edit allowed, and the most edits.
-LETTERS_PER_EDIT, MOST_EDITS = 10, 4
+LETTERS_PER_EDIT, MOST_EDITS = 8, 4
 
 
 def edits(notice: str) -> int:
@@ -96,7 +99,23 @@ def fuzzy_spans(joined: str) -> list[tuple[str, int, int, int]]:
         for low, high in spans:
             for m in _pattern(notice).finditer(joined, low, min(high, len(joined))):
                 out.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
-    return sorted(out, key=lambda s: (s[1], s[2], s[0]))
+    return _best(sorted(out, key=lambda s: (s[1], s[2], s[0])))
+
+
+def _best(spans: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """Of spans sorted by start, those that no better one overlaps."""
+    kept, at = [], 0
+    while at < len(spans):
+        end, stop = spans[at][2], at + 1
+        while stop < len(spans) and spans[stop][1] < end:
+            end, stop = max(end, spans[stop][2]), stop + 1
+        mine = []
+        for span in sorted(spans[at:stop], key=lambda s: (s[3], s[1] - s[2], s[1], s[0])):
+            if all(span[2] <= s[1] or s[2] <= span[1] for s in mine):
+                mine.append(span)
+        kept += sorted(mine, key=lambda s: s[1])
+        at = stop
+    return kept
 
 
 def scan(text: str | None) -> dict:
