@@ -106,3 +106,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, hot: i
     joined = common.components(links(named, max_bits, hot), "simhash")
     roots = named.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 2) -> DataFrame:
+    """docs with one row of each component, the one with the smallest doc_id; all columns kept."""
+    found = common.written(near_duplicates(docs, shingle, max_bits), "simhash-found")
+    return common.without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
