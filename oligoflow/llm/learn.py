@@ -30,7 +30,8 @@ def fit_in_task(rows: DataFrame, trainer: Callable[[pd.DataFrame], dict]) -> dic
         sample = sample.sort_values(["doc_id", "text"]).reset_index(drop=True)
         yield pd.DataFrame({"model": [pickle.dumps(trainer(sample))]})
 
-    return pickle.loads(bytes(rows.repartition(1).mapInPandas(run, "model binary").first()["model"]))
+    found = rows.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(bytes(found["model"])) if found else trainer(pd.DataFrame({"doc_id": [], "text": [], "y": []}))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
