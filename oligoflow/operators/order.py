@@ -53,3 +53,18 @@ def largest_remainder(shares: DataFrame, group: list[str], share: str, total: st
     left = F.col(total) - F.sum(whole).over(Window.partitionBy(*group))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy((F.col(share) - whole).desc(), F.col(key).desc()))
     return shares.withColumn("n", (whole + F.when(rank <= left, 1).otherwise(0)).cast("long"))
+
+
+def allocate(chunks: DataFrame, window: int) -> DataFrame:
+    """(chunk_idx, target, n): each chunk's reads dealt to the chunks within a circular window, in proportion to size.
+
+    chunks has chunk_idx from 0 without gaps, and n_reads. Shares become whole numbers by largest remainder, so every
+    chunk deals out exactly its reads; each row meets 2 * window + 1 targets, however many chunks there are.
+    """
+    n = chunks.count()
+    reach = min(window, (n - 1) // 2)
+    near = chunks.withColumn("target", F.explode(F.sequence(F.col("chunk_idx") - reach, F.col("chunk_idx") + reach))).withColumn("target", F.pmod("target", F.lit(max(n, 1))))
+    sizes = chunks.select(F.col("chunk_idx").alias("target"), F.col("n_reads").alias("room"))
+    band = Window.partitionBy("chunk_idx")
+    shares = near.join(sizes, "target").withColumn("share", F.col("n_reads") * F.col("room") / F.sum("room").over(band))
+    return largest_remainder(shares, ["chunk_idx"], "share", "n_reads", "target").select("chunk_idx", "target", "n")

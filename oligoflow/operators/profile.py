@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -110,6 +110,25 @@ def kmer_probabilities(counts: DataFrame, over: str = "out") -> DataFrame:
     return counts.withColumn("p", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*keys)), 10))
 
 
+def base_lut(counts: DataFrame) -> DataFrame:
+    """(ref_base, base, p, cum) of the three substitutes of each base in channel order, from counts(ref_base, base, n).
+
+    A base that was never substituted gets a third for each.
+    """
+    spark = counts.sparkSession
+    every = spark.createDataFrame([(a, b, i) for a in dna.CHANNEL for i, b in enumerate(dna.CHANNEL) if a != b], "ref_base string, base string, place int")
+    rows = every.join(counts, ["ref_base", "base"], "left").na.fill(0, ["n"])
+    total = F.sum("n").over(Window.partitionBy("ref_base"))
+    rows = rows.withColumn("p", F.when(total > 0, F.col("n") / total).otherwise(F.lit(1 / 3)))
+    cum = F.sum("p").over(Window.partitionBy("ref_base").orderBy("place"))
+    return rows.select("ref_base", "base", F.round("p", 10).alias("p"), F.round(cum, 10).alias("cum"))
+
+
+def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """(read_id, ref_name, ref_start, cigar, md, read) of tab-separated lines; unmapped reads have no reference name."""
+    return spark.read.csv(path, sep="\t", schema="read_id string, ref_name string, ref_start int, cigar string, md string, read string").where("ref_name is not null and ref_name <> '*'")
+
+
 def depth_stats(depth: DataFrame, total_refs: Column | None = None) -> DataFrame:
     """One row over depth(n_reads): references with reads, their mean, cv, least and most, and the share without."""
     n = F.when(F.col("n_reads") > 0, F.col("n_reads"))

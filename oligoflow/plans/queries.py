@@ -504,6 +504,61 @@ def fountain_roundtrip(spark, sf_dir):
     return fountain.peel(got.join(plan, "droplet"), k).select(F.col("seg_idx").cast("long").alias("seg_idx"), "payload")
 
 
+# ---- allocation, tables and files
+
+
+@query("shuffle_alloc", f"""WITH {SQL_READS}, ch AS (SELECT read_id // {CHUNK} AS chunk_idx, count(*) AS n_reads FROM reads GROUP BY ALL), t AS (SELECT count(*) AS m FROM ch),
+near AS (SELECT chunk_idx, n_reads, ((chunk_idx + o) % m + m) % m AS target FROM ch, t, range(-2, 3) r(o) WHERE abs(o) <= least(2, (m - 1) // 2)),
+sh AS (SELECT near.chunk_idx, target, near.n_reads, near.n_reads * ch.n_reads / sum(ch.n_reads) OVER (PARTITION BY near.chunk_idx) AS x FROM near JOIN ch ON target = ch.chunk_idx),
+rk AS (SELECT *, row_number() OVER (PARTITION BY chunk_idx ORDER BY x - floor(x) DESC, target DESC) AS k, n_reads - sum(floor(x)) OVER (PARTITION BY chunk_idx) AS rest FROM sh)
+SELECT chunk_idx, target, CAST(floor(x) + CASE WHEN k <= rest THEN 1 ELSE 0 END AS BIGINT) AS n FROM rk""")
+def shuffle_alloc(spark, sf_dir):
+    return order.allocate(channel.chunk_meta(channel.pack_chunks(depths(spark, sf_dir), CHUNK)), 2)
+
+
+@query("base_lut", f"""WITH {SQL_ERRORS}, every AS (SELECT a, b, instr('ATCG', b) AS k FROM (SELECT unnest(['A', 'T', 'C', 'G']) AS a) CROSS JOIN (SELECT unnest(['A', 'T', 'C', 'G']) AS b) WHERE a <> b),
+cnt AS (SELECT ref_base, base, count(*) AS n FROM errs WHERE etype = 'S' GROUP BY ALL), j AS (SELECT a, b, k, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY a) AS p FROM every LEFT JOIN cnt ON a = ref_base AND b = base)
+SELECT a AS ref_base, b AS base, round(p, 10) AS p, round(sum(p) OVER (PARTITION BY a ORDER BY k), 10) AS cum FROM j""")
+def base_lut(spark, sf_dir):
+    counts = errors(spark, sf_dir).where("etype = 'S'").groupBy("ref_base", "base").agg(F.count("*").alias("n"))
+    return profile.base_lut(counts)
+
+
+@query("cluster_roundtrip", f"WITH {SQL_READS} SELECT CAST(ref_idx AS VARCHAR) AS cluster_id, CAST(copy_idx AS INTEGER) AS ord, 'seq_' || (read_id + 1) AS read_id FROM reads")
+def cluster_roundtrip(spark, sf_dir):
+    import uuid
+
+    prepare(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/oligoflow/clusters-{uuid.uuid4().hex}"
+    rows = reads(spark, sf_dir).select(F.col("ref_idx").alias("cluster_id"), F.col("copy_idx").cast("int").alias("ord"), F.concat(F.lit("seq_"), (F.col("read_id") + 1).cast("string")).alias("read_id"))
+    source.write_clusters(rows, path)
+    return source.read_clusters(spark, path)
+
+
+@query("run_summary", f"WITH {SQL_ERRORS}, a AS (SELECT count(*) AS n_refs, count(*) FILTER (n_reads = 0) AS n_dropped, CAST(sum(n_reads) AS BIGINT) AS n_reads FROM depth), b AS (SELECT count(*) FILTER (etype = 'S') AS n_sub, count(*) FILTER (etype = 'I') AS n_ins, count(*) FILTER (etype = 'D') AS n_del FROM errs) SELECT n_refs, n_dropped, n_reads, n_reads * {LENGTH} + n_ins - n_del AS n_bases, n_sub, n_ins, n_del FROM a, b")
+def run_summary(spark, sf_dir):
+    from .runs import summary
+
+    rows, errs = reads(spark, sf_dir), errors(spark, sf_dir)
+    return summary(strands(spark, sf_dir), depths(spark, sf_dir), channel.simulate(rows, errs), errs)
+
+
+@query("lfsr_seeds", f"WITH RECURSIVE {SQL_SEGMENTS}, k AS (SELECT count(*) AS k FROM f), g AS (SELECT 0 AS i, CAST({fountain.LFSR_START} AS BIGINT) AS s UNION ALL SELECT i + 1, CASE WHEN s * 2 >= 4294967296 THEN xor(s * 2, {fountain.LFSR_POLYNOMIAL}) ELSE s * 2 END FROM g, k WHERE i < k) SELECT CAST(i AS BIGINT) AS i, s AS seed FROM g WHERE i > 0")
+def lfsr_seeds(spark, sf_dir):
+    n = bench_segments(spark, sf_dir).count()
+    return spark.createDataFrame([(i + 1, s) for i, s in enumerate(fountain.lfsr(n))], "i long, seed long")
+
+
+@query("spline_resize")
+def spline_resize(spark, sf_dir):
+    """Mean quantity of each line number, as rates of a short strand, on 21 places."""
+    import numpy as np
+
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.avg(F.col("l_quantity").cast("double")).alias("r")).orderBy("l_linenumber").collect()  # seven rows
+    found = profile.spline_resize(np.array([r["r"] for r in rows]), 21)
+    return spark.createDataFrame([(i, round(float(x), 8)) for i, x in enumerate(found)], "pos int, rate double")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
