@@ -108,7 +108,125 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, hot: i
     return prints.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, max_bits: int = 2) -> DataFrame:
-    """docs with one row of each component, the one with the smallest doc_id; all columns kept."""
-    found = common.written(near_duplicates(docs, shingle, max_bits), "simhash-found")
+#: Word fingerprints of a text, bits of them all that near copies may differ in, and hashes kept of its shingles.
+COPIES, FAR_BITS, SKETCH = 6, 44, 256
+#: Texts under one key beyond which each is compared with the key's centre and smallest, not with all others.
+CROWD = 32
+
+
+def signature(text: str | None, shingle: int = 5) -> tuple[list[int], bytes]:
+    """(COPIES fingerprints of the distinct words, the SKETCH smallest 32-bit hashes of the distinct shingles)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * COPIES, b""
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(w, 42) for w in set(words)], np.uint64)
+    ones = np.zeros((COPIES, 64), np.int64)
+    with np.errstate(over="ignore"):
+        for part in range(0, len(hashes), 1 << 15):
+            for n in range(COPIES):
+                x = hashes[part : part + (1 << 15)] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+                ones[n] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    prints = np.packbits((ones * 2 > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
+    joined, n = b" ".join(words), len(words)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1) - 1
+    starts, m = ends - sizes, max(1, n - shingle + 1)
+    last = ends[min(shingle, n) - 1 :]
+    small = xxhash.xxh32_intdigest
+    kept = np.unique(np.array([small(joined[i:j], 42) for i, j in zip(starts[:m].tolist(), last.tolist())], "<u4"))[:SKETCH]
+    return prints.view(np.int64).tolist(), kept.tobytes()
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their sketches; exact for texts of SKETCH shingles at most."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.union1d(x, y)[:SKETCH] if max(len(x), len(y)) >= SKETCH else np.union1d(x, y)
+    return float((np.isin(both, x) & np.isin(both, y)).mean())
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, component_id): texts joined where their sets of five-word shingles resemble each other enough.
+
+    Six fingerprints of a text's distinct words, which one changed word alters far less than it alters five shingles,
+    are cut into blocks like those above; texts that share two blocks of a fingerprint and differ in few bits of all
+    six are candidates, and the shingles' sketches decide. Under a key with more than crowd texts each is compared with
+    the text nearest to the key's majority fingerprint, where the common original of many copies lies, and with the
+    smallest. Links of two bits at most of the five-shingle fingerprint are followed too, all of them.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    schema = "doc_id long, fp long, " + ", ".join(f"w{i} long" for i in range(COPIES)) + ", sketch binary"
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                prints, sketch = signature(text)
+                rows.append((doc, np.uint64(fingerprint(text, 5)).astype(np.int64), *prints, sketch))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    texts = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    signed = common.written(texts.mapInPandas(sign, schema), "simhash-signed")
+    distinct = common.written(signed.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
+    same = signed.select("doc_id", "fp").join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+
+    words = [f"w{i}" for i in range(COPIES)]
+    block = lambda c, i: F.shiftrightunsigned(c, BLOCK_BITS * i).bitwiseAND(F.lit(0xFFFF))
+    keys = [
+        F.struct(F.lit(6 * f + n).cast("byte").alias("pair"), (F.shiftleft(block(w, i), 16) + block(w, j)).alias("key"), F.col(w).alias("own"))
+        for f, w in enumerate(words)
+        for n, (i, j) in enumerate(combinations(range(4), 2))
+    ]
+    filed = signed.select("doc_id", F.explode(F.array(*keys)).alias("k")).select("doc_id", "k.pair", "k.key", "k.own")
+    counts = filed.groupBy("pair", "key").count().where("count > 1")
+    shared = common.written(filed.join(counts, ["pair", "key"]), "simhash-shared")
+    few = shared.where(F.col("count") <= crowd)
+    left = few.select("pair", "key", F.col("doc_id").alias("a"), F.col("own").alias("x"))
+    right = few.select("pair", "key", F.col("doc_id").alias("b"), F.col("own").alias("y"))
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FAR_BITS // 3
+    pairs = left.join(right, ["pair", "key"]).where(F.col("a") < F.col("b")).where(near).select("a", "b")
+
+    many = shared.where(F.col("count") > crowd)
+    bits = [F.sum(F.shiftrightunsigned("own", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(64)]
+    sums = many.groupBy("pair", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), *bits)
+    one = lambda i: F.lit((1 << i) if i < 63 else -(2**63)).cast("long")
+    major = F.lit(0).cast("long")
+    for i in range(64):
+        major = major.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), one(i)).otherwise(F.lit(0).cast("long")))
+    middle = sums.select("pair", "key", "least", major.alias("major"))
+    placed = many.join(middle, ["pair", "key"])
+    centre = placed.groupBy("pair", "key").agg(F.min(F.struct(F.bit_count(F.col("own").bitwiseXOR(F.col("major"))).alias("d"), F.col("doc_id"))).alias("c"))
+    starred = placed.join(centre.select("pair", "key", F.col("c.doc_id").alias("centre")), ["pair", "key"])
+    stars = starred.select(F.col("doc_id").alias("a"), F.explode(F.array("centre", "least")).alias("b")).where("a <> b")
+    candidates = pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([resemblance(x, y) for x, y in zip(a, b)], dtype=float)
+
+    columns = [*words, "sketch"]
+    of_a = signed.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    of_b = signed.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    close = sum(F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words) <= FAR_BITS
+    # Words first, sketches only for pairs whose words agree: the first join moves numbers alone.
+    agreed = candidates.join(of_a.drop("a_sketch"), "a").join(of_b.drop("b_sketch"), "b").where(close).select("a", "b")
+    agreed = common.written(agreed, "simhash-agreed")
+    checked = agreed.join(of_a.select("a", "a_sketch"), "a").join(of_b.select("b", "b_sketch"), "b").where(alike("a_sketch", "b_sketch") >= similarity).select("a", "b")
+    edges = checked.unionByName(same).unionByName(links(distinct))
+    joined = common.components(edges, "simhash-copies")
+    return signed.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near copies, the one with the smallest doc_id; all columns kept.
+
+    Rows without doc_id stay; rows that share a doc_id stay or go together.
+    """
+    found = common.written(near_copies(docs), "simhash-found")
     return common.without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
