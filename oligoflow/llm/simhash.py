@@ -110,8 +110,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, hot: i
 
 #: Word fingerprints of a text, bits of them all that near copies may differ in, and hashes kept of its shingles.
 COPIES, FAR_BITS, SKETCH = 6, 44, 256
+#: Bits of one fingerprint that candidates may differ in, beside the blocks they share.
+OWN_BITS = 8
 #: Texts under one key beyond which each is compared with the key's centre and smallest, not with all others.
-CROWD = 32
+CROWD = 8
 
 
 def signature(text: str | None, shingle: int = 5) -> tuple[list[int], bytes]:
@@ -189,21 +191,22 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD) ->
     few = shared.where(F.col("count") <= crowd)
     left = few.select("pair", "key", F.col("doc_id").alias("a"), F.col("own").alias("x"))
     right = few.select("pair", "key", F.col("doc_id").alias("b"), F.col("own").alias("y"))
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FAR_BITS // 3
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= OWN_BITS
     pairs = left.join(right, ["pair", "key"]).where(F.col("a") < F.col("b")).where(near).select("a", "b")
 
     many = shared.where(F.col("count") > crowd)
     bits = [F.sum(F.shiftrightunsigned("own", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(64)]
-    sums = many.groupBy("pair", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), *bits)
+    sums = many.groupBy("pair", "key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "own")).alias("least"), *bits)
     one = lambda i: F.lit((1 << i) if i < 63 else -(2**63)).cast("long")
     major = F.lit(0).cast("long")
     for i in range(64):
         major = major.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), one(i)).otherwise(F.lit(0).cast("long")))
     middle = sums.select("pair", "key", "least", major.alias("major"))
     placed = many.join(middle, ["pair", "key"])
-    centre = placed.groupBy("pair", "key").agg(F.min(F.struct(F.bit_count(F.col("own").bitwiseXOR(F.col("major"))).alias("d"), F.col("doc_id"))).alias("c"))
-    starred = placed.join(centre.select("pair", "key", F.col("c.doc_id").alias("centre")), ["pair", "key"])
-    stars = starred.select(F.col("doc_id").alias("a"), F.explode(F.array("centre", "least")).alias("b")).where("a <> b")
+    centre = placed.groupBy("pair", "key").agg(F.min(F.struct(F.bit_count(F.col("own").bitwiseXOR(F.col("major"))).alias("d"), F.col("doc_id"), F.col("own"))).alias("c"))
+    starred = placed.join(centre.select("pair", "key", F.struct("c.doc_id", "c.own").alias("centre")), ["pair", "key"])
+    hubs = F.filter(F.array_distinct(F.array("centre", "least")), lambda h: (h["doc_id"] != F.col("doc_id")) & (F.bit_count(h["own"].bitwiseXOR(F.col("own"))) <= OWN_BITS))
+    stars = starred.select(F.col("doc_id").alias("a"), F.explode(hubs["doc_id"]).alias("b"))
     candidates = pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
     @F.pandas_udf("double")

@@ -48,7 +48,7 @@ def copies(seed=1):
     return rows + [(at + i, " ".join(rng.choices(stock, k=rng.randint(1, 80)))) for i in range(60)] + [(at + 100, None), (at + 101, "")]
 
 
-@pytest.mark.parametrize("crowd", [32, 1])
+@pytest.mark.parametrize("crowd", [32, 8, 1])
 def test_near_copies_join_what_resembles(spark, crowd):
     rows = copies()
     got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows), crowd=crowd).collect()}
