@@ -19,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,122 +109,206 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, hot: i
     return prints.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-#: Word fingerprints of a text, bits of them all that near copies may differ in, and hashes kept of its shingles.
-COPIES, FAR_BITS, SKETCH = 6, 44, 256
-#: Bits of one fingerprint that candidates may differ in, beside the blocks they share.
-OWN_BITS = 8
-#: Texts under one key beyond which each is compared with the key's centre and smallest, not with all others.
+#: Rows under one shingle beyond which each text is first compared with the hub alone.
 CROWD = 8
+#: Share of texts (one in SAMPLE) whose shingles are counted to put common ones last, count from which one is common,
+#: and most common ones told to the workers. They decide the order of work only, never what is found.
+SAMPLE, COMMON, MOST_COMMON = 16, 4, 500_000
+FOUND = ["gram", "a", "b", "n", "pos"]
 
 
-def signature(text: str | None, shingle: int = 5) -> tuple[list[int], bytes]:
-    """(COPIES fingerprints of the distinct words, the SKETCH smallest 32-bit hashes of the distinct shingles)."""
+def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of all runs of shingle words; a shorter text is one run."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * COPIES, b""
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(w, 42) for w in set(words)], np.uint64)
-    ones = np.zeros((COPIES, 64), np.int64)
+    known = {w: digest(w, 42) for w in set(words)}
+    hashes = np.array([known[w] for w in words], np.uint64)
+    size = min(shingle, len(words))
     with np.errstate(over="ignore"):
-        for part in range(0, len(hashes), 1 << 15):
-            for n in range(COPIES):
-                x = hashes[part : part + (1 << 15)] + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                x ^= x >> np.uint64(31)
-                ones[n] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    prints = np.packbits((ones * 2 > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<u8")[:, 0]
-    joined, n = b" ".join(words), len(words)
-    sizes = np.fromiter(map(len, words), np.int64, n)
-    ends = np.cumsum(sizes + 1) - 1
-    starts, m = ends - sizes, max(1, n - shingle + 1)
-    last = ends[min(shingle, n) - 1 :]
-    small = xxhash.xxh32_intdigest
-    kept = np.unique(np.array([small(joined[i:j], 42) for i, j in zip(starts[:m].tolist(), last.tolist())], "<u4"))[:SKETCH]
-    return prints.view(np.int64).tolist(), kept.tobytes()
+        x = np.full(len(words) - size + 1, size, np.uint64)
+        for k in range(size):
+            x = x * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(words) - size + 1 + k]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return np.unique(x)
+
+
+def signature(text: str | None, shingle: int = 5) -> tuple[int, bytes]:
+    """(fingerprint of the shingles, the hashes of all distinct shingles)."""
+    return fingerprint(text, shingle), shingle_hashes(text, shingle).tobytes()
 
 
 def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their sketches; exact for texts of SKETCH shingles at most."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    """Jaccard similarity of two whole shingle sets."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    both = np.union1d(x, y)[:SKETCH] if max(len(x), len(y)) >= SKETCH else np.union1d(x, y)
-    return float((np.isin(both, x) & np.isin(both, y)).mean())
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _least(n, share):
+    """The smallest whole number that is at least n * share."""
+    return np.ceil(n * share - 1e-9).astype(np.int64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[dict]:
+    """Columns of rows sorted by gram, cut so that no gram's rows are in two pieces."""
+    kept: list[dict] = []
+    count, enough = 0, rows
+
+    def joined() -> dict:
+        return {c: np.concatenate([part[c] for part in kept]) for c in kept[0]}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+        count += batch.num_rows
+        if count < enough:
+            continue
+        whole = joined()
+        cut = int(np.searchsorted(whole["gram"], whole["gram"][-1]))
+        if cut:
+            yield {c: v[:cut] for c, v in whole.items()}
+        kept, count = [{c: v[cut:] for c, v in whole.items()}], count - cut
+        enough = max(rows, 2 * count)
+    if kept:
+        yield joined()
+
+
+def _fits(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts i and j, of whose shingles this one is the first in common, can still be similar enough."""
+    return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= _least(n[i].astype(np.int64) + n[j], similarity / (1 + similarity))
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id): texts joined where their sets of five-word shingles resemble each other enough.
 
-    Six fingerprints of a text's distinct words, which one changed word alters far less than it alters five shingles,
-    are cut into blocks like those above; texts that share two blocks of a fingerprint and differ in few bits of all
-    six are candidates, and the shingles' sketches decide. Under a key with more than crowd texts each is compared with
-    the text nearest to the key's majority fingerprint, where the common original of many copies lies, and with the
-    smallest. Links of two bits at most of the five-shingle fingerprint are followed too, all of them.
+    Candidates are found by the prefix rule, which is exact: with all shingles in one order, the first shingle common
+    to texts of n and m <= n shingles and similarity t is among the first n - ceil(t n) + 1 of the one and the first
+    m - ceil(2 t / (1 + t) m) + 1 of the other. Shingles of many texts come last in that order, so a shared template
+    makes no candidates unless little else is in the texts. Every candidate pair is decided by all its shingles.
+    Under a shingle with more than crowd texts each is compared with the hub alone, the text that has the
+    fewest rarer shingles. Links of two bits at most
+    of the five-shingle fingerprint are followed as well, all of them.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    schema = "doc_id long, fp long, " + ", ".join(f"w{i} long" for i in range(COPIES)) + ", sketch binary"
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                prints, sketch = signature(text)
-                rows.append((doc, np.uint64(fingerprint(text, 5)).astype(np.int64), *prints, sketch))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+                fp, grams = signature(text)
+                rows.append((doc, np.uint64(fp).astype(np.int64), grams))
+            yield pd.DataFrame(rows, columns=["doc_id", "fp", "grams"])
 
     texts = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    signed = common.written(texts.mapInPandas(sign, schema), "simhash-signed")
+    signed = common.written(texts.mapInPandas(sign, "doc_id long, fp long, grams binary"), "simhash-signed")
     distinct = common.written(signed.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
     same = signed.select("doc_id", "fp").join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
-    words = [f"w{i}" for i in range(COPIES)]
-    block = lambda c, i: F.shiftrightunsigned(c, BLOCK_BITS * i).bitwiseAND(F.lit(0xFFFF))
-    keys = [
-        F.struct(F.lit(6 * f + n).cast("byte").alias("pair"), (F.shiftleft(block(w, i), 16) + block(w, j)).alias("key"), F.col(w).alias("own"))
-        for f, w in enumerate(words)
-        for n, (i, j) in enumerate(combinations(range(4), 2))
-    ]
-    filed = signed.select("doc_id", F.explode(F.array(*keys)).alias("k")).select("doc_id", "k.pair", "k.key", "k.own")
-    counts = filed.groupBy("pair", "key").count().where("count > 1")
-    shared = common.written(filed.join(counts, ["pair", "key"]), "simhash-shared")
-    few = shared.where(F.col("count") <= crowd)
-    left = few.select("pair", "key", F.col("doc_id").alias("a"), F.col("own").alias("x"))
-    right = few.select("pair", "key", F.col("doc_id").alias("b"), F.col("own").alias("y"))
-    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= OWN_BITS
-    pairs = left.join(right, ["pair", "key"]).where(F.col("a") < F.col("b")).where(near).select("a", "b")
+    filed = _prefixes(signed, similarity, _common_shingles(signed))
+    met = common.written(_sorted(filed).mapInArrow(_first_pairs(similarity, crowd), "gram long, a long, b long, n int, pos int"), "simhash-met")
+    first = _verified(met.select("a", "b"), signed, similarity, "simhash-first")
+    edges = first.unionByName(same).unionByName(links(distinct))
+    joined = common.components(edges, "simhash-copies")
+    return signed.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _common_shingles(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of shingles that many sampled texts have."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"gram": np.frombuffer(b"".join(map(bytes, batch["grams"])), np.int64)})
 
-    many = shared.where(F.col("count") > crowd)
-    bits = [F.sum(F.shiftrightunsigned("own", i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(64)]
-    sums = many.groupBy("pair", "key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "own")).alias("least"), *bits)
-    one = lambda i: F.lit((1 << i) if i < 63 else -(2**63)).cast("long")
-    major = F.lit(0).cast("long")
-    for i in range(64):
-        major = major.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), one(i)).otherwise(F.lit(0).cast("long")))
-    middle = sums.select("pair", "key", "least", major.alias("major"))
-    placed = many.join(middle, ["pair", "key"])
-    centre = placed.groupBy("pair", "key").agg(F.min(F.struct(F.bit_count(F.col("own").bitwiseXOR(F.col("major"))).alias("d"), F.col("doc_id"), F.col("own"))).alias("c"))
-    starred = placed.join(centre.select("pair", "key", F.struct("c.doc_id", "c.own").alias("centre")), ["pair", "key"])
-    hubs = F.filter(F.array_distinct(F.array("centre", "least")), lambda h: (h["doc_id"] != F.col("doc_id")) & (F.bit_count(h["own"].bitwiseXOR(F.col("own"))) <= OWN_BITS))
-    stars = starred.select(F.col("doc_id").alias("a"), F.explode(hubs["doc_id"]).alias("b"))
-    candidates = pairs.unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    rows = signed.count()
+    one_in = max(1, min(SAMPLE, rows >> 14))
+    sample = signed.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("grams")
+    counts = sample.mapInPandas(spread, "gram long").groupBy("gram").count().where(F.col("count") >= COMMON)
+    found = counts.orderBy(F.desc("count"), "gram").limit(MOST_COMMON).toPandas()
+    grams = found["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], found["count"].to_numpy(np.int64)[order]
+
+
+def _prefixes(signed: DataFrame, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(gram, doc_id, n, pos): the first shingles of each text, their number and places in the common order."""
+    sent = signed.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, counts = sent.value
+        for batch in batches:
+            parts = []
+            for doc, packed in zip(batch["doc_id"], batch["grams"]):
+                grams = np.frombuffer(packed, np.uint64)
+                n = len(grams)
+                if not n:
+                    continue
+                if len(hashes):
+                    at = np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)
+                    grams = grams[np.argsort(np.where(hashes[at] == grams, counts[at], 0), kind="stable")]
+                size = n - int(_least(n, similarity)) + 1
+                parts.append((grams[:size].view(np.int64), np.full(size, doc, np.int64), np.full(size, n, np.int32), np.arange(size, dtype=np.int32)))
+            if parts:
+                yield pd.DataFrame(dict(zip(("gram", "doc_id", "n", "pos"), map(np.concatenate, zip(*parts)))))
+
+    return signed.select("doc_id", "grams").mapInPandas(prefixes, "gram long, doc_id long, n int, pos int")
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("gram").sortWithinPartitions("gram")
+
+
+def _starts(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, rows) of each gram."""
+    starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    return starts, np.diff(np.r_[starts, len(gram)])
+
+
+def _first_pairs(similarity: float, crowd: int):
+    """Of rows sorted by gram: all pairs of small groups (gram null), and each row of the others beside its hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            gram, doc, n, pos = (rows[c] for c in ("gram", "doc_id", "n", "pos"))
+            starts, sizes = _starts(gram)
+            size, index = np.repeat(sizes, sizes), np.arange(len(gram))
+            ends = []
+            for step in range(1, crowd):  # rows that are step places apart within a small group
+                i = index[: max(0, len(gram) - step)]
+                i = i[(gram[i] == gram[i + step]) & (size[i] <= crowd)]
+                i = i[_fits(n, pos, i, i + step, similarity)]
+                ends.append(np.column_stack([np.minimum(doc[i], doc[i + step]), np.maximum(doc[i], doc[i + step])]))
+            pairs = np.unique(np.concatenate(ends), axis=0) if ends else np.zeros((0, 2), np.int64)
+            blank = pa.nulls(len(pairs), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), blank, blank], FOUND)
+            # A pair's first common shingle is among the shorter prefix of one: others' groups need no comparison.
+            leads = np.logical_or.reduceat(n - pos >= _least(n, 2 * similarity / (1 + similarity)), starts)
+            hub = np.lexsort((doc, pos / n, np.repeat(starts, sizes)))[starts]
+            use = np.repeat((sizes > crowd) & leads, sizes)
+            beside = np.repeat(doc[hub], sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(v[use]) for v in (gram, doc, beside, n, pos)], FOUND)
+
+    return run
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, similarity: float, label: str) -> DataFrame:
+    """Those of pairs(a, b) whose shingle sets are similar enough."""
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([resemblance(x, y) for x, y in zip(a, b)], dtype=float)
 
-    columns = [*words, "sketch"]
-    of_a = signed.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    of_b = signed.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    close = sum(F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words) <= FAR_BITS
-    # Words first, sketches only for pairs whose words agree: the first join moves numbers alone.
-    agreed = candidates.join(of_a.drop("a_sketch"), "a").join(of_b.drop("b_sketch"), "b").where(close).select("a", "b")
-    agreed = common.written(agreed, "simhash-agreed")
-    checked = agreed.join(of_a.select("a", "a_sketch"), "a").join(of_b.select("b", "b_sketch"), "b").where(alike("a_sketch", "b_sketch") >= similarity).select("a", "b")
-    edges = checked.unionByName(same).unionByName(links(distinct))
-    joined = common.components(edges, "simhash-copies")
-    return signed.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    some = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of_a = signed.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
+    of_b = signed.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    return common.written(some.join(of_a, "a").join(of_b, "b").where(alike("x", "y") >= similarity - 1e-12).select("a", "b"), label)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

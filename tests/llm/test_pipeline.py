@@ -120,3 +120,39 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert kept["packing"] == kept["decontaminate"]
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in run.select("doc_id").collect()} == kept["packing"]
+
+
+def groups_by_brute_force(rows, similarity=0.8):
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, (i, _) in enumerate(rows):
+        for j, _ in rows[:x]:
+            small, large = sorted((sets[i], sets[j]), key=len)
+            both = len(small & large) if len(small) >= similarity * len(large) else 0
+            if both >= similarity * (len(small) + len(large) - both) or (prints[i] ^ prints[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i, _ in rows}
+
+
+def test_near_copies_with_blocks_added_cut_and_inserted(spark):
+    """Texts of 80 to 1500 words and copies with a run of another text appended, inserted, or with their end cut."""
+    rng = random.Random(11)
+    stock = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(20_000)]
+    rows, pairs = [], []
+    for k in range(90):
+        base, other = rng.choices(stock, k=rng.randint(80, 1500)), rng.choices(stock, k=1500)
+        n = int(len(base) * rng.uniform(0.05, 0.26))
+        at = rng.randrange(len(base))
+        copy = [base + other[:n], base[: len(base) - n], base[:at] + other[:n] + base[at:]][k % 3]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    want = groups_by_brute_force(rows)
+    assert 30 < sum(want[2 * k] == want[2 * k + 1] for k in range(90)) < 90
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert got == want
