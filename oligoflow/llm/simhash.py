@@ -114,6 +114,8 @@ CROWD = 8
 #: Share of texts (one in SAMPLE) whose shingles are counted to put common ones last, count from which one is common,
 #: and most common ones told to the workers. They decide the order of work only, never what is found.
 SAMPLE, COMMON, MOST_COMMON = 16, 4, 500_000
+#: Pairs listed at once within one shingle's rows.
+PAIRS_AT_ONCE = 1 << 20
 FOUND = ["gram", "a", "b", "n", "pos"]
 
 
@@ -192,8 +194,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD) ->
     to texts of n and m <= n shingles and similarity t is among the first n - ceil(t n) + 1 of the one and the first
     m - ceil(2 t / (1 + t) m) + 1 of the other. Shingles of many texts come last in that order, so a shared template
     makes no candidates unless little else is in the texts. Every candidate pair is decided by all its shingles.
-    Under a shingle with more than crowd texts each is compared with the hub alone, the text that has the
-    fewest rarer shingles. Links of two bits at most
+    Under a shingle with more than crowd texts each is first compared with the hub, the text that has the fewest
+    rarer shingles; then all pairs there that aren't in one component yet are compared too. Links of two bits at most
     of the five-shingle fingerprint are followed as well, all of them.
     """
     spark = docs.sparkSession
@@ -217,6 +219,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD) ->
     first = _verified(met.select("a", "b"), signed, similarity, "simhash-first")
     edges = first.unionByName(same).unionByName(links(distinct))
     joined = common.components(edges, "simhash-copies")
+    many = met.where("gram is not null").select("gram", F.col("a").alias("doc_id"), "n", "pos")
+    placed = many.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    split = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
+    rest = _sorted(placed.join(split, "gram")).mapInArrow(_other_pairs(similarity), "a long, b long")
+    more = _verified(rest, signed, similarity, "simhash-more")
+    if not more.isEmpty():
+        joined = common.components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "simhash-all")
     return signed.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -298,6 +307,27 @@ def _first_pairs(similarity: float, crowd: int):
     return run
 
 
+def _other_pairs(similarity: float):
+    """Of rows sorted by gram: the pairs of texts in different components; one of them isn't in the largest there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every in _groups(batches):
+            for low, size in zip(*_starts(every["gram"])):
+                doc, n, pos, own = (every[c][low : low + size] for c in ("doc_id", "n", "pos", "component"))
+                names, members = np.unique(own, return_counts=True)
+                outside = np.flatnonzero(own != names[np.argmax(members)])
+                at_once = max(1, PAIRS_AT_ONCE // len(doc))
+                for part in range(0, len(outside), at_once):
+                    some = outside[part : part + at_once]
+                    i, j = np.repeat(some, len(doc)), np.tile(np.arange(len(doc)), len(some))
+                    use = np.flatnonzero(own[i] != own[j])
+                    use = use[_fits(n, pos, i[use], j[use], similarity)]
+                    pairs = np.unique(np.column_stack([np.minimum(doc[i[use]], doc[j[use]]), np.maximum(doc[i[use]], doc[j[use]])]), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
 def _verified(pairs: DataFrame, signed: DataFrame, similarity: float, label: str) -> DataFrame:
     """Those of pairs(a, b) whose shingle sets are similar enough."""
 

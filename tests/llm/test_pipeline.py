@@ -156,3 +156,23 @@ def test_near_copies_with_blocks_added_cut_and_inserted(spark):
     assert 30 < sum(want[2 * k] == want[2 * k + 1] for k in range(90)) < 90
     got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("crowd", [8, 1])
+def test_near_copies_in_crowds_of_alike_texts(spark, crowd):
+    """A chain in which a text resembles its neighbours alone, and near copies within a group that shares a template."""
+    rng = random.Random(13)
+    stock = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(20_000)]
+    run = rng.choices(stock, k=30 * 100 + 300)
+    rows = [(i, " ".join(run[30 * i : 30 * i + 300])) for i in range(100)]
+    template = rng.choices(stock, k=300)
+    for i in range(120):
+        words = template + rng.choices(stock, k=48)
+        rows.append((200 + i, " ".join(words)))
+        if i % 4 == 0:
+            rows.append((500 + i, " ".join(edited(rng, words, 5))))
+    rng.shuffle(rows)
+    want = groups_by_brute_force(rows)
+    assert {want[i] for i in range(100)} == {0} and sum(want[500 + i] == 200 + i for i in range(0, 120, 4)) > 25
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows), crowd=crowd).collect()}
+    assert got == want
