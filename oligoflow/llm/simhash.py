@@ -205,40 +205,38 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD) ->
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                fp, grams = signature(text)
-                rows.append((doc, np.uint64(fp).astype(np.int64), grams))
-            yield pd.DataFrame(rows, columns=["doc_id", "fp", "grams"])
+                rows.append((doc, np.uint64(fingerprint(text, 5)).astype(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "fp"])
 
     texts = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    signed = common.written(texts.mapInPandas(sign, "doc_id long, fp long, grams binary"), "simhash-signed")
+    signed = common.written(texts.mapInPandas(sign, "doc_id long, fp long"), "simhash-signed")
     distinct = common.written(signed.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
     same = signed.select("doc_id", "fp").join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
 
-    filed = _prefixes(signed, similarity, _common_shingles(signed))
+    filed = _prefixes(texts, similarity, _common_shingles(texts, signed.count()))
     met = common.written(_sorted(filed).mapInArrow(_first_pairs(similarity, crowd), "gram long, a long, b long, n int, pos int"), "simhash-met")
-    first = _verified(met.select("a", "b"), signed, similarity, "simhash-first")
+    first = _verified(met.select("a", "b"), texts, similarity, "simhash-first")
     edges = first.unionByName(same).unionByName(links(distinct))
     joined = common.components(edges, "simhash-copies")
     many = met.where("gram is not null").select("gram", F.col("a").alias("doc_id"), "n", "pos")
     placed = many.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
     rest = _sorted(placed.join(split, "gram")).mapInArrow(_other_pairs(similarity), "a long, b long")
-    more = _verified(rest, signed, similarity, "simhash-more")
+    more = _verified(rest, texts, similarity, "simhash-more")
     if not more.isEmpty():
         joined = common.components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "simhash-all")
     return signed.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _common_shingles(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, counts) of shingles that many sampled texts have."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"gram": np.frombuffer(b"".join(map(bytes, batch["grams"])), np.int64)})
+            yield pd.DataFrame({"gram": np.concatenate([shingle_hashes(t) for t in batch["text"]]).view(np.int64)})
 
-    rows = signed.count()
     one_in = max(1, min(SAMPLE, rows >> 14))
-    sample = signed.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("grams")
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
     counts = sample.mapInPandas(spread, "gram long").groupBy("gram").count().where(F.col("count") >= COMMON)
     found = counts.orderBy(F.desc("count"), "gram").limit(MOST_COMMON).toPandas()
     grams = found["gram"].to_numpy(np.int64).view(np.uint64)
@@ -246,16 +244,16 @@ def _common_shingles(signed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], found["count"].to_numpy(np.int64)[order]
 
 
-def _prefixes(signed: DataFrame, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _prefixes(texts: DataFrame, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(gram, doc_id, n, pos): the first shingles of each text, their number and places in the common order."""
-    sent = signed.sparkSession.sparkContext.broadcast(often)
+    sent = texts.sparkSession.sparkContext.broadcast(often)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, counts = sent.value
         for batch in batches:
             parts = []
-            for doc, packed in zip(batch["doc_id"], batch["grams"]):
-                grams = np.frombuffer(packed, np.uint64)
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                grams = shingle_hashes(text)
                 n = len(grams)
                 if not n:
                     continue
@@ -267,7 +265,7 @@ def _prefixes(signed: DataFrame, similarity: float, often: tuple[np.ndarray, np.
             if parts:
                 yield pd.DataFrame(dict(zip(("gram", "doc_id", "n", "pos"), map(np.concatenate, zip(*parts)))))
 
-    return signed.select("doc_id", "grams").mapInPandas(prefixes, "gram long, doc_id long, n int, pos int")
+    return texts.mapInPandas(prefixes, "gram long, doc_id long, n int, pos int")
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
@@ -328,16 +326,23 @@ def _other_pairs(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, signed: DataFrame, similarity: float, label: str) -> DataFrame:
-    """Those of pairs(a, b) whose shingle sets are similar enough."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, label: str) -> DataFrame:
+    """Those of pairs(a, b) whose texts' shingle sets are similar enough; only texts in pairs are moved."""
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([resemblance(x, y) for x, y in zip(a, b)], dtype=float)
+        return pd.Series([resemblance(signature_of(x), signature_of(y)) for x, y in zip(a, b)], dtype=float)
+
+    def signature_of(text):
+        return shingle_hashes(text).tobytes()
 
     some = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of_a = signed.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
-    of_b = signed.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    some = common.written(some, f"{label}-pairs")
+    ids = some.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= common.BROADCAST_IDS else ids
+    used = texts.join(ids, "doc_id", "left_semi")
+    of_a = used.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    of_b = used.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     return common.written(some.join(of_a, "a").join(of_b, "b").where(alike("x", "y") >= similarity - 1e-12).select("a", "b"), label)
 
 

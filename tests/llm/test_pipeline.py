@@ -176,3 +176,16 @@ def test_near_copies_in_crowds_of_alike_texts(spark, crowd):
     assert {want[i] for i in range(100)} == {0} and sum(want[500 + i] == 200 + i for i in range(0, 120, 4)) > 25
     got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows), crowd=crowd).collect()}
     assert got == want
+
+
+def test_long_texts_are_decided_by_all_shingles(spark):
+    """Copies of 1000 to 2000 words on both sides of 0.8; no sample of their shingles tells them apart."""
+    rng = random.Random(17)
+    stock = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(20_000)]
+    rows = []
+    for k in range(40):
+        base = rng.choices(stock, k=rng.randint(1000, 2000))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(rng, base, int(len(base) * rng.uniform(0.021, 0.026)))))]
+    want = groups_by_brute_force(rows)
+    assert 10 < sum(want[2 * k] == want[2 * k + 1] for k in range(40)) < 30
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()} == want
