@@ -156,3 +156,36 @@ def test_stream_keeps_one_read_of_each_droplet(spark, tmp_path):
     decode.decode_stream(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.droplet, r.payload) for r in got) == sorted((r.droplet, r.payload) for r in segments.collect())
+
+
+def test_cluster_reads_with_many_strands_under_a_key(spark):
+    """Strands that share a run of 12 bases or a long head, three reads each: every read finds its own strand's."""
+    import random
+
+    from oligoflow.operators import consensus
+    from oligoflow.plans.queries import prepare
+
+    prepare(spark)
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choices("ACGT", k=n))
+    common, head, rows, truth = draw(30), draw(70), [], []
+    for s in range(120):
+        strand = draw(49) + common + draw(49) if s < 90 else head + draw(58)
+        for _ in range(3):
+            bases = list(strand)
+            for p in rng.sample(range(128), 2):
+                bases[p] = rng.choice("ACGT")
+            truth.append(s)
+            rows.append((len(rows), "".join(bases)))
+    got = {r.read_id: r.cluster_id for r in consensus.cluster_reads(spark.createDataFrame(rows, "read_id long, read string")).collect()}
+    assert len(got) == len(rows) and all(truth[i] == truth[c] for i, c in got.items())
+    assert sum(got[i] == 3 * s for i, s in enumerate(truth)) >= 0.95 * len(rows)
+
+
+def test_read_components_follow_a_long_chain(spark):
+    from oligoflow.operators import consensus
+    from oligoflow.plans.queries import prepare
+
+    prepare(spark)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert {r.node: r.component for r in consensus.components(chain).collect()} == dict.fromkeys(range(301), 0)
