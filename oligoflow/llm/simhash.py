@@ -111,11 +111,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, hot: i
 
 #: Rows under one shingle beyond which each text is first compared with the hub alone.
 CROWD = 8
-#: Share of texts (one in SAMPLE) whose shingles are counted to put common ones last, count from which one is common,
-#: and most common ones told to the workers. They decide the order of work only, never what is found.
-SAMPLE, COMMON, MOST_COMMON = 16, 4, 500_000
-#: Pairs listed at once within one shingle's rows.
-PAIRS_AT_ONCE = 1 << 20
+#: Share of texts (one in SAMPLE) whose shingles are counted to put common ones last, count there from which one is
+#: common, and most common ones told to the workers. They decide the order of work only, never what is found.
+SAMPLE, COMMON, MOST_COMMON = 4, 3, 1_000_000
+#: Pairs compared at once within one shingle's rows, and rows of a shingle beyond which they are dealt over tiles.
+PAIRS_AT_ONCE, TILE = 1 << 15, 2048
+#: Slots of a sketch, a byte each, and standard errors by which a pair's equal slots may fall short.
+SLOTS, ERRORS = 128, 6
 FOUND = ["gram", "a", "b", "n", "pos"]
 
 
@@ -152,6 +154,26 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """SLOTS bytes: for each of as many equal ranges of hashes a byte of the least hash in it, 0 for none."""
+    first = np.searchsorted(hashes, np.arange(SLOTS, dtype=np.uint64) * np.uint64(2**64 // SLOTS))
+    held = first < np.append(first[1:], len(hashes))
+    out = np.zeros(SLOTS, np.uint8)
+    out[held] = hashes[first[held]] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def may_resemble(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sketches in the rows of a and b allow their texts to be similar enough.
+
+    Of the slots that either text fills, a share as large as the similarity is equal on average. A pair is put aside
+    only if ERRORS standard errors more are missing, which a pair that is similar enough does once in 10**8 or less.
+    """
+    filled = ((a | b) > 0).sum(axis=1)
+    equal = ((a == b) & (a > 0)).sum(axis=1)
+    return equal >= similarity * filled - ERRORS * np.sqrt(similarity * (1 - similarity) * filled) - 1
+
+
 def _least(n, share):
     """The smallest whole number that is at least n * share."""
     return np.ceil(n * share - 1e-9).astype(np.int64)
@@ -187,56 +209,75 @@ def _fits(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray, similari
     return np.minimum(n[i] - pos[i], n[j] - pos[j]) >= _least(n[i].astype(np.int64) + n[j], similarity / (1 + similarity))
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id): texts joined where their sets of five-word shingles resemble each other enough.
 
     Candidates are found by the prefix rule, which is exact: with all shingles in one order, the first shingle common
     to texts of n and m <= n shingles and similarity t is among the first n - ceil(t n) + 1 of the one and the first
     m - ceil(2 t / (1 + t) m) + 1 of the other. Shingles of many texts come last in that order, so a shared template
-    makes no candidates unless little else is in the texts. Every candidate pair is decided by all its shingles.
-    Under a shingle with more than crowd texts each is first compared with the hub, the text that has the fewest
-    rarer shingles; then all pairs there that aren't in one component yet are compared too. Links of two bits at most
-    of the five-shingle fingerprint are followed as well, all of them.
+    makes no candidates unless little else is in the texts. Candidates whose sketches rule them out are put aside, the
+    others are decided by all their shingles, and only their texts are moved. Under a shingle with more than crowd
+    texts each is first compared with the hub, the text that has the fewest rarer shingles; then all that aren't in one
+    component yet are compared by sketch, in tiles of bounded size, and only pairs that may be similar leave the task.
+    Links of two bits at most of the five-shingle fingerprint are followed as well, all of them.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                rows.append((doc, np.uint64(fingerprint(text, 5)).astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "fp"])
+            prints = np.array([fingerprint(t, 5) for t in batch["text"]], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": prints, "sketch": [sketch(shingle_hashes(t)) for t in batch["text"]]})
 
     texts = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    signed = common.written(texts.mapInPandas(sign, "doc_id long, fp long"), "simhash-signed")
+    signed = common.written(texts.mapInPandas(sign, "doc_id long, fp long, sketch binary"), "simhash-signed")
     distinct = common.written(signed.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
     same = signed.select("doc_id", "fp").join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    sketches = signed.groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
 
-    filed = _prefixes(texts, similarity, _common_shingles(texts, signed.count()))
-    met = common.written(_sorted(filed).mapInArrow(_first_pairs(similarity, crowd), "gram long, a long, b long, n int, pos int"), "simhash-met")
-    first = _verified(met.select("a", "b"), texts, similarity, "simhash-first")
+    filed = _prefixes(texts, similarity, _common_shingles(texts))
+    met = common.written(_sorted(filed, "gram").mapInArrow(_first_pairs(similarity, crowd), "gram long, a long, b long, n int, pos int"), "simhash-met")
+    first = _verified(_sketched(met, sketches, similarity), texts, similarity, "simhash-first")
     edges = first.unionByName(same).unionByName(links(distinct))
     joined = common.components(edges, "simhash-copies")
+
     many = met.where("gram is not null").select("gram", F.col("a").alias("doc_id"), "n", "pos")
     placed = many.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram")
-    rest = _sorted(placed.join(split, "gram")).mapInArrow(_other_pairs(similarity), "a long, b long")
-    more = _verified(rest, texts, similarity, "simhash-more")
+    sizes = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / tile).alias("tiles"))
+    split = common.written(sizes.where("x <> y").select("gram", "tiles"), "simhash-split")
+    rows = placed.join(split, "gram").join(sketches, "doc_id")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    tiled = rows.select(F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("gram"), side.alias("side"), "doc_id", "n", "pos", "component", "sketch")
+    rest = _sorted(tiled, "gram").mapInArrow(_other_pairs(similarity), "a long, b long")
+    more = _verified(rest.distinct(), texts, similarity, "simhash-more")
     if not more.isEmpty():
         joined = common.components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))), "simhash-all")
     return signed.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _common_shingles(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _sketched(met: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (a, b) of met that their sketches don't rule out."""
+
+    @F.pandas_udf("boolean")
+    def allowed(x: pd.Series, y: pd.Series) -> pd.Series:
+        one, two = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, SLOTS) for v in (x, y))
+        return pd.Series(may_resemble(one, two, similarity), dtype=bool)
+
+    pairs = met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    of_a = sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"))
+    of_b = sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"))
+    return pairs.join(of_a, "a").join(of_b, "b").where(allowed("x", "y")).select("a", "b")
+
+
+def _common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(hashes in order, counts) of shingles that many sampled texts have."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"gram": np.concatenate([shingle_hashes(t) for t in batch["text"]]).view(np.int64)})
 
-    one_in = max(1, min(SAMPLE, rows >> 14))
-    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     counts = sample.mapInPandas(spread, "gram long").groupBy("gram").count().where(F.col("count") >= COMMON)
     found = counts.orderBy(F.desc("count"), "gram").limit(MOST_COMMON).toPandas()
     grams = found["gram"].to_numpy(np.int64).view(np.uint64)
@@ -268,8 +309,8 @@ def _prefixes(texts: DataFrame, similarity: float, often: tuple[np.ndarray, np.n
     return texts.mapInPandas(prefixes, "gram long, doc_id long, n int, pos int")
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("gram").sortWithinPartitions("gram")
+def _sorted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key).sortWithinPartitions(key)
 
 
 def _starts(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,20 +347,26 @@ def _first_pairs(similarity: float, crowd: int):
 
 
 def _other_pairs(similarity: float):
-    """Of rows sorted by gram: the pairs of texts in different components; one of them isn't in the largest there."""
+    """Of tiles' rows sorted by gram: the pairs of texts in different components that may be similar enough.
+
+    Texts of side 0 are compared with each other, those of side 1 with those of side 2. At least one of a pair isn't in
+    the component that has most texts there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for every in _groups(batches):
             for low, size in zip(*_starts(every["gram"])):
-                doc, n, pos, own = (every[c][low : low + size] for c in ("doc_id", "n", "pos", "component"))
+                side, doc, n, pos, own, made = (every[c][low : low + size] for c in ("side", "doc_id", "n", "pos", "component", "sketch"))
+                made = np.frombuffer(b"".join(made), np.uint8).reshape(-1, SLOTS)
                 names, members = np.unique(own, return_counts=True)
                 outside = np.flatnonzero(own != names[np.argmax(members)])
                 at_once = max(1, PAIRS_AT_ONCE // len(doc))
                 for part in range(0, len(outside), at_once):
                     some = outside[part : part + at_once]
                     i, j = np.repeat(some, len(doc)), np.tile(np.arange(len(doc)), len(some))
-                    use = np.flatnonzero(own[i] != own[j])
+                    use = np.flatnonzero((own[i] != own[j]) & ((side[i] + side[j] == 0) | (side[i] + side[j] == 3)))
                     use = use[_fits(n, pos, i[use], j[use], similarity)]
+                    use = use[may_resemble(made[i[use]], made[j[use]], similarity)]
                     pairs = np.unique(np.column_stack([np.minimum(doc[i[use]], doc[j[use]]), np.maximum(doc[i[use]], doc[j[use]])]), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -327,7 +374,7 @@ def _other_pairs(similarity: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, label: str) -> DataFrame:
-    """Those of pairs(a, b) whose texts' shingle sets are similar enough; only texts in pairs are moved."""
+    """Those of distinct pairs(a, b) whose texts' shingle sets are similar enough; only texts in pairs are moved."""
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -336,9 +383,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, label: str)
     def signature_of(text):
         return shingle_hashes(text).tobytes()
 
-    some = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    some = common.written(some, f"{label}-pairs")
-    ids = some.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    some = common.written(pairs, f"{label}-pairs")
+    ids = some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct()
     ids = F.broadcast(ids) if ids.count() <= common.BROADCAST_IDS else ids
     used = texts.join(ids, "doc_id", "left_semi")
     of_a = used.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
