@@ -3,9 +3,11 @@
 A text's terms are its distinct words, their prefixes of PREFIXES letters (insults share stems), and a second term for
 a prefix that several distinct words share; each counts once, as a hash. The machine adds a weight for every term and, for
 every pair of terms, the product of their latent vectors, so it can learn that an insult beside a group's name counts
-more than either. Training takes at most PER_CLASS labelled rows of each class, weighs them back to their share, and
-keeps the terms that at least MIN_DOCS of them hold and whose share differs between the classes by MIN_Z standard
-errors; all others have no effect on a score.
+more than either. Training takes at most PER_CLASS labelled rows of each class and weighs them back to their share. Of
+the terms that at least MIN_DOCS of them hold it keeps those whose share differs between the classes by MIN_Z standard
+errors, and those that tell something beside another term only: the PAIR_TERMS commonest and the strongest of the kept
+ones are tried in pairs, and both terms of a pair stay whose product goes with the label by PAIR_Z standard errors more
+than the two terms alone explain. All others have no effect on a score.
 
 Cases: null and empty texts have no terms and score the intercept; a text of any length is read whole; repeated words
 count once; with a single class among the labels the score is that class's share; other columns are never looked at.
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from . import common, learn
 
 PER_CLASS, MIN_DOCS, MIN_Z, BUCKETS, FACTORS = 4000, 4, 3.5, 1 << 22, 8
+PAIR_TERMS, PAIR_Z = 512, 8.0
 PREFIXES = (4, 5, 6, 7, 8)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A text with this score or more is rejected.
@@ -60,6 +63,27 @@ def raw(model: dict, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return model["w0"] + linear + pairs
 
 
+def in_pairs(rows: list[np.ndarray], y: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """Those of the tried terms that stand in a pair whose product goes with y, beyond what both terms give alone."""
+    x = np.zeros((len(rows), len(tried)), np.float32)
+    for i, r in enumerate(rows):
+        at = np.searchsorted(tried, r)
+        at = at[at < len(tried)]
+        x[i, at[np.isin(tried[at], r)]] = 1
+    x -= x.mean(axis=0)
+    spread = np.sqrt(np.maximum((x * x).sum(axis=0), 1e-9))
+    left = (y - y.mean()).astype(np.float32)
+    slope = x.T @ left / spread**2
+    # y against the product of two centred terms; what each term alone explains of y is taken out to first order
+    both = x.T @ (x * left[:, None])
+    square = (x * x).T @ (x * x)
+    alone = (x * x).T @ x * slope
+    both -= alone + alone.T
+    z = np.abs(both) / np.sqrt(np.maximum(square, 1e-9)) / max(float(left.std()), 1e-9)
+    z[np.eye(len(tried), dtype=bool) | (square < MIN_DOCS)] = 0
+    return tried[(z >= PAIR_Z).any(axis=1)]
+
+
 def train(sample: pd.DataFrame, share: float, epochs: int = 12, seed: int = 7) -> dict:
     """A model from rows (text, y); share is the share of y = 1 among all rows that may be learned from."""
     y = sample["y"].to_numpy(np.float64)
@@ -72,7 +96,10 @@ def train(sample: pd.DataFrame, share: float, epochs: int = 12, seed: int = 7) -
     n, n1 = len(y), y.sum()
     spread = np.sqrt(counts / n * (1 - counts / n) * (1 / n1 + 1 / (n - n1)) + 1e-12)
     z = np.abs(there / n1 - (counts - there) / (n - n1)) / spread
-    held = held[(counts >= MIN_DOCS) & (z >= MIN_Z)]
+    alone = held[(counts >= MIN_DOCS) & (z >= MIN_Z)]
+    some = np.lexsort((held, -counts))[:PAIR_TERMS]
+    strong = np.lexsort((held, -z * (counts >= MIN_DOCS)))[:PAIR_TERMS]
+    held = np.union1d(alone, in_pairs(rows, y, np.unique(held[np.concatenate([some, strong])])))
     rows = [np.searchsorted(held, r[np.isin(r, held, assume_unique=True)]) for r in rows]
     rng = np.random.default_rng(seed)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
