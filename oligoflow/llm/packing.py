@@ -2,10 +2,13 @@
 
 Documents are tokenised once; pieces as long as a sequence stand alone. The other pieces are dealt by hash into groups
 of about GROUP, so no group grows with the data, and every group is evolved on ISLANDS islands. An individual is a
-list of bins. Crossover injects whole well-filled bins of one parent into a copy of the other, removes the bins that
-hold a piece twice, and best-fits the displaced pieces. After each round every island sends its elite to the next
-one. The best island's packing counts; the pieces of its poorly filled bins are dealt and evolved once more together
-with those of other groups. A group ends early when it meets the bound ceil(sum of lengths / size).
+list of bins. An island starts from one best-fit packing in order of size and from weaker ones in orders of chance,
+so that there is something to inherit. Crossover injects whole well-filled bins of one parent into a copy of the
+other, removes the bins that hold a piece twice, and best-fits the displaced pieces. Every island lives through at
+least LEAST generations; after them it stops where its best packing meets the bound ceil(sum of lengths / size), or
+where PATIENCE generations brought nothing better. After each round every island sends its elite to the next one. The
+best island's packing counts; the pieces of its poorly filled bins are dealt and evolved once more together with those
+of other groups. The crossovers that a group went through are reported beside its pieces.
 
 Cases: null and empty texts give the end id alone, a piece of one token; repeated rows are packed one by one; ties go to
 the smaller row number; other columns are ignored; an empty table gives no piece.
@@ -25,10 +28,12 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-GROUP, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 2, 2, 4, 4
+GROUP, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 2, 2, 30, 4
+LEAST, PATIENCE = 1, 6
 #: Bins filled less than this are dissolved and packed again across groups.
 WELL_FILLED = 0.97
-STATE = "grp long, island int, uids array<long>, lens array<int>, elite array<int>"
+STATE = "grp long, island int, uids array<long>, lens array<int>, elite array<int>, crossed long"
+STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, keep_ids: bool = False) -> DataFrame:
@@ -87,7 +92,7 @@ def _value(room: list[int], size: int) -> tuple[int, float]:
     return len(room), -sum((size - r) ** 2 for r in room)
 
 
-def _crossover(one: tuple, two: tuple, lens: list[int], size: int, rng: random.Random) -> tuple:
+def crossover(one: tuple, two: tuple, lens: list[int], size: int, rng: random.Random) -> tuple:
     """A copy of one with well-filled bins of two."""
     bins, room = one
     other, other_room = two
@@ -112,56 +117,60 @@ def _crossover(one: tuple, two: tuple, lens: list[int], size: int, rng: random.R
     return new, new_room
 
 
-def evolve(lens: list[int], elites: list[list[int]], size: int, seed: int) -> list[int]:
-    """Bin of each piece, after GENERATIONS from the elites and from best-fit individuals."""
-    rng, bound, people = random.Random(seed), -(-sum(lens) // size), []
+def evolve(lens: list[int], elites: list[list[int]], size: int, seed: int) -> tuple[list[int], int]:
+    """(bin of each piece, crossovers) of a population that starts from the elites and from best-fit individuals."""
+    rng, bound, people, crossed = random.Random(seed), -(-sum(lens) // size), [], 0
     for elite in elites:
         bins = [[] for _ in range(max(elite, default=-1) + 1)]
         for i, b in enumerate(elite):
             bins[b].append(i)
         people.append((bins, [size - sum(lens[i] for i in items) for items in bins]))
+    falling = sorted(range(len(lens)), key=lambda i: (-lens[i], i))
     while len(people) < POPULATION:
-        noise = 0 if not people else 0.05 * len(people)
-        order = sorted(range(len(lens)), key=(lambda i: (-lens[i], i)) if not noise else (lambda i: -lens[i] * (1 + noise * (rng.random() - 0.5))))
+        order = falling if not people else rng.sample(range(len(lens)), len(lens))
         bins, room = [], []
         best_fit(bins, room, order, lens, size)
         people.append((bins, room))
-        if len(room) <= bound:
-            break
     people.sort(key=lambda p: _value(p[1], size))
-    for _ in range(GENERATIONS):
-        if len(people[0][1]) <= bound or len(people) < 2:
+    idle = 0
+    for generation in range(GENERATIONS if len(lens) > 1 else 0):
+        if generation >= LEAST and (len(people[0][1]) <= bound or idle >= PATIENCE):
             break
+        best = _value(people[0][1], size)
         children = []
-        for k in range(POPULATION):
+        for k in range(POPULATION // 2):
             one, two = (people[0], rng.choice(people[1:])) if k % 2 else rng.sample(people, 2)
-            children.append(_crossover(one, two, lens, size, rng))
+            children.append(crossover(one, two, lens, size, rng))
+            crossed += 1
         people = sorted([*people, *children], key=lambda p: _value(p[1], size))[:POPULATION]
+        idle = 0 if _value(people[0][1], size) < best else idle + 1
     out = [0] * len(lens)
     for b, items in enumerate(people[0][0]):
         for i in items:
             out[i] = b
-    return out
+    return out, crossed
 
 
 def _pack(rest: DataFrame, size: int, level: int) -> DataFrame:
-    """(uid, length, sequence_id, offset, fill) of rest(uid, length)."""
+    """(uid, length, sequence_id, offset, fill, crossovers) of rest(uid, length)."""
     groups = max(1, -(-rest.count() // GROUP))
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("uid")
-        one = [int(rows["grp"].iloc[0]), 0, rows["uid"].tolist(), rows["length"].tolist(), []]
-        return pd.DataFrame([[*one[:1], k, *one[2:]] for k in range(ISLANDS)], columns=["grp", "island", "uids", "lens", "elite"])
+        one = [int(rows["grp"].iloc[0]), 0, rows["uid"].tolist(), rows["length"].tolist(), [], 0]
+        return pd.DataFrame([[*one[:1], k, *one[2:]] for k in range(ISLANDS)], columns=STATE_COLUMNS)
 
     def step(number: int):
         def run(rows: pd.DataFrame) -> pd.DataFrame:
             first = rows.iloc[0]
             grp, island, lens = int(first["grp"]), int(first["island"]), [int(x) for x in first["lens"]]
             elites = sorted([int(x) for x in e] for e in rows["elite"] if len(e))
-            best = evolve(lens, elites, size, hash((level, grp, island, number)))
+            best, crossed = evolve(lens, elites, size, hash((level, grp, island, number)))
             uids = list(first["uids"])
             targets = [island, (island + 1) % ISLANDS] if number + 1 < ROUNDS and ISLANDS > 1 else [island]
-            return pd.DataFrame([[grp, to, uids, lens, best] for to in targets], columns=["grp", "island", "uids", "lens", "elite"])
+            # The count stays on its island; what migrates is the elite alone.
+            before = int(rows["crossed"].sum()) + crossed
+            return pd.DataFrame([[grp, to, uids, lens, best, before if to == island else 0] for to in targets], columns=STATE_COLUMNS)
 
         return run
 
@@ -178,16 +187,16 @@ def _pack(rest: DataFrame, size: int, level: int) -> DataFrame:
         head = np.flatnonzero(np.r_[True, bin_[1:] != bin_[:-1]])
         offset = before - np.repeat(before[head], np.diff(np.r_[head, len(bin_)]))
         fill = np.bincount(bin_, weights=lens)[bin_] / size
-        return pd.DataFrame({"uid": uid, "length": lens, "sequence_id": (level << 56) + (int(best.grp) << 20) + bin_, "offset": offset, "fill": fill})
+        return pd.DataFrame({"uid": uid, "length": lens, "sequence_id": (level << 56) + (int(best.grp) << 20) + bin_, "offset": offset, "fill": fill, "crossovers": int(rows["crossed"].sum())})
 
     state = rest.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups))).groupBy("grp").applyInPandas(found, STATE)
     for number in range(ROUNDS):
         state = state.groupBy("grp", "island").applyInPandas(step(number), STATE)
-    return common.written(state.groupBy("grp").applyInPandas(settle, "uid long, length int, sequence_id long, offset long, fill double"), "packing-placed")
+    return common.written(state.groupBy("grp").applyInPandas(settle, "uid long, length int, sequence_id long, offset long, fill double, crossovers long"), "packing-placed")
 
 
 def place(cut: DataFrame, size: int = 2048) -> DataFrame:
-    """cut, a written table with uid and length, plus sequence_id and offset."""
+    """cut, a written table with uid and length, plus sequence_id, offset and crossovers."""
     rest = cut.where(F.col("length") < size).select("uid", "length")
     placed = _pack(rest, size, 1)
     poor = placed.where(F.col("fill") < WELL_FILLED).select("uid", "length")
@@ -195,12 +204,15 @@ def place(cut: DataFrame, size: int = 2048) -> DataFrame:
     better = again.select("sequence_id").distinct().count() < placed.where(F.col("fill") < WELL_FILLED).select("sequence_id").distinct().count()
     if better:
         placed = placed.where(F.col("fill") >= WELL_FILLED).unionByName(again)
-    alone = cut.where(F.col("length") >= size).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return cut.join(placed.select("uid", "sequence_id", "offset").unionByName(alone), "uid")
+    alone = cut.where(F.col("length") >= size).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("crossovers"))
+    return cut.join(placed.select("uid", "sequence_id", "offset", "crossovers").unionByName(alone), "uid")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, keep_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset [, ids]."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, crossovers [, ids].
+
+    crossovers counts those of the group in which the piece was packed last; a piece that fills a sequence has none.
+    """
     cut = common.written(pieces(docs, tokenizer, end_id, size, keep_ids).withColumn("uid", F.monotonically_increasing_id()), "packing-pieces")
     return place(cut, size).drop("uid").withColumn("length", F.col("length").cast("long"))
 
