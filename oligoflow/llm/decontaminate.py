@@ -5,11 +5,15 @@ by tiling: the longest common run of words that no tile holds yet becomes a tile
 words is left. Runs are found by running Karp-Rabin hashes, from long search lengths down to MIN_TILE. An item whose
 share of tiled words is COVERAGE or more has leaked into the document, in whatever order its parts stand there.
 
-Benchmark items go to the executors in blocks of at most BLOCK_WORDS words, and each block meets all documents in a
-pass of its own, so what is broadcast has a bound whatever the benchmark's size.
+Pairs to compare come from a join on seeds. Documents are read once: a filter of bounded size, made of all seeds of the
+benchmark, lets only documents through that may hold one, and these are written with the seeds that they hold. An item
+is filed under some of its seeds only. Tiles of at least MIN_TILE words that cover COVERAGE of its n words hold at
+least r = ceil(COVERAGE * n / MIN_TILE) of its seeds, so all but r - 1 seeds are enough to meet every document that it
+leaked into; those that most items share are left out, so that a common phrase doesn't bring all items together.
 
 Cases: null and empty texts hold no seed; items of fewer than MIN_TILE words can't be told from chance and never match;
-repeated documents and items match each on their own; an empty table gives no rows; other columns are ignored.
+repeated rows of one document give one result, documents of one id with other texts each their own; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-MIN_TILE, COVERAGE, BLOCK_WORDS = 5, 0.5, 1_000_000
+MIN_TILE, COVERAGE = 5, 0.5
+#: Bits of the seed filter for each seed, and the most bits (16 MB) whatever the benchmark's size.
+BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Words whose hashes a worker remembers.
+REMEMBERED = 500_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = np.uint64(0x100000001B3)
 
@@ -36,16 +44,31 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """Polynomial hash modulo 2**64 of each window of size ids."""
-    n = len(ids) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(size):
-            out = out * BASE + ids[j : j + n].astype(np.uint64) + np.uint64(1)
-    return out
+class Seeds:
+    """The hashes of all runs of MIN_TILE words of texts; word hashes are remembered."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def _word(self, word: str) -> int:
+        found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self.known) < REMEMBERED:
+            self.known[word] = found
+        return found
+
+    def of(self, found: list[str]) -> np.ndarray:
+        """One hash for each run, in order."""
+        n = len(found) - MIN_TILE + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        get, make = self.known.get, self._word
+        ids = np.array([get(w) or make(w) for w in found], np.uint64)
+        out = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(MIN_TILE):
+                out = (out ^ (out >> np.uint64(29))) * BASE + ids[j : j + n]
+            out = (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        return out ^ (out >> np.uint64(29))
 
 
 def tiles(item: list[int], text: list[int], least: int = MIN_TILE) -> list[tuple[int, int, int]]:
@@ -106,106 +129,114 @@ def tiles(item: list[int], text: list[int], least: int = MIN_TILE) -> list[tuple
         size = max(least, size // 2)
 
 
-class Block:
-    """Benchmark items (item_id, text) ready for search."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        vocabulary: dict[str, int] = {}
-        self.items = []
-        seeds = defaultdict(set)
-        for item_id, text in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
-            for h in set(window_hashes(np.array(ids, np.int64), MIN_TILE).tolist()):
-                seeds[h].add(len(self.items))
-            self.items.append((item_id, ids))
-        self.vocabulary = vocabulary
-        self.hashes = np.array(sorted(seeds), np.uint64)
-        self.holders = [sorted(seeds[h]) for h in self.hashes.tolist()]
-
-    def leaks(self, text: str | None, coverage: float = COVERAGE) -> list[tuple[int, float, int, int]]:
-        """(item_id, coverage, tiles, words tiled) of the items that leaked into text."""
-        known = self.vocabulary
-        ids = np.array([known.get(w, -1) for w in words(text)], np.int64)
-        if len(ids) < MIN_TILE or not len(self.hashes):
-            return []
-        strange = np.cumsum(np.r_[0, ids < 0])
-        whole = np.flatnonzero(strange[MIN_TILE:] == strange[:-MIN_TILE])
-        if not len(whole):
-            return []
-        hashes = window_hashes(ids, MIN_TILE)[whole]
-        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[place] == hashes
-        at: dict[int, list[int]] = defaultdict(list)
-        for start, k in zip(whole[hit].tolist(), place[hit].tolist()):
-            for n in self.holders[k]:
-                at[n].append(start)
-        out = []
-        for n, starts in at.items():
-            item_id, item = self.items[n]
-            keep = np.zeros(len(ids) + 1, bool)
-            for j in range(MIN_TILE):
-                keep[np.array(starts) + j] = True
-            region: list[int] = []  # only the words that a seed covers; other words end a run
-            before = -2
-            for i in np.flatnonzero(keep).tolist():
-                if i != before + 1:
-                    region.append(-1)
-                region.append(int(ids[i]))
-                before = i
-            found = tiles(item, region)
-            covered = sum(t[2] for t in found)
-            if covered >= coverage * len(item):
-                out.append((item_id, covered / len(item), len(found), covered))
-        return sorted(out)
-
-
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark's distinct items in blocks of about block_words words at most."""
+def compare(text: str | None, item: str | None) -> tuple[float, int, int]:
+    """(share of the item's words that tiles cover, tiles, words tiled) of one document and one item."""
+    vocabulary: dict[str, int] = {}
+    ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(item)]
+    if len(ids) < MIN_TILE:
+        return 0.0, 0, 0
+    seeds = {tuple(ids[i : i + MIN_TILE]) for i in range(len(ids) - MIN_TILE + 1)}
+    read = [vocabulary.get(w, -1) for w in words(text)]
+    keep = np.zeros(len(read) + 1, bool)
+    at, free = 0, 0  # free: words up to here are known to the item
+    for at, w in enumerate(read):
+        free = free + 1 if w >= 0 else 0
+        if free >= MIN_TILE and tuple(read[at - MIN_TILE + 1 : at + 1]) in seeds:
+            keep[at - MIN_TILE + 1 : at + 1] = True
+    region: list[int] = []  # only the words that a seed covers; other words end a run
+    before = -2
+    for i in np.flatnonzero(keep).tolist():
+        if i != before + 1:
+            region.append(-1)
+        region.append(read[i])
+        before = i
+    found = tiles(ids, region)
+    covered = sum(t[2] for t in found)
+    return covered / len(ids), len(found), covered
+
+
+def item_seeds(items: DataFrame, coverage: float) -> DataFrame:
+    """(seed, item) under which the items(item, text) are filed: all seeds but the commonest that can be spared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = Seeds()
+        for batch in batches:
+            parts = [(i, seeds.of(w), len(w)) for i, w in ((i, words(t)) for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()))]
+            counts = [len(h) for _, h, _ in parts]
+            hashes = np.concatenate([h for _, h, _ in parts]) if parts else np.zeros(0, np.uint64)
+            yield pa.record_batch([pa.array(hashes.view(np.int64)), *(pa.array(np.repeat(np.array([p[k] for p in parts], np.int64), counts)) for k in (0, 2))], names=["seed", "item", "n"])
+
+    every = common.written(items.mapInArrow(run, "seed long, item long, n long"), "tiling-seeds")
+    held = every.distinct().groupBy("seed").agg(F.count("*").alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("items", "seed"))  # an item's own seeds
+    spare = F.ceil(F.col("n") * coverage / MIN_TILE) - 1
+    ranked = every.join(held, "seed").withColumn("rank", rank)
+    return common.written(ranked.where(F.col("rank") <= F.col("n") - MIN_TILE + 1 - spare).select("seed", "item").distinct(), "tiling-index")
+
+
+def seed_filter(index: DataFrame) -> np.ndarray:
+    """Bits, as 64-bit words: one is set for each seed. What comes to the driver has a bound, MOST_BITS."""
+    n = index.select("seed").distinct().count()
+    bits = min(MOST_BITS, 1 << max(6, (BITS_EACH * max(n, 1) - 1).bit_length()))
+    slot = F.col("seed").bitwiseAND(F.lit(bits - 1))
+    rows = index.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(seed & 63 as int)))").alias("bits"))
+    out = np.zeros(bits // 64, np.int64)
+    found = rows.toPandas()
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def with_seeds(docs: DataFrame, filter_: np.ndarray) -> DataFrame:
+    """(doc_id, text, seeds) of docs(doc_id, text) that may hold a seed; seeds are the distinct ones let through."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, bits = Seeds(), sent.value
+        mask = np.uint64(len(bits) * 64 - 1)
+        for batch in batches:
+            rows, found = [], []
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                slot = (hashes := seeds.of(words(text))) & mask
+                hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
+                if hit.any():
+                    rows.append(at)
+                    found.append(np.unique(hashes[hit > 0]).view(np.int64))
+            some = batch.take(pa.array(rows, pa.int64()))
+            yield some.append_column("seeds", pa.array(found, pa.list_(pa.int64())))
+
+    return docs.mapInArrow(run, "doc_id long, text string, seeds array<long>")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, coverage: float) -> DataFrame:
+    """(doc_id, text_hash, item_id, coverage, n_tiles, n_words) of every document's text and item that leaked into it."""
+    common.small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n = max(1, -(-total // block_words))
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    for k in range(n):
-        yield [(r["item_id"], r["text"]) for r in items.where(F.col("block") == k).collect()]
+    items = common.written(items.withColumn("item", F.monotonically_increasing_id()), "tiling-items")
+    index = item_seeds(items.select("item", "text"), coverage)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    held = with_seeds(texts, seed_filter(index)).withColumn("uid", F.monotonically_increasing_id())
+    held = common.written(held, "tiling-documents")
+    met = held.select("uid", F.explode("seeds").alias("seed")).join(index, "seed").select("uid", "item").distinct()
+    pairs = met.join(held.select("uid", "doc_id", "text"), "uid").join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
 
+    @F.pandas_udf("coverage double, n_tiles int, n_words int")
+    def tiled(text: pd.Series, item: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([compare(t, i) for t, i in zip(text, item)], columns=["coverage", "n_tiles", "n_words"])
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, coverage, n_tiles, n_words) of every document and item that leaked into it."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    schema = "doc_id long, item_id long, coverage double, n_tiles int, n_words int"
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    out = None
-    for items in blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(items)
+    rows = pairs.select("doc_id", F.xxhash64("text").alias("text_hash"), "item_id", tiled("text", "item_text").alias("t"))
+    rows = rows.select("doc_id", "text_hash", "item_id", "t.*").where(F.col("coverage") >= coverage)
+    return common.written(rows.distinct(), "tiling-found")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = Block(sent.value)
-            for batch in batches:
-                rows = [(doc, *leak) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for leak in block.leaks(text, coverage)]
-                columns = list(zip(*rows)) or [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
-                yield pa.record_batch({n: pa.array(c, t) for n, c, t in zip(["doc_id", "item_id", "coverage", "n_tiles", "n_words"], columns, kinds)})
 
-        found = texts.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles, n_words) of every document and item that leaked into it."""
+    return _found(docs, benchmark, coverage).drop("text_hash")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """docs into which no item leaked, all columns kept."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    for items in blocks(benchmark):
-        docs = docs.where(~_leaked(spark.sparkContext.broadcast(items), coverage)(docs["text"].cast("string")))
-    return docs
-
-
-def _leaked(sent: Broadcast, coverage: float):
-    @F.pandas_udf("boolean")
-    def leaked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        block = Block(sent.value)
-        for texts in batches:
-            yield pd.Series([bool(block.leaks(t, coverage)) for t in texts], dtype=bool)
-
-    return leaked
+    one, two = common.free_name(docs, "leaked_id"), common.free_name(docs, "leaked_hash")
+    leaked = _found(docs, benchmark, coverage).select(F.col("doc_id").alias(one), F.col("text_hash").alias(two)).distinct()
+    leaked = F.broadcast(leaked) if leaked.count() <= common.BROADCAST_IDS else leaked
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(one)) & (F.xxhash64(docs["text"].cast("string")) == F.col(two))
+    return docs.join(leaked, same, "left_anti")
