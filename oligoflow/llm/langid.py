@@ -3,10 +3,11 @@
 Features are hashed character trigrams of the lower-cased whole text (bytes of UTF-8, words set apart by a single
 space), as square roots of frequencies scaled to length one. Families are told apart by one-versus-rest machines of
 the same kind, languages within a family by one machine for each pair and their votes, margins settling ties.
-Machines are trained by dual coordinate descent on at most PER_LANGUAGE rows of each language.
+Machines are trained by dual coordinate descent on at most PER_LANGUAGE rows of each language, or on fewer of each
+where there are so many languages that all together would exceed SAMPLE rows; every language is learned.
 
 Cases: null texts and texts without a letter are `und` with score 0; a language that FAMILIES lacks is a family of its
-own; with a single language learned every text with a letter gets it; rows without lang are not learned from; with
+own; with a single language learned every text with a letter gets it; rows without lang or text are not learned from; with
 none to learn from every text is `und`; ties go to the name that sorts first; other columns are never looked at.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common, learn
 
-PER_LANGUAGE, DIMENSIONS, MAX_LANGUAGES = 1000, 1 << 13, 64
+PER_LANGUAGE, SAMPLE, DIMENSIONS = 1000, 32_000, 1 << 13
 #: Language families by ISO 639-1 code, fixed values.
 FAMILIES = {
     "da": "germanic", "de": "germanic", "en": "germanic", "is": "germanic", "nl": "germanic", "no": "germanic", "sv": "germanic",
@@ -80,12 +81,12 @@ def train(sample: pd.DataFrame) -> dict:
 
 
 def fit(docs: DataFrame, may_learn) -> dict:
-    labels = docs.where(may_learn & F.col("lang").isNotNull()).select("doc_id", "lang")
-    counts = labels.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r["lang"] for r in counts)
+    labels = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    langs = sorted(r["lang"] for r in labels.select("lang").distinct().collect())  # one row for each language
     if not langs:
         return {"families": []}
-    return learn.fit_in_task(learn.training_rows(docs, labels, "lang", F.lit(True), PER_LANGUAGE, langs), train)
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(langs)))
+    return learn.fit_in_task(learn.training_rows(docs.where(F.col("text").isNotNull()), labels, "lang", F.lit(True), each, langs), train)
 
 
 def predict(model: dict, text: str | None) -> tuple[str, float]:

@@ -13,8 +13,10 @@ longest, then the first; other columns are never looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -97,8 +99,14 @@ def fuzzy_spans(joined: str) -> list[tuple[str, int, int, int]]:
     out = []
     for notice, spans in windows.items():
         for low, high in spans:
-            for m in _pattern(notice).finditer(joined, low, min(high, len(joined))):
-                out.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+            # The best match of a stretch comes first; what lies before it is searched again, then what lies behind.
+            stretches = [(low, min(high, len(joined)))]
+            while stretches:
+                first, stop = stretches.pop()
+                m = _pattern(notice).search(joined, first, stop) if stop - first >= len(notice) - edits(notice) else None
+                if m and m.end() > m.start():
+                    out.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    stretches += [(first, m.start() + 1), (m.end() - 1, stop)]
     return _best(sorted(out, key=lambda s: (s[1], s[2], s[0])))
 
 
@@ -122,17 +130,18 @@ def scan(text: str | None) -> dict:
     """Counts, labels and spans of one whole text; span places are words."""
     words = WORD.findall((text or "").translate(UPPER))
     joined = f" {' '.join(words)} "
+    heads = list(accumulate((len(w) + 1 for w in words), initial=1))  # where each word begins
     starts, base = [], set()
     for phrase, label in PHRASES.items():
         at = joined.find(f" {phrase} ")
         while at >= 0:
-            starts.append(joined.count(" ", 0, at))
+            starts.append(bisect_left(heads, at + 1))
             base.add(label)
             at = joined.find(f" {phrase} ", at + 1)
     spans = []
     for notice, start, end, wrong in fuzzy_spans(joined):
-        first = joined.count(" ", 0, start) - 1
-        spans.append({"label": NOTICES[notice], "first": first, "last": first + joined.count(" ", start, end), "edits": wrong, "score": 1 - wrong / len(notice)})
+        first = bisect_right(heads, start) - 1
+        spans.append({"label": NOTICES[notice], "first": first, "last": bisect_right(heads, end - 1) - 1, "edits": wrong, "score": 1 - wrong / len(notice)})
     labels = base | {s["label"] for s in spans}
     return {
         "n_words": len(words),

@@ -117,10 +117,9 @@ def test_leaks_find_whole_partial_and_reordered_passages(spark):
         rows += [(400 + k, f"{noise(20)} {' '.join(parts[: len(parts) // 4])} {noise(20)}")]
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, doc_id string")
     want = {(200 + k, k) for k in range(12)} | {(300 + k, k) for k in range(12)}
-    for size in (1_000_000, 60):
-        got = decontaminate.leaks(frame(spark, rows), bench, block_words=size).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == want
-        assert all(0.9 <= r.coverage <= 1 for r in got)
+    got = decontaminate.leaks(frame(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert all(0.9 <= r.coverage <= 1 for r in got)
     kept = decontaminate.without_leaks(frame(spark, rows), bench)
     assert kept.columns == ["doc_id", "text", "lang", "score", "spans", "Labels"]
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
@@ -129,6 +128,51 @@ def test_leaks_find_whole_partial_and_reordered_passages(spark):
     assert decontaminate.without_leaks(frame(spark, rows), bench.limit(0)).count() == len(rows)
 
 
+def test_leaks_by_every_pair(spark, monkeypatch):
+    """Items that all begin alike, damaged copies about half covered, and a filter too small to keep anything out."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    lead = "which of the following is the right answer".split()
+    items = [(k, " ".join(lead + rng.choices(words, k=rng.randint(4, 40)))) for k in range(25)]
+    rows = []
+    for d in range(60):
+        text = rng.choices(words, k=30)
+        for k in rng.sample(range(25), 3):
+            parts = items[k][1].split()
+            cut = sorted(rng.sample(range(len(parts) + 1), 2))
+            text += parts[cut[0] : cut[1]] + rng.choices(words, k=3) + parts[: rng.randint(0, len(parts))]
+        rows.append((d, " ".join(text)))
+    rows.append((100, " ".join(lead * 3)))
+    want = {}
+    for d, text in rows:
+        for k, item in items:
+            found = decontaminate.compare(text, item)
+            if found[0] >= decontaminate.COVERAGE:
+                want[d, k] = found
+    assert 40 < len(want) < 1000
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for bits in (1 << 27, 64):
+        monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+        got = {(r.doc_id, r.item_id): (r.coverage, r.n_tiles, r.n_words) for r in decontaminate.leaks(frame(spark, rows), bench).collect()}
+        assert got == want
+    words_of = lambda t: decontaminate.words(t)
+    for (d, k), (coverage, _, n) in list(want.items())[:15]:
+        item = words_of(items[k][1])
+        number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+        least = brute_tiles([number[w] for w in item], [number.get(w, -1) for w in words_of(dict(rows)[d])], 5)
+        assert abs(least - n) <= 5 and abs(coverage - n / len(item)) < 1e-12
+
+
+def test_repeated_notices_and_words_take_linear_time():
+    import time
+
+    began = time.time()
+    found = license_scan.scan("released under the mit license " * 16_000)
+    assert found["n_base"] == len(found["spans"]) == 16_000 and time.time() - began < 20
+    spans = license_scan.fuzzy_spans(" all rihts reserved all rights reserved x ")
+    assert [(s[1], s[3]) for s in spans] == [(1, 1), (20, 0)]
+
+
 def test_chat_round_trip(spark):
     hard = ["\\### Assistant: </turn> ok", "a\\b\\h####</turn</turn>", ":\n:\n", "", None, "## ", "\\", "</turn>" * 3, "naïve 🙂 text", "x" * 200_000]
     rows = []

@@ -13,7 +13,7 @@ from oligoflow.llm import common, packing, token_arrow, tokens
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, start long, piece string"
-ODD = ["", " ", " a", "a ", "a  b", "It's don't x's", "a\n b", "é́ x", "ΑΣ Σ ΟΔΟΣ. İstanbul ﬁ", "8%%% 12,5.", "<|endoftext|> x", "c,, d.,\n\nB", "x\x1c y", "日本 語。", "🙂 🙂🙂.", None]
+ODD = ["", " ", " a", "a ", "a  b", "It's don't x's", "a\n b", "é́ x", "ΑΣ Σ ΟΔΟΣ. İstanbul ﬁ", "8%%% 12,5.", "<|endoftext|> x", "see <|endoftext|> here", "a<|ENDOFTEXT|>b [UNK] <unk> <s> </s> [CLS] <pad>", "c,, d.,\n\nB", "x\x1c y", "日本 語。", "🙂 🙂🙂.", None]
 
 
 def frame(spark, rows):
@@ -22,7 +22,6 @@ def frame(spark, rows):
 
 def library_ids(path, texts):
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     return [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -120,18 +119,54 @@ def test_packing_is_whole_and_tight(spark, monkeypatch):
     assert packing.pack_documents(frame(spark, []), BYTE).count() == 0
 
 
+def bins_of(found, lens, size):
+    fill = defaultdict(int)
+    for i, b in enumerate(found):
+        fill[b] += lens[i]
+    assert max(fill.values()) <= size
+    return len(fill)
+
+
+def best_fit_bins(lens, size):
+    bins, room = [], []
+    packing.best_fit(bins, room, sorted(range(len(lens)), key=lambda i: -lens[i]), lens, size)
+    return len(bins)
+
+
 def test_evolution_never_loses_to_best_fit():
     rng = random.Random(0)
     for n in (1, 2, 30, 300):
         lens = [rng.randint(1, 1024) for _ in range(n)]
-        bins, room = [], []
-        packing.best_fit(bins, room, sorted(range(n), key=lambda i: -lens[i]), lens, 1024)
-        found = packing.evolve(lens, [], 1024, 5)
-        fill = defaultdict(int)
-        for i, b in enumerate(found):
-            fill[b] += lens[i]
-        assert max(fill.values()) <= 1024 and len(fill) <= len(bins)
-        assert packing.evolve(lens, [], 1024, 5) == found
+        found, crossed = packing.evolve(lens, [], 1024, 5)
+        assert bins_of(found, lens, 1024) <= best_fit_bins(lens, 1024) and (crossed > 0) == (n > 1)
+        assert packing.evolve(lens, [], 1024, 5) == (found, crossed)
+
+
+def test_evolution_wins_where_best_fit_misses_the_bound():
+    """Triplets: three pieces fill a bin exactly, and best fit in order of size pairs them wrongly."""
+    won = 0
+    for seed in range(6):
+        rng, lens = random.Random(seed), []
+        for _ in range(40):
+            a, b = rng.randint(380, 490), rng.randint(250, 300)
+            lens += [a, b, 1000 - a - b]
+        found, crossed = packing.evolve(lens, [], 1000, seed)
+        won += bins_of(found, lens, 1000) < best_fit_bins(lens, 1000)
+        assert crossed > 2
+        # an elite that came from another island is never lost
+        again, _ = packing.evolve(lens, [found], 1000, seed + 100)
+        assert bins_of(again, lens, 1000) <= bins_of(found, lens, 1000)
+    assert won >= 4
+
+
+def test_migration_carries_the_better_packing(spark, monkeypatch):
+    """Every group crosses over on both islands, and its pieces come from the better of them."""
+    rng = random.Random(3)
+    lens = [v for _ in range(40) for a, b in [(rng.randint(380, 490), rng.randint(250, 300))] for v in (a, b, 1000 - a - b)]
+    rest = spark.createDataFrame([(i, n) for i, n in enumerate(lens)], "uid long, length int")
+    rows = packing._pack(rest, 1000, 1).collect()
+    assert bins_of([r.sequence_id for r in sorted(rows, key=lambda r: r.uid)], lens, 1000) < best_fit_bins(lens, 1000)
+    assert len({r.crossovers for r in rows}) == 1 and rows[0].crossovers >= 2 * packing.ISLANDS * packing.ROUNDS
 
 
 def test_crossover_keeps_every_piece_once():
@@ -142,6 +177,6 @@ def test_crossover_keeps_every_piece_once():
         bins, room = [], []
         packing.best_fit(bins, room, rng.sample(range(120), 120), lens, 100)
         people.append((bins, room))
-    bins, room = packing._crossover(*people, lens, 100, rng)
+    bins, room = packing.crossover(*people, lens, 100, rng)
     assert sorted(i for b in bins for i in b) == list(range(120))
     assert [100 - sum(lens[i] for i in b) for b in bins] == room and min(room) >= 0
