@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.depth import FAMILIES
-from .operators import channel
 from .plans import runs
 from .sources import strands
 
@@ -19,11 +19,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", required=True, help="folder to write, replaced if present")
     p.add_argument("--depth", type=float, default=10.0, help="mean reads of a strand")
     p.add_argument("--distribution", choices=FAMILIES, default="lognormal")
-    p.add_argument("--cv", type=float, help="coefficient of variation; not for poisson and exponential")
+    p.add_argument("--cv", type=float, help="coefficient of variation; needed but for poisson and exponential")
+    p.add_argument("--low", type=float, help="least depth of the beta family")
+    p.add_argument("--high", type=float, help="largest depth of the beta family")
     p.add_argument("--dropout", type=float, help="share of strands without reads, kept exactly")
-    p.add_argument("--rates", type=float, nargs="+", default=list(channel.RATES), help="one total or three rates (substitution, insertion, deletion) per 1000 bases")
+    p.add_argument("--rates", type=float, nargs="+", default=[], help="one total or three rates (substitution, insertion, deletion) per 1000 bases")
+    p.add_argument("--profile", help="folder of a profile that an extraction wrote: rates, bases, contexts and dropout")
+    p.add_argument("--use-kmer", action="store_true", help="choose bases by their context of four bases; needs a profile")
     p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--chunk-size", type=int, default=100_000)
+    p.add_argument("--chunk-size", type=int, help="reads in a chunk; by default all that are expected, 100,000 at most")
     p.add_argument("--bernoulli", action="store_true", help="independent errors instead of exact counts for each position")
     p.add_argument("--shuffle", action="store_true")
     p.add_argument("--merge", action="store_true")
@@ -35,19 +39,19 @@ def parser() -> argparse.ArgumentParser:
 def options(argv: list[str] | None = None) -> tuple[argparse.Namespace, runs.Options]:
     p = parser()
     a = p.parse_args(argv)
-    if a.depth <= 0 or a.chunk_size < 1:
+    if a.depth <= 0 or (a.chunk_size is not None and a.chunk_size < 1):
         p.error("depth and chunk size must be positive")
-    if a.cv is None and a.distribution not in ("poisson", "exponential"):
-        a.cv = 0.3
+    if a.cv is None and a.distribution not in ("poisson", "exponential") and not a.copies:
+        p.error(f"{a.distribution} needs --cv")
+    if (a.low is None) != (a.high is None) or (a.low is not None and (a.distribution != "beta" or a.low >= a.high)):
+        p.error("--low and --high come together, for beta alone, the lower first")
+    if a.use_kmer and not a.profile:
+        p.error("--use-kmer needs --profile")
     if a.dropout is not None and not 0 <= a.dropout < 1:
         p.error("dropout lies between 0 and 1")
-    if len(a.rates) not in (1, 3) or any(not 0 <= r <= 1000 for r in a.rates) or sum(a.rates) > 1000:
+    if len(a.rates) not in (0, 1, 3) or any(not 0 <= r <= 1000 for r in a.rates) or sum(a.rates) > 1000:
         p.error("rates are one or three numbers from 0 to 1000 with a sum of 1000 at most")
-    whole = sum(channel.RATES)
-    rates = tuple(a.rates) if len(a.rates) == 3 else tuple(r * a.rates[0] / whole for r in channel.RATES)
-    # Rates rise along a strand to twice their start, so that their mean is what was asked for.
-    rates = tuple(r / 1.5 for r in rates) if a.rates != list(channel.RATES) else rates
-    return a, runs.Options(a.distribution, a.depth, a.cv, a.dropout, rates, a.seed, not a.bernoulli, a.shuffle, a.merge, a.chunk_size)
+    return a, runs.Options(a.distribution, a.depth, a.cv, a.dropout, tuple(a.rates), a.seed, not a.bernoulli, a.shuffle, a.merge, a.chunk_size, a.profile, a.use_kmer, a.low, a.high)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -62,6 +66,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     run = runs.normal(refs, o)
     runs.write_run(run, a.output, o)
+    runs.write_command(spark, a.output, argv if argv is not None else sys.argv[1:])
     run["summary"].show(truncate=False)
 
 

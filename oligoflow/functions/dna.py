@@ -14,16 +14,18 @@ def _nibbles(order: str) -> list[tuple[str, str]]:
     return [(f"{n:x}", order[n >> 2] + order[n & 3]) for n in range(16)]
 
 
-def hex_to_dna(hex_text: Column, order: str = CODING) -> Column:
-    """Two bases for each hexadecimal digit (lower case, so that digits and bases can't be confused)."""
-    for digit, pair in _nibbles(order):
-        hex_text = F.replace(hex_text, F.lit(digit), F.lit(pair))
-    return hex_text
+def hex_to_dna(hex_text: Column, digits: int = 64, order: str = CODING) -> Column:
+    """Two bases for each of so many hexadecimal digits: numbers of 64 bits at most, written to base 4."""
+    parts = [(k, min(16, digits - k)) for k in range(0, digits, 16)]
+    return F.translate(F.concat(*[F.lpad(F.conv(F.substring(hex_text, k + 1, n), 16, 4), 2 * n, "0") for k, n in parts]), "0123", order)
 
 
 def dna_encode(data: Column, order: str = CODING) -> Column:
     """Four bases for each byte."""
-    return hex_to_dna(F.lower(F.hex(data)), order)
+    text = F.lower(F.hex(data))
+    for digit, pair in _nibbles(order):
+        text = F.replace(text, F.lit(digit), F.lit(pair))
+    return text
 
 
 def dna_decode(seq: Column, order: str = CODING) -> Column:
@@ -51,6 +53,16 @@ def screen(seq: Column, homopolymer: int = 4, gc_slack: float = 0.1) -> Column:
     return ~F.rlike(seq, F.lit(runs)) & (share >= F.lit(0.5 - gc_slack)) & (share <= F.lit(0.5 + gc_slack))
 
 
+#: Codons that end a reading frame, and those that don't, as patterns; fixed values.
+STOP, NO_STOP = "T(?:AA|AG|GA)", "(?:[ACG][ACGT][ACGT]|T[CT][ACGT]|TA[CT]|TG[CGT])"
+
+
+def longest_frame(seq: Column) -> Column:
+    """Bases of the longest open reading frame, ATG to a stop codon, of those found one after another from the left."""
+    found = F.regexp_extract_all(seq, F.lit(f"ATG{NO_STOP}*{STOP}"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(found, F.length)), F.lit(0)).cast("long")
+
+
 def base_index(base: Column, order: str = CHANNEL) -> Column:
     """0-based place of a base in an order, -1 for none."""
     return F.when(base == order[0], 0).when(base == order[1], 1).when(base == order[2], 2).when(base == order[3], 3).otherwise(-1).cast("int")
@@ -73,6 +85,15 @@ def mix_sql(a: str, b: str, seed: int) -> str:
     return f"xor({h}, {h} >> 16)"
 
 
+def mix_ctes(name: str, rows: str, key: str, stream: int, seed: int, keep: str) -> str:
+    """CTEs of DuckDB SQL that end in name: rows with u, the draw by key, where keep holds; each round is written once."""
+    out = [f"{name}0 AS (SELECT *, ({key} * 1000003 + {stream * 7919 + seed}) & {M31} AS h FROM ({rows}))"]
+    for k in range(2):
+        out.append(f"{name}{k + 1} AS (SELECT * REPLACE ((xor(h, h >> 16) * 73244475) & {M31} AS h) FROM {name}{k})")
+    out.append(f"{name} AS (SELECT * EXCLUDE (h), xor(h, h >> 16) AS u FROM {name}2 WHERE {keep})")
+    return ", ".join(out)
+
+
 def lookup(draw: Column, bounds: list[int], values: list | None = None) -> Column:
     """Index (or value) of the first bound above the draw, as a balanced tree of comparisons."""
     values = list(range(len(bounds))) if values is None else values

@@ -1,26 +1,48 @@
-"""The sequencing channel: depth, dropout, reads, error placement, bases, mutation, truth and shuffle."""
+"""The sequencing channel: depth, dropout, reads, error placement, bases, mutation, truth and shuffle.
+
+Placement, bases, mutation and truth of a read depend on that read alone, so they are one narrow stage over Arrow
+batches; nothing is exploded to positions and no read is joined back to its errors.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import batch as kernel
 from ..functions import dna
+from ..functions.batch import Cuts, Noise
 from ..functions.depth import depth_cdf, depth_params
 from .order import running, smallest
 
 LENGTH = 128
 #: Substitutions, insertions and deletions per 1000 bases at the first position; rates rise linearly to twice that.
 RATES = (6.0, 1.5, 2.5)
+#: Cumulative shares (of 1000) of the first two substitutes in A, T, C, G order without the base itself, and of the
+#: first three inserted bases.
+SUB_CUM = {"A": (250, 400), "T": (300, 500), "C": (200, 700), "G": (600, 800)}
+INS_CUM = (300, 550, 800)
+#: Bounds beyond which a depth is found by binary search in an Arrow batch instead of by a tree of comparisons.
+TREE = 256
+#: Reads of one reference that are made in one row's work.
+SPAN = 10_000
+
+
+def standard_noise(length: int = LENGTH, rates: tuple = RATES, kmer: np.ndarray | None = None) -> Noise:
+    """Rates that rise along the strand, with the shares above."""
+    ramp = (1 + np.arange(length) / length)[:, None] * np.array(rates) / 1000
+    scale = kernel.BASE_DRAWS // 1000
+    return Noise(ramp, np.array([SUB_CUM[b] for b in dna.CHANNEL]) * scale, np.array(INS_CUM) * scale, kmer)
 
 
 def position_bounds(length: int = LENGTH, rates: tuple = RATES) -> list[tuple[int, int, int]]:
     """(sub, sub + ins, sub + ins + del) of each position, as bounds for draws of 31 bits."""
-    out = []
-    for pos in range(length):
-        sub, ins, gone = (r / 1000 * (1 + pos / length) for r in rates)
-        out.append(tuple(int(x * (dna.M31 + 1)) for x in (sub, sub + ins, sub + ins + gone)))
-    return out
+    return [tuple(int(x) for x in row) for row in standard_noise(length, rates).bounds()]
 
 
 def override_rates(profile: DataFrame, rates: list[float]) -> DataFrame:
@@ -28,16 +50,26 @@ def override_rates(profile: DataFrame, rates: list[float]) -> DataFrame:
     if len(rates) not in (1, 3) or any(not 0 <= r <= 1000 for r in rates) or sum(rates) > 1000:
         raise ValueError("rates are one or three numbers from 0 to 1000 with a sum of 1000 at most")
     kinds = ("sub", "ins", "del")
-    mean = profile.agg(*[F.avg(k).alias(k) for k in kinds]).first()  # one row
-    whole = sum(mean[k] for k in kinds)
-    scale = {k: (rates[0] / 1000 / whole if whole else 0.0) if len(rates) == 1 else (rates[i] / 1000 / mean[k] if mean[k] else 0.0) for i, k in enumerate(kinds)}
-    return profile.select("pos", *[(F.col(k) * F.lit(scale[k])).alias(k) for k in kinds])
+    mean = profile.agg(*[F.avg(k).alias(f"_{k}") for k in kinds])  # one row
+    base = {k: sum((F.col(f"_{j}") for j in kinds[1:]), F.col("_sub")) if len(rates) == 1 else F.col(f"_{k}") for k in kinds}
+    asked = {k: rates[0] if len(rates) == 1 else rates[i] for i, k in enumerate(kinds)}
+    rows = profile.join(F.broadcast(mean), F.lit(True))
+    return rows.select("pos", *[F.when(base[k] > 0, F.col(k) * F.lit(asked[k] / 1000) / base[k]).otherwise(0.0).alias(k) for k in kinds])
+
 
+def sample_depth(refs: DataFrame, family: str, mean: float, cv: float | None, seed: int, low: float | None = None, high: float | None = None) -> DataFrame:
+    """refs plus n_reads, drawn by ref_idx; low and high are the ends of the beta family."""
+    bounds = depth_cdf(family, depth_params(family, mean, cv, low, high))
+    draw = dna.mix(F.col("ref_idx"), 0, seed)
+    if len(bounds) <= TREE:
+        return refs.withColumn("n_reads", dna.lookup(draw, bounds).cast("long"))
+    table = np.array(bounds, np.int64)
 
-def sample_depth(refs: DataFrame, family: str, mean: float, cv: float | None, seed: int) -> DataFrame:
-    """refs plus n_reads, drawn by ref_idx."""
-    bounds = depth_cdf(family, depth_params(family, mean, cv))
-    return refs.withColumn("n_reads", dna.lookup(dna.mix(F.col("ref_idx"), 0, seed), bounds).cast("long"))
+    @F.pandas_udf("long")
+    def search(draws: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(table, draws.to_numpy(np.int64), side="right"))
+
+    return refs.withColumn("n_reads", search(draw))
 
 
 def calibrate_dropout(depth: DataFrame, rate: float, seed: int) -> DataFrame:
@@ -57,8 +89,14 @@ def number_reads(depth: DataFrame) -> DataFrame:
 
 
 def expand(depth: DataFrame) -> DataFrame:
-    """One row per read: read_id (0-based) and copy_idx beside the columns of depth."""
-    rows = depth.where("n_reads > 0").withColumn("copy_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_reads") - 1)))
+    """One row per read: read_id (0-based) and copy_idx beside the columns of depth.
+
+    A reference with many reads is first cut into spans of SPAN reads, which are dealt out where any row has several.
+    """
+    last = F.floor((F.col("n_reads") - 1) / SPAN)
+    spans = depth.where("n_reads > 0").withColumn("_span", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    end = F.least(F.col("n_reads"), (F.col("_span") + 1) * SPAN) - 1
+    rows = spans.withColumn("copy_idx", F.explode(F.sequence(F.col("_span") * SPAN, end))).drop("_span")
     return rows.withColumn("read_id", F.col("first_read") + F.col("copy_idx"))
 
 
@@ -83,160 +121,87 @@ def depth_summary(depth: DataFrame) -> DataFrame:
     )
 
 
-def _at(bounds: list[tuple], kind: int, pos: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(b[kind]).cast("long") for b in bounds]), pos + 1)
-
-
 def error_key(read_id: Column, pos: Column, length: int = LENGTH) -> Column:
     return read_id * length + pos
 
 
-def bernoulli_errors(reads: DataFrame, seed: int, rates: tuple = RATES, length: int = LENGTH) -> DataFrame:
-    """(read_id, ref_idx, pos, etype) beside seq: each position of each read errs by its own draw."""
-    bounds = position_bounds(length, rates)
-    top = max(b[2] for b in bounds)
-    rows = reads.select("read_id", "ref_idx", "seq", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
-    draw = dna.mix(error_key(F.col("read_id"), F.col("pos"), length), 2, seed)
-    near = rows.withColumn("_u", draw).where(F.col("_u") < top)  # nearly all rows end here, before the table is looked at
-    at = [_at(bounds, k, F.col("pos")) for k in range(3)]
-    kind = F.when(F.col("_u") < at[0], "S").when(F.col("_u") < at[1], "I").otherwise("D")
-    return near.where(F.col("_u") < at[2]).select("read_id", "ref_idx", "seq", "pos", kind.alias("etype"))
-
+def error_cuts(read_ids: DataFrame, noise: Noise, seed: int, sigmas: float = 8.0) -> Cuts:
+    """Where position p must be cut so that exactly rint(N * rate[p]) reads, those with the smallest draws, err there.
 
-def quota_errors(reads: DataFrame, seed: int, rates: tuple = RATES, length: int = LENGTH, slack: float = 3.0) -> DataFrame:
-    """As bernoulli_errors, but position p gets exactly rint(N * rate[p]) errors: those with the smallest draws.
-
-    Draws over slack times the rate can't be among the smallest unless too few fall below; positions where that
-    happens are ranked over all reads.
+    One pass: draws that are surely in are only counted, and of the rest just those close to the cut are kept apart,
+    about 16 standard deviations of the count. Should a cut lie outside all the same, the window is widened. What
+    comes to the driver is one row for each position.
+    """
+    n = read_ids.count()
+    total = noise.rates.sum(axis=1)
+    quotas = np.rint(n * total).astype(np.int64)
+    draw = dna.mix(error_key(F.col("read_id"), F.col("pos"), noise.length), 2, seed)
+    rows = read_ids.select("read_id", F.explode(F.sequence(F.lit(0), F.lit(noise.length - 1))).alias("pos")).withColumn("_u", draw)
+    while True:
+        slack = sigmas * np.sqrt(np.maximum(total / max(n, 1), 1e-18)) + 16 / max(n, 1)
+        low = [int(x) for x in np.clip((total - slack) * (dna.M31 + 1), 0, dna.M31)]
+        high = [int(x) for x in np.clip((total + slack) * (dna.M31 + 1), 0, dna.M31 + 1)]
+        near = rows.where(F.col("_u") < max(high)).where(F.col("_u") < _at(high, F.col("pos")))
+        apart = F.col("_u") >= _at(low, F.col("pos"))
+        counts = near.groupBy("pos", F.when(apart, F.col("_u")).alias("_u"), F.when(apart, F.col("read_id")).alias("_id")).agg(F.count("*").alias("_n"))
+        upto = Window.partitionBy("pos").orderBy(F.col("_u").asc_nulls_first(), "_id")
+        reached = counts.withColumn("_upto", F.sum("_n").over(upto)).where((F.col("_upto") == _at(quotas.tolist(), F.col("pos"))) & F.col("_u").isNotNull())
+        found = {r["pos"]: r for r in reached.select("pos", "_u", "_id").collect()}  # one row for each position
+        if all(p in found for p in range(noise.length) if quotas[p]):
+            break
+        if sigmas > 1e9:
+            raise RuntimeError("the quotas of the positions can't be met")
+        sigmas *= 32
+    return Cuts(np.array([found[p]["_u"] if p in found else -1 for p in range(noise.length)]), np.array([found[p]["_id"] if p in found else -1 for p in range(noise.length)]))
+
+
+def _at(values: list[int], pos: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), pos + 1)
+
+
+def errors(reads: DataFrame, noise: Noise, seed: int, cuts: Cuts | None = None) -> DataFrame:
+    """(read_id, ref_idx, pos, etype, ref_base, base, k3, b4) of every error of reads(read_id, ref_idx, seq).
+
+    Each position of each read errs by its own draw, or by the cuts if given. base is the substitute or the inserted
+    base, null for deletions; k3 and b4 are null where a position has no context.
     """
-    bounds = position_bounds(length, rates)
-    n = reads.count()
-    total = [b[2] / (dna.M31 + 1) for b in bounds]
-    quotas = [int(round(n * r)) for r in total]
-    quota = reads.sparkSession.createDataFrame([(p, k) for p, k in enumerate(quotas)], "pos int, k long")
-    rows = reads.select("read_id", "ref_idx", "seq", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
-    rows = rows.withColumn("_u", dna.mix(error_key(F.col("read_id"), F.col("pos"), length), 2, seed))
-    limit = [min(dna.M31, int(r * slack * (dna.M31 + 1)) + 1) for r in total]
-    below = rows.where(F.col("_u") < max(limit)).where(F.col("_u") < _at([(x,) for x in limit], 0, F.col("pos")))
-    held = {r["pos"]: r["n"] for r in below.groupBy("pos").agg(F.count("*").alias("n")).collect()}  # one row per position
-    short = [p for p in range(length) if held.get(p, 0) < quotas[p]]
-    if short:
-        below = below.where(~F.col("pos").isin(short)).unionByName(rows.where(F.col("pos").isin(short)))
-    chosen = smallest(below, ["pos"], "_u", ["read_id"], quota)
-    kind = dna.mix(error_key(F.col("read_id"), F.col("pos"), length), 3, seed)
-    parts = [(int(b[0] / b[2] * (dna.M31 + 1)), int(b[1] / b[2] * (dna.M31 + 1))) for b in bounds]
-    etype = F.when(kind < _at(parts, 0, F.col("pos")), "S").when(kind < _at(parts, 1, F.col("pos")), "I").otherwise("D")
-    return chosen.select("read_id", "ref_idx", "seq", "pos", etype.alias("etype"))
-
-
-#: Cumulative shares (of 1000) of the substitutes in A, T, C, G order without the base itself, and of inserted bases.
-SUB_CUM = {"A": (250, 400), "T": (300, 500), "C": (200, 700), "G": (600, 800)}
-INS_CUM = (300, 550, 800)
-
-
-def others(base: str) -> str:
-    return "".join(b for b in dna.CHANNEL if b != base)
-
-
-def single_base(errors: DataFrame, seed: int, length: int = LENGTH) -> DataFrame:
-    """errors plus ref_base and base: the substitute or the inserted base by inverse distribution, null for deletions."""
-    # The draw and the strand's base stay columns of their own, so that the choice below doesn't repeat their work.
-    drawn = errors.withColumn("_v", F.pmod(dna.mix(error_key(F.col("read_id"), F.col("pos"), length), 4, seed), F.lit(1000)))
-    drawn = drawn.withColumn("ref_base", F.substring("seq", F.col("pos") + 1, F.lit(1)))
-    u, ref, sub = F.col("_v"), F.col("ref_base"), F.lit(None).cast("string")
-    for base, (a, b) in SUB_CUM.items():
-        o = others(base)
-        sub = F.when(ref == base, F.when(u < a, o[0]).when(u < b, o[1]).otherwise(o[2])).otherwise(sub)
-    ins = F.when(u < INS_CUM[0], "A").when(u < INS_CUM[1], "T").when(u < INS_CUM[2], "C").otherwise("G")
-    return drawn.withColumn("base", F.when(F.col("etype") == "S", sub).when(F.col("etype") == "I", ins)).drop("_v")
-
-
-def kmer_context(errors: DataFrame, length: int = LENGTH) -> DataFrame:
-    """errors plus k3, the 3-mer index before the position, and b4, the base there; null outside 3 <= pos < length - 2."""
-    inside = (F.col("pos") >= 3) & (F.col("pos") < length - 2)
-    code = [dna.base_index(F.substring("seq", F.col("pos") - 2 + k, F.lit(1))) for k in range(4)]
-    return errors.withColumn("k3", F.when(inside, 16 * code[0] + 4 * code[1] + code[2])).withColumn("b4", F.when(inside, code[3]))
-
-
-def kmer_base(errors: DataFrame, table: DataFrame, seed: int, length: int = LENGTH) -> DataFrame:
-    """Bases by k-mer table(kind, k3, b4, cum array<int> of 1000); positions without context keep the single-base choice."""
-    rows = kmer_context(single_base(errors, seed, length), length)
-    rows = rows.withColumn("_v", F.pmod(dna.mix(error_key(F.col("read_id"), F.col("pos"), length), 4, seed), F.lit(1000)))
-    joined = rows.join(F.broadcast(table.select(F.col("kind").alias("etype"), "k3", "b4", "cum")), ["etype", "k3", "b4"], "left")
-    index = F.size(F.filter("cum", lambda c: c <= F.col("_v")))
-    picked = F.substring(F.lit(dna.CHANNEL), index + 1, F.lit(1))
-    return joined.withColumn("base", F.when(F.col("cum").isNull(), F.col("base")).otherwise(picked)).drop("cum", "_v")
-
-
-EVENT = "pos int, etype string, base string, ref_base string"
-
-
-def gather(errors: DataFrame) -> DataFrame:
-    """(read_id, events): each read's errors in the order of positions."""
-    return errors.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("pos", "etype", "base", "ref_base"))).alias("events"))
-
-
-def with_events(reads: DataFrame, errors: DataFrame) -> DataFrame:
-    """reads plus events, empty for reads without errors."""
-    return reads.join(gather(errors), "read_id", "left").withColumn("events", F.coalesce("events", F.array().cast(f"array<struct<{', '.join(c.replace(' ', ':') for c in EVENT.split(', '))}>>")))
-
-
-def mutated(seq: Column, events: Column) -> Column:
-    """The read that the events (one at most for each position, in order) make of a strand."""
-    start = lambda i: F.when(i > 0, F.element_at(events, F.greatest(i, F.lit(1)))["pos"] + 1).otherwise(0)
-    parts = F.transform(
-        events,
-        lambda e, i: F.concat(
-            F.substring(seq, start(i) + 1, e["pos"] - start(i)),
-            F.when(e["etype"] == "S", e["base"]).when(e["etype"] == "I", F.concat(e["base"], F.substring(seq, e["pos"] + 1, F.lit(1)))).otherwise(""),
-        ),
-    )
-    last = F.when(F.size(events) > 0, F.element_at(events, -1)["pos"] + 1).otherwise(0)
-    return F.concat(F.array_join(parts, ""), F.substring(seq, last + 1, F.length(seq)))
-
-
-def cigar(length: Column, events: Column) -> Column:
-    """Run lengths of M, I and D; a substitution is M, and an insertion stands before its position's base."""
-    run = lambda op, n: F.struct(op.alias("op"), n.cast("int").alias("n"))
-
-    def used(e: Column) -> Column:
-        return e["pos"] + F.when(e["etype"] == "I", 0).otherwise(1)
-
-    def before(i: Column) -> Column:
-        return F.when(i > 0, used(F.element_at(events, F.greatest(i, F.lit(1))))).otherwise(0)
-
-    runs = F.flatten(F.transform(events, lambda e, i: F.array(run(F.lit("M"), e["pos"] - before(i)), run(F.when(e["etype"] == "S", "M").otherwise(e["etype"]), F.lit(1)))))
-    tail = length - F.when(F.size(events) > 0, used(F.element_at(events, -1))).otherwise(0)
-    runs = F.filter(F.concat(runs, F.array(run(F.lit("M"), tail))), lambda r: r["n"] > 0)
-    state = F.struct(F.lit("").alias("out"), F.lit("").alias("op"), F.lit(0).alias("n"))
-
-    def step(s: Column, r: Column) -> Column:
-        same = s["op"] == r["op"]
-        out = F.when(same | (s["n"] == 0), s["out"]).otherwise(F.concat(s["out"], s["n"].cast("string"), s["op"]))
-        return F.struct(out.alias("out"), r["op"].alias("op"), (r["n"] + F.when(same, s["n"]).otherwise(0)).alias("n"))
-
-    return F.aggregate(runs, state, step, lambda s: F.when(s["n"] > 0, F.concat(s["out"], s["n"].cast("string"), s["op"])).otherwise(""))
-
-
-def md(length: Column, events: Column) -> Column:
-    """Match runs, the reference's base for substitutions, ^bases for deletions; insertions leave no mark."""
-    state = F.struct(F.lit("").alias("out"), F.lit("").alias("last"), F.lit(0).alias("next"))
-
-    def step(s: Column, e: Column) -> Column:
-        gap = e["pos"] - s["next"]
-        joined = (s["last"] == "D") & (e["etype"] == "D") & (gap == 0)
-        mark = F.when(joined, e["ref_base"]).otherwise(F.concat(gap.cast("string"), F.when(e["etype"] == "D", "^").otherwise(""), e["ref_base"]))
-        return F.struct(F.concat(s["out"], mark).alias("out"), e["etype"].alias("last"), (e["pos"] + 1).alias("next"))
-
-    seen = F.filter(events, lambda e: e["etype"] != "I")
-    return F.aggregate(seen, state, step, lambda s: F.concat(s["out"], (length - s["next"]).cast("string")))
-
 
-def simulate(reads: DataFrame, errors: DataFrame) -> DataFrame:
-    """(read_id, ref_idx, seq, read, cigar, md) of every read."""
-    rows = with_events(reads, errors)
-    n = F.length("seq")
-    return rows.select("read_id", "ref_idx", "seq", mutated(F.col("seq"), F.col("events")).alias("read"), cigar(n, F.col("events")).alias("cigar"), md(n, F.col("events")).alias("md"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            ids, letters = part.column("read_id").to_numpy(), kernel.matrix(part.column("seq"), noise.length)
+            row, pos, kind = kernel.place(ids, noise, seed, cuts)
+            base = kernel.bases(ids, letters, row, pos, kind, noise, seed)
+            k3, b4 = (pa.array(c, pa.int32(), mask=c < 0) for c in kernel.context(letters, row, pos))
+            yield pa.record_batch(
+                [pa.array(ids[row]), part.column("ref_idx").take(pa.array(row)), pa.array(pos, pa.int32()), kernel.single_letters(kind), kernel.single_letters(letters[row, pos]), kernel.single_letters(base), k3, b4],
+                names=["read_id", "ref_idx", "pos", "etype", "ref_base", "base", "k3", "b4"],
+            )
+
+    return reads.select("read_id", "ref_idx", "seq").mapInArrow(run, "read_id long, ref_idx long, pos int, etype string, ref_base string, base string, k3 int, b4 int")
+
+
+#: Columns that simulate can give of each read.
+TRUTH = {"seq": "string", "read": "string", "cigar": "string", "md": "string", "n_sub": "int", "n_ins": "int", "n_del": "int"}
+
+
+def simulate(reads: DataFrame, noise: Noise, seed: int, cuts: Cuts | None = None, want: tuple[str, ...] = tuple(TRUTH)) -> DataFrame:
+    """(read_id, ref_idx, *want) of reads(read_id, ref_idx, seq): the mutated read, its truth and its errors by kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            ids, letters, n = part.column("read_id").to_numpy(), kernel.matrix(part.column("seq"), noise.length), part.num_rows
+            row, pos, kind = kernel.place(ids, noise, seed, cuts)
+            give = {
+                "seq": lambda: part.column("seq"),
+                "read": lambda: kernel.mutated(letters, row, pos, kind, kernel.bases(ids, letters, row, pos, kind, noise, seed)),
+                "cigar": lambda: kernel.cigar(n, noise.length, row, pos, kind),
+                "md": lambda: kernel.md(n, noise.length, row, pos, kind, letters[row, pos]),
+                **{c: lambda k=k: pa.array(np.bincount(row[kind == k], minlength=n), pa.int32()) for c, k in (("n_sub", kernel.S), ("n_ins", kernel.I), ("n_del", kernel.D))},
+            }
+            yield pa.record_batch([part.column("read_id"), part.column("ref_idx"), *(give[c]() for c in want)], names=["read_id", "ref_idx", *want])
+
+    schema = ", ".join(["read_id long", "ref_idx long", *(f"{c} {TRUTH[c]}" for c in want)])
+    return reads.select("read_id", "ref_idx", "seq").mapInArrow(run, schema)
 
 
 def rebuild(read: Column, cigar_: Column, md_: Column) -> Column:

@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, LongType
 
 from ..functions import dna
+from .consensus import hamming
+from .order import running, written
 
 WORDS = 8  # payloads of 32 bytes as eight 32-bit numbers
 #: Feedback of the 32-bit Galois register that yields droplet seeds, and its start; fixed values.
@@ -28,10 +31,51 @@ def lfsr(n: int, start: int = LFSR_START) -> Iterator[int]:
         yield state
 
 
+def _step(state: int) -> int:
+    return next(lfsr(1, state))
+
+
+def lfsr_state(n: int, start: int = LFSR_START) -> int:
+    """The register's n-th state (0: the start), by squaring the matrix of its step over GF(2)."""
+    columns, state = [_step(1 << i) for i in range(32)], start
+
+    def apply(matrix: list[int], x: int) -> int:
+        out = 0
+        while x:
+            low = x & -x
+            out ^= matrix[low.bit_length() - 1]
+            x ^= low
+        return out
+
+    while n:
+        if n & 1:
+            state = apply(columns, state)
+        columns, n = [apply(columns, c) for c in columns], n >> 1
+    return state
+
+
+def lfsr_states(spark: SparkSession, n: int) -> DataFrame:
+    """(i, seed) of the register's states 1 to n; every batch jumps to its first state and runs on from there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            ids = rows.column("i").to_pylist()
+            if ids:
+                found = [s for s in lfsr(len(ids), lfsr_state(ids[0] - 1))]
+                yield pa.record_batch([rows.column("i"), pa.array(found, pa.int64())], names=["i", "seed"])
+
+    return spark.range(1, n + 1).select(F.col("id").alias("i")).mapInArrow(run, "i long, seed long")
+
+
+def _soliton_shape(k: int, delta: float, c: float) -> tuple[float, int]:
+    """(size, place) of the spike."""
+    size = c * math.log(k / delta) * math.sqrt(k)
+    return size, min(k, max(1, int(k / size)))
+
+
 def robust_soliton(k: int, delta: float = 0.5, c: float = 0.1) -> np.ndarray:
     """Probability of each degree 1..k (Luby 2002): the ideal distribution plus a spike, normalised."""
-    size = c * math.log(k / delta) * math.sqrt(k)
-    spike = min(k, max(1, int(k / size)))
+    size, spike = _soliton_shape(k, delta, c)
     d = np.arange(1, k + 1, dtype=float)
     ideal = np.r_[1 / k, 1 / (d[1:] * (d[1:] - 1))]
     extra = np.where(d < spike, size / (k * d), 0.0)
@@ -39,6 +83,15 @@ def robust_soliton(k: int, delta: float = 0.5, c: float = 0.1) -> np.ndarray:
     return (ideal + extra) / (ideal + extra).sum()
 
 
+def soliton_table(spark: SparkSession, k: int, delta: float = 0.5, c: float = 0.1) -> DataFrame:
+    """(degree, p) of robust_soliton as a table made in Spark."""
+    size, spike = _soliton_shape(k, delta, c)
+    d = F.col("degree").cast("double")
+    extra = F.when(d < spike, F.lit(size) / (k * d)).when(d == spike, F.lit(max(0.0, size * math.log(size / delta) / k))).otherwise(0.0)
+    rows = spark.range(1, k + 1).select(F.col("id").alias("degree")).withColumn("m", F.when(d == 1, F.lit(1 / k)).otherwise(1 / (d * (d - 1))) + extra)
+    return rows.join(F.broadcast(rows.agg(F.sum("m").alias("_whole"))), F.lit(True)).select("degree", (F.col("m") / F.col("_whole")).alias("p"))  # one row
+
+
 def degree_bounds(k: int, delta: float = 0.5, c: float = 0.1) -> list[int]:
     """Bounds on [0, 2**31) for looking up a droplet's degree; degrees beyond the table's end have no mass left."""
     bounds = np.floor(np.cumsum(robust_soliton(k, delta, c)) * (dna.M31 + 1)).astype(np.int64)
@@ -63,13 +116,14 @@ def droplet_plan(spark: SparkSession, n: int, k: int, seed: int, delta: float =
 
 
 def _degree_lookup(draw: Column, bounds: list[int]) -> Column:
-    """Degree of the first bound above the draw: a tree for the steep start, halving in an array beyond it."""
-    head = bounds[:64]
-    if len(bounds) <= 64:
-        return dna.lookup(draw, bounds, list(range(1, len(bounds) + 1)))
-    rest = F.array(*[F.lit(b).cast("long") for b in bounds[64:]])
-    tail = F.lit(65) + F.size(F.filter(rest, lambda b: b <= draw))
-    return F.when(draw < head[-1], dna.lookup(draw, head, list(range(1, 65)))).otherwise(tail)
+    """Degree of the first bound above the draw, by binary search."""
+    table = np.array(bounds, np.int64)
+
+    @F.pandas_udf(LongType())
+    def search(draws: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(table, draws.to_numpy(np.int64), side="right") + 1)
+
+    return search(draw).cast("int")
 
 
 def droplets(plan: DataFrame, segments: DataFrame) -> DataFrame:
@@ -83,29 +137,62 @@ def payload(prefix: str = "w") -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(f"{prefix}{i}")), 8, "0") for i in range(WORDS)])
 
 
-def peel(received: DataFrame, segments_n: int, max_rounds: int = 200) -> DataFrame:
-    """(seg_idx, payload) solved from received(droplet, seg_ids, payload).
+def peel(received: DataFrame) -> DataFrame:
+    """(seg_idx, payload) solved from received(droplet, seg_ids, payload), until no droplet has a single segment left.
 
-    Each round takes the droplets with one unsolved segment, XORs every solved segment out of the others and drops
-    it from their lists; the tables of a round are checkpointed, so the lineage stays short.
+    Each round solves the segments that stand alone in a droplet and takes them out of the other droplets, by XOR and
+    from their lists. What is left and what was solved are written, so every round starts from a short lineage.
     """
-    words = [f"w{i}" for i in range(WORDS)]
-    edges = received.select("droplet", F.explode("seg_ids").alias("seg_idx")).checkpoint()
-    value = received.select("droplet", *[F.conv(F.substring("payload", 8 * i + 1, 8), 16, 10).cast("long").alias(w) for i, w in enumerate(words)]).checkpoint()
-    solved = None
-    for _ in range(max_rounds):
-        single = edges.groupBy("droplet").agg(F.count("*").alias("n"), F.min("seg_idx").alias("seg_idx")).where("n = 1")
-        fresh = single.join(value, "droplet").groupBy("seg_idx").agg(*[F.min_by(w, "droplet").alias(w) for w in words]).checkpoint()
+    spark, words = received.sparkSession, [f"w{i}" for i in range(WORDS)]
+    parts = [F.conv(F.substring("payload", 8 * i + 1, 8), 16, 10).cast("long").alias(w) for i, w in enumerate(words)]
+    left = written(received.select("droplet", F.col("seg_ids").cast("array<long>").alias("segs"), *parts), "peel-left")
+    solved = spark.createDataFrame([], "seg_idx long, " + ", ".join(f"{w} long" for w in words))
+    while True:
+        single = left.where(F.size("segs") == 1).withColumn("seg_idx", F.element_at("segs", 1))
+        fresh = written(single.groupBy("seg_idx").agg(*[F.min_by(w, "droplet").alias(w) for w in words]), "peel-fresh")
         if fresh.isEmpty():
-            break
-        solved = fresh if solved is None else solved.unionByName(fresh)
-        out = edges.join(fresh, "seg_idx").groupBy("droplet").agg(*[F.bit_xor(w).alias(f"x{w}") for w in words])
-        value = value.join(out, "droplet", "left").select("droplet", *[F.col(w).bitwiseXOR(F.coalesce(f"x{w}", F.lit(0).cast("long"))).alias(w) for w in words]).checkpoint()
-        edges = edges.join(fresh.select("seg_idx"), "seg_idx", "left_anti").select("droplet", "seg_idx").checkpoint()
-        solved = solved.checkpoint()
-    if solved is None:
-        solved = edges.limit(0).select("seg_idx", *[F.lit(0).cast("long").alias(w) for w in words])
-    return solved.select("seg_idx", payload().alias("payload"))
+            return solved.select("seg_idx", payload().alias("payload"))
+        solved = solved.unionByName(fresh)
+        more = left.where(F.size("segs") > 1)
+        hit = more.select("droplet", F.explode("segs").alias("seg_idx")).join(fresh, "seg_idx")
+        out = hit.groupBy("droplet").agg(F.collect_list("seg_idx").alias("gone"), *[F.bit_xor(w).alias(f"x{w}") for w in words])
+        rest = more.join(out, "droplet", "left")
+        segs = F.when(F.col("gone").isNull(), F.col("segs")).otherwise(F.array_except("segs", "gone"))
+        left = written(rest.select("droplet", segs.alias("segs"), *[F.col(w).bitwiseXOR(F.coalesce(f"x{w}", F.lit(0).cast("long"))).alias(w) for w in words]).where(F.size("segs") > 0), "peel-left")
+
+
+def completion(solved: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: segments of truth(seg_idx, payload), those solved, missing and wrong, and whether all are right."""
+    rows = truth.select("seg_idx", "payload").join(solved.select("seg_idx", F.col("payload").alias("_got")), "seg_idx", "left")
+    found = rows.agg(F.count("*").alias("segments"), F.count("_got").alias("solved"), F.count_if(F.col("_got").isNull()).alias("missing"), F.count_if(F.col("_got") != F.col("payload")).alias("wrong"))
+    return found.withColumn("complete", (F.col("missing") == 0) & (F.col("wrong") == 0))
+
+
+def files(solved: DataFrame, layout: DataFrame) -> DataFrame:
+    """(item_id, content, md5) of items whose segments are all solved; layout has seg_idx, item_id, seg and n_bytes.
+
+    An item's bytes stand in one row; items are files of bounded size, and the corpus is never joined to one file.
+    """
+    rows = layout.join(solved.select("seg_idx", "payload"), "seg_idx", "left")
+    joined = rows.groupBy("item_id", "n_bytes").agg(F.array_sort(F.collect_list(F.struct("seg", "payload"))).alias("parts"), F.count_if(F.col("payload").isNull()).alias("_missing"))
+    content = F.substring(F.unhex(F.array_join("parts.payload", "")), F.lit(1), F.col("n_bytes").cast("int"))
+    return joined.where("_missing = 0").select("item_id", content.alias("content"), F.md5(content).alias("md5"))
+
+
+def aggressive_decode(received: DataFrame, tries: int, keep: float, seed: int) -> DataFrame:
+    """(seg_idx, payload, votes): the commonest result of several peelings, each of a share of the droplets.
+
+    Wrong droplets spoil only the tries that hold them. Each try draws its droplets by number; of equally common
+    results the one that sorts first counts.
+    """
+    found = None
+    for k in range(tries):
+        some = received.where(dna.mix(F.col("droplet"), 300 + k, seed) < int(keep * (dna.M31 + 1)))
+        got = peel(some)
+        found = got if found is None else found.unionByName(got)
+    votes = found.groupBy("seg_idx", "payload").agg(F.count("*").alias("votes"))
+    first = F.row_number().over(Window.partitionBy("seg_idx").orderBy(F.desc("votes"), "payload"))  # one row a try at most
+    return votes.withColumn("_rank", first).where("_rank = 1").drop("_rank")
 
 
 # Reed-Solomon over GF(256), polynomial 0x11d, generator 2.
@@ -197,44 +284,137 @@ def rs_decode(block: bytes, parity: int = 10) -> bytes | None:
     return bytes(fixed[:-parity])
 
 
+_EXPS, _LOGS = np.array(_EXP, np.int64), np.array(_LOG, np.int64)
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """Products in the field of an array with one number."""
+    return np.where(a > 0, _EXPS[_LOGS[a] + _LOG[b]], 0) if b else np.zeros_like(a)
+
+
+def _tables(blocks: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, rows of bytes) of the blocks of each length."""
+    sizes = np.array([-1 if b is None else len(b) for b in blocks])
+    for size in np.unique(sizes[sizes >= 0]):
+        at = np.flatnonzero(sizes == size)
+        yield at, np.frombuffer(b"".join(bytes(blocks.iloc[i]) for i in at), np.uint8).reshape(len(at), size).astype(np.int64)
+
+
 @F.pandas_udf(BinaryType())
 def rs_append(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: rs_encode(bytes(b)))
+    """data followed by ten parity bytes; the division runs over all blocks of a batch at once."""
+    parity, out = 10, [None] * len(data)
+    generator = _generator(parity)[1:]
+    for at, rows in _tables(data):
+        rest = np.zeros((len(rows), parity), np.int64)
+        for i in range(rows.shape[1]):
+            lead = rest[:, 0] ^ rows[:, i]
+            rest = np.concatenate([rest[:, 1:], np.zeros((len(rows), 1), np.int64)], axis=1)
+            for j, g in enumerate(generator):
+                rest[:, j] ^= _times(lead, g)
+        for i, block in zip(at, np.concatenate([rows, rest], axis=1).astype(np.uint8)):
+            out[i] = block.tobytes()
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(BinaryType())
 def rs_correct(block: pd.Series) -> pd.Series:
-    return block.map(lambda b: rs_decode(bytes(b)))
+    """The data of blocks with ten parity bytes; only blocks with a syndrome are searched for errors."""
+    parity, out = 10, [None] * len(block)
+    for at, rows in _tables(block):
+        if rows.shape[1] <= parity:
+            continue
+        wrong = np.zeros(len(rows), bool)
+        for i in range(parity):
+            value = np.zeros(len(rows), np.int64)
+            for k in range(rows.shape[1]):
+                value = _times(value, _EXP[i]) ^ rows[:, k]
+            wrong |= value != 0
+        for i, bad, row in zip(at, wrong, rows.astype(np.uint8)):
+            out[i] = rs_decode(row.tobytes(), parity) if bad else row[:-parity].tobytes()
+    return pd.Series(out, dtype=object)
+
+
+#: An odd factor modulo 2**32 and a mask that spread droplet numbers over all seeds, so that small numbers make no runs.
+SPREAD, MASK = 0x9E3779B1, 0x5BD1E995
+
+
+def _spread(number: Column, factor: int) -> Column:
+    """number * factor modulo 2**32, in parts that don't overflow."""
+    low, high = number.bitwiseAND(F.lit(0xFFFF)) * factor, (F.shiftright(number, 16) * factor).bitwiseAND(F.lit(0xFFFF)) * 65536
+    return (low + high).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def droplet_seed(droplet: Column) -> Column:
+    """The 32-bit seed that an oligo carries for a droplet number."""
+    return _spread(droplet.cast("long"), SPREAD).bitwiseXOR(F.lit(MASK))
+
+
+def seed_droplet(seed: Column) -> Column:
+    """The droplet number of a seed."""
+    return _spread(seed.cast("long").bitwiseXOR(F.lit(MASK)), pow(SPREAD, -1, 1 << 32))
 
 
 def oligos(drops: DataFrame) -> DataFrame:
     """drops plus dna: four bytes of seed, the payload and the parity as bases."""
-    head = F.lpad(F.lower(F.hex("droplet")), 8, "0")
+    head = F.lpad(F.lower(F.hex(droplet_seed(F.col("droplet")))), 8, "0")
     return drops.withColumn("dna", dna.dna_encode(rs_append(F.unhex(F.concat(head, "payload")))))
 
 
-def parse_oligos(reads: DataFrame) -> DataFrame:
-    """(droplet, payload) of reads(line, dna): corrected, and the first line of each droplet alone."""
+def parse_oligos(reads: DataFrame, most_distance: int | None = None, screen: tuple[int, float] | None = None) -> DataFrame:
+    """(droplet, payload, distance) of reads(line, dna): corrected, and the first line of each droplet alone.
+
+    distance counts the bases in which a read differs from its corrected strand encoded again. Reads with more than
+    most_distance, or whose strand fails the screen (longest run, slack of the GC share), are left out.
+    """
     data = rs_correct(dna.dna_decode(F.col("dna")))
-    rows = reads.select("line", F.lower(F.hex(data)).alias("_h")).where("_h is not null")
-    rows = rows.select("line", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long").alias("droplet"), F.substring("_h", 9, 1 << 20).alias("payload"))
-    return rows.groupBy("droplet").agg(F.min_by("payload", "line").alias("payload"))
+    rows = reads.select("line", "dna", data.alias("_data")).where("_data is not null")
+    rows = rows.withColumn("_again", dna.dna_encode(rs_append("_data"))).withColumn("distance", hamming("dna", "_again"))
+    if most_distance is not None:
+        rows = rows.where(F.col("distance") <= most_distance)
+    if screen:
+        rows = rows.where(dna.screen(F.col("_again"), *screen))
+    rows = rows.withColumn("_h", F.lower(F.hex("_data")))
+    rows = rows.select("line", seed_droplet(F.conv(F.substring("_h", 1, 8), 16, 10)).alias("droplet"), F.substring("_h", 9, 1 << 20).alias("payload"), "distance")
+    return rows.groupBy("droplet").agg(F.min_by("payload", "line").alias("payload"), F.min_by("distance", "line").cast("int").alias("distance"))
 
 
 def encode_file(segments: DataFrame, k: int, seed: int, alpha: float = 0.3, homopolymer: int = 4, gc_slack: float = 0.1, **soliton) -> DataFrame:
-    """The first int(k * (1 + alpha)) + 1 oligos, by droplet number, that pass the screen."""
-    want = int(k * (1 + alpha)) + 1
+    """The first int(k * (1 + alpha)) + 1 oligos, by droplet number, that pass the screen; raises if too few pass."""
+    want = wanted(k, alpha)
     spark, made, kept, first = segments.sparkSession, 2 * want, None, 0
-    for _ in range(12):
+    while True:
         plan = droplet_plan(spark, made, k, seed, first=first, **soliton)
-        passed = oligos(droplets(plan, segments)).where(dna.screen(F.col("dna"), homopolymer, gc_slack)).checkpoint()
+        passed = written(oligos(droplets(plan, segments)).where(dna.screen(F.col("dna"), homopolymer, gc_slack)), "oligos")
         kept = passed if kept is None else kept.unionByName(passed)
-        if kept.count() >= want:
-            break
+        found = kept.count()
+        if found >= want:
+            return running(kept, ["droplet"], ordinal="_place").where(F.col("_place") < want).drop("_place")
         first, made = first + made, 2 * made
-    return kept.orderBy("droplet").limit(want)
+        if first > 1000 * want:
+            raise RuntimeError(f"only {found} of {first} droplets pass the screen, {want} are wanted")
+
+
+def wanted(k: int, alpha: float) -> int:
+    """Oligos to be made of k segments."""
+    return int(k * (1 + alpha)) + 1
+
+
+def oligo_bases(payload_bytes: int = 32, seed_bytes: int = 4, parity_bytes: int = 10) -> int:
+    """Bases of an oligo, four for each byte."""
+    return 4 * (payload_bytes + seed_bytes + parity_bytes)
+
+
+def oligo_names(coded: DataFrame) -> DataFrame:
+    """coded(droplet, degree, seg_ids, ...) with the name that its FASTA record has."""
+    segs = F.array_join(F.transform("seg_ids", lambda s: s.cast("string")), ",")
+    return coded.withColumn("name", F.concat(F.lit("packet "), F.col("droplet").cast("string"), F.lit("_"), F.col("degree").cast("string"), F.lit("_"), segs))
 
 
 def seed_counts(reads: DataFrame) -> DataFrame:
     return reads.groupBy("droplet").agg(F.count("*").alias("n"))
 
+
+def seed_histogram(reads: DataFrame) -> DataFrame:
+    """(n, droplets): how many droplets came n times."""
+    return seed_counts(reads).groupBy("n").agg(F.count("*").alias("droplets"))

@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a new one only on a local master without that setting, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: read again by column, and nothing before it is ever worked out twice."""
+    path = f"{shared_dir(df.sparkSession)}/oligoflow/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running(df: DataFrame, order: list[str], total: Column | None = None, ordinal: str = "ordinal", before: str = "before") -> DataFrame:
     """df with its 0-based ordinal in an order and, for total, the sum over all rows that come before.
 
-    Rows are range-partitioned and sorted; each partition numbers its own rows, and the partitions' counts and sums,
-    one row for each partition, are carried on in front of it.
+    Rows are range-partitioned and sorted once; each partition numbers and sums up its own rows as they pass, and the
+    partitions' counts and sums, one row for each partition, are carried on in front of it.
     """
     value = F.coalesce(total.cast("long"), F.lit(0).cast("long")) if total is not None else F.lit(0).cast("long")
     part = df.withColumn("_value", value).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mark", F.monotonically_increasing_id())
-    part = part.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else part.persist()
-    part = part.withColumn("_part", F.shiftright("_mark", 33))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = 0
+        for rows in batches:
+            values = rows.column("_value").to_numpy()
+            upto = np.cumsum(values) + so_far
+            yield rows.append_column("_inner", pa.array(upto - values))
+            so_far = int(upto[-1]) if len(upto) else so_far
+
+    if total is not None:
+        part = part.mapInArrow(add_up, StructType([*part.schema.fields, StructField("_inner", LongType())]))
+    part = written(part, "running").withColumn("_part", F.shiftright("_mark", 33))
     sums = part.groupBy("_part").agg(F.count("*").alias("_rows"), F.sum("_value").alias("_sum"))
-    heads = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     sums = sums.select("_part", F.coalesce(F.sum("_rows").over(heads), F.lit(0)).alias("_rows0"), F.coalesce(F.sum("_sum").over(heads), F.lit(0)).alias("_sum0"))
-    within = Window.partitionBy("_part").orderBy("_mark").rowsBetween(Window.unboundedPreceding, -1)
     out = part.join(F.broadcast(sums), "_part")
     if total is not None:
-        out = out.withColumn(before, F.col("_sum0") + F.coalesce(F.sum("_value").over(within), F.lit(0)))
+        out = out.withColumn(before, F.col("_sum0") + F.col("_inner"))
     out = out.withColumn(ordinal, F.col("_rows0") + F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1)))
-    return out.drop("_value", "_mark", "_part", "_rows0", "_sum0")
+    return out.drop("_value", "_inner", "_mark", "_part", "_rows0", "_sum0")
 
 
 def smallest(df: DataFrame, group: list[str], draw: str, ties: list[str], quota: DataFrame, bits: int = 12) -> DataFrame:

@@ -1,90 +1,101 @@
-"""Noise profiles from alignments(read_id, ref_idx, cigar, md, read, seq), and the choice of a depth distribution."""
+"""Noise profiles from alignments(read_id, ref_idx, cigar, md, read [, ref_start, seq]), and the choice of a depth distribution.
+
+CIGAR and MD are parsed by whole Arrow batches; an alignment may start anywhere in its reference.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import batch as kernel
 from ..functions import dna
 from ..functions.depth import FAMILIES, log_density
 
 
-def blocks(cigar: Column) -> Column:
-    """array<struct<op, ref, read, n>>: each run with the 0-based places where it starts; S clips read bases alone."""
-    ops = F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDS])"), F.lit(1))
-    start = F.struct(F.array().cast("array<struct<op:string,ref:int,read:int,n:int>>").alias("out"), F.lit(0).alias("ref"), F.lit(0).alias("read"))
+def _columns(alignments: DataFrame, *more: str) -> DataFrame:
+    return alignments.select("read_id", "ref_idx", "cigar", "md", "read", *[c for c in ("ref_start", *more) if c in alignments.columns])
 
-    def step(s: Column, o: Column) -> Column:
-        n, op = F.regexp_extract(o, r"\d+", 0).cast("int"), F.regexp_extract(o, "[MIDS]", 0)
-        return F.struct(
-            F.concat(s["out"], F.array(F.struct(op.alias("op"), s["ref"].alias("ref"), s["read"].alias("read"), n.alias("n")))).alias("out"),
-            (s["ref"] + F.when(op.isin("M", "D"), n).otherwise(0)).alias("ref"),
-            (s["read"] + F.when(op.isin("M", "I", "S"), n).otherwise(0)).alias("read"),
-        )
 
-    return F.aggregate(ops, start, step, lambda s: s["out"])
+def _context(part: pa.RecordBatch, found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(k3, b4) of each event by the strand: the three bases before a substitution and its own, the four before others."""
+    letters, offsets = kernel.text_bytes(part.column("seq"))
+    low, size = offsets[found["row"]], np.diff(offsets)[found["row"]]
+    shift = (found["kind"] != kernel.S).astype(np.int64)
+    inside = (found["pos"] >= 3 + shift) & (found["pos"] < size - 1)
+    at = np.where(inside, low + found["pos"] - shift, 3)
+    c = [kernel.CODE[letters[at - k]] if len(letters) > 3 else at * 0 - 1 for k in (3, 2, 1, 0)]
+    return np.where(inside, 16 * c[0] + 4 * c[1] + c[2], -1), np.where(inside, c[3], -1)
 
 
-def md_marks(md: Column) -> Column:
-    """array<struct<pos, kind, ref_base>> of substitutions and of deletion runs."""
-    marks = F.regexp_extract_all(md, F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), F.lit(1))
-    start = F.struct(F.array().cast("array<struct<pos:int,kind:string,ref_base:string>>").alias("out"), F.lit(0).alias("at"))
+def alignment_events(alignments: DataFrame) -> DataFrame:
+    """(read_id, ref_idx, kind, pos, ref_base, read_base, k3, b4): one row for each substituted, inserted or deleted base.
 
-    def add(s: Column, kind: str, base: Column, n: Column) -> Column:
-        return F.struct(F.concat(s["out"], F.array(F.struct(s["at"].alias("pos"), F.lit(kind).alias("kind"), base.alias("ref_base")))).alias("out"), (s["at"] + n).alias("at"))
+    Insertions carry the reference position that follows them. k3 and b4, the context of four bases, need the strands
+    as seq and are null without them or too near to an end.
+    """
+    has_seq = "seq" in alignments.columns
 
-    def step(s: Column, m: Column) -> Column:
-        run = F.substring(m, 2, 1 << 20)
-        number = F.coalesce(m.try_cast("int"), F.lit(0))
-        return F.when(m.startswith("^"), add(s, "D", run, F.length(run))).when(F.rlike(m, F.lit("^[A-Z]")), add(s, "S", m, F.lit(1))).otherwise(
-            F.struct(s["out"].alias("out"), (s["at"] + number).alias("at"))
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            found = kernel.alignment_events(part)
+            row = pa.array(found["row"])
+            k3, b4 = _context(part, found) if has_seq else (found["pos"] * 0 - 1,) * 2
+            yield pa.record_batch(
+                [part.column("read_id").take(row), part.column("ref_idx").take(row), kernel.single_letters(found["kind"]), pa.array(found["pos"], pa.int32()),
+                 kernel.single_letters(found["ref"]), kernel.single_letters(found["read"]), pa.array(k3, pa.int32(), mask=k3 < 0), pa.array(b4, pa.int32(), mask=b4 < 0)],
+                names=["read_id", "ref_idx", "kind", "pos", "ref_base", "read_base", "k3", "b4"],
+            )
 
-    return F.aggregate(marks, start, step, lambda s: s["out"])
+    rows = _columns(alignments, "seq")
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"read_id {kinds['read_id']}, ref_idx {kinds['ref_idx']}, kind string, pos int, ref_base string, read_base string, k3 int, b4 int")
 
 
-def alignment_events(alignments: DataFrame) -> DataFrame:
-    """(read_id, ref_idx, kind, pos, ref_base, read_base, seq): one row for each substituted, inserted or deleted base.
+def position_counts(alignments: DataFrame) -> DataFrame:
+    """(pos, coverage, n_sub, n_ins, n_del), one row for each position that any read touches.
 
-    Insertions carry the reference position that follows them.
+    One pass over the alignments: every batch sums up its own positions before anything is shuffled.
     """
-    rows = alignments.select("read_id", "ref_idx", "seq", "read", blocks(F.col("cigar")).alias("b"), md_marks(F.col("md")).alias("m"))
-    rows = rows.where((F.size("m") > 0) | F.exists("b", lambda b: b["op"] == "I"))
-
-    def read_base(e: Column) -> Column:
-        home = F.element_at(F.filter("b", lambda b: (b["op"] == "M") & (b["ref"] <= e["pos"]) & (e["pos"] < b["ref"] + b["n"])), 1)
-        return F.substring(F.col("read"), home["read"] + e["pos"] - home["ref"] + 1, F.lit(1))
-
-    event = lambda kind, pos, ref, read: F.struct(kind.alias("kind"), pos.alias("pos"), ref.alias("ref_base"), read.alias("read_base"))
-    none = F.lit(None).cast("string")
-    subs = F.transform(F.filter("m", lambda e: e["kind"] == "S"), lambda e: event(F.lit("S"), e["pos"], e["ref_base"], read_base(e)))
-    spread = lambda n: F.sequence(F.lit(0), n - 1)
-    gone = F.flatten(F.transform(F.filter("m", lambda e: e["kind"] == "D"), lambda e: F.transform(spread(F.length(e["ref_base"])), lambda k: event(F.lit("D"), e["pos"] + k, F.substring(e["ref_base"], k + 1, F.lit(1)), none))))
-    ins = F.flatten(F.transform(F.filter("b", lambda b: b["op"] == "I"), lambda b: F.transform(spread(b["n"]), lambda k: event(F.lit("I"), b["ref"], none, F.substring(F.col("read"), b["read"] + k + 1, F.lit(1))))))
-    return rows.select("read_id", "ref_idx", "seq", F.explode(F.concat(subs, gone, ins)).alias("e")).select("read_id", "ref_idx", "e.kind", "e.pos", "e.ref_base", "e.read_base", "seq")
-
-
-def coverage(alignments: DataFrame) -> DataFrame:
-    """(pos, coverage) from the ends of matched runs; positions are summed up, not listed for each read."""
-    runs = alignments.select(F.explode(F.filter(blocks(F.col("cigar")), lambda b: b["op"] == "M")).alias("b"))
-    ends = runs.select(F.explode(F.array(F.struct(F.col("b.ref").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("b.ref") + F.col("b.n")).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    steps = ends.groupBy("e.pos").agg(F.sum("e.d").alias("d"))
-    most = steps.agg(F.max("pos")).first()[0]  # one number
-    every = alignments.sparkSession.range(most or 0).select(F.col("id").cast("int").alias("pos"))
-    joined = every.join(F.broadcast(steps), "pos", "left")
-    return joined.select("pos", F.sum(F.coalesce("d", F.lit(0))).over(Window.orderBy("pos")).cast("long").alias("coverage"))
-
-
-def position_rates(events: DataFrame, cover: DataFrame, length: int) -> DataFrame:
-    """Counts and rates of each position; insertions after the last base have none."""
-    counts = events.where(F.col("pos") < length).groupBy("pos").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("S", "n_sub"), ("I", "n_ins"), ("D", "n_del"))])
-    rows = cover.join(counts, "pos", "left").na.fill(0, ["n_sub", "n_ins", "n_del"])
+    kinds = (("n_sub", kernel.S), ("n_ins", kernel.I), ("n_del", kernel.D))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            found = kernel.alignment_events(part)
+            start, end = found["run_ref"], found["run_ref"] + found["run_n"]
+            size = int(max([0, *(x.max() for x in (end, found["pos"] + 1) if len(x))]))
+            cover = np.cumsum(np.bincount(start, minlength=size + 1) - np.bincount(end, minlength=size + 1))[:size]
+            counts = [np.bincount(found["pos"][found["kind"] == k], minlength=size) for _, k in kinds]
+            yield pa.record_batch([pa.array(np.arange(size), pa.int32()), *(pa.array(c, pa.int64()) for c in (cover, *counts))], names=["pos", "coverage", *(n for n, _ in kinds)])
+
+    names = ["coverage", *(n for n, _ in kinds)]
+    rows = _columns(alignments).mapInArrow(run, ", ".join(["pos int", *(f"{n} long" for n in names)]))
+    return rows.groupBy("pos").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def position_rates(counts: DataFrame, length: int) -> DataFrame:
+    """Counts and rates of each position from position_counts; what lies behind the last base counts for none."""
+    every = counts.sparkSession.range(length).select(F.col("id").cast("int").alias("pos"))
+    rows = every.join(F.broadcast(counts.where(F.col("pos") < length)), "pos", "left").na.fill(0)  # a row for each position
     base = F.greatest("coverage", F.lit(1))
     rates = [F.round(F.col(f"n_{k}") / base, 10).alias(f"{k}_rate") for k in ("sub", "ins", "del")]
-    return rows.select("pos", "coverage", "n_sub", "n_ins", "n_del", *rates)
+    whole = F.round((F.col("n_sub") + F.col("n_ins") + F.col("n_del")) / base, 10).alias("total_rate")
+    return rows.select("pos", "coverage", "n_sub", "n_ins", "n_del", *rates, whole)
+
+
+def overall(counts: DataFrame, bases: DataFrame, n_reads: Column, n_mapped: Column) -> DataFrame:
+    """One row: reads, mapped reads and their share, covered bases, events of each kind and their rates a covered base."""
+    a = counts.agg(F.sum("coverage").alias("covered"))
+    b = bases.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(n) for k, n in (("S", "n_sub"), ("I", "n_ins"), ("D", "n_del"))])
+    rows = a.join(b, F.lit(True)).select(n_reads.alias("n_reads"), n_mapped.alias("n_mapped"), "covered", "n_sub", "n_ins", "n_del")  # one row each
+    base = F.greatest("covered", F.lit(1))
+    return rows.select("*", F.round(F.col("n_mapped") / F.greatest("n_reads", F.lit(1)), 8).alias("mapping_rate"), *[F.round(F.col(f"n_{k}") / base, 10).alias(f"{k}_rate") for k in ("sub", "ins", "del")])
 
 
 def base_counts(events: DataFrame) -> DataFrame:
@@ -92,16 +103,19 @@ def base_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("kind", F.coalesce("ref_base", F.lit("-")).alias("ref_base"), F.coalesce("read_base", F.lit("-")).alias("read_base")).agg(F.count("*").alias("n"))
 
 
-def kmer_counts(events: DataFrame, kind: str, length: int) -> DataFrame:
+def base_matrix(bases: DataFrame) -> DataFrame:
+    """(kind, ref_base, A, T, C, G): base_counts as a matrix with a column for each base of the read."""
+    return bases.groupBy("kind", "ref_base").pivot("read_base", [*dna.CHANNEL]).agg(F.sum("n")).na.fill(0, [*dna.CHANNEL])
+
+
+def kmer_counts(events: DataFrame, kind: str) -> DataFrame:
     """(k3, b4, out, n): context of three bases and the one at the place.
 
     Substitutions: the three before and the base itself. Deletions and insertions: the four before the place.
     """
-    shift, low = (0, 3) if kind == "S" else (1, 4)
-    code = [dna.base_index(F.substring("seq", F.col("pos") - 2 - shift + k, F.lit(1))) for k in range(4)]
-    rows = events.where((F.col("kind") == kind) & (F.col("pos") >= low) & (F.col("pos") < length - 1))
+    rows = events.where((F.col("kind") == kind) & F.col("k3").isNotNull())
     out = dna.base_index(F.col("read_base") if kind != "D" else F.col("ref_base"))
-    return rows.groupBy((16 * code[0] + 4 * code[1] + code[2]).alias("k3"), code[3].alias("b4"), out.alias("out")).agg(F.count("*").alias("n"))
+    return rows.groupBy("k3", "b4", out.alias("out")).agg(F.count("*").alias("n"))
 
 
 def kmer_probabilities(counts: DataFrame, over: str = "out") -> DataFrame:
@@ -110,6 +124,30 @@ def kmer_probabilities(counts: DataFrame, over: str = "out") -> DataFrame:
     return counts.withColumn("p", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*keys)), 10))
 
 
+def kmer_full(counts: DataFrame) -> DataFrame:
+    """(k3, b4, out, p) of all 1024 places: the share within (k3, b4), a quarter each in contexts never seen."""
+    every = counts.sparkSession.range(1024).select((F.col("id") / 16).cast("int").alias("k3"), (F.col("id") / 4 % 4).cast("int").alias("b4"), (F.col("id") % 4).cast("int").alias("out"))
+    rows = every.join(F.broadcast(counts), ["k3", "b4", "out"], "left").na.fill(0, ["n"])  # at most 1024 rows
+    total = F.sum("n").over(Window.partitionBy("k3", "b4"))
+    return rows.select("k3", "b4", "out", F.round(F.when(total > 0, F.col("n") / total).otherwise(0.25), 10).alias("p"))
+
+
+def inserted_shares(counts: DataFrame) -> DataFrame:
+    """(base, p, cum) of the inserted bases in channel order, from counts(base, n); a quarter each if there are none."""
+    spark = counts.sparkSession
+    every = spark.range(4).select(F.col("id").alias("place"), F.substring(F.lit(dna.CHANNEL), (F.col("id") + 1).cast("int"), F.lit(1)).alias("base"))
+    rows = every.join(F.broadcast(counts), "base", "left").na.fill(0, ["n"])
+    total = F.sum("n").over(Window.partitionBy())  # four rows
+    rows = rows.withColumn("p", F.when(total > 0, F.col("n") / total).otherwise(0.25))
+    return rows.select("base", F.round("p", 10).alias("p"), F.round(F.sum("p").over(Window.orderBy("place")), 10).alias("cum"))
+
+
+def rate_consistency(rates: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """One row: the largest gap between a position's total rate and the sum of its three rates, and whether it's small."""
+    gap = F.max(F.abs(F.col("total") - F.col("sub") - F.col("ins") - F.col("del")))
+    return rates.agg(gap.alias("gap")).select("gap", (F.col("gap") <= tolerance).alias("consistent"))
+
+
 def base_lut(counts: DataFrame) -> DataFrame:
     """(ref_base, base, p, cum) of the three substitutes of each base in channel order, from counts(ref_base, base, n).
 
@@ -125,8 +163,13 @@ def base_lut(counts: DataFrame) -> DataFrame:
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, ref_name, ref_start, cigar, md, read) of tab-separated lines; unmapped reads have no reference name."""
-    return spark.read.csv(path, sep="\t", schema="read_id string, ref_name string, ref_start int, cigar string, md string, read string").where("ref_name is not null and ref_name <> '*'")
+    """(read_id, ref_name, ref_start, cigar, md, read) of tab-separated lines, ref_start from 0; * stands for no reference."""
+    return spark.read.csv(path, sep="\t", schema="read_id string, ref_name string, ref_start int, cigar string, md string, read string")
+
+
+def mapped(alignments: DataFrame, refs: DataFrame) -> DataFrame:
+    """alignments(ref_name, ...) with ref_idx and seq of refs(ref_idx, name, seq); reads of no known reference are left out."""
+    return alignments.join(refs.select("ref_idx", "seq", F.col("name").alias("ref_name")), "ref_name").drop("ref_name")
 
 
 def depth_stats(depth: DataFrame, total_refs: Column | None = None) -> DataFrame:
@@ -190,9 +233,15 @@ def fit_family(family: str, x: np.ndarray, w: np.ndarray) -> tuple[dict[str, flo
     return p, at(p)
 
 
+#: Distinct depths that are fitted at most; their histogram is all that comes to the driver.
+MOST_DEPTHS = 1_000_000
+
+
 def fit_depth(depth: DataFrame) -> DataFrame:
     """(family, n_params, loglik, aic, rank) of every family; the histogram of depths, one row per depth, is fitted."""
-    hist = depth.where("n_reads > 0").groupBy("n_reads").count().collect()
+    hist = depth.where("n_reads > 0").groupBy("n_reads").count().limit(MOST_DEPTHS + 1).collect()
+    if len(hist) > MOST_DEPTHS:
+        raise ValueError(f"more than {MOST_DEPTHS} distinct depths")
     spark, x = depth.sparkSession, np.array([r["n_reads"] for r in hist], float)
     w, rows = np.array([r["count"] for r in hist], float), []
     for family in FAMILIES if w.sum() >= 10 else ():
@@ -204,17 +253,30 @@ def fit_depth(depth: DataFrame) -> DataFrame:
     return spark.createDataFrame(ranked, "family string, n_params int, loglik double, aic double, rank int")
 
 
-def spline_resize(rates: np.ndarray, length: int) -> np.ndarray:
-    """Rates on another length by a natural cubic spline over the index, ends pinned and nothing below zero."""
-    n = len(rates)
-    if n == length or n < 3:
-        return np.clip(np.interp(np.linspace(0, n - 1, length), np.arange(n), rates), 0, None)
-    inner = n - 2
-    system = np.diag(np.full(inner, 4.0)) + np.diag(np.ones(inner - 1), 1) + np.diag(np.ones(inner - 1), -1)
-    bend = np.r_[0.0, np.linalg.solve(system, 6 * np.diff(rates, 2)), 0.0]
+def spline_weights(n: int, length: int) -> np.ndarray:
+    """(length, n) weights that take n rates to length rates: a natural cubic spline over the index, ends pinned.
+
+    They depend on the two lengths alone. Column j is the spline through a one at place j and zeros elsewhere.
+    """
     x = np.linspace(0, n - 1, length)
-    i = np.minimum(x.astype(int), n - 2)
-    t = x - i
-    y = (1 - t) * rates[i] + t * rates[i + 1] + ((1 - t) ** 3 - (1 - t)) * bend[i] / 6 + (t**3 - t) * bend[i + 1] / 6
-    y[0], y[-1] = rates[0], rates[-1]
-    return np.clip(y, 0, None)
+    ones = np.eye(n)
+    i = np.clip(x.astype(int), 0, max(n - 2, 0))
+    t = (x - i)[:, None]
+    if n == length or n < 3:
+        out = (1 - t) * ones[i] + t * ones[np.minimum(i + 1, n - 1)]
+    else:
+        inner = n - 2
+        system = 4 * np.eye(inner) + np.eye(inner, k=1) + np.eye(inner, k=-1)
+        bend = np.zeros((n, n))
+        bend[1:-1] = np.linalg.solve(system, 6 * np.diff(ones, 2, axis=0))
+        out = (1 - t) * ones[i] + t * ones[i + 1] + ((1 - t) ** 3 - (1 - t)) * bend[i] / 6 + (t**3 - t) * bend[i + 1] / 6
+    out[0], out[-1] = ones[0], ones[-1]
+    return out
+
+
+def resize(rates: DataFrame, names: tuple[str, ...], n: int, length: int) -> DataFrame:
+    """(pos, *names) of length positions from rates(pos, *names) of n; nothing falls below zero."""
+    w = spline_weights(n, length)
+    table = rates.sparkSession.createDataFrame(pd.DataFrame({"to": np.repeat(np.arange(length), n).astype("int32"), "pos": np.tile(np.arange(n), length).astype("int32"), "w": w.ravel()}))
+    rows = rates.join(F.broadcast(table), "pos").groupBy(F.col("to").alias("pos"))
+    return rows.agg(*[F.greatest(F.sum(F.col(k) * F.col("w")), F.lit(0.0)).alias(k) for k in names])

@@ -6,6 +6,9 @@ mean 2, errors from position rates that rise along the strand.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +26,11 @@ DROPOUT = 0.02
 
 def prepare(spark: SparkSession) -> None:
     """Iterations and numbering cut their lineage in the folder that spark.checkpoint.dir names."""
-    if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found:
-            import tempfile
+    order.shared_dir(spark)
+
 
-            found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
+def _new_path(spark: SparkSession, label: str) -> str:
+    return f"{order.shared_dir(spark)}/oligoflow/{label}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,21 +42,29 @@ def strands(spark, sf_dir):
     return source.strands_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-def depths(spark, sf_dir, which=DEPTH, seed=SEED):
-    return channel.number_reads(channel.sample_depth(strands(spark, sf_dir), *which, seed))
+def depths(spark, sf_dir, *columns):
+    """Numbered depths of the strands; columns are what is carried of a strand beside its index."""
+    return channel.number_reads(channel.sample_depth(strands(spark, sf_dir).select("ref_idx", *columns), *DEPTH, SEED))
 
 
 def reads(spark, sf_dir):
-    return channel.expand(depths(spark, sf_dir)).select("read_id", "ref_idx", "copy_idx", "seq")
+    return channel.expand(depths(spark, sf_dir, "seq")).select("read_id", "ref_idx", "copy_idx", "seq")
+
+
+def read_ids(spark, sf_dir):
+    return channel.expand(depths(spark, sf_dir)).select("read_id", "ref_idx", "copy_idx")
+
+
+NOISE = channel.standard_noise()
 
 
 def errors(spark, sf_dir):
-    return channel.single_base(channel.bernoulli_errors(reads(spark, sf_dir), SEED), SEED)
+    return channel.errors(reads(spark, sf_dir), NOISE, SEED)
 
 
-def alignments(spark, sf_dir):
-    rows = reads(spark, sf_dir)
-    return channel.simulate(rows, channel.single_base(channel.bernoulli_errors(rows, SEED), SEED))
+def alignments(spark, sf_dir, *want):
+    """Simulated reads with their truth; the columns that are wanted, or all."""
+    return channel.simulate(reads(spark, sf_dir), NOISE, SEED, want=want or tuple(channel.TRUTH))
 
 
 def order_depths(spark, sf_dir):
@@ -87,22 +96,22 @@ def _list(values) -> str:
 SQL_STRANDS = f"""
 d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
 c AS (SELECT doc_id, h, CAST(ceil(length(h) / 64.0) AS BIGINT) AS n, CAST(sum(ceil(length(h) / 64.0)) OVER (ORDER BY doc_id) - ceil(length(h) / 64.0) AS BIGINT) AS base FROM d),
-strands AS (SELECT base + seg AS ref_idx, doc_id, CAST(seg AS INTEGER) AS seg, {_CHAIN} AS seq FROM (SELECT *, unnest(range(0, n)) AS seg FROM c))"""
+strands AS MATERIALIZED (SELECT base + seg AS ref_idx, doc_id, CAST(seg AS INTEGER) AS seg, {_CHAIN} AS seq FROM (SELECT *, unnest(range(0, n)) AS seg FROM c))"""
 SQL_DEPTH = f"""{SQL_STRANDS},
 drawn AS (SELECT *, {dna.mix_sql("ref_idx", "0", SEED)} AS u FROM strands),
 depth0 AS (SELECT ref_idx, doc_id, seg, seq, CAST(len(list_filter({_BOUNDS}, lambda b: b <= u)) AS BIGINT) AS n_reads FROM drawn),
 depth AS (SELECT *, CAST(sum(n_reads) OVER (ORDER BY ref_idx) - n_reads AS BIGINT) AS first_read FROM depth0)"""
 SQL_READS = f"""{SQL_DEPTH},
-reads AS (SELECT first_read + k AS read_id, ref_idx, k AS copy_idx, seq FROM (SELECT *, unnest(range(0, n_reads)) AS k FROM depth))"""
+reads AS MATERIALIZED (SELECT first_read + k AS read_id, ref_idx, k AS copy_idx, seq FROM (SELECT *, unnest(range(0, n_reads)) AS k FROM depth))"""
 _B = channel.position_bounds()
-_KEY = f"(read_id * {LENGTH} + pos)"
 SQL_ERRORS = f"""{SQL_READS},
-spots AS (SELECT read_id, ref_idx, seq, CAST(p AS INTEGER) AS pos, {dna.mix_sql(f"(read_id * {LENGTH} + p)", "2", SEED)} AS u FROM (SELECT *, unnest(range(0, {LENGTH})) AS p FROM reads)),
-hits AS (SELECT *, CASE WHEN u < {_list(b[0] for b in _B)}[pos + 1] THEN 'S' WHEN u < {_list(b[1] for b in _B)}[pos + 1] THEN 'I' ELSE 'D' END AS etype,
-  {dna.mix_sql(_KEY, "4", SEED)} % 1000 AS v, substr(seq, pos + 1, 1) AS ref_base FROM spots WHERE u < {_list(b[2] for b in _B)}[pos + 1]),
-errs AS (SELECT read_id, ref_idx, seq, pos, etype, ref_base, CASE WHEN etype = 'S' THEN CASE ref_base
-  {" ".join(f"WHEN '{b}' THEN (CASE WHEN v < {x} THEN '{channel.others(b)[0]}' WHEN v < {y} THEN '{channel.others(b)[1]}' ELSE '{channel.others(b)[2]}' END)" for b, (x, y) in channel.SUB_CUM.items())} END
-  WHEN etype = 'I' THEN (CASE WHEN v < {channel.INS_CUM[0]} THEN 'A' WHEN v < {channel.INS_CUM[1]} THEN 'T' WHEN v < {channel.INS_CUM[2]} THEN 'C' ELSE 'G' END) END AS base FROM hits)"""
+bounds AS (SELECT {_list(b[0] for b in _B)} AS b0, {_list(b[1] for b in _B)} AS b1, {_list(b[2] for b in _B)} AS b2),
+{dna.mix_ctes("spot", f"SELECT read_id, ref_idx, CAST(p AS INTEGER) AS pos, read_id * {LENGTH} + p AS key FROM (SELECT read_id, ref_idx, unnest(range(0, {LENGTH})) AS p FROM reads)", "key", 2, SEED, f"u < {max(b[2] for b in _B)}")},
+found AS (SELECT spot.*, CASE WHEN u < b0[pos + 1] THEN 'S' WHEN u < b1[pos + 1] THEN 'I' ELSE 'D' END AS etype FROM spot, bounds WHERE u < b2[pos + 1]),
+hits AS MATERIALIZED (SELECT read_id, found.ref_idx, seq, pos, etype, {dna.mix_sql("key", "4", SEED)} % 1000000 AS v, substr(seq, pos + 1, 1) AS ref_base FROM found JOIN reads USING (read_id)),
+errs AS MATERIALIZED (SELECT read_id, ref_idx, seq, pos, etype, ref_base, CASE WHEN etype = 'S' THEN CASE ref_base
+  {" ".join(f"WHEN '{b}' THEN (CASE WHEN v < {x}000 THEN '{dna.CHANNEL.replace(b, "")[0]}' WHEN v < {y}000 THEN '{dna.CHANNEL.replace(b, "")[1]}' ELSE '{dna.CHANNEL.replace(b, "")[2]}' END)" for b, (x, y) in channel.SUB_CUM.items())} END
+  WHEN etype = 'I' THEN (CASE WHEN v < {channel.INS_CUM[0]}000 THEN 'A' WHEN v < {channel.INS_CUM[1]}000 THEN 'T' WHEN v < {channel.INS_CUM[2]}000 THEN 'C' ELSE 'G' END) END AS base FROM hits)"""
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -141,10 +150,7 @@ def fasta_validate(spark, sf_dir):
 
 @query("fasta_roundtrip", f"WITH {SQL_STRANDS} SELECT 'seq_' || (ref_idx + 1) AS name, seq FROM strands")
 def fasta_roundtrip(spark, sf_dir):
-    import uuid
-
-    prepare(spark)
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/oligoflow/fasta-{uuid.uuid4().hex}"
+    path = _new_path(spark, "fasta")
     source.write_fasta(strands(spark, sf_dir), path, F.concat(F.lit("seq_"), (F.col("ref_idx") + 1).cast("string")), F.col("seq"), ["ref_idx"])
     return source.read_fasta(spark, path).select("name", "seq")
 
@@ -193,7 +199,7 @@ def dropout_calibrate(spark, sf_dir):
 
 @query("expand_reads", f"WITH {SQL_READS} SELECT read_id, ref_idx, copy_idx FROM reads")
 def expand_reads(spark, sf_dir):
-    return reads(spark, sf_dir).select("read_id", "ref_idx", "copy_idx")
+    return read_ids(spark, sf_dir)
 
 
 @query("chunk_pack", f"WITH {SQL_READS} SELECT read_id // {CHUNK} AS chunk_idx, ref_idx, count(*) AS cnt FROM reads GROUP BY ALL")
@@ -220,27 +226,27 @@ def ref_count(spark, sf_dir):
 # ---- errors, bases, reads, truth
 
 
-@query("rate_override", f"WITH p AS (SELECT CAST(i AS INTEGER) AS pos, 0.006 * (1 + i / {LENGTH}.0) AS sub, 0.0015 * (1 + i / {LENGTH}.0) AS ins, 0.0025 * (1 + i / {LENGTH}.0) AS del FROM range(0, {LENGTH}) t(i)), q AS (SELECT count(*) AS n_lines FROM lineitem), m AS (SELECT avg(sub) + avg(ins) + avg(del) AS a FROM p) SELECT pos, round(sub * 0.02 / a, 12) AS sub, round(ins * 0.02 / a, 12) AS ins, round(del * 0.02 / a, 12) AS del, round((sub + ins + del) * 0.02 / a * n_lines, 3) AS expected FROM p, m, q")
+@query("rate_override", f"WITH {SQL_ERRORS}, n AS (SELECT count(*) AS n FROM reads), cnt AS (SELECT pos, count(*) FILTER (etype = 'S') AS s, count(*) FILTER (etype = 'I') AS i, count(*) FILTER (etype = 'D') AS d FROM errs GROUP BY pos), p AS (SELECT CAST(p AS INTEGER) AS pos, coalesce(s, 0) / (n - coalesce(d, 0)) AS sub, coalesce(i, 0) / (n - coalesce(d, 0)) AS ins, coalesce(d, 0) / (n - coalesce(d, 0)) AS del FROM range(0, {LENGTH}) t(p) CROSS JOIN n LEFT JOIN cnt ON cnt.pos = p), m AS (SELECT avg(sub) + avg(ins) + avg(del) AS a FROM p) SELECT pos, round(sub * 0.02 / a, 9) AS sub, round(ins * 0.02 / a, 9) AS ins, round(del * 0.02 / a, 9) AS del FROM p, m")
 def rate_override(spark, sf_dir):
-    n = table(spark, sf_dir, "lineitem").count()
-    grow = 1 + F.col("id") / LENGTH
-    rates = spark.range(LENGTH).select(F.col("id").cast("int").alias("pos"), (0.006 * grow).alias("sub"), (0.0015 * grow).alias("ins"), (0.0025 * grow).alias("del"))
-    found = channel.override_rates(rates, [20.0])
-    kinds = ("sub", "ins", "del")
-    return found.select("pos", *[F.round(k, 12).alias(k) for k in kinds], F.round((F.col("sub") + F.col("ins") + F.col("del")) * n, 3).alias("expected"))
+    """The rates measured in the alignments, scaled to 20 errors in 1000 bases."""
+    counts = profile.position_counts(alignments(spark, sf_dir, "read", "cigar", "md"))
+    rates = counts.where(F.col("pos") < LENGTH).select("pos", *[(F.col(f"n_{k}") / F.greatest("coverage", F.lit(1))).alias(k) for k in ("sub", "ins", "del")])
+    return channel.override_rates(rates, [20.0]).select("pos", *[F.round(k, 9).alias(k) for k in ("sub", "ins", "del")])
 
 
 @query("error_bernoulli", f"WITH {SQL_ERRORS} SELECT pos, etype, count(*) AS n FROM errs GROUP BY ALL")
 def error_bernoulli(spark, sf_dir):
-    return channel.bernoulli_errors(reads(spark, sf_dir), SEED).groupBy("pos", "etype").agg(F.count("*").alias("n"))
+    return errors(spark, sf_dir).groupBy("pos", "etype").agg(F.count("*").alias("n"))
 
 
-_T = [b[2] / (dna.M31 + 1) for b in _B]
+_T = NOISE.rates.sum(axis=1).tolist()
 
 
-@query("error_quota", f"WITH {SQL_READS}, n AS (SELECT count(*) AS n FROM reads), spots AS (SELECT read_id, CAST(p AS INTEGER) AS pos, {dna.mix_sql(f'(read_id * {LENGTH} + p)', '2', SEED)} AS u FROM (SELECT *, unnest(range(0, {LENGTH})) AS p FROM reads)), k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY u, read_id) AS r FROM spots WHERE u < 200000000) SELECT pos, count(*) AS n, CAST(sum(read_id) AS BIGINT) AS read_sum FROM k, n WHERE r <= round_even(n * {_list(repr(t) for t in _T)}[pos + 1], 0) GROUP BY pos")
+@query("error_quota", f"WITH {SQL_READS}, n AS (SELECT count(*) AS n FROM reads), {dna.mix_ctes('m', f'SELECT read_id, CAST(p AS INTEGER) AS pos, read_id * {LENGTH} + p AS key FROM (SELECT read_id, unnest(range(0, {LENGTH})) AS p FROM reads)', 'key', 2, SEED, 'u < 200000000')}, k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY u, read_id) AS r FROM m), t AS (SELECT {_list(repr(t) for t in _T)} AS t) SELECT pos, count(*) AS n, CAST(sum(read_id) AS BIGINT) AS read_sum FROM k, n, t WHERE r <= round_even(n * t[pos + 1], 0) GROUP BY pos")
 def error_quota(spark, sf_dir):
-    return channel.quota_errors(reads(spark, sf_dir), SEED).groupBy("pos").agg(F.count("*").alias("n"), F.sum("read_id").alias("read_sum"))
+    rows = order.written(reads(spark, sf_dir).select("read_id", "ref_idx", "seq"), "reads")
+    cuts = channel.error_cuts(rows.select("read_id"), NOISE, SEED)
+    return channel.errors(rows, NOISE, SEED, cuts).groupBy("pos").agg(F.count("*").alias("n"), F.sum("read_id").alias("read_sum"))
 
 
 @query("error_bases", f"WITH {SQL_ERRORS} SELECT etype, ref_base, coalesce(base, '-') AS base, count(*) AS n FROM errs GROUP BY ALL")
@@ -257,19 +263,18 @@ _K3 = "(" + " + ".join(f"{m} * {_code(f'substr(seq, pos - {2 - i}, 1)')}" for i,
 
 @query("kmer_context", f"WITH {SQL_ERRORS} SELECT etype, CAST({_K3} AS INTEGER) AS k3, CAST({_code('ref_base')} AS INTEGER) AS b4, count(*) AS n FROM errs WHERE pos >= 3 AND pos < {LENGTH - 2} GROUP BY ALL")
 def kmer_context(spark, sf_dir):
-    rows = channel.kmer_context(channel.bernoulli_errors(reads(spark, sf_dir), SEED))
-    return rows.where("k3 is not null").groupBy("etype", "k3", "b4").agg(F.count("*").alias("n"))
+    return errors(spark, sf_dir).where("k3 is not null").groupBy("etype", "k3", "b4").agg(F.count("*").alias("n"))
 
 
-def kmer_table(spark):
-    """Bounds per mille of the bases A, T, C by kind and context: a rule that differs for each context."""
-    at = spark.range(512).select(F.when(F.col("id") < 256, "S").otherwise("I").alias("kind"), F.expr("cast((id % 256) div 4 as int)").alias("k3"), F.expr("cast(id % 4 as int)").alias("b4"))
-    return at.withColumn("cum", F.array(150 + F.col("k3"), 400 + F.col("k3") + 10 * F.col("b4"), 700 + 2 * F.col("k3")))
+def kmer_rule():
+    """Bounds of BASE_DRAWS for the bases A, T, C by kind and context: a rule that differs for each context."""
+    k3, b4 = np.divmod(np.arange(256), 4)
+    return np.stack([np.stack([150 + k3, 400 + k3 + 10 * b4, 700 + 2 * k3], axis=1)] * 2) * 1000
 
 
-@query("kmer_bases", f"WITH {SQL_ERRORS}, ctx AS (SELECT e.*, v, {_K3} AS k3, {_code('e.ref_base')} AS b4 FROM errs e JOIN (SELECT read_id, pos, v FROM hits) USING (read_id, pos) WHERE etype <> 'D'), chosen AS (SELECT *, CASE WHEN pos >= 3 AND pos < {LENGTH - 2} THEN CASE WHEN v < 150 + k3 THEN 'A' WHEN v < 400 + k3 + 10 * b4 THEN 'T' WHEN v < 700 + 2 * k3 THEN 'C' ELSE 'G' END ELSE base END AS pick FROM ctx) SELECT etype, pos, pick AS base, count(*) AS n FROM chosen GROUP BY ALL")
+@query("kmer_bases", f"WITH {SQL_ERRORS}, ctx AS (SELECT e.*, v, {_K3} AS k3, {_code('e.ref_base')} AS b4 FROM errs e JOIN (SELECT read_id, pos, v FROM hits) USING (read_id, pos) WHERE etype <> 'D'), chosen AS (SELECT *, CASE WHEN pos >= 3 AND pos < {LENGTH - 2} THEN CASE WHEN v < 1000 * (150 + k3) THEN 'A' WHEN v < 1000 * (400 + k3 + 10 * b4) THEN 'T' WHEN v < 1000 * (700 + 2 * k3) THEN 'C' ELSE 'G' END ELSE base END AS pick FROM ctx) SELECT etype, pos, pick AS base, count(*) AS n FROM chosen GROUP BY ALL")
 def kmer_bases(spark, sf_dir):
-    found = channel.kmer_base(channel.bernoulli_errors(reads(spark, sf_dir), SEED), kmer_table(spark), SEED)
+    found = channel.errors(reads(spark, sf_dir), channel.standard_noise(kmer=kmer_rule()), SEED)
     return found.where("etype <> 'D'").groupBy("etype", "pos", "base").agg(F.count("*").alias("n"))
 
 
@@ -277,17 +282,17 @@ def kmer_bases(spark, sf_dir):
 p AS (SELECT read_id, string_agg(substr(seq, before + 2, pos - before - 1) || CASE etype WHEN 'S' THEN base WHEN 'I' THEN base || substr(seq, pos + 1, 1) ELSE '' END, '' ORDER BY pos) AS head, max(pos) AS last FROM ev GROUP BY read_id)
 SELECT reads.read_id, reads.ref_idx, coalesce(head, '') || substr(seq, coalesce(last + 2, 1)) AS read FROM reads LEFT JOIN p USING (read_id)""")
 def mutate_reads(spark, sf_dir):
-    return alignments(spark, sf_dir).select("read_id", "ref_idx", "read")
+    return alignments(spark, sf_dir, "read")
 
 
 @query("truth_rebuild", f"WITH {SQL_READS} SELECT read_id, ref_idx, seq FROM reads")
 def truth_rebuild(spark, sf_dir):
-    return alignments(spark, sf_dir).select("read_id", "ref_idx", channel.rebuild(F.col("read"), F.col("cigar"), F.col("md")).alias("seq"))
+    return alignments(spark, sf_dir, "read", "cigar", "md").select("read_id", "ref_idx", channel.rebuild(F.col("read"), F.col("cigar"), F.col("md")).alias("seq"))
 
 
 @query("shuffle_global", f"WITH {SQL_READS} SELECT row_number() OVER (ORDER BY {dna.mix_sql('read_id', '5', SEED)}, read_id) - 1 AS new_id, read_id FROM reads")
 def shuffle_global(spark, sf_dir):
-    return channel.shuffle_reads(reads(spark, sf_dir).select("read_id"), SEED).select("new_id", "read_id")
+    return channel.shuffle_reads(read_ids(spark, sf_dir).select("read_id"), SEED).select("new_id", "read_id")
 
 
 @query("largest_remainder", """WITH t AS (SELECT l_orderkey, sum(l_quantity) AS q, count(*) * 10 AS total FROM lineitem GROUP BY 1), s AS (SELECT l.l_orderkey, l_linenumber, l_partkey, total, floor(CAST(l_quantity AS DOUBLE) * total / CAST(q AS DOUBLE)) AS w, CAST(l_quantity AS DOUBLE) * total / CAST(q AS DOUBLE) AS x FROM lineitem l JOIN t USING (l_orderkey)),
@@ -349,18 +354,17 @@ def explicit_errors(spark, sf_dir):
 
 @query("aln_depth", f"WITH {SQL_DEPTH} SELECT ref_idx, n_reads FROM depth WHERE n_reads > 0")
 def aln_depth(spark, sf_dir):
-    return alignments(spark, sf_dir).groupBy("ref_idx").agg(F.count("*").alias("n_reads"))
+    return alignments(spark, sf_dir, "cigar").groupBy("ref_idx").agg(F.count("*").alias("n_reads"))
 
 
-@query("aln_pos_rates", f"WITH {SQL_ERRORS}, n AS (SELECT count(*) AS n FROM reads), cnt AS (SELECT pos, count(*) FILTER (etype = 'S') AS n_sub, count(*) FILTER (etype = 'I') AS n_ins, count(*) FILTER (etype = 'D') AS n_del FROM errs GROUP BY pos) SELECT CAST(i AS INTEGER) AS pos, n - coalesce(n_del, 0) AS coverage, coalesce(n_sub, 0) AS n_sub, coalesce(n_ins, 0) AS n_ins, coalesce(n_del, 0) AS n_del, round(coalesce(n_sub, 0) / greatest(n - coalesce(n_del, 0), 1), 10) AS sub_rate, round(coalesce(n_ins, 0) / greatest(n - coalesce(n_del, 0), 1), 10) AS ins_rate, round(coalesce(n_del, 0) / greatest(n - coalesce(n_del, 0), 1), 10) AS del_rate FROM range(0, {LENGTH}) t(i) CROSS JOIN n LEFT JOIN cnt ON pos = i")
+@query("aln_pos_rates", f"WITH {SQL_ERRORS}, n AS (SELECT count(*) AS n FROM reads), cnt AS (SELECT pos, count(*) FILTER (etype = 'S') AS n_sub, count(*) FILTER (etype = 'I') AS n_ins, count(*) FILTER (etype = 'D') AS n_del FROM errs GROUP BY pos) SELECT CAST(i AS INTEGER) AS pos, n - coalesce(n_del, 0) AS coverage, coalesce(n_sub, 0) AS n_sub, coalesce(n_ins, 0) AS n_ins, coalesce(n_del, 0) AS n_del, round(coalesce(n_sub, 0) / greatest(n - coalesce(n_del, 0), 1), 10) AS sub_rate, round(coalesce(n_ins, 0) / greatest(n - coalesce(n_del, 0), 1), 10) AS ins_rate, round(coalesce(n_del, 0) / greatest(n - coalesce(n_del, 0), 1), 10) AS del_rate, round((coalesce(n_sub, 0) + coalesce(n_ins, 0) + coalesce(n_del, 0)) / greatest(n - coalesce(n_del, 0), 1), 10) AS total_rate FROM range(0, {LENGTH}) t(i) CROSS JOIN n LEFT JOIN cnt ON pos = i")
 def aln_pos_rates(spark, sf_dir):
-    aln = alignments(spark, sf_dir).checkpoint()
-    return profile.position_rates(profile.alignment_events(aln), profile.coverage(aln), LENGTH)
+    return profile.position_rates(profile.position_counts(alignments(spark, sf_dir, "read", "cigar", "md")), LENGTH)
 
 
 @query("aln_base_matrix", f"WITH {SQL_ERRORS} SELECT etype AS kind, CASE WHEN etype = 'I' THEN '-' ELSE ref_base END AS ref_base, coalesce(base, '-') AS read_base, count(*) AS n FROM errs GROUP BY ALL")
 def aln_base_matrix(spark, sf_dir):
-    return profile.base_counts(profile.alignment_events(alignments(spark, sf_dir)))
+    return profile.base_counts(profile.alignment_events(alignments(spark, sf_dir, "read", "cigar", "md")))
 
 
 def _kmer(kind: str):
@@ -373,7 +377,7 @@ def _kmer(kind: str):
 
     @query(f"aln_kmer_{name}", sql)
     def run(spark, sf_dir):
-        counts = profile.kmer_counts(profile.alignment_events(alignments(spark, sf_dir)), kind, LENGTH)
+        counts = profile.kmer_counts(profile.alignment_events(alignments(spark, sf_dir, "seq", "read", "cigar", "md")), kind)
         return profile.kmer_probabilities(counts, "b4" if kind == "D" else "out")
 
 
@@ -383,7 +387,7 @@ for _k in "SID":
 
 @query("kmer_rollup", f"WITH {SQL_ERRORS}, k AS (SELECT CAST({_K3} AS INTEGER) AS k3, CAST({_code('ref_base')} AS INTEGER) AS b4, CAST({_code('base')} AS INTEGER) AS out FROM errs WHERE etype = 'S' AND pos >= 3 AND pos < {LENGTH - 1}) SELECT k3, b4, out, count(*) AS n FROM k GROUP BY ROLLUP (k3, b4, out)")
 def kmer_rollup(spark, sf_dir):
-    counts = profile.kmer_counts(profile.alignment_events(alignments(spark, sf_dir)), "S", LENGTH)
+    counts = profile.kmer_counts(profile.alignment_events(alignments(spark, sf_dir, "seq", "read", "cigar", "md")), "S")
     return counts.rollup("k3", "b4", "out").agg(F.sum("n").alias("n"))
 
 
@@ -405,6 +409,15 @@ def aic_best(spark, sf_dir):
     return profile.fit_depth(order_depths(spark, sf_dir))
 
 
+@query("fit_closed_forms", f"""WITH {SQL_ORDERS}, v AS (SELECT CAST(n AS DOUBLE) AS x FROM x WHERE n > 0), s AS (SELECT count(*) AS n, avg(x) AS m, var_pop(x) AS v, avg(ln(x)) AS lm, var_pop(ln(x)) AS lv, sum(ln(x)) AS sl, sum(lgamma(x + 1)) AS sg, sum(x) AS sx, min(x) AS a, max(x) AS b FROM v),
+f AS (SELECT 'normal' AS family, 2 AS k, -n / 2 * ln(2 * pi() * v) - n / 2 AS ll FROM s UNION ALL SELECT 'lognormal', 2, -n / 2 - sl - n * ln(sqrt(lv * 2 * pi())) FROM s UNION ALL SELECT 'exponential', 1, -n - n * ln(m) FROM s
+UNION ALL SELECT 'poisson', 1, sx * ln(m) - n * m - sg FROM s UNION ALL SELECT 'uniform', 2, -n * ln(b - a) FROM s) SELECT family, CAST(k AS INTEGER) AS n_params, round(ll, 2) AS loglik, round(2 * k - 2 * ll, 2) AS aic FROM f""")
+def fit_closed_forms(spark, sf_dir):
+    """The families whose best fit has a closed form."""
+    found = profile.fit_depth(order_depths(spark, sf_dir)).where(F.col("family").isin("normal", "lognormal", "exponential", "poisson", "uniform"))
+    return found.select("family", "n_params", F.round("loglik", 2).alias("loglik"), F.round("aic", 2).alias("aic"))
+
+
 # ---- clusters and consensus
 
 
@@ -415,6 +428,11 @@ def natural_sort_check(spark, sf_dir):
     return consensus.natural_violations(placed.select("place", F.concat(F.lit("read_"), F.col("o_orderkey").cast("string")).alias("name")))
 
 
+def clustered(spark, sf_dir):
+    """Reads with their strand as cluster, as a written table."""
+    return order.written(alignments(spark, sf_dir, "read").select(F.col("ref_idx").alias("cluster_id"), "read"), "clustered")
+
+
 SQL_VOTE = f"""{SQL_ERRORS}, ev AS (SELECT read_id, pos, base, etype, lag(pos, 1, -1) OVER (PARTITION BY read_id ORDER BY pos) AS before, seq FROM errs),
 p AS (SELECT read_id, string_agg(substr(seq, before + 2, pos - before - 1) || CASE etype WHEN 'S' THEN base WHEN 'I' THEN base || substr(seq, pos + 1, 1) ELSE '' END, '' ORDER BY pos) AS head, max(pos) AS last FROM ev GROUP BY read_id),
 m AS (SELECT ref_idx, coalesce(head, '') || substr(seq, coalesce(last + 2, 1)) AS read FROM reads LEFT JOIN p USING (read_id)),
@@ -424,25 +442,23 @@ w AS (SELECT ref_idx, i, count(*) AS n, count(*) FILTER (b = 'A') * 4 + 3 AS a,
 
 @query("majority_vote", f"WITH {SQL_VOTE} SELECT ref_idx AS cluster_id, string_agg(CASE greatest(a, t, g, c) WHEN a THEN 'A' WHEN t THEN 'T' WHEN g THEN 'G' ELSE 'C' END, '' ORDER BY i) AS seq, max(n) AS n_reads FROM w GROUP BY ref_idx")
 def majority_vote(spark, sf_dir):
-    rows = alignments(spark, sf_dir).select(F.col("ref_idx").alias("cluster_id"), "read")
-    return consensus.majority_vote(rows, LENGTH)
+    return consensus.majority_vote(clustered(spark, sf_dir), LENGTH)
 
 
 @query("hamming_to_ref", f"WITH {SQL_ERRORS} SELECT h AS distance, count(*) AS n FROM (SELECT read_id, count(*) FILTER (etype = 'S') AS h FROM reads LEFT JOIN errs USING (read_id) GROUP BY read_id HAVING count(*) FILTER (etype IN ('I', 'D')) = 0) GROUP BY h")
 def hamming_to_ref(spark, sf_dir):
-    aln = alignments(spark, sf_dir).where(F.col("cigar") == f"{LENGTH}M")
-    return aln.groupBy(consensus.hamming(F.col("read"), F.col("seq")).alias("distance")).agg(F.count("*").alias("n"))
+    aln = alignments(spark, sf_dir, "seq", "read", "cigar").where(F.col("cigar") == f"{LENGTH}M")
+    return aln.groupBy(consensus.hamming("read", "seq").alias("distance")).agg(F.count("*").alias("n"))
 
 
 @query("iec_correct")
 def iec_correct(spark, sf_dir):
-    rows = alignments(spark, sf_dir).select(F.col("ref_idx").alias("cluster_id"), "read")
-    return consensus.correct_clusters(rows, LENGTH, near=5, z=5)
+    return consensus.correct_clusters(clustered(spark, sf_dir), LENGTH, near=5, z=5)
 
 
 @query("kmer_clusters")
 def kmer_clusters(spark, sf_dir):
-    return consensus.cluster_reads(alignments(spark, sf_dir).select("read_id", "read"))
+    return consensus.cluster_reads(alignments(spark, sf_dir, "read").select("read_id", "read"))
 
 
 # ---- fountain code
@@ -452,29 +468,85 @@ def kmer_clusters(spark, sf_dir):
 r AS (SELECT d, CASE WHEN d = 1 THEN 1.0 / k ELSE 1.0 / (d * (d - 1)) END + CASE WHEN d < spike THEN s / (k * d) WHEN d = spike THEN greatest(0, s * ln(s / 0.5) / k) ELSE 0 END AS m FROM q, range(1, k + 1) t(d)) SELECT CAST(d AS BIGINT) AS degree, round(m / sum(m) OVER (), 10) AS p FROM r""")
 def soliton_cdf(spark, sf_dir):
     k = bench_segments(spark, sf_dir).count()
-    found = fountain.robust_soliton(k, 0.5, 0.1)
-    return spark.createDataFrame([(i + 1, float(p)) for i, p in enumerate(found)], "degree long, p double").select("degree", F.round("p", 10).alias("p"))
+    return fountain.soliton_table(spark, k, 0.5, 0.1).select("degree", F.round("p", 10).alias("p"))
 
 
 def _file(spark, sf_dir):
-    found = bench_segments(spark, sf_dir).select("seg_idx", "payload").checkpoint()
+    found = order.written(bench_segments(spark, sf_dir), "segments")
     return found, found.count()
 
 
-@query("droplet_xor")
+SQL_SEGMENTS = "b AS (SELECT item_id, lower(hex(encode(text))) AS h FROM benchmark), c AS (SELECT item_id, seg, rpad(substr(h, seg * 64 + 1, 64), 64, '0') AS payload FROM (SELECT *, unnest(range(0, CAST(ceil(length(h) / 64.0) AS BIGINT))) AS seg FROM b)), f AS (SELECT row_number() OVER (ORDER BY item_id, seg) - 1 AS seg_idx, payload FROM c)"
+
+
+#: Droplets 0 to 1.3 K of the benchmark's segments: degree by the soliton's bounds, segments as the first distinct draws.
+SQL_DROPLETS = f"""{SQL_SEGMENTS}, k AS (SELECT count(*) AS k FROM f), sp AS (SELECT k, 0.1 * ln(k / 0.5) * sqrt(k) AS s FROM k), sq AS (SELECT *, least(k, greatest(1, CAST(floor(k / s) AS BIGINT))) AS spike FROM sp),
+sr AS (SELECT d, CASE WHEN d = 1 THEN 1 / CAST(k AS DOUBLE) ELSE 1 / CAST(d * (d - 1) AS DOUBLE) END + CASE WHEN d < spike THEN s / (k * d) WHEN d = spike THEN greatest(0, s * ln(s / 0.5) / k) ELSE 0 END AS m FROM sq, range(1, k + 1) t(d)),
+cdf AS (SELECT d, floor(sum(m) OVER (ORDER BY d) / sum(m) OVER () * {dna.M31 + 1}) AS bound FROM sr),
+dr AS (SELECT CAST(i AS BIGINT) AS droplet, k, {dna.mix_sql("i", "10", SEED)} AS u FROM k, range(0, CAST(floor(k * 1.3) AS BIGINT) + 1) t(i)),
+dg AS (SELECT droplet, k, least(k, 1 + (SELECT count(*) FROM cdf WHERE bound <= u)) AS degree FROM dr),
+dj AS (SELECT droplet, degree, j, {dna.mix_sql("droplet", "(j + 11)", SEED)} % k AS seg FROM (SELECT *, unnest(range(0, degree * 4 + 16)) AS j FROM dg)),
+dk AS (SELECT droplet, degree, seg, row_number() OVER (PARTITION BY droplet ORDER BY min(j)) AS r FROM dj GROUP BY droplet, degree, seg),
+plan AS (SELECT droplet, seg, count(*) OVER (PARTITION BY droplet) AS degree, r FROM dk WHERE r <= degree)"""
+_WORD = "CAST('0x' || substr(payload, {0} * 8 + 1, 8) AS BIGINT)"
+_XORED = " || ".join(f"printf('%08x', bit_xor({_WORD.format(i)}))" for i in range(8))
+
+
+@query("droplet_xor", f"WITH {SQL_DROPLETS} SELECT droplet, CAST(max(degree) AS INTEGER) AS degree, {_XORED} AS payload FROM plan JOIN f ON seg = seg_idx GROUP BY droplet")
 def droplet_xor(spark, sf_dir):
     found, k = _file(spark, sf_dir)
     return fountain.droplets(fountain.droplet_plan(spark, int(k * 1.3) + 1, k, SEED), found).select("droplet", "degree", "payload")
 
 
-SQL_SEGMENTS = "b AS (SELECT item_id, lower(hex(encode(text))) AS h FROM benchmark), c AS (SELECT item_id, seg, rpad(substr(h, seg * 64 + 1, 64), 64, '0') AS payload FROM (SELECT *, unnest(range(0, CAST(ceil(length(h) / 64.0) AS BIGINT))) AS seg FROM b)), f AS (SELECT row_number() OVER (ORDER BY item_id, seg) - 1 AS seg_idx, payload FROM c)"
+@query("oligo_fasta", f"WITH {SQL_DROPLETS} SELECT 'packet ' || droplet || '_' || max(degree) || '_' || string_agg(seg, ',' ORDER BY r) AS name, CAST({fountain.oligo_bases()} AS INTEGER) AS bases FROM plan GROUP BY droplet")
+def oligo_fasta(spark, sf_dir):
+    """Oligos written as FASTA and read again."""
+    found, k = _file(spark, sf_dir)
+    coded = fountain.oligo_names(fountain.oligos(fountain.droplets(fountain.droplet_plan(spark, int(k * 1.3) + 1, k, SEED), found)))
+    path = _new_path(spark, "oligos")
+    source.write_fasta(coded, path, F.col("name"), F.col("dna"), ["droplet"])
+    return source.read_fasta(spark, path).select("name", F.length("seq").alias("bases"))
 
 
 @query("peel_decode", f"WITH {SQL_SEGMENTS} SELECT seg_idx, payload FROM f")
 def peel_decode(spark, sf_dir):
+    return _peeled(spark, *_file(spark, sf_dir))
+
+
+def _peeled(spark, found, k):
+    return fountain.peel(fountain.droplets(fountain.droplet_plan(spark, 2 * k + 20, k, SEED), found))
+
+
+@query("decode_files", "SELECT item_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, md5(text) AS md5 FROM benchmark WHERE text <> ''")
+def decode_files(spark, sf_dir):
+    """Every benchmark item, put together again from the segments that peeling solved."""
+    found, k = _file(spark, sf_dir)
+    sizes = table(spark, sf_dir, "benchmark").select("item_id", F.octet_length("text").cast("long").alias("n_bytes"))
+    layout = found.select("seg_idx", "item_id", "seg").join(sizes, "item_id")
+    return fountain.files(_peeled(spark, found, k), layout).select("item_id", F.octet_length("content").cast("long").alias("n_bytes"), "md5")
+
+
+@query("decode_completion", f"WITH {SQL_SEGMENTS} SELECT count(*) AS segments, count(*) AS solved, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS wrong, true AS complete FROM f")
+def decode_completion(spark, sf_dir):
     found, k = _file(spark, sf_dir)
-    drops = fountain.droplets(fountain.droplet_plan(spark, 2 * k + 20, k, SEED), found)
-    return fountain.peel(drops, k).select(F.col("seg_idx").cast("long").alias("seg_idx"), "payload")
+    return fountain.completion(_peeled(spark, found, k), found)
+
+
+@query("seed_histogram", f"WITH {SQL_SEGMENTS}, k AS (SELECT count(*) AS k FROM f), came AS (SELECT i, {dna.mix_sql('i', '7', SEED)} % 5 AS n FROM k, range(0, 2 * k) t(i)) SELECT CAST(n AS BIGINT) AS n, count(*) AS droplets FROM came WHERE n > 0 GROUP BY n")
+def seed_histogram(spark, sf_dir):
+    """How often each droplet came among reads of which every droplet has none to four."""
+    k = bench_segments(spark, sf_dir).count()
+    copies = F.pmod(dna.mix(F.col("id"), 7, SEED), F.lit(5))
+    got = spark.range(2 * k).select(F.col("id").alias("droplet"), F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return fountain.seed_histogram(got)
+
+
+@query("codec_capacity", f"WITH {SQL_SEGMENTS} SELECT count(*) AS segments, CAST(floor(count(*) * 1.3) AS BIGINT) + 1 AS oligos, CAST({fountain.oligo_bases()} AS INTEGER) AS bases, round(count(*) * 32 * 8 / ((floor(count(*) * 1.3) + 1) * {fountain.oligo_bases()}), 8) AS bits_per_base FROM f")
+def codec_capacity(spark, sf_dir):
+    """Oligos that the benchmark's segments need, their length, and the bits that a base carries."""
+    rows = bench_segments(spark, sf_dir).agg(F.count("*").alias("segments"))
+    n = F.floor(F.col("segments") * 1.3) + 1
+    return rows.select("segments", n.alias("oligos"), F.lit(fountain.oligo_bases()).alias("bases"), F.round(F.col("segments") * 32 * 8 / (n * fountain.oligo_bases()), 8).alias("bits_per_base"))
 
 
 def _damage(dna_text, key):
@@ -487,13 +559,18 @@ def _damage(dna_text, key):
     return text
 
 
-@query("rs_roundtrip", f"WITH {SQL_SEGMENTS} SELECT seg_idx AS droplet, payload FROM f")
+@query("rs_roundtrip", f"WITH {SQL_SEGMENTS} SELECT seg_idx AS droplet, payload, CAST(5 AS INTEGER) AS distance FROM f")
 def rs_roundtrip(spark, sf_dir):
     found, _ = _file(spark, sf_dir)
-    coded = fountain.oligos(found.withColumnRenamed("seg_idx", "droplet"))
+    coded = fountain.oligos(found.select(F.col("seg_idx").alias("droplet"), "payload"))
     return fountain.parse_oligos(coded.select(F.col("droplet").alias("line"), _damage(F.col("dna"), F.col("droplet")).alias("dna")))
 
 
+@query("orf_screen", f"WITH {SQL_STRANDS} SELECT ref_idx, CAST(coalesce(list_max(list_transform(regexp_extract_all(seq, 'ATG{dna.NO_STOP}*{dna.STOP}'), lambda x: length(x))), 0) AS BIGINT) AS longest_frame FROM strands")
+def orf_screen(spark, sf_dir):
+    return strands(spark, sf_dir).select("ref_idx", dna.longest_frame(F.col("seq")).alias("longest_frame"))
+
+
 @query("fountain_roundtrip", f"WITH {SQL_SEGMENTS} SELECT seg_idx, payload FROM f")
 def fountain_roundtrip(spark, sf_dir):
     """Encode with screening, damage, correct, peel; twice as many oligos as segments pass the screen."""
@@ -501,7 +578,7 @@ def fountain_roundtrip(spark, sf_dir):
     coded = fountain.encode_file(found, k, SEED, alpha=1.2, homopolymer=6, gc_slack=0.2)
     got = fountain.parse_oligos(coded.select(F.col("droplet").alias("line"), _damage(F.col("dna"), F.col("droplet")).alias("dna")))
     plan = coded.select("droplet", "seg_ids")
-    return fountain.peel(got.join(plan, "droplet"), k).select(F.col("seg_idx").cast("long").alias("seg_idx"), "payload")
+    return fountain.peel(got.join(plan, "droplet"))
 
 
 # ---- allocation, tables and files
@@ -526,11 +603,8 @@ def base_lut(spark, sf_dir):
 
 @query("cluster_roundtrip", f"WITH {SQL_READS} SELECT CAST(ref_idx AS VARCHAR) AS cluster_id, CAST(copy_idx AS INTEGER) AS ord, 'seq_' || (read_id + 1) AS read_id FROM reads")
 def cluster_roundtrip(spark, sf_dir):
-    import uuid
-
-    prepare(spark)
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/oligoflow/clusters-{uuid.uuid4().hex}"
-    rows = reads(spark, sf_dir).select(F.col("ref_idx").alias("cluster_id"), F.col("copy_idx").cast("int").alias("ord"), F.concat(F.lit("seq_"), (F.col("read_id") + 1).cast("string")).alias("read_id"))
+    path = _new_path(spark, "clusters")
+    rows = read_ids(spark, sf_dir).select(F.col("ref_idx").alias("cluster_id"), F.col("copy_idx").cast("int").alias("ord"), F.concat(F.lit("seq_"), (F.col("read_id") + 1).cast("string")).alias("read_id"))
     source.write_clusters(rows, path)
     return source.read_clusters(spark, path)
 
@@ -539,24 +613,163 @@ def cluster_roundtrip(spark, sf_dir):
 def run_summary(spark, sf_dir):
     from .runs import summary
 
-    rows, errs = reads(spark, sf_dir), errors(spark, sf_dir)
-    return summary(strands(spark, sf_dir), depths(spark, sf_dir), channel.simulate(rows, errs), errs)
+    counted = order.written(depths(spark, sf_dir, "seq"), "depth")
+    return summary(counted, channel.simulate(channel.expand(counted), NOISE, SEED, want=("read", "n_sub", "n_ins", "n_del")))
 
 
 @query("lfsr_seeds", f"WITH RECURSIVE {SQL_SEGMENTS}, k AS (SELECT count(*) AS k FROM f), g AS (SELECT 0 AS i, CAST({fountain.LFSR_START} AS BIGINT) AS s UNION ALL SELECT i + 1, CASE WHEN s * 2 >= 4294967296 THEN xor(s * 2, {fountain.LFSR_POLYNOMIAL}) ELSE s * 2 END FROM g, k WHERE i < k) SELECT CAST(i AS BIGINT) AS i, s AS seed FROM g WHERE i > 0")
 def lfsr_seeds(spark, sf_dir):
-    n = bench_segments(spark, sf_dir).count()
-    return spark.createDataFrame([(i + 1, s) for i, s in enumerate(fountain.lfsr(n))], "i long, seed long")
+    return fountain.lfsr_states(spark, bench_segments(spark, sf_dir).count())
 
 
-@query("spline_resize")
+@query("spline_resize", """WITH RECURSIVE r AS (SELECT CAST(row_number() OVER (ORDER BY l_linenumber) - 1 AS BIGINT) AS i, avg(CAST(l_quantity AS DOUBLE)) AS y FROM lineitem GROUP BY l_linenumber), n AS (SELECT count(*) AS n FROM r),
+d AS (SELECT a.i, 6 * (c.y - 2 * b.y + a.y) AS d FROM r a JOIN r b ON b.i = a.i + 1 JOIN r c ON c.i = a.i + 2),
+f AS (SELECT i, CAST(0.25 AS DOUBLE) AS c, d / 4 AS e FROM d WHERE i = 0 UNION ALL SELECT d.i, 1 / (4 - f.c), (d.d - f.e) / (4 - f.c) FROM f JOIN d ON d.i = f.i + 1),
+g AS (SELECT i, e AS m FROM f WHERE i = (SELECT max(i) FROM f) UNION ALL SELECT f.i, f.e - f.c * g.m FROM g JOIN f ON f.i = g.i - 1),
+m AS (SELECT r.i, y, coalesce(g.m, 0) AS m FROM r LEFT JOIN g ON g.i = r.i - 1),
+x AS (SELECT p, CAST(p * (n - 1) AS DOUBLE) / 20 AS x, least(CAST(floor(p * (n - 1) / 20.0) AS BIGINT), n - 2) AS i FROM range(0, 21) t(p), n),
+s AS (SELECT p, x - x.i AS t, a.y AS y0, b.y AS y1, a.m AS m0, b.m AS m1 FROM x JOIN m a ON a.i = x.i JOIN m b ON b.i = x.i + 1)
+SELECT CAST(p AS INTEGER) AS pos, round(greatest((1 - t) * y0 + t * y1 + ((1 - t) ** 3 - (1 - t)) * m0 / 6 + (t ** 3 - t) * m1 / 6, 0), 6) AS rate FROM s""")
 def spline_resize(spark, sf_dir):
     """Mean quantity of each line number, as rates of a short strand, on 21 places."""
-    import numpy as np
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.avg(F.col("l_quantity").cast("double")).alias("rate"))
+    rows = order.running(rows, ["l_linenumber"], ordinal="pos").select(F.col("pos").cast("int").alias("pos"), "rate")
+    return profile.resize(rows, ("rate",), rows.count(), 21).select("pos", F.round("rate", 6).alias("rate"))
+
+
+# ---- profiles read back, and reports
+
+
+def extracted(spark, sf_dir):
+    """(alignment events, position counts) of the simulated reads."""
+    aligned = order.written(alignments(spark, sf_dir, "seq", "read", "cigar", "md"), "aligned")
+    return order.written(profile.alignment_events(aligned), "events"), order.written(profile.position_counts(aligned), "counts")
+
+
+SQL_RATES = f"n AS (SELECT count(*) AS n FROM reads), cnt AS (SELECT pos, count(*) FILTER (etype = 'S') AS s, count(*) FILTER (etype = 'I') AS i, count(*) FILTER (etype = 'D') AS d FROM errs GROUP BY pos), rates AS (SELECT CAST(p AS INTEGER) AS pos, n - coalesce(d, 0) AS cover, round(coalesce(s, 0) / greatest(n - coalesce(d, 0), 1), 10) AS sub, round(coalesce(i, 0) / greatest(n - coalesce(d, 0), 1), 10) AS ins, round(coalesce(d, 0) / greatest(n - coalesce(d, 0), 1), 10) AS del FROM range(0, {LENGTH}) t(p) CROSS JOIN n LEFT JOIN cnt ON cnt.pos = p)"
+
+
+@query("profile_bounds", f"WITH {SQL_ERRORS}, {SQL_RATES} SELECT pos, CAST(floor(sub * 2147483648) AS BIGINT) AS b0, CAST(floor((sub + ins) * 2147483648) AS BIGINT) AS b1, CAST(floor((sub + ins + del) * 2147483648) AS BIGINT) AS b2 FROM rates")
+def profile_bounds(spark, sf_dir):
+    """The bounds of each position that a run by the extracted profile draws with."""
+    from .runs import noise_of
+
+    events, counts = extracted(spark, sf_dir)
+    rates = profile.position_rates(counts, LENGTH).select("pos", *[F.col(f"{k}_rate").alias(k) for k in ("sub", "ins", "del")])
+    noise = noise_of(rates, profile.base_counts(events), LENGTH)
+    rows = [(p, *(int(b) for b in row)) for p, row in enumerate(noise.bounds())]  # one row for each position
+    return spark.createDataFrame(rows, "pos int, b0 long, b1 long, b2 long")
+
+
+@query("simulate_profile", f"WITH {SQL_ERRORS}, {SQL_RATES}, pb AS (SELECT list(CAST(floor(sub * 2147483648) AS BIGINT) ORDER BY pos) AS b0, list(CAST(floor((sub + ins) * 2147483648) AS BIGINT) ORDER BY pos) AS b1, list(CAST(floor((sub + ins + del) * 2147483648) AS BIGINT) ORDER BY pos) AS b2 FROM rates), {dna.mix_ctes('again', f'SELECT read_id, CAST(p AS INTEGER) AS pos, read_id * {LENGTH} + p AS key FROM (SELECT read_id, unnest(range(0, {LENGTH})) AS p FROM reads)', 'key', 2, SEED + 1, 'u < 200000000')} SELECT CASE WHEN u < b0[pos + 1] THEN 'S' WHEN u < b1[pos + 1] THEN 'I' ELSE 'D' END AS etype, pos, count(*) AS n FROM again, pb WHERE u < b2[pos + 1] GROUP BY ALL")
+def simulate_profile(spark, sf_dir):
+    """Errors of a second run, by the profile extracted from the first."""
+    from .runs import noise_of
+
+    events, counts = extracted(spark, sf_dir)
+    rates = profile.position_rates(counts, LENGTH).select("pos", *[F.col(f"{k}_rate").alias(k) for k in ("sub", "ins", "del")])
+    kmers = {k: profile.kmer_counts(events, k) for k in "SI"}
+    noise = noise_of(rates, profile.base_counts(events), LENGTH, kmers)
+    return channel.errors(reads(spark, sf_dir), noise, SEED + 1).groupBy("etype", "pos").agg(F.count("*").alias("n"))
+
+
+@query("aln_summary", f"WITH {SQL_ERRORS}, {SQL_RATES}, cov AS (SELECT CAST(sum(cover) AS BIGINT) AS covered FROM rates), e AS (SELECT count(*) FILTER (etype = 'S') AS n_sub, count(*) FILTER (etype = 'I') AS n_ins, count(*) FILTER (etype = 'D') AS n_del FROM errs) SELECT n AS n_reads, n AS n_mapped, covered, n_sub, n_ins, n_del, CAST(1 AS DOUBLE) AS mapping_rate, round(n_sub / covered, 10) AS sub_rate, round(n_ins / covered, 10) AS ins_rate, round(n_del / covered, 10) AS del_rate FROM n, cov, e")
+def aln_summary(spark, sf_dir):
+    events, counts = extracted(spark, sf_dir)
+    n = F.lit(depths(spark, sf_dir).agg(F.sum("n_reads")).first()[0])
+    return profile.overall(counts, profile.base_counts(events), n, n)
+
+
+_MATRIX = ", ".join(f"count(*) FILTER (base = '{b}') AS \"{b}\"" for b in dna.CHANNEL)
+
+
+@query("aln_matrix", f"WITH {SQL_ERRORS} SELECT etype AS kind, CASE WHEN etype = 'I' THEN '-' ELSE ref_base END AS ref_base, {_MATRIX} FROM errs GROUP BY 1, 2")
+def aln_matrix(spark, sf_dir):
+    return profile.base_matrix(profile.base_counts(profile.alignment_events(alignments(spark, sf_dir, "read", "cigar", "md"))))
+
+
+@query("aln_kmer_full", f"WITH {SQL_ERRORS}, every AS (SELECT CAST(i // 16 AS INTEGER) AS k3, CAST(i // 4 % 4 AS INTEGER) AS b4, CAST(i % 4 AS INTEGER) AS out FROM range(0, 1024) t(i)), seen AS (SELECT {_K3} AS k3, {_code('ref_base')} AS b4, {_code('base')} AS out, count(*) AS n FROM errs WHERE etype = 'S' AND pos >= 3 AND pos < {LENGTH - 1} GROUP BY ALL), j AS (SELECT every.*, coalesce(n, 0) AS n FROM every LEFT JOIN seen USING (k3, b4, out)) SELECT k3, b4, out, round(CASE WHEN sum(n) OVER w > 0 THEN n / sum(n) OVER w ELSE 0.25 END, 10) AS p FROM j WINDOW w AS (PARTITION BY k3, b4)")
+def aln_kmer_full(spark, sf_dir):
+    return profile.kmer_full(profile.kmer_counts(profile.alignment_events(alignments(spark, sf_dir, "seq", "read", "cigar", "md")), "S"))
+
+
+@query("inserted_shares", f"WITH {SQL_ERRORS}, seen AS (SELECT b AS base, k, count(errs.base) AS n FROM (SELECT unnest(['A', 'T', 'C', 'G']) AS b, unnest([1, 2, 3, 4]) AS k) LEFT JOIN errs ON errs.base = b AND etype = 'I' GROUP BY ALL) SELECT base, round(n / sum(n) OVER (), 10) AS p, round(sum(n) OVER (ORDER BY k) / sum(n) OVER (), 10) AS cum FROM seen")
+def inserted_shares(spark, sf_dir):
+    return profile.inserted_shares(errors(spark, sf_dir).where("etype = 'I'").groupBy("base").agg(F.count("*").alias("n")))
+
+
+@query("rate_consistency", f"WITH {SQL_ERRORS}, {SQL_RATES} SELECT CAST(0 AS DOUBLE) AS gap, max(abs(round(sub + ins + del, 9) - (sub + ins + del))) < 1e-6 AS consistent FROM rates")
+def rate_consistency(spark, sf_dir):
+    rates = profile.position_rates(profile.position_counts(alignments(spark, sf_dir, "read", "cigar", "md")), LENGTH)
+    found = profile.rate_consistency(rates.select(*[F.col(f"{k}_rate").alias(k) for k in ("total", "sub", "ins", "del")]))
+    return found.select(F.round("gap", 6).alias("gap"), "consistent")
+
+
+@query("rate_texts", f"WITH {SQL_ERRORS}, {SQL_RATES} SELECT pos, CASE WHEN sub = 0 THEN '0' WHEN sub >= 0.01 THEN printf('%.2f%%', sub * 100) WHEN sub >= 0.00001 THEN printf('%.4f%%', sub * 100) ELSE printf('%.2e', sub) END AS sub_text FROM rates")
+def rate_texts(spark, sf_dir):
+    from .runs import rate_text
+
+    rates = profile.position_rates(profile.position_counts(alignments(spark, sf_dir, "read", "cigar", "md")), LENGTH)
+    return rates.select("pos", rate_text(F.col("sub_rate")).alias("sub_text"))
+
+
+@query("truth_strings", f"""WITH {SQL_ERRORS},
+runs AS (SELECT read_id, pos, etype, ref_base, pos - coalesce(lag(CASE WHEN etype = 'D' THEN pos + 1 ELSE pos END) OVER w, 0) AS m, coalesce(lag(etype) OVER w, '') AS last FROM errs WHERE etype <> 'S' WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+heads AS (SELECT *, sum(CASE WHEN etype = 'D' AND last = 'D' AND m = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY read_id ORDER BY pos) AS g FROM runs),
+groups AS (SELECT read_id, g, min_by(m, pos) AS m, any_value(etype) AS op, count(*) AS n, max(CASE WHEN etype = 'D' THEN pos + 1 ELSE pos END) AS stop FROM heads GROUP BY read_id, g),
+cig AS (SELECT read_id, string_agg(CASE WHEN m > 0 THEN m || 'M' ELSE '' END || n || op, '' ORDER BY g) || CASE WHEN {LENGTH} - max(stop) > 0 THEN ({LENGTH} - max(stop)) || 'M' ELSE '' END AS cigar FROM groups GROUP BY read_id),
+marks AS (SELECT read_id, pos, etype, ref_base, pos - coalesce(lag(pos + 1) OVER w, 0) AS m, coalesce(lag(etype) OVER w, '') AS last FROM errs WHERE etype <> 'I' WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+mds AS (SELECT read_id, string_agg(CASE WHEN etype = 'D' AND last = 'D' AND m = 0 THEN ref_base ELSE m || CASE WHEN etype = 'D' THEN '^' ELSE '' END || ref_base END, '' ORDER BY pos) || ({LENGTH} - max(pos) - 1) AS md FROM marks GROUP BY read_id)
+SELECT read_id, coalesce(cigar, '{LENGTH}M') AS cigar, coalesce(md, '{LENGTH}') AS md FROM reads LEFT JOIN cig USING (read_id) LEFT JOIN mds USING (read_id)""")
+def truth_strings(spark, sf_dir):
+    return alignments(spark, sf_dir, "cigar", "md").select("read_id", "cigar", "md")
+
+
+@query("aln_offset", f"WITH {SQL_ERRORS} SELECT etype AS kind, pos + ref_idx % 50 AS pos, count(*) AS n FROM errs GROUP BY ALL")
+def aln_offset(spark, sf_dir):
+    """Events of alignments that start at another place of each reference."""
+    aligned = alignments(spark, sf_dir, "read", "cigar", "md").withColumn("ref_start", (F.col("ref_idx") % 50).cast("int"))
+    return profile.alignment_events(aligned).groupBy("kind", F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"))
+
+
+@query("shuffle_mapping", f"WITH {SQL_READS} SELECT read_id // {CHUNK} AS chunk_idx, count(*) AS dealt, count(*) AS n_reads FROM reads GROUP BY ALL")
+def shuffle_mapping(spark, sf_dir):
+    """What the allocation deals out of each chunk, beside what the chunk has."""
+    chunks = order.written(channel.chunk_meta(channel.pack_chunks(depths(spark, sf_dir), CHUNK)), "chunks")
+    dealt = order.allocate(chunks, 2).groupBy("chunk_idx").agg(F.sum("n").alias("dealt"))
+    return dealt.join(chunks.select("chunk_idx", "n_reads"), "chunk_idx")
+
+
+@query("simple_chunks", f"WITH {SQL_PLAN}, {SQL_STRANDS}, r AS (SELECT CAST(sum(plan.n) AS BIGINT) AS n FROM strands JOIN plan USING (ref_idx)) SELECT CAST(i AS BIGINT) AS chunk_idx, CAST(i * {CHUNK} AS BIGINT) AS first_read, CAST(least((i + 1) * {CHUNK}, n) - 1 AS BIGINT) AS last_read, CAST(least((i + 1) * {CHUNK}, n) - i * {CHUNK} AS BIGINT) AS n_reads FROM r, range(0, CAST(ceil(n / {CHUNK}) AS BIGINT)) t(i)")
+def simple_chunks(spark, sf_dir):
+    from .runs import simple_chunks as cut
+
+    return cut(_explicit(spark, sf_dir)[0], CHUNK)
+
+
+@query("fasta_preview", f"WITH {SQL_STRANDS}, later AS (SELECT ref_idx FROM strands WHERE ref_idx >= 2 ORDER BY {dna.mix_sql('ref_idx', '6', SEED)}, ref_idx LIMIT 1) SELECT ref_idx AS place, 'seq_' || (ref_idx + 1) AS name, seq FROM strands WHERE ref_idx < 2 OR ref_idx IN (SELECT ref_idx FROM later)")
+def fasta_preview(spark, sf_dir):
+    """The first two strands and one more, drawn: a preview, so its limit is the feature."""
+    from .runs import preview
+
+    rows = order.written(strands(spark, sf_dir), "strands")
+    return preview(rows.select(F.col("ref_idx").alias("place"), F.concat(F.lit("seq_"), (F.col("ref_idx") + 1).cast("string")).alias("name"), "seq"), SEED)
+
+
+@query("common_piece", "WITH s AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part), q AS (SELECT p_partkey, i, n, substr(a, i, n) AS piece FROM (SELECT *, unnest(range(1, length(a) - i + 2)) AS n FROM (SELECT *, unnest(range(1, length(a) + 1)) AS i FROM s)) WHERE contains(b, substr(a, i, n))) SELECT p.p_partkey, coalesce(arg_max(piece, n * 1000 - i), '') AS piece FROM part p LEFT JOIN q USING (p_partkey) GROUP BY p.p_partkey")
+def common_piece(spark, sf_dir):
+    """The longest string that a part's name and type have in common."""
+    parts = table(spark, sf_dir, "part")
+    return parts.select("p_partkey", consensus.common_piece(F.lower("p_name"), F.lower("p_type"), F.lit(1 << 20)).alias("piece"))
+
 
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.avg(F.col("l_quantity").cast("double")).alias("r")).orderBy("l_linenumber").collect()  # seven rows
-    found = profile.spline_resize(np.array([r["r"] for r in rows]), 21)
-    return spark.createDataFrame([(i, round(float(x), 8)) for i, x in enumerate(found)], "pos int, rate double")
+@query("match_ids", "WITH r AS (SELECT 'read_' || c_custkey || '/1' AS name FROM customer), m AS (SELECT DISTINCT CASE WHEN o_custkey % 2 = 0 THEN 'read_' || o_custkey || '/1' ELSE 'read_' || o_custkey END AS read_id FROM orders) SELECT read_id, coalesce((SELECT min(name) FROM r WHERE name = read_id), (SELECT min(name) FROM r WHERE starts_with(name, read_id))) AS name FROM m")
+def match_ids(spark, sf_dir):
+    """Cluster members by name, or by a name that begins with theirs."""
+    named = table(spark, sf_dir, "customer").select(F.concat(F.lit("read_"), F.col("c_custkey").cast("string"), F.lit("/1")).alias("name"), F.col("c_name").alias("read"))
+    whole = F.concat(F.lit("read_"), F.col("o_custkey").cast("string"), F.when(F.col("o_custkey") % 2 == 0, "/1").otherwise(""))
+    members = table(spark, sf_dir, "orders").select(whole.alias("read_id")).distinct()
+    return consensus.match_ids(members, named).select("read_id", "name")
 
 
 def queries() -> dict:

@@ -9,22 +9,32 @@ from ..functions import dna
 from ..operators.order import running
 
 
-def segments(rows: DataFrame, key: str, data: Column, size: int = 32) -> DataFrame:
-    """(key, seg, payload hex) of each row's bytes, cut into pieces of size bytes, the last padded with zero bytes."""
-    digits = F.lower(F.hex(data))
-    n = F.ceil(F.length(digits) / (2 * size)).cast("int")
-    cut = rows.select(key, digits.alias("_hex"), n.alias("_n")).where("_n > 0").select(key, "_hex", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("seg"))
-    piece = F.rpad(F.substring("_hex", F.col("seg") * (2 * size) + 1, F.lit(2 * size)), 2 * size, "0")
-    return cut.select(key, "seg", piece.alias("payload"))
+def segments(rows: DataFrame, key: str, data: Column, size: int = 32, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, seg, payload hex) of each row's bytes, cut into pieces of size bytes, the last padded with zero bytes.
+
+    The cut is made in the bytes, where a place is found at once, and each piece is spelt out by itself.
+    """
+    n = F.ceil(F.length("_data") / size).cast("int")
+    cut = rows.select(key, *keep, data.alias("_data")).where(F.length("_data") > 0).withColumn("seg", F.explode(F.sequence(F.lit(0), n - 1)))
+    piece = F.rpad(F.lower(F.hex(F.substring("_data", F.col("seg") * size + 1, F.lit(size)))), 2 * size, "0")
+    return cut.select(key, *keep, "seg", piece.alias("payload"))
 
 
 def strands_of(rows: DataFrame, key: str, text: str, size: int = 32) -> DataFrame:
-    """(ref_idx, key, seg, seq): strands of 4 * size bases; ref_idx numbers them by key (unique), then segment."""
+    """(ref_idx, key, seg, seq): strands of 4 * size bases; ref_idx numbers them by key (unique), then segment.
+
+    Rows meet their first number before they are cut, so whole rows are joined and strands never are.
+    """
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     sizes = rows.select(key, F.ceil(F.length(data) / size).cast("long").alias("_n"))
     places = running(sizes, [key], F.col("_n"), before="_base").select(key, "_base")
-    cut = segments(rows, key, data, size).join(places, key)
-    return cut.select((F.col("_base") + F.col("seg")).alias("ref_idx"), key, "seg", dna.hex_to_dna(F.col("payload")).alias("seq"))
+    cut = segments(rows.select(key, text).join(places, key), key, data, size, ("_base",))
+    return cut.select((F.col("_base") + F.col("seg")).alias("ref_idx"), key, "seg", dna.hex_to_dna(F.col("payload"), 2 * size).alias("seq"))
+
+
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of binary files, to be cut by segments."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

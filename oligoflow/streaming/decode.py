@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import dna
-from ..operators.fountain import rs_correct
+from ..operators.fountain import rs_correct, seed_droplet
 from ..sources.strands import decoder_lines
 
 
 def decode_stream(spark: SparkSession, folder: str, out: str, state: str) -> StreamingQuery:
-    """Read text files of reads from folder and append (droplet, payload) to out, once for each droplet."""
+    """Read text files of reads from folder and append (droplet, payload) to out, once for each droplet.
+
+    The state holds every droplet seen, as there is no time after which one can't come again; a file has about as many
+    droplets as segments, so the state's bound is the size of the file that is decoded.
+    """
     reads = decoder_lines(spark.readStream.text(folder))
     data = reads.select(F.lower(F.hex(rs_correct(dna.dna_decode(F.col("dna"))))).alias("_h")).where("_h is not null")
-    found = data.select(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long").alias("droplet"), F.substring("_h", 9, 1 << 20).alias("payload"))
+    found = data.select(seed_droplet(F.conv(F.substring("_h", 1, 8), 16, 10)).alias("droplet"), F.substring("_h", 9, 1 << 20).alias("payload"))
     once = found.dropDuplicates(["droplet"])
     return once.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(out)

@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from oligoflow.functions import batch
 from oligoflow.functions import depth as depth_tables
 from oligoflow.functions import dna
 from oligoflow.operators import channel, order
@@ -29,10 +32,13 @@ def events_of(text):
 @pytest.fixture(scope="module")
 def aligned(spark):
     prepare(spark)
-    rows = [(i, STRAND, events_of(text)) for i, (text, *_) in enumerate(CASES)]
-    df = spark.createDataFrame(rows, f"read_id long, seq string, events array<struct<{', '.join(c.replace(' ', ':') for c in channel.EVENT.split(', '))}>>")
-    n, e = F.length("seq"), F.col("events")
-    return df.select("read_id", F.lit(0).cast("long").alias("ref_idx"), "seq", channel.mutated(F.col("seq"), e).alias("read"), channel.cigar(n, e).alias("cigar"), channel.md(n, e).alias("md"))
+    flat = [(i, *e) for i, (text, *_) in enumerate(CASES) for e in events_of(text)]
+    row, pos = (np.array([e[k] for e in flat]) for k in (0, 1))
+    kind, base, ref = (np.array([ord(e[k] or "\0") for e in flat], np.uint8) for k in (2, 3, 4))
+    letters, n = batch.matrix(pa.array([STRAND] * len(CASES)), len(STRAND)), len(CASES)
+    reads = batch.mutated(letters, row, pos, kind, base).to_pylist()
+    cigars, mds = batch.cigar(n, 10, row, pos, kind).to_pylist(), batch.md(n, 10, row, pos, kind, ref).to_pylist()
+    return spark.createDataFrame(list(zip(range(n), [0] * n, [STRAND] * n, reads, cigars, mds)), "read_id long, ref_idx long, seq string, read string, cigar string, md string")
 
 
 def test_cigar_and_md(aligned):
@@ -40,6 +46,12 @@ def test_cigar_and_md(aligned):
     assert [got[i] for i in range(len(CASES))] == [(c, m) for _, c, m in CASES]
 
 
+def test_draws_are_those_of_the_column(spark):
+    keys = [0, 1, 127, 2**31 + 5, 2**41 + 77]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", dna.mix(F.col("k"), 3, 42).alias("u")).collect()
+    assert {r.k: r.u for r in rows} == dict(zip(keys, batch.draws(np.array(keys), 3, 42).tolist()))
+
+
 def test_reads_and_their_strand_again(aligned):
     rows = aligned.select("read_id", "read", channel.rebuild(F.col("read"), F.col("cigar"), F.col("md")).alias("again")).collect()
     for r in rows:
@@ -55,8 +67,21 @@ def test_alignment_events_are_the_planted_ones(aligned):
     got = sorted((r.read_id, r.kind, r.pos, r.ref_base, r.read_base) for r in profile.alignment_events(aligned).collect() if r.kind != "I")
     want = sorted((i, k, p, ref, b if k == "S" else None) for i, (t, *_) in enumerate(CASES) for p, k, b, ref in events_of(t) if k != "I")
     assert got == want
-    cover = {r.pos: r.coverage for r in profile.coverage(aligned).collect()}
-    assert cover == {p: len(CASES) - sum(f"D{p}" in t.split() for t, *_ in CASES) for p in range(10)}
+    rows = {r.pos: r for r in profile.position_counts(aligned).collect()}
+    for p in range(10):
+        count = {k: sum(f"{k}{p}" in t.split() for t, *_ in CASES) for k in "SID"}
+        assert (rows[p].coverage, rows[p].n_sub, rows[p].n_ins, rows[p].n_del) == (len(CASES) - count["D"], count["S"], count["I"], count["D"])
+
+
+def test_alignments_may_start_anywhere(spark):
+    from oligoflow.operators import profile
+
+    rows = [("a", 0, 3, "2S2M1I3M1D2M", "1A3^G0C1", "TTACGTTTCA", "ACGTCGATTTGGTA"), ("b", 0, 0, "4M", "4", "ACGT", "ACGTCGATTTGGTA"), ("c", 1, None, "2M", "0G1", "AC", "GC")]
+    df = spark.createDataFrame(rows, "read_id string, ref_idx long, ref_start int, cigar string, md string, read string, seq string")
+    got = sorted((r.read_id, r.pos, r.kind, r.ref_base, r.read_base) for r in profile.alignment_events(df).collect())
+    assert got == [("a", 4, "S", "A", "C"), ("a", 5, "I", None, "G"), ("a", 8, "D", "G", None), ("a", 9, "S", "C", "C"), ("c", 0, "S", "G", "A")]
+    cover = {r.pos: r.coverage for r in profile.position_counts(df.where("ref_idx = 0")).collect() if r.coverage}
+    assert cover == {0: 1, 1: 1, 2: 1, 3: 2, 4: 1, 5: 1, 6: 1, 7: 1, 9: 1, 10: 1}
 
 
 def test_explicit_places(spark):
@@ -71,14 +96,67 @@ def test_explicit_places(spark):
 def test_quota_is_exact_and_smallest(spark):
     prepare(spark)
     reads = spark.range(3000).select(F.col("id").alias("read_id"), F.lit(0).cast("long").alias("ref_idx"), F.lit("A" * 16).alias("seq"))
-    rates, n = (30.0, 10.0, 15.0), 3000
-    counts = {}
-    for slack in (3.0, 0.5):  # the second is too narrow and falls back on all reads
-        found = channel.quota_errors(reads, 5, rates, 16, slack).collect()
-        counts[slack] = sorted((r.pos, r.read_id, r.etype) for r in found)
-    assert counts[3.0] == counts[0.5]
+    noise, n = channel.standard_noise(16, (30.0, 10.0, 15.0)), 3000
+    found = []
+    for sigmas in (8.0, 0.01):  # the second window is too narrow and must be widened
+        cuts = channel.error_cuts(reads.select("read_id"), noise, 5, sigmas)
+        found.append(sorted((r.pos, r.read_id, r.etype) for r in channel.errors(reads, noise, 5, cuts).collect()))
+    assert found[0] == found[1]
+    u = batch.draws(np.arange(n)[:, None] * 16 + np.arange(16), 2, 5)
     for pos in range(16):
-        assert sum(p == pos for p, *_ in counts[3.0]) == round(n * channel.position_bounds(16, rates)[pos][2] / 2**31)
+        quota = int(np.rint(n * noise.rates[pos].sum()))
+        assert sorted(r for p, r, _ in found[0] if p == pos) == sorted(np.lexsort((np.arange(n), u[:, pos]))[:quota].tolist())
+    none = channel.error_cuts(reads.select("read_id"), channel.standard_noise(16, (0.0, 0.0, 0.0)), 5)
+    assert channel.errors(reads, noise, 5, none).count() == 0 and (none.draw == -1).all()
+
+
+def test_batches_agree_with_a_plain_loop(spark):
+    """Placement, bases by context, reads and truth of random strands, one base at a time."""
+    rng = random.Random(5)
+    kmer = np.sort(np.random.default_rng(2).integers(0, batch.BASE_DRAWS, (2, 256, 3)), axis=2)
+    noise = channel.standard_noise(30, (60.0, 40.0, 50.0), kmer)
+    strands = ["".join(rng.choices("ACGT", k=30)) for _ in range(200)]
+    df = spark.createDataFrame([(i * 7, i, s) for i, s in enumerate(strands)], "read_id long, ref_idx long, seq string")
+    got = {r.ref_idx: r for r in channel.simulate(df, noise, 9).collect()}
+    bounds, code = noise.bounds(), "ATCG".index
+    draw = lambda key, stream: int(batch.draws(np.array([key]), stream, 9)[0])
+    for i, strand in enumerate(strands):
+        out, n = "", {"S": 0, "I": 0, "D": 0}
+        for p, ref in enumerate(strand):
+            u, v = draw(i * 210 + p, 2), draw(i * 210 + p, 4) % batch.BASE_DRAWS
+            kind = next((k for k, b in zip("SID", bounds[p]) if u < b), None)
+            if kind:
+                n[kind] += 1
+            if kind in ("S", "I"):
+                if 3 <= p < 28:
+                    index = 64 * code(strand[p - 3]) + 16 * code(strand[p - 2]) + 4 * code(strand[p - 1]) + code(ref)
+                    base = "ATCG"[sum(v >= b for b in kmer["SI".index(kind), index])]
+                elif kind == "S":
+                    base = "ATCG".replace(ref, "")[sum(v >= b for b in noise.subs[code(ref)])]
+                else:
+                    base = "ATCG"[sum(v >= b for b in noise.ins)]
+                out += base if kind == "S" else base + ref
+            elif kind is None:
+                out += ref
+        assert (got[i].read, got[i].n_sub, got[i].n_ins, got[i].n_del) == (out, n["S"], n["I"], n["D"])
+    again = channel.simulate(df, noise, 9).select("ref_idx", channel.rebuild(F.col("read"), F.col("cigar"), F.col("md")).alias("s")).collect()
+    assert all(r.s == strands[r.ref_idx] for r in again)
+
+
+def test_hot_references_are_cut_into_spans(spark, monkeypatch):
+    monkeypatch.setattr(channel, "SPAN", 7)
+    df = spark.createDataFrame([(0, 20, 0), (1, 0, 20), (2, 1, 20), (3, 7, 21)], "ref_idx long, n_reads long, first_read long")
+    got = sorted((r.read_id, r.ref_idx, r.copy_idx) for r in channel.expand(df).collect())
+    assert got == [(i, 0, i) for i in range(20)] + [(20, 2, 0)] + [(21 + i, 3, i) for i in range(7)]
+
+
+def test_deep_references_are_looked_up_in_batches(spark):
+    df = spark.range(2000).select(F.col("id").alias("ref_idx"))
+    found = channel.sample_depth(df, "gamma", 900.0, 1.3, 3)
+    bounds = depth_tables.depth_cdf("gamma", depth_tables.depth_params("gamma", 900.0, 1.3))
+    assert len(bounds) > channel.TREE
+    u = batch.draws(np.arange(2000), 0, 3)
+    assert [r.n_reads for r in found.orderBy("ref_idx").collect()] == np.searchsorted(np.array(bounds), u, side="right").tolist()
 
 
 def test_numbering_spans_partitions(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oligoflow.functions import dna
 from oligoflow.operators import consensus, fountain, profile
 from oligoflow.plans.queries import prepare
 from oligoflow.sources import strands
@@ -43,8 +44,8 @@ def test_peeling_gives_the_segments_back(spark):
         for s in r.seg_ids:
             x ^= int(want[s], 16)
         assert int(r.payload, 16) == x and len(set(r.seg_ids)) == r.degree
-    assert {r.seg_idx: r.payload for r in fountain.peel(drops, 40).collect()} == want
-    assert fountain.peel(drops.limit(0), 40).count() == 0
+    assert {r.seg_idx: r.payload for r in fountain.peel(drops).collect()} == want
+    assert fountain.peel(drops.limit(0)).count() == 0
 
 
 def test_file_through_oligos(spark):
@@ -65,19 +66,101 @@ def test_vote_ties_and_missing(spark):
     assert consensus.majority_vote(four, 2, z=5).first().seq == "ZZ"
 
 
-def test_realign_mends_one_indel():
+def distance(a, b):
+    """Edit distance by the full table."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row = list(accumulate_row(row, i, x, b))
+    return row[-1]
+
+
+def accumulate_row(row, i, x, b):
+    left = i + 1
+    yield left
+    for j, y in enumerate(b):
+        left = min(row[j] + (x != y), row[j + 1] + 1, left + 1)
+        yield left
+
+
+def test_alignment_is_the_best_within_its_band():
+    """Edits by the full table wherever the band is wide enough, and letters that cost as many edits as they say."""
     rng = random.Random(3)
-    good = 0
-    for _ in range(100):
-        model = "".join(rng.choices("ACGT", k=60))
-        at = rng.randrange(10, 50)
-        lost = consensus.realign(model[:at] + model[at + 1 :], model)
-        extra = consensus.realign(model[:at] + rng.choice("ACGT") + model[at:], model)
-        assert len(lost) == len(extra) == 60
-        good += sum(a != b for a, b in zip(lost, model)) <= 2
-        good += sum(a != b for a, b in zip(extra, model)) <= 2
-    assert good > 150
-    assert consensus.realign("A" * 60, "C" * 60) == "Z" * 60
+    models, reads = [], []
+    for _ in range(300):
+        model = "".join(rng.choices("ACGT", k=40))
+        read = list(model)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(read))
+            read[at : at + rng.randint(0, 1)] = rng.choice(["", "A", "C", "G", "T"])
+        models.append(model)
+        reads.append("".join(read))
+    letters, edits = consensus.align(reads, models, 4)
+    for model, read, row, n in zip(models, reads, letters, edits):
+        assert n == distance(read, model)
+        line = bytes(row).decode()
+        lost, wrong = line.count("Z"), sum(a not in (b, "Z") for a, b in zip(line, model))
+        assert lost + wrong + (len(read) - (len(model) - lost)) == n
+    far, edits = consensus.align(["A" * 30, ""], ["C" * 40] * 2, 2)
+    assert bytes(far[0]) == b"Z" * 40 == bytes(far[1]) and (edits > 40).all()
+
+
+def test_correction_follows_its_rules_read_by_read(spark):
+    rng = random.Random(8)
+    rows = []
+    for c in range(12):
+        ref = "".join(rng.choices("ACGT", k=30))
+        for _ in range(7):
+            t = list(ref)
+            for _ in range(rng.choice([0, 1, 1, 7])):
+                t[rng.randrange(len(t))] = rng.choice("ACGT")
+            if rng.random() < 0.4:
+                at = rng.randrange(30)
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", "A"])
+            rows.append((c, "".join(t)))
+    rows += [(50, "ACG"), (51, None), (None, "A" * 30)]
+
+    def vote(reads, z):
+        out = ""
+        for p in range(30):
+            n = {b: sum(r[p] == b for r in reads) for b in "ATGC"}
+            out += "Z" if z and max(n.values()) < z and len(set(n.values())) == 1 else max("ATGC", key=lambda b: n[b])
+        return out
+
+    want = {}
+    for c in range(12):
+        mine = [r for k, r in rows if k == c]
+        model = vote([r for r in mine if len(r) == 30], 5)
+        kept = []
+        for r in mine:
+            if len(r) == 30 and sum(a != b for a, b in zip(r, model)) < 5:
+                kept.append(r)
+                continue
+            line = bytes(consensus.align([r], [model], 2)[0][0]).decode()
+            if line.count("Z") < 5 and sum(a != b for a, b in zip(line, model)) < 5:
+                kept.append(line)
+            elif len(r) == 30:
+                kept.append(r)
+        want[c] = vote(kept, 0)
+    df = spark.createDataFrame(rows, "cluster_id long, read string")
+    assert {r.cluster_id: r.seq for r in consensus.correct_clusters(df, 30).collect()} == want
+
+
+def test_votes_of_a_hot_cluster_are_added_up(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(c, "".join(rng.choices("ACGT", weights=(5, 2, 2, 1), k=12))) for c in (1, 1, 1, 1, 2, 3) for _ in range(90 if c == 1 else 3)]
+    df = spark.createDataFrame(rows, "cluster_id long, read string")
+    plain = sorted(tuple(r) for r in consensus.majority_vote(df, 12).collect())
+    monkeypatch.setattr(consensus, "HOT", 7)
+    assert sorted(tuple(r) for r in consensus.majority_vote(df, 12).collect()) == plain and len(plain) == 3
+
+
+def test_common_pieces_and_names(spark):
+    rows = [("abcdxyz", "zzabcdyz", 99), ("abcdxyz", "zzabcdyz", 2), ("abc", "", 5), (None, "a", 5)]
+    got = [r.p for r in spark.createDataFrame(rows, "a string, b string, n int").select(consensus.common_piece("a", "b", "n").alias("p")).collect()]
+    assert got == ["abcd", "ab", "", ""]
+    members = spark.createDataFrame([("r1", 0), ("r2/1", 1), ("q", 2)], "read_id string, ord int")
+    reads = spark.createDataFrame([("r2/1", "C"), ("r11", "A"), ("r10", "G")], "name string, read string")
+    assert {r.read_id: (r.name, r.read) for r in consensus.match_ids(members, reads).collect()} == {"r1": ("r10", "G"), "r2/1": ("r2/1", "C"), "q": (None, None)}
 
 
 def test_correction_restores_strands(spark):
@@ -110,11 +193,37 @@ def test_fit_prefers_the_true_family(spark):
     assert profile.fit_depth(spark.createDataFrame([(1,)], "n_reads long")).first().family == "normal"
 
 
-def test_spline_keeps_ends_and_knots():
-    y = np.array([0.1, 0.4, 0.2, 0.3, 0.5])
-    assert np.allclose(profile.spline_resize(y, 5), y)
-    wide = profile.spline_resize(y, 9)
-    assert np.allclose(wide[::2], y) and math.isclose(wide[0], 0.1) and (wide >= 0).all()
+def test_register_jumps_to_its_states(spark):
+    states = list(fountain.lfsr(5000))
+    assert [fountain.lfsr_state(n) for n in (1, 2, 77, 4999, 5000)] == [states[n - 1] for n in (1, 2, 77, 4999, 5000)]
+    assert [r.seed for r in fountain.lfsr_states(spark, 5000).orderBy("i").collect()] == states
+
+
+def test_decoding_reports(spark):
+    prepare(spark)
+    truth = spark.createDataFrame([(0, "aa"), (1, "bb"), (2, "cc")], "seg_idx long, payload string")
+    got = spark.createDataFrame([(0, "aa"), (1, "bc")], "seg_idx long, payload string")
+    assert tuple(fountain.completion(got, truth).first()) == (3, 2, 1, 1, False)
+    layout = spark.createDataFrame([(0, "x", 0, 3), (1, "x", 1, 3), (2, "y", 0, 2)], "seg_idx long, item_id string, seg int, n_bytes long")
+    solved = spark.createDataFrame([(0, "6162"), (1, "6300")], "seg_idx long, payload string")
+    assert [(r.item_id, bytes(r.content)) for r in fountain.files(solved, layout).collect()] == [("x", b"abc")]
+    seen = spark.createDataFrame([(1,), (1,), (2,)], "droplet long")
+    assert {(r.n, r.droplets) for r in fountain.seed_histogram(seen).collect()} == {(2, 1), (1, 1)}
+
+
+def test_majority_of_several_peelings(spark):
+    prepare(spark)
+    words = [f"{i:02x}" * 32 for i in range(6)]
+    rows = [(k, [k % 6], words[k % 6]) for k in range(60)] + [(60, [0], "ff" * 32)]
+    df = spark.createDataFrame(rows, "droplet long, seg_ids array<long>, payload string")
+    got = {r.seg_idx: r.payload for r in fountain.aggressive_decode(df, 3, 0.5, 1).collect()}
+    assert got == dict(enumerate(words))
+
+
+def test_reading_frames(spark):
+    rows = [("CCATGAAATAGCC", 9), ("ATGTGGTGA", 9), ("ATGAAA", 0), ("", 0), ("ATGATGTAA", 9), ("ATGTAATTATGCCCTTTTGACC", 12)]
+    got = spark.createDataFrame(rows, "s string, n int").select("n", dna.longest_frame(F.col("s")).alias("g")).collect()
+    assert all(r.n == r.g for r in got)
 
 
 def test_plans_are_checked(spark):

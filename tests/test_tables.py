@@ -1,7 +1,5 @@
 """Allocation across chunks and substitution tables."""
 
-from pyspark.sql import functions as F
-
 from oligoflow.operators import order, profile
 
 
@@ -27,4 +25,7 @@ def test_substitution_table(spark):
 
 def test_alignment_lines(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("r1\tref_1\t0\t4M\t4\tACGT\nr2\t*\t0\t*\t\tACGT\n")
-    assert [r.read_id for r in profile.read_alignments(spark, str(tmp_path / "a.tsv")).select(F.col("read_id")).collect()] == ["r1"]
+    refs = spark.createDataFrame([(7, "ref_1", "ACGT")], "ref_idx long, name string, seq string")
+    found = profile.read_alignments(spark, str(tmp_path / "a.tsv"))
+    assert found.count() == 2
+    assert [(r.read_id, r.ref_idx, r.ref_start) for r in profile.mapped(found, refs).collect()] == [("r1", 7, 0)]
