@@ -89,18 +89,21 @@ def without_ids(docs: DataFrame, dropped: DataFrame, column: str = "doc_id") ->
 def components(edges: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node reachable.
 
-    Each round hooks every node to its smallest neighbour, follows that pointer twice more and contracts the edges,
-    so long chains take a number of rounds that grows with the logarithm of their length. Edge rows for a hub are
-    combined before the shuffle, joins are plain equi-joins that AQE can split, and each round's tables are written
-    to the shared folder, which cuts the lineage.
+    Each round hooks every node to the neighbour of least hash if that is less than its own, follows that pointer
+    three hops more and contracts the edges. Hashes are new in every round, so pointers make short paths only, even
+    along a chain in order of ids, and the rounds grow with the logarithm of a component's size. Edge rows for a hub
+    are combined before the shuffle, joins are plain equi-joins that AQE can split, and each round's tables are
+    written to the shared folder, which cuts the lineage.
     """
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-edges")
     found = None
-    for _ in range(max_rounds):
+    for number in range(max_rounds):
         if edges.isEmpty():
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), f"{label}-hook")
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64("b", F.lit(number)).alias("h"), "b")).alias("m"))
+        up = F.when(F.col("m.h") < F.xxhash64("node", F.lit(number)), F.col("m.b")).otherwise(F.col("node"))
+        hook = written(near.select("node", up.alias("up")), f"{label}-hook")
         for _ in range(2):
             over = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
             hook = hook.join(over, "up").select("node", F.col("top").alias("up"))
@@ -118,4 +121,5 @@ def components(edges: DataFrame, label: str = "components", max_rounds: int = 60
         raise RuntimeError(f"components of {label} did not settle in {max_rounds} rounds")
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found.select("node", F.col("up").alias("component"))
+    least = found.groupBy("up").agg(F.min("node").alias("component"))
+    return written(found.join(least, "up").select("node", "component"), f"{label}-named")

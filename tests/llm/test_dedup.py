@@ -143,3 +143,10 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 60)] + [(70, 70), (71, 72), (72, 71)]
     got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 5 for i in range(5, 60)} | {71: 71, 72: 71}
+
+
+def test_components_of_long_chains_and_hubs(spark):
+    chain = [(i, i + 1) for i in range(2000)] + [(5000, 5000 + i) for i in range(1, 300)] + [(9001, 9000), (9000, 9001), (7, 7)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a long, b long"), max_rounds=20).collect()}
+    want = dict.fromkeys(range(2001), 0) | dict.fromkeys(range(5000, 5300), 5000) | {9000: 9000, 9001: 9000}
+    assert got == want
