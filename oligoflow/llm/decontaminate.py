@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_TILE, COVERAGE = 5, 0.5
-#: Bits of the seed filter for each seed, and the most bits (16 MB) whatever the benchmark's size.
-BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Bits of the seed filter for each seed, the most bits (16 MB) whatever the benchmark's size, and where in a seed the
+#: bits of its slots begin.
+BITS_EACH, MOST_BITS, SHIFTS = 1024, 1 << 27, (0, 18, 36)
 #: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -175,11 +176,11 @@ def item_seeds(items: DataFrame, coverage: float) -> DataFrame:
 
 
 def seed_filter(index: DataFrame) -> np.ndarray:
-    """Bits, as 64-bit words: one is set for each seed. What comes to the driver has a bound, MOST_BITS."""
+    """Bits, as 64-bit words: one is set for each slot of each seed. What comes to the driver has a bound, MOST_BITS."""
     n = index.select("seed").distinct().count()
     bits = min(MOST_BITS, 1 << max(6, (BITS_EACH * max(n, 1) - 1).bit_length()))
-    slot = F.col("seed").bitwiseAND(F.lit(bits - 1))
-    rows = index.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(seed & 63 as int)))").alias("bits"))
+    slots = index.select(F.explode(F.array(*[F.shiftrightunsigned("seed", k).bitwiseAND(F.lit(bits - 1)) for k in SHIFTS])).alias("slot"))
+    rows = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
     out = np.zeros(bits // 64, np.int64)
     found = rows.toPandas()
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
@@ -196,11 +197,13 @@ def with_seeds(docs: DataFrame, filter_: np.ndarray) -> DataFrame:
         for batch in batches:
             rows, found = [], []
             for at, text in enumerate(batch.column("text").to_pylist()):
-                slot = (hashes := seeds.of(words(text))) & mask
-                hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                if hit.any():
+                hashes = seeds.of(words(text))
+                for k in SHIFTS:
+                    slot = (hashes >> np.uint64(k)) & mask
+                    hashes = hashes[(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0]
+                if len(hashes):
                     rows.append(at)
-                    found.append(np.unique(hashes[hit > 0]).view(np.int64))
+                    found.append(np.unique(hashes).view(np.int64))
             some = batch.take(pa.array(rows, pa.int64()))
             yield some.append_column("seeds", pa.array(found, pa.list_(pa.int64())))
 
