@@ -5,7 +5,7 @@ a token there whatever follows, so the ids of a text are the ids of its pieces o
 cut isn't possible are encoded in one call. Ids of pieces are kept in a dictionary that lives as long as its worker.
 A word of Latin letters alone is one pre-token, so the library's model encodes it without the steps before it; whether
 that gives the same ids is tried on a few words when the encoder is made. A text that holds one of the vocabulary's
-special tokens, in any case, is encoded in one call too, so that special tokens get the ids that the library gives them.
+special tokens is encoded in one call too, so that special tokens get the ids that the library gives them.
 
 Cases: an empty text has no ids; null texts are the caller's to replace; a text of any length is encoded whole; ids
 that the chosen type can't hold raise an error.
@@ -23,7 +23,7 @@ import numpy as np
 
 #: Pieces that a worker remembers; later ones are encoded anew each time.
 REMEMBERED = 700_000
-_UNSAFE = r" \s|\s |^ | $|^\s|\s$"
+_UNSAFE = re.compile(r" \s|\s |^ | $|^\s|\s$")
 _TAIL = re.compile(r"(.*[A-Za-z])([.,]+)", re.DOTALL)
 _ENCODERS: dict = {}
 #: Letters beyond which words always take the library's full path.
@@ -45,8 +45,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        special = sorted({t.content for t in self.library.get_added_tokens_decoder().values()}, key=len, reverse=True)
-        self.unsafe = re.compile("|".join([_UNSAFE, *(f"(?i:{re.escape(t)})" for t in special if t)]))
+        added = self.library.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added if t.content and not t.normalized]
+        self.folded = [t.content.lower() for t in added if t.content and t.normalized]  # found after the text is normalised
         self.dtype = np.dtype(dtype)
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         spaced = self._ids([" a", "a"])
@@ -59,6 +60,9 @@ class Encoder:
         tried = ["a", "The", "strasse", "Straße", "ÉTÉ", "niñoñ", "QUÆÐ", "øystein", "x" * 300, "ªºµ"]
         self.direct = [self._word(w) for w in tried] == self._ids([self.lead + w for w in tried])
 
+    def _has_special(self, text: str) -> bool:
+        return any(t in text for t in self.special) or (bool(self.folded) and any(t in text.lower() for t in self.folded))
+
     def _packed(self, ids: list[int]) -> bytes:
         found = array(self.code, ids)  # several times faster than numpy for a few ids
         if sys.byteorder == "big":
@@ -107,7 +111,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         get, parts, found, whole, missing = self.known.get, [], [], [], set()
         for n, text in enumerate(texts):
-            if not text or self.unsafe.search(text):
+            if not text or _UNSAFE.search(text) or self._has_special(text):
                 parts.append(None)
                 found.append(None)
                 whole.append(n)
