@@ -286,9 +286,16 @@ def test_cluster_reads_with_many_strands_under_a_key(spark):
                 bases[p] = rng.choice("ACGT")
             truth.append(s)
             rows.append((len(rows), "".join(bases)))
-    got = {r.read_id: r.cluster_id for r in consensus.cluster_reads(spark.createDataFrame(rows, "read_id long, read string")).collect()}
-    assert len(got) == len(rows) and all(truth[i] == truth[c] for i, c in got.items())
-    assert sum(got[i] == 3 * s for i, s in enumerate(truth)) >= 0.95 * len(rows)
+    df = spark.createDataFrame([*rows, (9000, None), (9001, "ACGT"), (9002, "")], "read_id long, read string")
+    for tile in (512, 16):
+        got = {r.read_id: r.cluster_id for r in consensus.cluster_reads(df, tile=tile).collect()}
+        assert [got.pop(i) for i in (9000, 9001, 9002)] == [9000, 9001, 9002]
+        assert len(got) == len(rows) and all(truth[i] == truth[c] for i, c in got.items())
+        assert sum(got[i] == 3 * s for i, s in enumerate(truth)) >= 0.95 * len(rows)
+    # every pair of the same reads that the edit distance allows is joined
+    small = [r for i, r in rows if truth[i] < 12]
+    want = {(i, j) for i in range(len(small)) for j in range(i) if distance(small[i], small[j]) <= 12}
+    assert want and all(got[i] == got[j] for i, j in want)
 
 
 def test_read_components_follow_a_long_chain(spark):
@@ -296,5 +303,5 @@ def test_read_components_follow_a_long_chain(spark):
     from oligoflow.plans.queries import prepare
 
     prepare(spark)
-    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
-    assert {r.node: r.component for r in consensus.components(chain).collect()} == dict.fromkeys(range(301), 0)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(2000)], "a long, b long")
+    assert {r.node: r.component for r in consensus.components(chain).collect()} == dict.fromkeys(range(2001), 0)
