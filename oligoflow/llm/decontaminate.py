@@ -36,7 +36,7 @@ MIN_TILE, COVERAGE = 5, 0.5
 #: bits of its slots begin.
 BITS_EACH, MOST_BITS, SHIFTS = 1024, 1 << 27, (0, 18, 36)
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = np.uint64(0x100000001B3)
 

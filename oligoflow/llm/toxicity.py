@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> dict:
 
 
 #: Words whose model terms a worker remembers; others are worked out anew.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 class Scorer:
