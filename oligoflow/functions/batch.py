@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .dna import CHANNEL, M31
+from .dna import CHANNEL, CODING, M31
 
 #: Draws for the choice of a base run from 0 to this number.
 BASE_DRAWS = 1_000_000
@@ -24,6 +24,15 @@ CODE[LETTERS] = np.arange(4)
 OTHERS = np.array([[LETTERS[j] for j in range(4) if j != i] for i in range(4)], np.uint8)
 
 
+#: The four bases of each byte, by CODING.
+BYTE_BASES = np.array([[ord(CODING[b >> k & 3]) for k in (6, 4, 2, 0)] for b in range(256)], np.uint8)
+
+
+def encoded(data: np.ndarray) -> np.ndarray:
+    """Four bases for each byte."""
+    return BYTE_BASES[data].ravel()
+
+
 @dataclass(frozen=True)
 class Noise:
     """Rates of substitution, insertion and deletion for each position, and bounds of BASE_DRAWS for the bases.

@@ -14,12 +14,6 @@ def _nibbles(order: str) -> list[tuple[str, str]]:
     return [(f"{n:x}", order[n >> 2] + order[n & 3]) for n in range(16)]
 
 
-def hex_to_dna(hex_text: Column, digits: int = 64, order: str = CODING) -> Column:
-    """Two bases for each of so many hexadecimal digits: numbers of 64 bits at most, written to base 4."""
-    parts = [(k, min(16, digits - k)) for k in range(0, digits, 16)]
-    return F.translate(F.concat(*[F.lpad(F.conv(F.substring(hex_text, k + 1, n), 16, 4), 2 * n, "0") for k, n in parts]), "0123", order)
-
-
 def dna_encode(data: Column, order: str = CODING) -> Column:
     """Four bases for each byte."""
     text = F.lower(F.hex(data))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dna
+from ..functions import batch as kernel
 from ..operators.order import running
 
 
@@ -20,16 +24,38 @@ def segments(rows: DataFrame, key: str, data: Column, size: int = 32, keep: tupl
     return cut.select(key, *keep, "seg", piece.alias("payload"))
 
 
+#: Strands in one batch that leaves a task.
+STRANDS_AT_ONCE = 10_000
+
+
 def strands_of(rows: DataFrame, key: str, text: str, size: int = 32) -> DataFrame:
     """(ref_idx, key, seg, seq): strands of 4 * size bases; ref_idx numbers them by key (unique), then segment.
 
-    Rows meet their first number before they are cut, so whole rows are joined and strands never are.
+    Rows meet their first number before they are cut, so whole rows are joined and strands never are. The join deals
+    the rows by key, so that the work after it is shared out even where a file can't be read in parts.
     """
-    data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    sizes = rows.select(key, F.ceil(F.length(data) / size).cast("long").alias("_n"))
+    texts = rows.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    sizes = texts.select(key, F.ceil(F.octet_length("_text") / size).cast("long").alias("_n"))
     places = running(sizes, [key], F.col("_n"), before="_base").select(key, "_base")
-    cut = segments(rows.select(key, text).join(places, key), key, data, size, ("_base",))
-    return cut.select((F.col("_base") + F.col("seg")).alias("ref_idx"), key, "seg", dna.hex_to_dna(F.col("payload"), 2 * size).alias("seq"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = kernel.text_bytes(batch.column("_text"))
+            lengths = np.diff(offsets)
+            counts = -(-lengths // size)
+            firsts = np.cumsum(counts) - counts
+            padded = np.zeros(counts.sum() * size, np.uint8)
+            padded[np.arange(len(data)) + np.repeat(firsts * size - offsets[:-1], lengths)] = data
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            seg = np.arange(len(row)) - np.repeat(firsts, counts)
+            base = batch.column("_base").to_numpy()[row]
+            for at in range(0, len(row), STRANDS_AT_ONCE):
+                some = slice(at, at + STRANDS_AT_ONCE)
+                letters = kernel.encoded(padded[at * size : (at + STRANDS_AT_ONCE) * size])
+                seqs = kernel.strings(letters, np.arange(len(row[some]) + 1) * 4 * size)
+                yield pa.record_batch([pa.array(base[some] + seg[some]), batch.column(key).take(pa.array(row[some])), pa.array(seg[some], pa.int32()), seqs], names=["ref_idx", key, "seg", "seq"])
+
+    return texts.join(places.hint("merge"), key).mapInArrow(cut, f"ref_idx long, `{key}` {dict(rows.dtypes)[key]}, seg int, seq string")
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
