@@ -206,6 +206,8 @@ def with_seeds(docs: DataFrame, filter_: np.ndarray) -> DataFrame:
                     found.append(np.unique(hashes).view(np.int64))
             some = batch.take(pa.array(rows, pa.int64()))
             yield some.append_column("seeds", pa.array(found, pa.list_(pa.int64())))
+        del seeds
+        common.release()
 
     return docs.mapInArrow(run, "doc_id long, text string, seeds array<long>")
 

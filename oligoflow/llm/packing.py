@@ -56,6 +56,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, k
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.record_batch({n: pa.array(c, t) for n, c, t in list(zip(names, columns, kinds))[: 5 + keep_ids]})
+        common.release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(cut, schema)
 

@@ -228,6 +228,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD, ti
         for batch in batches:
             prints = np.array([fingerprint(t, 5) for t in batch["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": prints, "sketch": [sketch(shingle_hashes(t)) for t in batch["text"]]})
+        common.release()
 
     texts = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     signed = common.written(texts.mapInPandas(sign, "doc_id long, fp long, sketch binary"), "simhash-signed")
@@ -305,6 +306,7 @@ def _prefixes(texts: DataFrame, similarity: float, often: tuple[np.ndarray, np.n
                 parts.append((grams[:size].view(np.int64), np.full(size, doc, np.int64), np.full(size, n, np.int32), np.arange(size, dtype=np.int32)))
             if parts:
                 yield pd.DataFrame(dict(zip(("gram", "doc_id", "n", "pos"), map(np.concatenate, zip(*parts)))))
+        common.release()
 
     return texts.mapInPandas(prefixes, "gram long, doc_id long, n int, pos int")
 

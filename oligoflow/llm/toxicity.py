@@ -193,6 +193,8 @@ def score(docs: DataFrame, model: dict) -> Column:
         scorer = Scorer(sent.value)
         for texts in batches:
             yield pd.Series(scorer.scores(list(texts)))
+        del scorer
+        common.release()
 
     return run(docs["text"].cast("string"))
 
