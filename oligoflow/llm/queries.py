@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, license_scan, packing, quality, simhash, token_arrow, toxicity
+from . import chat, decontaminate, exact_dedup, langid, license_scan, packing, quality, simhash, token_arrow, token_links, toxicity
 from .common import id_bucket, table
 
 
@@ -67,6 +67,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.token_links(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_texts(table(spark, sf_dir, "documents"))
 
@@ -108,7 +112,7 @@ FROM s GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_license": op1_license, "op4_decontaminate": op4_decontaminate, "op2_quality": op2_quality, "op3_language": op3_language, "op7_chat": op7_chat, "op10_toxicity": op10_toxicity, "op5_simhash": op5_simhash, "op6_token_arrow": op6_token_arrow, "op9_packing": op9_packing, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_license": op1_license, "op4_decontaminate": op4_decontaminate, "op2_quality": op2_quality, "op3_language": op3_language, "op7_chat": op7_chat, "op10_toxicity": op10_toxicity, "op5_simhash": op5_simhash, "op6_token_arrow": op6_token_arrow, "op9_packing": op9_packing, "op8_exact_dedup": op8_exact_dedup, "op13_token_links": op13_token_links}
 
 
 def oracle_sql() -> dict:
