@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, license_scan, packing, quality, simhash, token_arrow, token_links, toxicity
+from . import chat, decontaminate, exact_dedup, langid, license_scan, packing, phrases, quality, simhash, token_arrow, token_links, toxicity
 from .common import id_bucket, table
 
 
@@ -67,6 +67,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_links.token_links(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -86,6 +90,23 @@ FROM t JOIN g ON t.norm = g.norm
 """
 
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, list_filter(list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda s: list_filter(regexp_split_to_array(s, '[ \t]+'), lambda w: w <> '')), lambda x: len(x) > 0) AS pieces FROM documents
+), q AS (SELECT lang, unnest(pieces) AS ws FROM p),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM q),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS gram, count(*) AS n FROM s, range(1, 6) t(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+w AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, CAST(k AS INTEGER) AS k, gram, n, string_split(gram, ' ') AS ws FROM g WHERE n >= 100),
+inside AS (SELECT DISTINCT lang, array_to_string(ws[i:i + m - 1], ' ') AS gram, n FROM (SELECT f.*, m, unnest(range(1, k - m + 2)) AS i FROM f, range(2, 5) t(m) WHERE m < k)),
+c AS (SELECT f.* FROM f ANTI JOIN inside b ON f.lang = b.lang AND f.gram = b.gram AND b.n >= f.n WHERE k > 1),
+d AS (SELECT lang, gram, n AS a, j, array_to_string(ws[:j], ' ') AS x, array_to_string(ws[j + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+e AS (SELECT d.lang, d.gram, a, j, l.n AS l, r.n AS r, w.n, CAST((1000::HUGEINT * a * w.n) // (l.n::HUGEINT * r.n) AS BIGINT) AS score FROM d JOIN f l ON l.lang = d.lang AND l.gram = x JOIN f r ON r.lang = d.lang AND r.gram = y JOIN w ON w.lang = d.lang),
+b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank, gram AS phrase, a, l, r, n, score FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) <= 2000
+"""
+
+
 OP7_SQL = r"""
 WITH r AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -112,8 +133,8 @@ FROM s GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_license": op1_license, "op4_decontaminate": op4_decontaminate, "op2_quality": op2_quality, "op3_language": op3_language, "op7_chat": op7_chat, "op10_toxicity": op10_toxicity, "op5_simhash": op5_simhash, "op6_token_arrow": op6_token_arrow, "op9_packing": op9_packing, "op8_exact_dedup": op8_exact_dedup, "op13_token_links": op13_token_links}
+    return {"op1_license": op1_license, "op4_decontaminate": op4_decontaminate, "op2_quality": op2_quality, "op3_language": op3_language, "op7_chat": op7_chat, "op10_toxicity": op10_toxicity, "op5_simhash": op5_simhash, "op6_token_arrow": op6_token_arrow, "op9_packing": op9_packing, "op8_exact_dedup": op8_exact_dedup, "op12_phrases": op12_phrases, "op13_token_links": op13_token_links}
 
 
 def oracle_sql() -> dict:
-    return {"op7_chat": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op7_chat": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op12_phrases": OP12_SQL}
