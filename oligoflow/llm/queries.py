@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, langid, license_scan, packing, phrases, quality, simhash, token_arrow, token_links, toxicity
+from . import chat, decontaminate, exact_dedup, langid, license_scan, packing, phrases, quality, simhash, token_arrow, token_links, toxicity, warc
 from .common import id_bucket, table
 
 
@@ -67,6 +67,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, size=2048)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,15 @@ FROM t JOIN g ON t.norm = g.norm
 """
 
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < keeper THEN keeper END AS refers_to
+FROM q
+"""
+
+
 OP12_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, doc_id, list_filter(list_transform(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'), lambda s: list_filter(regexp_split_to_array(s, '[ \t]+'), lambda w: w <> '')), lambda x: len(x) > 0) AS pieces FROM documents
@@ -133,8 +146,8 @@ FROM s GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_license": op1_license, "op4_decontaminate": op4_decontaminate, "op2_quality": op2_quality, "op3_language": op3_language, "op7_chat": op7_chat, "op10_toxicity": op10_toxicity, "op5_simhash": op5_simhash, "op6_token_arrow": op6_token_arrow, "op9_packing": op9_packing, "op8_exact_dedup": op8_exact_dedup, "op12_phrases": op12_phrases, "op13_token_links": op13_token_links}
+    return {"op1_license": op1_license, "op4_decontaminate": op4_decontaminate, "op2_quality": op2_quality, "op3_language": op3_language, "op7_chat": op7_chat, "op10_toxicity": op10_toxicity, "op5_simhash": op5_simhash, "op6_token_arrow": op6_token_arrow, "op9_packing": op9_packing, "op8_exact_dedup": op8_exact_dedup, "op11_warc": op11_warc, "op12_phrases": op12_phrases, "op13_token_links": op13_token_links}
 
 
 def oracle_sql() -> dict:
-    return {"op7_chat": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op12_phrases": OP12_SQL}
+    return {"op7_chat": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op11_warc": OP11_SQL, "op12_phrases": OP12_SQL}
