@@ -25,6 +25,7 @@ import hashlib
 import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ from . import common
 from .tokens import _byte_letters
 
 #: Bytes of text in a block, segments that a worker remembers between blocks, and id pairs that are told to all tasks.
-BLOCK_BYTES, REMEMBERED, MOST_SENT = 8 << 20, 150_000, 1 << 20
+BLOCK_BYTES, REMEMBERED, MOST_SENT = 4 << 20, 250_000, 1 << 20
+#: Segments that are encoded and aligned at once.
+AT_ONCE = 20_000
 #: Token pairs of one group beyond which its pairs are counted by distinct ids.
 WIDE = 4096
 _WHOLE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
@@ -66,6 +69,7 @@ class Pair:
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.cuts = not any(" " in p[1:].strip() or "\n" in p for p in (p.replace("▁", " ") for p in pieces) if p.strip(" ")) and not any("\n" in p for p in pieces)
         self.line = self.b.encode("\n")
+        self.spelt = [f"{i}{c}".encode() for i in range(max(len(self.bytes_a), len(pieces))) for c in ",|;"]
 
     def encode_b(self, segments: list[str]) -> list[list[int]]:
         """Segments that begin with a space lose it, as the library adds one; others are encoded behind a newline."""
@@ -96,51 +100,65 @@ class Aligned:
     """Segments with their numbers of tokens, groups and links, the groups as text, and their id pairs."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.place = pair, {}
-        self.counts: list[np.ndarray] = []  # n_a, n_b, n_groups, n_links, 1 if it can be read back
+        self.pair = pair
+        self.place: dict[str, int] = {}
+        self.counts = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, 1 if it can be read back
         self.texts: list[bytes] = []
-        self.codes: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
+        self.sizes, self.codes, self.weights = (np.zeros(0, np.int32) for _ in range(3))  # id pairs of each segment
 
     def add(self, segments: list[str]) -> None:
-        if not segments:
-            return
-        for s in segments:
-            self.place[s] = len(self.place)
-        a, b = self.pair.encode(segments)
+        """Append segments that aren't there yet."""
+        made = []
+        for at in range(0, len(segments), AT_ONCE):
+            some = segments[at : at + AT_ONCE]
+            self.place.update(zip(some, range(len(self.place), len(self.place) + len(some))))
+            made.append(self._align(some))
+        if made:
+            self.counts, self.sizes, self.codes, self.weights = (np.concatenate([old, *new]) for old, new in zip((self.counts, self.sizes, self.codes, self.weights), zip(*made)))
+
+    def _align(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        pair = self.pair
+        a, b = pair.encode(segments)
+        na, nb = (np.fromiter(map(len, v), np.int64, len(v)) for v in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(v), np.int64, int(n.sum())) for v, n in ((a, na), (b, nb)))
         raw = [s.encode() for s in segments]
-        good = np.array([b"".join([self.pair.bytes_a[i] for i in x]) == r == b"".join([self.pair.bytes_b[i] for i in y]) for x, y, r in zip(a, b, raw)])
+        spelt_a, spelt_b = (b"".join(map(t.__getitem__, ids.tolist())) for t, ids in ((pair.bytes_a, ids_a), (pair.bytes_b, ids_b)))
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        of_a, of_b = (np.bincount(np.repeat(np.arange(len(raw)), n), size[ids], len(raw)) for n, size, ids in ((na, pair.size_a, ids_a), (nb, pair.size_b, ids_b)))
+        good = (of_a == length) & (of_b == length)
+        if not good.all() or not spelt_a == spelt_b == b"".join(raw):
+            good = np.array([b"".join([pair.bytes_a[i] for i in x]) == r == b"".join([pair.bytes_b[i] for i in y]) for x, y, r in zip(a, b, raw)])
+            ids_a, ids_b = ids_a[np.repeat(good, na)], ids_b[np.repeat(good, nb)]
         use = np.flatnonzero(good)
-        na, nb = (np.array([len(v[k]) for k in use], np.int64) for v in (a, b))
-        ids_a, ids_b = (np.array([i for k in use for i in v[k]], np.int64) for v in (a, b))
-        ends_a, ends_b = np.cumsum(self.pair.size_a[ids_a]), np.cumsum(self.pair.size_b[ids_b])
+        ends_a, ends_b = np.cumsum(pair.size_a[ids_a]), np.cumsum(pair.size_b[ids_b])
         to_a, to_b = terminals(ends_a, ends_b)
         last = np.unique(to_a)  # the terminal token of each group, in order
         sizes_a, sizes_b = np.diff(np.searchsorted(to_a, last, "right"), prepend=0), np.diff(np.searchsorted(to_b, last, "right"), prepend=0)
-        owner = np.searchsorted(np.cumsum(na), last, "right")  # the segment of each group
-        links = sizes_a * sizes_b
-        groups = np.bincount(owner, minlength=len(use))
+        owner = np.searchsorted(np.cumsum(na[use]), last, "right")  # the segment of each group
+        links, groups = sizes_a * sizes_b, np.bincount(owner, minlength=len(use))
         table = np.zeros((len(segments), 5), np.int64)
-        table[use] = np.column_stack([na, nb, groups, np.bincount(owner, links, len(use)).astype(np.int64), np.ones(len(use), np.int64)])
-        self.counts.append(table)
-        word_a, word_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        stop_a, stop_b = np.cumsum(sizes_a).tolist(), np.cumsum(sizes_b).tolist()
-        parts, x, y = [], 0, 0
-        for i, j in zip(stop_a, stop_b):
-            parts.append(",".join(word_a[x:i]) + "|" + ",".join(word_b[y:j]))
-            x, y = i, j
-        stops, k, texts = np.cumsum(groups).tolist(), 0, [b""] * len(segments)
-        for at, stop in zip(use.tolist(), stops):
-            texts[at] = ";".join(parts[k:stop]).encode()
-            k = stop
-        self.texts += texts
+        table[use] = np.column_stack([na[use], nb[use], groups, np.bincount(owner, links, len(use)).astype(np.int64), np.ones(len(use), np.int64)])
+        self._spell(table, use, ids_a, ids_b, sizes_a, sizes_b)
         codes, weights, where = self._pairs(ids_a, ids_b, sizes_a, sizes_b, links)
-        held = np.bincount(owner[where], minlength=len(use))
-        each = np.zeros(len(segments), np.int64)
-        each[use] = held
-        cuts = np.cumsum(each)[:-1]
-        self.codes += np.split(codes.astype(np.int32), cuts)
-        self.weights += np.split(weights, cuts)
+        sizes = np.zeros(len(segments), np.int32)
+        sizes[use] = np.bincount(owner[where], minlength=len(use))
+        return table, sizes, codes.astype(np.int32), weights.astype(np.int32)
+
+    def _spell(self, table: np.ndarray, use: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> None:
+        """The groups of each segment as text: its ids in order, each with what follows it."""
+        stop_a, stop_b = np.cumsum(sizes_a), np.cumsum(sizes_b)
+        ends_a, ends_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool)
+        ends_a[stop_a - 1] = ends_b[stop_b - 1] = True
+        group_a, group_b = np.repeat(np.arange(len(sizes_a)), sizes_a), np.repeat(np.arange(len(sizes_b)), sizes_b)
+        every = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        every[np.arange(len(ids_a)) + (stop_b - sizes_b)[group_a]] = ids_a * 3 + ends_a  # 0: a comma follows, 1: a bar, 2: a semicolon
+        every[np.arange(len(ids_b)) + stop_a[group_b]] = ids_b * 3 + 2 * ends_b
+        words = list(map(self.pair.spelt.__getitem__, every.tolist()))
+        texts, first = [b""] * len(table), 0
+        for at, stop in zip(use.tolist(), np.cumsum(table[use, 0] + table[use, 1]).tolist()):
+            texts[at] = b"".join(words[first:stop])[:-1]
+            first = stop
+        self.texts += texts
 
     def _pairs(self, ids_a, ids_b, sizes_a, sizes_b, links) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(id pair, times, group) of the links of every group, in order of groups."""
@@ -150,7 +168,7 @@ class Aligned:
         of = np.repeat(np.arange(len(links)), count)
         at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
         codes = (ids_a[first_a[of] + at // sizes_b[of]] << 15) | ids_b[first_b[of] + at % sizes_b[of]]
-        weights = np.ones(len(codes), np.int64)
+        weights = np.ones(len(codes), np.int32)
         for g in np.flatnonzero(~small):
             x, mx = np.unique(ids_a[first_a[g] : first_a[g] + sizes_a[g]], return_counts=True)
             y, my = np.unique(ids_b[first_b[g] : first_b[g] + sizes_b[g]], return_counts=True)
@@ -173,11 +191,10 @@ def _block(aligned: Aligned, texts: list[str | None]) -> tuple[np.ndarray, np.nd
         rows.append(np.array([local.setdefault(s, len(local)) for s in ([" " + text] if whole else _SEGMENT.findall(" " + text))], np.int32))
     aligned.add([s for s in local if s not in aligned.place])
     at = np.array([aligned.place[s] for s in local], np.int64)
-    counts = np.concatenate(aligned.counts)[at] if len(at) else np.zeros((0, 5), np.int64)
-    codes = [aligned.codes[k] for k in at]
-    sizes = np.array([len(c) for c in codes], np.int64)
-    flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
-    weights = np.concatenate([aligned.weights[k] for k in at]) if codes else np.zeros(0, np.int64)
+    counts, sizes = aligned.counts[at], aligned.sizes[at].astype(np.int64)
+    starts = (np.cumsum(aligned.sizes, dtype=np.int64) - aligned.sizes)[at]
+    places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    flat, weights = aligned.codes[places], aligned.weights[places].astype(np.int64)
     pairs, flat = np.unique(flat, return_inverse=True)
     stops = np.cumsum(sizes)
     docs = np.zeros(len(pairs), np.int64)
