@@ -3,14 +3,14 @@
 Texts are cut into pieces and pieces into words. The runs of LONGEST words are the graph's edges, from the node of
 their first LONGEST - 1 words to that of their last ones, and weigh as often as they occur; each batch adds up its own
 before they are shuffled. A piece's last words begin no such run: they are kept as tails, by their number of words.
-Nodes that one edge enters and one of the same weight leaves, where no piece begins or ends, hold unary paths
+Nodes that one edge enters and one of the same weight leaves, where no tail ends, hold unary paths
 together: pointer jumping brings their edges to the first one and the path becomes one row. Counts of shorter phrases
 follow from the flow: a node occurs as often as all edges that leave it and the tails that end there, a node inside a
 path as often as its path, and the phrases of one word less are the prefixes of these plus their own tails.
 
-Before that, pieces are cut between two words that aren't neighbours `least` times in a language: no phrase that is
-asked for spans them, and no part of one. The pairs are counted in full by hashes, and a filter of bounded size keeps
-those that are common enough; where it, or a hash, lets more through, there are more edges and the same results.
+Before that, runs end where two or three neighbouring words don't occur `least` times in a language: no phrase that is
+asked for holds such words, and no part of one. Neighbours are counted in full by hashes, and filters of bounded size
+keep those that are common enough; where a filter or a hash lets more through there are more edges and the same results.
 
 Cases: null and empty texts have no words; a null language is `und`; repeated rows count each time; a text of any length
 is read whole; other columns are ignored; an empty table gives no rows.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LONGEST, LEAST = 5, 100
-#: Bits of the pair filter for each pair, the most bits (16 MB), and where in a hash the bits of its slots begin.
+#: Bits of a filter for each run of words, the most bits (16 MB), and where in a hash the bits of its slots begin.
 BITS_EACH, MOST_BITS, SHIFTS = 32, 1 << 27, (0, 27)
 #: Words that a task adds up at once.
 WORDS_AT_ONCE = 2_000_000
@@ -60,14 +60,16 @@ class Words:
         stop = np.zeros(1, np.int64)
         return np.concatenate([x for row in self.rows for x in (row, stop)])
 
-    def pair_hashes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    def hashes(self, *columns: np.ndarray) -> np.ndarray:
+        """One hash for each row of word numbers, given by columns."""
         own = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
-        lang = np.uint64(xxhash.xxh64_intdigest(self.lang.encode("utf-8", "surrogatepass"), 7))
         with np.errstate(over="ignore"):
-            x = (own[first] ^ lang) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(32))) + own[second] * np.uint64(0xC2B2AE3D27D4EB4F)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
+            x = np.uint64(xxhash.xxh64_intdigest(self.lang.encode("utf-8", "surrogatepass"), len(columns)))
+            for c in columns:
+                x = (own[c] ^ x) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(32)
+        return x
 
 
 def _by_language(emit):
@@ -97,25 +99,57 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(lang.alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-def common_pairs(docs: DataFrame, least: int) -> DataFrame:
-    """(pair): hashes of the words that follow each other at least that often in a language."""
+def _counted(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns, counts) of the distinct rows of word numbers."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    first = np.flatnonzero(new)
+    return [c[order[first]] for c in columns], np.diff(np.append(first, len(order)))
+
+
+def _neighbours(words: Words, n: np.ndarray, filters: list[np.ndarray]) -> list[np.ndarray]:
+    """Places where two words stand in one piece, then those where two are common, and three, by the filters given, and
+    last those of one word more that may be."""
+    at = np.flatnonzero((n[:-1] > 0) & (n[1:] > 0))
+    found = [at]
+    for size, bits in enumerate(filters, 2):
+        at = at[_has(bits, words.hashes(*[n[at + k] for k in range(size)]))]
+        found.append(at)
+        joined = np.zeros(len(n) + 1, bool)
+        joined[at] = True
+        at = at[joined[at + 1]]  # both runs of size words in the run of one more
+    return [*found, at] if filters else found
+
+
+def common_runs(docs: DataFrame, least: int, filters: list) -> DataFrame:
+    """(run): hashes of the runs of two words, or of three by a filter of two, that occur so often in a language."""
 
     def emit(words: Words) -> pa.RecordBatch:
-        n = words.numbers()
-        inside = (n[:-1] > 0) & (n[1:] > 0)
-        codes, counts = np.unique((n[:-1][inside] << 32) | n[1:][inside], return_counts=True)
-        pairs = words.pair_hashes(codes >> 32, codes & 0xFFFFFFFF)
-        return pa.record_batch([pa.array(pairs.view(np.int64)), pa.array(counts.astype(np.int32))], names=["pair", "n"])
+        n, held = words.numbers(), [f.value for f in filters]
+        at = _neighbours(words, n, held)[-1]
+        rows, counts = _counted([n[at + k] for k in range(2 + len(held))])
+        return pa.record_batch([pa.array(words.hashes(*rows).view(np.int64)), pa.array(counts.astype(np.int32))], names=["run", "n"])
+
+    rows = _texts(docs).mapInArrow(_by_language(emit), "run long, n int")
+    return common.written(rows.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("run"), "phrases-runs")
 
-    rows = _texts(docs).mapInArrow(_by_language(emit), "pair long, n int")
-    return common.written(rows.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair"), "phrases-pairs")
+
+def run_filters(docs: DataFrame, least: int) -> list:
+    """Filters of the common runs of two words and of three, sent to all tasks."""
+    context, found = docs.sparkSession.sparkContext, []
+    for _ in range(2):
+        found.append(context.broadcast(bit_filter(common_runs(docs, least, found))))
+    return found
 
 
-def pair_filter(pairs: DataFrame) -> np.ndarray:
-    """Bits, as 64-bit words, one for each slot of each pair; what comes to the driver has a bound, MOST_BITS."""
-    n = pairs.count()
+def bit_filter(runs: DataFrame) -> np.ndarray:
+    """Bits, as 64-bit words, one for each slot of each run; what comes to the driver has a bound, MOST_BITS."""
+    n = runs.count()
     bits = min(MOST_BITS, 1 << max(6, (BITS_EACH * max(n, 1) - 1).bit_length()))
-    slots = pairs.select(F.explode(F.array(*[F.shiftrightunsigned("pair", k).bitwiseAND(F.lit(bits - 1)) for k in SHIFTS])).alias("slot"))
+    slots = runs.select(F.explode(F.array(*[F.shiftrightunsigned("run", k).bitwiseAND(F.lit(bits - 1)) for k in SHIFTS])).alias("slot"))
     found = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
@@ -130,36 +164,28 @@ def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def edges(docs: DataFrame, filter_: np.ndarray) -> DataFrame:
-    """(id, lang, size, gram, n) as a written table: edges of LONGEST words, and tails of fewer."""
-    sent = docs.sparkSession.sparkContext.broadcast(filter_)
+def edges(docs: DataFrame, filters: list) -> DataFrame:
+    """(id, lang, size, gram, n) as a written table: edges of LONGEST words, and tails of fewer.
+
+    A word begins the longest run of which all two and all three neighbouring words are common.
+    """
 
     def emit(words: Words) -> pa.RecordBatch:
         n = words.numbers()
-        at = np.flatnonzero((n[:-1] > 0) & (n[1:] > 0))
-        at = at[_has(sent.value, words.pair_hashes(n[at], n[at + 1]))]
-        joined = np.zeros(len(n), bool)  # whether a word and the next are common beside each other
-        joined[at] = True
-        single = np.bincount(n[(n > 0) & ~joined], minlength=len(words.words))
+        _, pairs, threes, _ = _neighbours(words, n, [f.value for f in filters])
+        paired, held = np.zeros(len(n), bool), np.zeros(len(n) + LONGEST, bool)
+        paired[pairs] = held[threes] = True
+        single = np.bincount(n[(n > 0) & ~paired], minlength=len(words.words))
         alone = np.flatnonzero(single)
-        width = [at]
-        for _ in range(LONGEST - 2):  # runs that reach further keep the place where they start
-            last = width[-1]
-            width.append(last[joined[np.minimum(last + len(width), len(n) - 1)]])
-        columns = [n[at]] + [np.zeros(len(at), np.int64) for _ in range(LONGEST - 1)]
-        for k, starts in enumerate(width, 1):
-            columns[k][np.searchsorted(at, starts)] = n[starts + k]
-        order = np.lexsort(columns[::-1])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for c in columns:
-            new[1:] |= c[order][1:] != c[order][:-1]
-        first = np.flatnonzero(new)
-        counts = np.diff(np.append(first, len(order)))
-        rows = np.stack([c[order[first]] for c in columns], axis=1)
+        columns = [n[pairs], n[pairs + 1]]
+        on = np.ones(len(pairs), bool)
+        for k in range(LONGEST - 2):  # the third word and further ones
+            on = on & held[pairs + k]
+            columns.append(np.where(on, n[np.minimum(pairs + 2 + k, len(n) - 1)], 0))
+        rows, counts = _counted(columns)
         spelt = words.words
-        grams = [spelt[i] for i in alone] + [b" ".join([spelt[i] for i in row if i]) for row in rows.tolist()]
-        size = np.concatenate([np.ones(len(alone), np.int64), (rows > 0).sum(axis=1)])
+        grams = [spelt[i] for i in alone] + [b" ".join([spelt[i] for i in row if i]) for row in zip(*(c.tolist() for c in rows))]
+        size = np.concatenate([np.ones(len(alone), np.int64), sum((c > 0).astype(np.int64) for c in rows)])
         total = np.concatenate([single[alone], counts])
         return pa.record_batch([pa.array([words.lang] * len(grams), pa.string()), pa.array(grams, pa.binary()), pa.array(size.astype(np.int8)), pa.array(total.astype(np.int64))], names=["lang", "gram", "size", "n"])
 
@@ -179,8 +205,8 @@ def _last(gram: str, n: int) -> Column:
 def paths(found: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(lang, words, n) as a written table: the edges of `found`, those along unary paths as one row.
 
-    A node is inside a path if one edge enters it and one leaves it, both weigh the same and no piece ends there; as
-    what flows in flows out, no piece begins there either. So every path has a first edge.
+    A node is inside a path if one edge enters it and one leaves it, both weigh the same and no tail ends there: it then
+    occurs as often as they do. Some run begins each path, so it has a first edge.
     """
     own = found.where(F.col("size") == LONGEST)
     leaves = own.select("lang", _first("gram", LONGEST - 1).alias("node"), F.col("id").alias("out"), F.lit(None).cast("long").alias("into"), "n")
@@ -216,7 +242,7 @@ def _windows(size: int, first: int, less: int) -> Column:
 
 def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
     """([(lang, gram, n) of 1 to LONGEST words], (lang, n) of all words); counts below least may be of cut pieces."""
-    found = edges(docs, pair_filter(common_pairs(docs, least)))
+    found = edges(docs, run_filters(docs, least))
     joined = paths(found)
     tails = [found.where(F.col("size") == k).select("lang", "gram", "n") for k in range(1, LONGEST)]
     inner = joined.select("lang", _windows(LONGEST - 1, 2, 1).alias("gram"), "n")  # the nodes inside: nothing is added there

@@ -79,7 +79,7 @@ def test_unary_paths_become_one_row(spark):
     passage = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(passage), "en", 1, "g", 0.5) for i in range(6)] + [(9, " ".join(passage[20:30]) + " z", "en", 1, "g", 0.5)]
     docs = spark.createDataFrame(rows, DOCS)
-    found = phrases.edges(docs, phrases.pair_filter(phrases.common_pairs(docs, 1)))
+    found = phrases.edges(docs, phrases.run_filters(docs, 1))
     got = {tuple(r.words): r.n for r in phrases.paths(found).collect()}
     assert got == {tuple(passage[:24]): 6, tuple(passage[20:30]): 7, tuple(passage[26:30] + ["z"]): 1, tuple(passage[26:]): 6}
 
