@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from . import dna
 from .dna import CHANNEL, CODING, M31
 
 #: Draws for the choice of a base run from 0 to this number.
@@ -63,13 +64,33 @@ class Cuts:
     read: np.ndarray
 
 
-def draws(key: np.ndarray, stream: int, seed: int) -> np.ndarray:
-    """dna.mix on arrays; only the low 31 bits of the key count."""
-    h = key.astype(np.uint32) * np.uint32(1000003) + np.uint32((stream * 7919 + seed) & 0xFFFFFFFF)
-    h &= np.uint32(M31)
-    for _ in range(2):
-        h = ((h ^ (h >> np.uint32(16))) * np.uint32(73244475)) & np.uint32(M31)
-    return h ^ (h >> np.uint32(16))
+def states(numbers: np.ndarray, stream: int, seed: int) -> np.ndarray:
+    """dna.state on arrays."""
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    p1, p2, p3, p4 = (np.uint64(p) for p in (dna.P1, dna.P2, dna.P3, dna.P4))
+    first = np.uint64((dna.hash_long(dna.stream_key(seed, stream), 42) + dna.P5 + 8) & dna.M64)
+    h = turn(first ^ (turn(numbers.astype(np.int64).view(np.uint64) * p2, 31) * p1), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def draws(numbers: np.ndarray, stream: int, seed: int) -> np.ndarray:
+    """dna.mix on arrays."""
+    return (states(numbers, stream, seed) >> np.uint64(33)).astype(np.uint32)
+
+
+def draws_at(numbers: np.ndarray, places: np.ndarray, stream: int, seed: int) -> np.ndarray:
+    """dna.mix_at on arrays, which are brought to one shape."""
+    s = states(numbers, stream, seed)
+    h = s.astype(np.uint32) + places.astype(np.uint32) * np.uint32(dna.STEP)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(dna.SPREAD_A)
+    h ^= (s >> np.uint64(32)).astype(np.uint32)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(dna.SPREAD_B)
+    h ^= h >> np.uint32(16)
+    return h >> np.uint32(1)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +122,7 @@ def place(ids: np.ndarray, noise: Noise, seed: int, cuts: Cuts | None = None) ->
     rows, at, kinds = [], [], []
     for first in range(0, len(ids), ROWS_AT_ONCE):
         some = ids[first : first + ROWS_AT_ONCE]
-        key = (some * n).astype(np.uint32)[:, None] + places
-        u = draws(key, 2, seed)
+        u = draws_at(some[:, None], places, 2, seed)
         if cuts is None:
             hit = np.flatnonzero(u < bounds[:, 2].astype(np.uint32))
             drawn, shares = u.ravel()[hit], bounds
@@ -111,7 +131,7 @@ def place(ids: np.ndarray, noise: Noise, seed: int, cuts: Cuts | None = None) ->
             hit = np.flatnonzero(u < np.maximum(top + 1, 0).astype(np.uint32))
             row, pos = np.divmod(hit, n)
             hit = hit[(u.ravel()[hit] < top[pos]) | (some[row] <= cuts.read[pos])]
-            drawn = draws(key.ravel()[hit], 3, seed)
+            drawn = draws_at(some[hit // n], hit % n, 3, seed)
             shares = (np.cumsum(noise.rates, axis=1) / np.maximum(noise.rates.sum(axis=1), 1e-300)[:, None] * (M31 + 1)).astype(np.int64)
         row, pos = np.divmod(hit, n)
         rows.append(row + first)
@@ -131,7 +151,7 @@ def context(letters: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.n
 
 def bases(ids: np.ndarray, letters: np.ndarray, row: np.ndarray, pos: np.ndarray, kind: np.ndarray, noise: Noise, seed: int) -> np.ndarray:
     """The substitute or the inserted base of each error by inverse distribution, 0 for deletions."""
-    v = (draws((ids[row] * noise.length + pos), 4, seed) % BASE_DRAWS).astype(np.int64)
+    v = (draws_at(ids[row], pos, 4, seed) % BASE_DRAWS).astype(np.int64)
     ref = CODE[letters[row, pos]]
     sub = OTHERS[ref, (v[:, None] >= noise.subs[ref]).sum(axis=1)]
     out = np.where(kind == S, sub, LETTERS[(v[:, None] >= noise.ins).sum(axis=1)])
@@ -300,4 +320,7 @@ def alignment_events(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 def single_letters(codes: np.ndarray) -> pa.Array:
     """One-letter strings; 0 is null."""
-    return strings(codes, np.arange(len(codes) + 1)) if codes.all() else pa.array([chr(c) if c else None for c in codes.tolist()], pa.string())
+    held = codes != 0
+    offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
+    valid = None if held.all() else pa.py_buffer(np.packbits(held, bitorder="little").tobytes())
+    return pa.StringArray.from_buffers(len(codes), offsets, pa.py_buffer(codes[held].astype(np.uint8).tobytes()), valid)

@@ -116,10 +116,13 @@ def depth_cdf(family: str, params: dict[str, float], most: int = 100_000) -> lis
     """Bounds on [0, 2**31): depth k is drawn where the draw is below bound k and not below bound k - 1.
 
     A continuous draw is rounded to the nearest whole number and clipped at 0, so depth k >= 1 has the mass between
-    k - 1/2 and k + 1/2 and depth 0 what is left. The table ends where a draw of 31 bits can't reach further.
+    k - 1/2 and k + 1/2 and depth 0 what is left. The table ends where a draw of 31 bits can't reach further; a family
+    that reaches beyond `most` raises ValueError.
     """
     mean, cv = theoretical(family, params)
-    top = min(most, int(mean * (1 + 60 * cv)) + 20)
+    top = int(mean * (1 + 60 * cv)) + 20
+    if top > most:
+        raise ValueError(f"depths beyond {most} may be drawn; the mean or its spread is too large")
     if family in ("poisson", "nbinom"):
         mass = np.exp(log_density(family, params, np.arange(1, top + 1).astype(float)))
     else:

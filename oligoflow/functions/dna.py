@@ -1,4 +1,4 @@
-"""Columns on DNA strings: base orders, byte coding, composition, k-mers, and counter-based random numbers."""
+"""Columns on DNA strings: base orders, byte coding, composition, k-mers, and random numbers by counter."""
 
 from __future__ import annotations
 
@@ -62,30 +62,80 @@ def base_index(base: Column, order: str = CHANNEL) -> Column:
     return F.when(base == order[0], 0).when(base == order[1], 1).when(base == order[2], 2).when(base == order[3], 3).otherwise(-1).cast("int")
 
 
-def mix(a: Column, b: Column | int, seed: int) -> Column:
-    """A draw in [0, 2**31) that depends on its arguments alone; a stays below 2**42, so no product overflows."""
-    b = F.lit(b) if isinstance(b, int) else b
-    h = (a.cast("long") * F.lit(1000003).cast("long") + b.cast("long") * F.lit(7919).cast("long") + F.lit(seed).cast("long")).bitwiseAND(F.lit(M31).cast("long"))
-    for _ in range(2):
-        h = (h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(73244475).cast("long")).bitwiseAND(F.lit(M31).cast("long"))
-    return h.bitwiseXOR(F.shiftright(h, 16))
+#: XXH64's primes, and odd factors below 2**31 that spread a position's draw; fixed values.
+P1, P2, P3, P4, P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+STEP, SPREAD_A, SPREAD_B = 0x9E3779B9, 0x7FEB352D, 0x2C1B3C6D
+M32, M64 = (1 << 32) - 1, (1 << 64) - 1
 
 
-def mix_sql(a: str, b: str, seed: int) -> str:
-    """The same draw as DuckDB SQL."""
-    h = f"((CAST({a} AS BIGINT) * 1000003 + CAST({b} AS BIGINT) * 7919 + {seed}) & {M31})"
-    for _ in range(2):
-        h = f"((xor({h}, {h} >> 16) * 73244475) & {M31})"
-    return f"xor({h}, {h} >> 16)"
+def stream_key(seed: int, stream: int) -> int:
+    """One number for a seed (of 47 bits) and a stream (of 16)."""
+    return ((seed << 16) | stream) & ((1 << 63) - 1)
 
 
-def mix_ctes(name: str, rows: str, key: str, stream: int, seed: int, keep: str) -> str:
-    """CTEs of DuckDB SQL that end in name: rows with u, the draw by key, where keep holds; each round is written once."""
-    out = [f"{name}0 AS (SELECT *, ({key} * 1000003 + {stream * 7919 + seed}) & {M31} AS h FROM ({rows}))"]
-    for k in range(2):
-        out.append(f"{name}{k + 1} AS (SELECT * REPLACE ((xor(h, h >> 16) * 73244475) & {M31} AS h) FROM {name}{k})")
-    out.append(f"{name} AS (SELECT * EXCLUDE (h), xor(h, h >> 16) AS u FROM {name}2 WHERE {keep})")
-    return ", ".join(out)
+def hash_long(value: int, seed: int) -> int:
+    """XXH64 of a 64-bit number."""
+    turn = lambda x, k: ((x << k) | (x >> (64 - k))) & M64
+    h = turn(((seed + P5 + 8) & M64) ^ (turn(value * P2 & M64, 31) * P1 & M64), 27)
+    h = (h * P1 + P4) & M64
+    h = (h ^ (h >> 33)) * P2 & M64
+    h = (h ^ (h >> 29)) * P3 & M64
+    return h ^ (h >> 32)
+
+
+def state(a: Column, stream: int, seed: int) -> Column:
+    """64 bits that depend on all bits of a number, on the stream and on the seed; no two numbers share them."""
+    return F.xxhash64(F.lit(stream_key(seed, stream)).cast("long"), a.cast("long"))
+
+
+def mix(a: Column, stream: int, seed: int) -> Column:
+    """A draw in [0, 2**31) for a number."""
+    return F.shiftrightunsigned(state(a, stream, seed), 33)
+
+
+def mix_at(a: Column, p: Column, stream: int, seed: int) -> Column:
+    """A draw in [0, 2**31) for a number and a position below 2**30: the number's state, stirred by the position."""
+    s, low = state(a, stream, seed), F.lit(M32).cast("long")
+    h = (s.bitwiseAND(low) + p.cast("long") * F.lit(STEP).cast("long")).bitwiseAND(low)
+    h = (h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(SPREAD_A).cast("long")).bitwiseAND(low).bitwiseXOR(F.shiftrightunsigned(s, 32))
+    h = (h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(SPREAD_B).cast("long")).bitwiseAND(low)
+    return F.shiftright(h.bitwiseXOR(F.shiftright(h, 16)), 1)
+
+
+def _let(value: str, bodies: list[str]) -> str:
+    """DuckDB SQL of a value passed on from one expression of h to the next."""
+    for body in bodies:
+        value = f"list_transform([{value}], lambda h: {body})[1]"
+    return value
+
+
+def state_sql(a: str, stream: int, seed: int) -> str:
+    """state as DuckDB SQL, an unsigned number."""
+    big = lambda n: f"{n}::UHUGEINT"
+    turn = lambda k: f"((h << {k}) | (h >> {64 - k}))"
+    first = (hash_long(stream_key(seed, stream), 42) + P5 + 8) & M64
+    return _let(
+        f"(CAST({a} AS BIGINT)::UHUGEINT * {big(P2)}) & {big(M64)}",
+        [f"(({turn(31)} & {big(M64)}) * {big(P1)}) & {big(M64)}", f"xor(h, {big(first)})", f"(({turn(27)} & {big(M64)}) * {big(P1)} + {big(P4)}) & {big(M64)}",
+         f"(xor(h, h >> 33) * {big(P2)}) & {big(M64)}", f"(xor(h, h >> 29) * {big(P3)}) & {big(M64)}", "xor(h, h >> 32)"],
+    )
+
+
+def mix_sql(a: str, stream: int, seed: int) -> str:
+    """mix as DuckDB SQL."""
+    return f"CAST(({state_sql(a, stream, seed)}) >> 33 AS BIGINT)"
+
+
+def mix_at_ctes(name: str, rows: str, a: str, places: str, stream: int, seed: int, keep: str = "true") -> str:
+    """CTEs of DuckDB SQL that end in name: rows for each pos of a list of places, with u, their draw, where keep holds."""
+    return ", ".join([
+        f"{name}0 AS (SELECT *, {state_sql(a, stream, seed)} AS s FROM ({rows}))",
+        f"{name}1 AS (SELECT * EXCLUDE (s), CAST(s & {M32}::UHUGEINT AS BIGINT) AS x, CAST(s >> 32 AS BIGINT) AS y FROM {name}0)",
+        f"{name}2 AS (SELECT * EXCLUDE (x), (x + pos * {STEP}) & {M32} AS h FROM (SELECT *, unnest({places}) AS pos FROM {name}1))",
+        f"{name}3 AS (SELECT * REPLACE (xor((xor(h, h >> 16) * {SPREAD_A}) & {M32}, y) AS h) FROM {name}2)",
+        f"{name}4 AS (SELECT * REPLACE ((xor(h, h >> 15) * {SPREAD_B}) & {M32} AS h) FROM {name}3)",
+        f"{name} AS (SELECT * EXCLUDE (h, y), xor(h, h >> 16) >> 1 AS u FROM {name}4 WHERE {keep.replace('u ', '(xor(h, h >> 16) >> 1) ')})",
+    ])
 
 
 def lookup(draw: Column, bounds: list[int], values: list | None = None) -> Column:

@@ -121,30 +121,35 @@ def depth_summary(depth: DataFrame) -> DataFrame:
     )
 
 
-def error_key(read_id: Column, pos: Column, length: int = LENGTH) -> Column:
-    return read_id * length + pos
-
-
 def error_cuts(read_ids: DataFrame, noise: Noise, seed: int, sigmas: float = 8.0) -> Cuts:
     """Where position p must be cut so that exactly rint(N * rate[p]) reads, those with the smallest draws, err there.
 
-    One pass: draws that are surely in are only counted, and of the rest just those close to the cut are kept apart,
-    about 16 standard deviations of the count. Should a cut lie outside all the same, the window is widened. What
-    comes to the driver is one row for each position.
+    One pass: draws that are surely in are only counted, batch by batch, and of the rest just those close to the cut are
+    kept apart, about 16 standard deviations of the count. Should a cut lie outside all the same, the window is widened.
+    What comes to the driver is one row for each position.
     """
     n = read_ids.count()
     total = noise.rates.sum(axis=1)
     quotas = np.rint(n * total).astype(np.int64)
-    draw = dna.mix(error_key(F.col("read_id"), F.col("pos"), noise.length), 2, seed)
-    rows = read_ids.select("read_id", F.explode(F.sequence(F.lit(0), F.lit(noise.length - 1))).alias("pos")).withColumn("_u", draw)
+    places = np.arange(noise.length)
     while True:
         slack = sigmas * np.sqrt(np.maximum(total / max(n, 1), 1e-18)) + 16 / max(n, 1)
-        low = [int(x) for x in np.clip((total - slack) * (dna.M31 + 1), 0, dna.M31)]
-        high = [int(x) for x in np.clip((total + slack) * (dna.M31 + 1), 0, dna.M31 + 1)]
-        near = rows.where(F.col("_u") < max(high)).where(F.col("_u") < _at(high, F.col("pos")))
-        apart = F.col("_u") >= _at(low, F.col("pos"))
-        counts = near.groupBy("pos", F.when(apart, F.col("_u")).alias("_u"), F.when(apart, F.col("read_id")).alias("_id")).agg(F.count("*").alias("_n"))
-        upto = Window.partitionBy("pos").orderBy(F.col("_u").asc_nulls_first(), "_id")
+        low, high = (np.clip((total + sign * slack) * (dna.M31 + 1), 0, dna.M31 + (sign > 0)).astype(np.int64) for sign in (-1, 1))
+
+        def near(batches: Iterator[pa.RecordBatch], low=low, high=high) -> Iterator[pa.RecordBatch]:
+            sure, names = np.zeros(noise.length, np.int64), ["pos", "_u", "_id", "_n"]
+            for part in batches:
+                ids = part.column("read_id").to_numpy()
+                for at in range(0, len(ids), kernel.ROWS_AT_ONCE):
+                    some = ids[at : at + kernel.ROWS_AT_ONCE]
+                    u = kernel.draws_at(some[:, None], places, 2, seed)
+                    sure += (u < low).sum(axis=0)
+                    row, pos = np.nonzero((u >= low) & (u < high))
+                    yield pa.record_batch([pa.array(pos, pa.int32()), pa.array(u[row, pos].astype(np.int64)), pa.array(some[row]), pa.array(np.ones(len(row), np.int64))], names=names)
+            yield pa.record_batch([pa.array(places, pa.int32()), pa.nulls(noise.length, pa.int64()), pa.nulls(noise.length, pa.int64()), pa.array(sure)], names=names)
+
+        counts = read_ids.select("read_id").mapInArrow(near, "pos int, _u long, _id long, _n long")
+        upto = Window.partitionBy("pos").orderBy(F.col("_u").asc_nulls_first(), "_id").rowsBetween(Window.unboundedPreceding, 0)
         reached = counts.withColumn("_upto", F.sum("_n").over(upto)).where((F.col("_upto") == _at(quotas.tolist(), F.col("pos"))) & F.col("_u").isNotNull())
         found = {r["pos"]: r for r in reached.select("pos", "_u", "_id").collect()}  # one row for each position
         if all(p in found for p in range(noise.length) if quotas[p]):
@@ -180,6 +185,29 @@ def errors(reads: DataFrame, noise: Noise, seed: int, cuts: Cuts | None = None)
     return reads.select("read_id", "ref_idx", "seq").mapInArrow(run, "read_id long, ref_idx long, pos int, etype string, ref_base string, base string, k3 int, b4 int")
 
 
+def error_counts(reads: DataFrame, noise: Noise, seed: int, cuts: Cuts | None = None) -> DataFrame:
+    """(pos, etype, n, read_sum): the errors of reads(read_id) by position and kind, and the sum of their reads' numbers.
+
+    Every batch sums up its own errors; the strands aren't needed.
+    """
+    size = 3 * noise.length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for part in batches:
+            ids = part.column("read_id").to_numpy()
+            row, pos, kind = kernel.place(ids, noise, seed, cuts)
+            at = 3 * pos + (kind == kernel.I) + 2 * (kind == kernel.D)
+            n += np.bincount(at, minlength=size)
+            np.add.at(total, at, ids[row])
+        some = np.flatnonzero(n)
+        kinds = np.array([kernel.S, kernel.I, kernel.D], np.uint8)
+        yield pa.record_batch([pa.array(some // 3, pa.int32()), kernel.single_letters(kinds[some % 3]), pa.array(n[some]), pa.array(total[some])], names=["pos", "etype", "n", "read_sum"])
+
+    rows = reads.select("read_id").mapInArrow(run, "pos int, etype string, n long, read_sum long")
+    return rows.groupBy("pos", "etype").agg(F.sum("n").alias("n"), F.sum("read_sum").alias("read_sum"))
+
+
 #: Columns that simulate can give of each read.
 TRUTH = {"seq": "string", "read": "string", "cigar": "string", "md": "string", "n_sub": "int", "n_ins": "int", "n_del": "int"}
 

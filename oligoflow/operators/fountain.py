@@ -110,7 +110,7 @@ def droplet_plan(spark: SparkSession, n: int, k: int, seed: int, delta: float =
     """(droplet, degree, seg_ids): degree by table, segments as the first distinct draws."""
     degree = _degree_lookup(dna.mix(F.col("droplet"), 10, seed), degree_bounds(k, delta, c))
     rows = spark.range(first, first + n).select(F.col("id").alias("droplet")).withColumn("degree", degree)
-    draws = F.transform(F.sequence(F.lit(0), F.col("degree") * 4 + 15), lambda j: F.pmod(dna.mix(F.col("droplet"), j + 11, seed), F.lit(k)).cast("int"))
+    draws = F.transform(F.sequence(F.lit(0), F.col("degree") * 4 + 15), lambda j: F.pmod(dna.mix_at(F.col("droplet"), j, 11, seed), F.lit(k)).cast("int"))
     rows = rows.withColumn("seg_ids", F.slice(F.array_distinct(draws), F.lit(1), F.col("degree")))
     return rows.withColumn("degree", F.size("seg_ids"))
 

@@ -98,7 +98,7 @@ d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents)
 c AS (SELECT doc_id, h, CAST(ceil(length(h) / 64.0) AS BIGINT) AS n, CAST(sum(ceil(length(h) / 64.0)) OVER (ORDER BY doc_id) - ceil(length(h) / 64.0) AS BIGINT) AS base FROM d),
 strands AS MATERIALIZED (SELECT base + seg AS ref_idx, doc_id, CAST(seg AS INTEGER) AS seg, {_CHAIN} AS seq FROM (SELECT *, unnest(range(0, n)) AS seg FROM c))"""
 SQL_DEPTH = f"""{SQL_STRANDS},
-drawn AS (SELECT *, {dna.mix_sql("ref_idx", "0", SEED)} AS u FROM strands),
+drawn AS (SELECT *, {dna.mix_sql("ref_idx", 0, SEED)} AS u FROM strands),
 depth0 AS (SELECT ref_idx, doc_id, seg, seq, CAST(len(list_filter({_BOUNDS}, lambda b: b <= u)) AS BIGINT) AS n_reads FROM drawn),
 depth AS (SELECT *, CAST(sum(n_reads) OVER (ORDER BY ref_idx) - n_reads AS BIGINT) AS first_read FROM depth0)"""
 SQL_READS = f"""{SQL_DEPTH},
@@ -106,12 +106,17 @@ reads AS MATERIALIZED (SELECT first_read + k AS read_id, ref_idx, k AS copy_idx,
 _B = channel.position_bounds()
 SQL_ERRORS = f"""{SQL_READS},
 bounds AS (SELECT {_list(b[0] for b in _B)} AS b0, {_list(b[1] for b in _B)} AS b1, {_list(b[2] for b in _B)} AS b2),
-{dna.mix_ctes("spot", f"SELECT read_id, ref_idx, CAST(p AS INTEGER) AS pos, read_id * {LENGTH} + p AS key FROM (SELECT read_id, ref_idx, unnest(range(0, {LENGTH})) AS p FROM reads)", "key", 2, SEED, f"u < {max(b[2] for b in _B)}")},
-found AS (SELECT spot.*, CASE WHEN u < b0[pos + 1] THEN 'S' WHEN u < b1[pos + 1] THEN 'I' ELSE 'D' END AS etype FROM spot, bounds WHERE u < b2[pos + 1]),
-hits AS MATERIALIZED (SELECT read_id, found.ref_idx, seq, pos, etype, {dna.mix_sql("key", "4", SEED)} % 1000000 AS v, substr(seq, pos + 1, 1) AS ref_base FROM found JOIN reads USING (read_id)),
-errs AS MATERIALIZED (SELECT read_id, ref_idx, seq, pos, etype, ref_base, CASE WHEN etype = 'S' THEN CASE ref_base
+{dna.mix_at_ctes("spot", "SELECT read_id, ref_idx FROM reads", "read_id", f"range(0, {LENGTH})", 2, SEED, f"u < {max(b[2] for b in _B)}")},
+found AS (SELECT read_id, ref_idx, CAST(pos AS INTEGER) AS pos, CASE WHEN u < b0[pos + 1] THEN 'S' WHEN u < b1[pos + 1] THEN 'I' ELSE 'D' END AS etype FROM spot, bounds WHERE u < b2[pos + 1]),
+{dna.mix_at_ctes("based", "SELECT read_id, ref_idx, pos AS p, etype FROM found", "read_id", "[p]", 4, SEED)},
+hits AS MATERIALIZED (SELECT based.read_id, based.ref_idx, p AS pos, etype, u % 1000000 AS v, substr(seq, p + 1, 1) AS ref_base, substr('NNNN' || seq, p + 1, 5) AS ctx FROM based JOIN reads USING (read_id)),
+errs AS MATERIALIZED (SELECT read_id, ref_idx, pos, etype, ref_base, ctx, CASE WHEN etype = 'S' THEN CASE ref_base
   {" ".join(f"WHEN '{b}' THEN (CASE WHEN v < {x}000 THEN '{dna.CHANNEL.replace(b, "")[0]}' WHEN v < {y}000 THEN '{dna.CHANNEL.replace(b, "")[1]}' ELSE '{dna.CHANNEL.replace(b, "")[2]}' END)" for b, (x, y) in channel.SUB_CUM.items())} END
   WHEN etype = 'I' THEN (CASE WHEN v < {channel.INS_CUM[0]}000 THEN 'A' WHEN v < {channel.INS_CUM[1]}000 THEN 'T' WHEN v < {channel.INS_CUM[2]}000 THEN 'C' ELSE 'G' END) END AS base FROM hits)"""
+#: The reads that errors make: each read's events in order, joined with its strand once.
+SQL_MUTATED = f"""{SQL_ERRORS},
+ev AS (SELECT read_id, list({{'pos': pos, 'etype': etype, 'base': base}} ORDER BY pos) AS ev FROM errs GROUP BY read_id),
+mutated AS (SELECT reads.read_id, reads.ref_idx, CASE WHEN ev IS NULL THEN seq ELSE array_to_string(list_transform(range(1, len(ev) + 1), lambda i: substr(seq, CASE WHEN i = 1 THEN 1 ELSE ev[i - 1].pos + 2 END, CASE WHEN i = 1 THEN ev[i].pos ELSE ev[i].pos - ev[i - 1].pos - 1 END) || CASE ev[i].etype WHEN 'S' THEN ev[i].base WHEN 'I' THEN ev[i].base || substr(seq, ev[i].pos + 1, 1) ELSE '' END), '') || substr(seq, ev[-1].pos + 2) END AS read FROM reads LEFT JOIN ev USING (read_id))"""
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -175,7 +180,7 @@ def strand_screen(spark, sf_dir):
 
 def _depth_query(family: str, mean: float, cv: float | None, seed: int):
     bounds = _list(depth_cdf(family, depth_params(family, mean, cv)))
-    sql = f"WITH {SQL_STRANDS}, u AS (SELECT {dna.mix_sql('ref_idx', '0', seed)} AS u FROM strands), n AS (SELECT CAST(len(list_filter({bounds}, lambda b: b <= u)) AS BIGINT) AS n_reads FROM u) SELECT n_reads, count(*) AS n_refs FROM n GROUP BY n_reads"
+    sql = f"WITH {SQL_STRANDS}, u AS (SELECT {dna.mix_sql('ref_idx', 0, seed)} AS u FROM strands), n AS (SELECT CAST(len(list_filter({bounds}, lambda b: b <= u)) AS BIGINT) AS n_reads FROM u) SELECT n_reads, count(*) AS n_refs FROM n GROUP BY n_reads"
 
     @query(f"depth_sample_{family}", sql)
     def run(spark, sf_dir):
@@ -189,7 +194,7 @@ for _i, (_f, (_m, _c)) in enumerate(FAMILY.items()):
 
 SQL_DROP = f"""{SQL_DEPTH},
 s AS (SELECT count(*) AS n, count(*) FILTER (n_reads = 0) AS z FROM depth),
-r AS (SELECT ref_idx, n_reads, row_number() OVER (PARTITION BY n_reads = 0 ORDER BY {dna.mix_sql("ref_idx", "1", SEED)}, ref_idx) AS k, z - CAST(floor(n * {DROPOUT}) AS BIGINT) AS extra FROM depth, s)"""
+r AS (SELECT ref_idx, n_reads, row_number() OVER (PARTITION BY n_reads = 0 ORDER BY {dna.mix_sql("ref_idx", 1, SEED)}, ref_idx) AS k, z - CAST(floor(n * {DROPOUT}) AS BIGINT) AS extra FROM depth, s)"""
 
 
 @query("dropout_calibrate", f"WITH {SQL_DROP} SELECT ref_idx, CASE WHEN n_reads = 0 AND k <= extra THEN 1 WHEN n_reads > 0 AND k <= -extra THEN 0 ELSE n_reads END AS n_reads FROM r")
@@ -236,17 +241,17 @@ def rate_override(spark, sf_dir):
 
 @query("error_bernoulli", f"WITH {SQL_ERRORS} SELECT pos, etype, count(*) AS n FROM errs GROUP BY ALL")
 def error_bernoulli(spark, sf_dir):
-    return errors(spark, sf_dir).groupBy("pos", "etype").agg(F.count("*").alias("n"))
+    return channel.error_counts(read_ids(spark, sf_dir), NOISE, SEED).drop("read_sum")
 
 
 _T = NOISE.rates.sum(axis=1).tolist()
 
 
-@query("error_quota", f"WITH {SQL_READS}, n AS (SELECT count(*) AS n FROM reads), {dna.mix_ctes('m', f'SELECT read_id, CAST(p AS INTEGER) AS pos, read_id * {LENGTH} + p AS key FROM (SELECT read_id, unnest(range(0, {LENGTH})) AS p FROM reads)', 'key', 2, SEED, 'u < 200000000')}, k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY u, read_id) AS r FROM m), t AS (SELECT {_list(repr(t) for t in _T)} AS t) SELECT pos, count(*) AS n, CAST(sum(read_id) AS BIGINT) AS read_sum FROM k, n, t WHERE r <= round_even(n * t[pos + 1], 0) GROUP BY pos")
+@query("error_quota", f"WITH {SQL_READS}, n AS (SELECT count(*) AS n FROM reads), {dna.mix_at_ctes('m', 'SELECT read_id FROM reads', 'read_id', f'range(0, {LENGTH})', 2, SEED, 'u < 200000000')}, k AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY u, read_id) AS r FROM m), t AS (SELECT {_list(repr(t) for t in _T)} AS t) SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, CAST(sum(read_id) AS BIGINT) AS read_sum FROM k, n, t WHERE r <= round_even(n * t[pos + 1], 0) GROUP BY pos")
 def error_quota(spark, sf_dir):
-    rows = order.written(reads(spark, sf_dir).select("read_id", "ref_idx", "seq"), "reads")
-    cuts = channel.error_cuts(rows.select("read_id"), NOISE, SEED)
-    return channel.errors(rows, NOISE, SEED, cuts).groupBy("pos").agg(F.count("*").alias("n"), F.sum("read_id").alias("read_sum"))
+    rows = order.written(read_ids(spark, sf_dir).select("read_id"), "reads")
+    found = channel.error_counts(rows, NOISE, SEED, channel.error_cuts(rows, NOISE, SEED))
+    return found.groupBy("pos").agg(F.sum("n").alias("n"), F.sum("read_sum").alias("read_sum"))
 
 
 @query("error_bases", f"WITH {SQL_ERRORS} SELECT etype, ref_base, coalesce(base, '-') AS base, count(*) AS n FROM errs GROUP BY ALL")
@@ -258,7 +263,7 @@ def _code(text: str) -> str:
     return f"(instr('ATCG', {text}) - 1)"
 
 
-_K3 = "(" + " + ".join(f"{m} * {_code(f'substr(seq, pos - {2 - i}, 1)')}" for i, m in enumerate((16, 4, 1))) + ")"
+_K3 = "(" + " + ".join(f"{m} * {_code(f'substr(ctx, {2 + i}, 1)')}" for i, m in enumerate((16, 4, 1))) + ")"
 
 
 @query("kmer_context", f"WITH {SQL_ERRORS} SELECT etype, CAST({_K3} AS INTEGER) AS k3, CAST({_code('ref_base')} AS INTEGER) AS b4, count(*) AS n FROM errs WHERE pos >= 3 AND pos < {LENGTH - 2} GROUP BY ALL")
@@ -278,9 +283,7 @@ def kmer_bases(spark, sf_dir):
     return found.where("etype <> 'D'").groupBy("etype", "pos", "base").agg(F.count("*").alias("n"))
 
 
-@query("mutate_reads", f"""WITH {SQL_ERRORS}, ev AS (SELECT read_id, pos, base, etype, lag(pos, 1, -1) OVER (PARTITION BY read_id ORDER BY pos) AS before, seq FROM errs),
-p AS (SELECT read_id, string_agg(substr(seq, before + 2, pos - before - 1) || CASE etype WHEN 'S' THEN base WHEN 'I' THEN base || substr(seq, pos + 1, 1) ELSE '' END, '' ORDER BY pos) AS head, max(pos) AS last FROM ev GROUP BY read_id)
-SELECT reads.read_id, reads.ref_idx, coalesce(head, '') || substr(seq, coalesce(last + 2, 1)) AS read FROM reads LEFT JOIN p USING (read_id)""")
+@query("mutate_reads", f"WITH {SQL_MUTATED} SELECT read_id, ref_idx, read FROM mutated")
 def mutate_reads(spark, sf_dir):
     return alignments(spark, sf_dir, "read")
 
@@ -290,7 +293,7 @@ def truth_rebuild(spark, sf_dir):
     return alignments(spark, sf_dir, "read", "cigar", "md").select("read_id", "ref_idx", channel.rebuild(F.col("read"), F.col("cigar"), F.col("md")).alias("seq"))
 
 
-@query("shuffle_global", f"WITH {SQL_READS} SELECT row_number() OVER (ORDER BY {dna.mix_sql('read_id', '5', SEED)}, read_id) - 1 AS new_id, read_id FROM reads")
+@query("shuffle_global", f"WITH {SQL_READS} SELECT row_number() OVER (ORDER BY {dna.mix_sql('read_id', 5, SEED)}, read_id) - 1 AS new_id, read_id FROM reads")
 def shuffle_global(spark, sf_dir):
     return channel.shuffle_reads(read_ids(spark, sf_dir).select("read_id"), SEED).select("new_id", "read_id")
 
@@ -369,8 +372,8 @@ def aln_base_matrix(spark, sf_dir):
 
 def _kmer(kind: str):
     shift, low = (0, 3) if kind == "S" else (1, 4)
-    k3 = "(" + " + ".join(f"{m} * {_code(f'substr(seq, pos - {2 + shift - i}, 1)')}" for i, m in enumerate((16, 4, 1))) + ")"
-    b4, out = _code(f"substr(seq, pos + {1 - shift}, 1)"), _code("ref_base" if kind == "D" else "base")
+    k3 = "(" + " + ".join(f"{m} * {_code(f'substr(ctx, {2 - shift + i}, 1)')}" for i, m in enumerate((16, 4, 1))) + ")"
+    b4, out = _code(f"substr(ctx, {5 - shift}, 1)"), _code("ref_base" if kind == "D" else "base")
     over = "k3, out" if kind == "D" else "k3, b4"
     name = {"S": "sub", "I": "ins", "D": "del"}[kind]
     sql = f"WITH {SQL_ERRORS}, k AS (SELECT CAST({k3} AS INTEGER) AS k3, CAST({b4} AS INTEGER) AS b4, CAST({out} AS INTEGER) AS out, count(*) AS n FROM errs WHERE etype = '{kind}' AND pos >= {low} AND pos < {LENGTH - 1} GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY {over}), 10) AS p FROM k"
@@ -433,9 +436,7 @@ def clustered(spark, sf_dir):
     return order.written(alignments(spark, sf_dir, "read").select(F.col("ref_idx").alias("cluster_id"), "read"), "clustered")
 
 
-SQL_VOTE = f"""{SQL_ERRORS}, ev AS (SELECT read_id, pos, base, etype, lag(pos, 1, -1) OVER (PARTITION BY read_id ORDER BY pos) AS before, seq FROM errs),
-p AS (SELECT read_id, string_agg(substr(seq, before + 2, pos - before - 1) || CASE etype WHEN 'S' THEN base WHEN 'I' THEN base || substr(seq, pos + 1, 1) ELSE '' END, '' ORDER BY pos) AS head, max(pos) AS last FROM ev GROUP BY read_id),
-m AS (SELECT ref_idx, coalesce(head, '') || substr(seq, coalesce(last + 2, 1)) AS read FROM reads LEFT JOIN p USING (read_id)),
+SQL_VOTE = f"""{SQL_MUTATED}, m AS (SELECT ref_idx, read FROM mutated),
 b AS (SELECT ref_idx, i, substr(read, CAST(i AS INTEGER), 1) AS b FROM (SELECT *, unnest(range(1, {LENGTH + 1})) AS i FROM m WHERE length(read) = {LENGTH})),
 w AS (SELECT ref_idx, i, count(*) AS n, count(*) FILTER (b = 'A') * 4 + 3 AS a, count(*) FILTER (b = 'T') * 4 + 2 AS t, count(*) FILTER (b = 'G') * 4 + 1 AS g, count(*) FILTER (b = 'C') * 4 AS c FROM b GROUP BY ALL)"""
 
@@ -483,9 +484,10 @@ SQL_SEGMENTS = "b AS (SELECT item_id, lower(hex(encode(text))) AS h FROM benchma
 SQL_DROPLETS = f"""{SQL_SEGMENTS}, k AS (SELECT count(*) AS k FROM f), sp AS (SELECT k, 0.1 * ln(k / 0.5) * sqrt(k) AS s FROM k), sq AS (SELECT *, least(k, greatest(1, CAST(floor(k / s) AS BIGINT))) AS spike FROM sp),
 sr AS (SELECT d, CASE WHEN d = 1 THEN 1 / CAST(k AS DOUBLE) ELSE 1 / CAST(d * (d - 1) AS DOUBLE) END + CASE WHEN d < spike THEN s / (k * d) WHEN d = spike THEN greatest(0, s * ln(s / 0.5) / k) ELSE 0 END AS m FROM sq, range(1, k + 1) t(d)),
 cdf AS (SELECT d, floor(sum(m) OVER (ORDER BY d) / sum(m) OVER () * {dna.M31 + 1}) AS bound FROM sr),
-dr AS (SELECT CAST(i AS BIGINT) AS droplet, k, {dna.mix_sql("i", "10", SEED)} AS u FROM k, range(0, CAST(floor(k * 1.3) AS BIGINT) + 1) t(i)),
+dr AS (SELECT CAST(i AS BIGINT) AS droplet, k, {dna.mix_sql("i", 10, SEED)} AS u FROM k, range(0, CAST(floor(k * 1.3) AS BIGINT) + 1) t(i)),
 dg AS (SELECT droplet, k, least(k, 1 + (SELECT count(*) FROM cdf WHERE bound <= u)) AS degree FROM dr),
-dj AS (SELECT droplet, degree, j, {dna.mix_sql("droplet", "(j + 11)", SEED)} % k AS seg FROM (SELECT *, unnest(range(0, degree * 4 + 16)) AS j FROM dg)),
+{dna.mix_at_ctes("dm", "SELECT * FROM dg", "droplet", "range(0, degree * 4 + 16)", 11, SEED)},
+dj AS (SELECT droplet, degree, pos AS j, u % k AS seg FROM dm),
 dk AS (SELECT droplet, degree, seg, row_number() OVER (PARTITION BY droplet ORDER BY min(j)) AS r FROM dj GROUP BY droplet, degree, seg),
 plan AS (SELECT droplet, seg, count(*) OVER (PARTITION BY droplet) AS degree, r FROM dk WHERE r <= degree)"""
 _WORD = "CAST('0x' || substr(payload, {0} * 8 + 1, 8) AS BIGINT)"
@@ -532,7 +534,7 @@ def decode_completion(spark, sf_dir):
     return fountain.completion(_peeled(spark, found, k), found)
 
 
-@query("seed_histogram", f"WITH {SQL_SEGMENTS}, k AS (SELECT count(*) AS k FROM f), came AS (SELECT i, {dna.mix_sql('i', '7', SEED)} % 5 AS n FROM k, range(0, 2 * k) t(i)) SELECT CAST(n AS BIGINT) AS n, count(*) AS droplets FROM came WHERE n > 0 GROUP BY n")
+@query("seed_histogram", f"WITH {SQL_SEGMENTS}, k AS (SELECT count(*) AS k FROM f), came AS (SELECT i, {dna.mix_sql('i', 7, SEED)} % 5 AS n FROM k, range(0, 2 * k) t(i)) SELECT CAST(n AS BIGINT) AS n, count(*) AS droplets FROM came WHERE n > 0 GROUP BY n")
 def seed_histogram(spark, sf_dir):
     """How often each droplet came among reads of which every droplet has none to four."""
     k = bench_segments(spark, sf_dir).count()
@@ -661,7 +663,7 @@ def profile_bounds(spark, sf_dir):
     return spark.createDataFrame(rows, "pos int, b0 long, b1 long, b2 long")
 
 
-@query("simulate_profile", f"WITH {SQL_ERRORS}, {SQL_RATES}, pb AS (SELECT list(CAST(floor(sub * 2147483648) AS BIGINT) ORDER BY pos) AS b0, list(CAST(floor((sub + ins) * 2147483648) AS BIGINT) ORDER BY pos) AS b1, list(CAST(floor((sub + ins + del) * 2147483648) AS BIGINT) ORDER BY pos) AS b2 FROM rates), {dna.mix_ctes('again', f'SELECT read_id, CAST(p AS INTEGER) AS pos, read_id * {LENGTH} + p AS key FROM (SELECT read_id, unnest(range(0, {LENGTH})) AS p FROM reads)', 'key', 2, SEED + 1, 'u < 200000000')} SELECT CASE WHEN u < b0[pos + 1] THEN 'S' WHEN u < b1[pos + 1] THEN 'I' ELSE 'D' END AS etype, pos, count(*) AS n FROM again, pb WHERE u < b2[pos + 1] GROUP BY ALL")
+@query("simulate_profile", f"WITH {SQL_ERRORS}, {SQL_RATES}, pb AS (SELECT list(CAST(floor(sub * 2147483648) AS BIGINT) ORDER BY pos) AS b0, list(CAST(floor((sub + ins) * 2147483648) AS BIGINT) ORDER BY pos) AS b1, list(CAST(floor((sub + ins + del) * 2147483648) AS BIGINT) ORDER BY pos) AS b2 FROM rates), {dna.mix_at_ctes('again', 'SELECT read_id FROM reads', 'read_id', f'range(0, {LENGTH})', 2, SEED + 1, 'u < 200000000')} SELECT CASE WHEN u < b0[pos + 1] THEN 'S' WHEN u < b1[pos + 1] THEN 'I' ELSE 'D' END AS etype, CAST(pos AS INTEGER) AS pos, count(*) AS n FROM again, pb WHERE u < b2[pos + 1] GROUP BY ALL")
 def simulate_profile(spark, sf_dir):
     """Errors of a second run, by the profile extracted from the first."""
     from .runs import noise_of
@@ -747,7 +749,7 @@ def simple_chunks(spark, sf_dir):
     return cut(_explicit(spark, sf_dir)[0], CHUNK)
 
 
-@query("fasta_preview", f"WITH {SQL_STRANDS}, later AS (SELECT ref_idx FROM strands WHERE ref_idx >= 2 ORDER BY {dna.mix_sql('ref_idx', '6', SEED)}, ref_idx LIMIT 1) SELECT ref_idx AS place, 'seq_' || (ref_idx + 1) AS name, seq FROM strands WHERE ref_idx < 2 OR ref_idx IN (SELECT ref_idx FROM later)")
+@query("fasta_preview", f"WITH {SQL_STRANDS}, later AS MATERIALIZED (SELECT min([{dna.mix_sql('ref_idx', 6, SEED)}, ref_idx])[2] AS ref_idx FROM strands WHERE ref_idx >= 2) SELECT ref_idx AS place, 'seq_' || (ref_idx + 1) AS name, seq FROM strands WHERE ref_idx < 2 OR ref_idx IN (SELECT ref_idx FROM later)")
 def fasta_preview(spark, sf_dir):
     """The first two strands and one more, drawn: a preview, so its limit is the feature."""
     from .runs import preview

@@ -47,9 +47,36 @@ def test_cigar_and_md(aligned):
 
 
 def test_draws_are_those_of_the_column(spark):
-    keys = [0, 1, 127, 2**31 + 5, 2**41 + 77]
-    rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", dna.mix(F.col("k"), 3, 42).alias("u")).collect()
+    keys = [0, 1, 127, 2**31 + 5, 2**41 + 77, 2**62 + 3]
+    frame = spark.createDataFrame([(k, i * 37) for i, k in enumerate(keys)], "k long, p int")
+    rows = frame.select("k", dna.mix(F.col("k"), 3, 42).alias("u"), dna.mix_at(F.col("k"), F.col("p"), 3, 42).alias("v")).collect()
     assert {r.k: r.u for r in rows} == dict(zip(keys, batch.draws(np.array(keys), 3, 42).tolist()))
+    assert {r.k: r.v for r in rows} == dict(zip(keys, batch.draws_at(np.array(keys), np.arange(6) * 37, 3, 42).tolist()))
+
+
+def test_draws_have_no_short_period():
+    numbers, places = np.arange(2000), np.arange(128)
+    drawn = batch.draws_at(numbers[:, None], places, 2, 42)
+    for step in (2**24, 2**31, 2**32, 2**48):
+        assert (batch.draws_at(numbers[:, None] + step, places, 2, 42) == drawn).mean() < 1e-3
+        assert (batch.draws(numbers + step, 0, 42) == batch.draws(numbers, 0, 42)).mean() < 1e-2
+    assert len(np.unique(batch.states(np.arange(200_000) * 2**24, 0, 42))) == 200_000
+
+
+def test_seeds_and_streams_are_unrelated():
+    numbers, places = np.arange(3000), np.arange(64)
+    one = batch.draws_at(numbers[:, None], places, 2, 42).astype(float)
+    others = [batch.draws_at(numbers[:, None] + more, places + at, stream, seed).astype(float) for more, at, stream, seed in ((0, 0, 3, 42), (0, 0, 2, 43), (1, 0, 2, 42), (0, 1, 2, 42), (1, 0, 2, 42 + 1000003), (0, 0, 2, 42 + 7919))]
+    for other in others:
+        assert abs(np.corrcoef(one.ravel(), other.ravel())[0, 1]) < 0.01
+    # Even over the range, in each bit, and between neighbouring reads and positions.
+    share = np.bincount((one.ravel() / 2**31 * 64).astype(int), minlength=64) / one.size * 64
+    assert abs(share - 1).max() < 0.1
+    assert all(abs((one.astype(int) >> bit & 1).mean() - 0.5) < 0.01 for bit in range(31))
+    assert abs(np.corrcoef(one[1:].ravel(), one[:-1].ravel())[0, 1]) < 0.01 and abs(np.corrcoef(one[:, 1:].ravel(), one[:, :-1].ravel())[0, 1]) < 0.01
+    # Errors of one read are as spread out as independent ones: their number's variance is binomial.
+    hits = (one < 0.1 * 2**31).sum(axis=1)
+    assert abs(hits.mean() - 6.4) < 0.2 and abs(hits.var() - 64 * 0.09) < 0.6
 
 
 def test_reads_and_their_strand_again(aligned):
@@ -102,7 +129,7 @@ def test_quota_is_exact_and_smallest(spark):
         cuts = channel.error_cuts(reads.select("read_id"), noise, 5, sigmas)
         found.append(sorted((r.pos, r.read_id, r.etype) for r in channel.errors(reads, noise, 5, cuts).collect()))
     assert found[0] == found[1]
-    u = batch.draws(np.arange(n)[:, None] * 16 + np.arange(16), 2, 5)
+    u = batch.draws_at(np.arange(n)[:, None], np.arange(16), 2, 5)
     for pos in range(16):
         quota = int(np.rint(n * noise.rates[pos].sum()))
         assert sorted(r for p, r, _ in found[0] if p == pos) == sorted(np.lexsort((np.arange(n), u[:, pos]))[:quota].tolist())
@@ -119,11 +146,11 @@ def test_batches_agree_with_a_plain_loop(spark):
     df = spark.createDataFrame([(i * 7, i, s) for i, s in enumerate(strands)], "read_id long, ref_idx long, seq string")
     got = {r.ref_idx: r for r in channel.simulate(df, noise, 9).collect()}
     bounds, code = noise.bounds(), "ATCG".index
-    draw = lambda key, stream: int(batch.draws(np.array([key]), stream, 9)[0])
+    draw = lambda read, pos, stream: int(batch.draws_at(np.array([read]), np.array([pos]), stream, 9)[0])
     for i, strand in enumerate(strands):
         out, n = "", {"S": 0, "I": 0, "D": 0}
         for p, ref in enumerate(strand):
-            u, v = draw(i * 210 + p, 2), draw(i * 210 + p, 4) % batch.BASE_DRAWS
+            u, v = draw(i * 7, p, 2), draw(i * 7, p, 4) % batch.BASE_DRAWS
             kind = next((k for k, b in zip("SID", bounds[p]) if u < b), None)
             if kind:
                 n[kind] += 1
