@@ -84,6 +84,16 @@ class Pair:
         return a, self.encode_b(segments)
 
 
+_PAIRS: dict = {}
+
+
+def pair_of(path_a: str, path_b: str) -> Pair:
+    """One pair for each worker process."""
+    if (path_a, path_b) not in _PAIRS:
+        _PAIRS[path_a, path_b] = Pair(path_a, path_b)
+    return _PAIRS[path_a, path_b]
+
+
 def terminals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each token of A and of B, the A token that ends its component; both end at the same last byte."""
     n = len(ends_a)
@@ -240,7 +250,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int = BLOCK_B
     """(block, pairs, docs, data) as a written table: each block's id pairs, their numbers of documents, and the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligned, made, ids, texts, held = Aligned(Pair(path_a, path_b)), 0, [], [], 0
+        aligned, made, ids, texts, held = Aligned(pair_of(path_a, path_b)), 0, [], [], 0
         part = TaskContext.get().partitionId()
 
         def done() -> pa.RecordBatch:
