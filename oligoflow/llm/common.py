@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of ids that is broadcast to drop rows; above it the ids are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Rows in one Arrow batch; documents may be long, so batches hold few of them.
-BATCH_ROWS = 500
+#: Rows and bytes in one Arrow batch; documents may be long, so batches hold few of them.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts small enough for a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key, None)
+        if held is None or not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
 
 
 def release() -> None:

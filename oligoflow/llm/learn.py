@@ -22,16 +22,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fit: Column, p
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
-def fit_in_task(rows: DataFrame, trainer: Callable[[pd.DataFrame], dict]) -> dict:
-    """Train on a bounded sample in one executor task and bring back the model."""
+def fit_in_task(rows: DataFrame, trainer: Callable[[pd.DataFrame], dict], columns: list[str] | None = None) -> dict:
+    """Train on a bounded sample in one executor task and bring back the model.
+
+    rows has doc_id, y and columns (text, if none are given); of several rows of one id the last column tells the order.
+    Null ids don't occur; without rows the trainer gets an empty sample.
+    """
+    columns = columns or ["text"]
+    common.small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "y": []}), *batches], ignore_index=True)
-        sample = sample.sort_values(["doc_id", "text"]).reset_index(drop=True)
+        sample = pd.concat([pd.DataFrame({"doc_id": [], "y": [], **{c: [] for c in columns}}), *batches], ignore_index=True)
+        sample = sample.sort_values(["doc_id", columns[-1]]).reset_index(drop=True)
         yield pd.DataFrame({"model": [pickle.dumps(trainer(sample))]})
+        del sample
+        common.release()
 
     found = rows.repartition(1).mapInPandas(run, "model binary").first()
-    return pickle.loads(bytes(found["model"])) if found else trainer(pd.DataFrame({"doc_id": [], "text": [], "y": []}))
+    return pickle.loads(bytes(found["model"])) if found else trainer(pd.DataFrame({"doc_id": [], "y": [], **{c: [] for c in columns}}))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 30) -> np.ndarray:

@@ -36,13 +36,16 @@ STATE = "grp long, island int, uids array<long>, lens array<int>, elite array<in
 STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32 [, ids]) of every piece; only the first may be shorter than size."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, keep_ids: bool = False, remembered: int | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32 [, ids]) of every piece; only the first may be shorter than size.
+
+    With a number of pieces to be remembered, a worker forgets them after each task.
+    """
     common.small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = tokens.encoder(tokenizer, remembered=remembered), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
@@ -56,6 +59,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, k
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.record_batch({n: pa.array(c, t) for n, c, t in list(zip(names, columns, kinds))[: 5 + keep_ids]})
+        if remembered is not None:
+            encoder.forget()
         common.release()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(cut, schema)
@@ -209,12 +214,12 @@ def place(cut: DataFrame, size: int = 2048) -> DataFrame:
     return cut.join(placed.select("uid", "sequence_id", "offset", "crossovers").unionByName(alone), "uid")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, keep_ids: bool = False, remembered: int | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, crossovers [, ids].
 
     crossovers counts those of the group in which the piece was packed last; a piece that fills a sequence has none.
     """
-    cut = common.written(pieces(docs, tokenizer, end_id, size, keep_ids).withColumn("uid", F.monotonically_increasing_id()), "packing-pieces")
+    cut = common.written(pieces(docs, tokenizer, end_id, size, keep_ids, remembered).withColumn("uid", F.monotonically_increasing_id()), "packing-pieces")
     return place(cut, size).drop("uid").withColumn("length", F.col("length").cast("long"))
 
 

@@ -219,7 +219,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD, ti
     others are decided by all their shingles, and only their texts are moved. Under a shingle with more than crowd
     texts each is first compared with the hub, the text that has the fewest rarer shingles; then all that aren't in one
     component yet are compared by sketch, in tiles of bounded size, and only pairs that may be similar leave the task.
-    Links of two bits at most of the five-shingle fingerprint are followed as well, all of them.
+    Pairs of fingerprints (of five-word shingles) that differ in two bits at most are candidates as well, decided alike.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -227,19 +227,21 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD, ti
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.array([fingerprint(t, 5) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": prints, "sketch": [sketch(shingle_hashes(t)) for t in batch["text"]]})
+            grams = [shingle_hashes(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": prints, "sketch": [sketch(g) for g in grams], "digest": [xxhash.xxh3_128_digest(g.tobytes()) for g in grams]})
         common.release()
 
     texts = docs.where("doc_id is not null").select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    signed = common.written(texts.mapInPandas(sign, "doc_id long, fp long, sketch binary"), "simhash-signed")
+    signed = common.written(texts.mapInPandas(sign, "doc_id long, fp long, sketch binary, digest binary"), "simhash-signed")
+    # Texts of the same shingles are alike whatever else; the least of those with one fingerprint stands for it.
+    same = signed.groupBy("digest").agg(F.min("doc_id").alias("a")).join(signed.select("digest", F.col("doc_id").alias("b")), "digest").where("a <> b").select("a", "b")
     distinct = common.written(signed.groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-distinct")
-    same = signed.select("doc_id", "fp").join(distinct, "fp").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     sketches = signed.groupBy("doc_id").agg(F.min("sketch").alias("sketch"))
 
     filed = _prefixes(texts, similarity, _common_shingles(texts))
     met = common.written(_sorted(filed, "gram").mapInArrow(_first_pairs(similarity, crowd), "gram long, a long, b long, n int, pos int"), "simhash-met")
-    first = _verified(_sketched(met, sketches, similarity), texts, similarity, "simhash-first")
-    edges = first.unionByName(same).unionByName(links(distinct))
+    near = met.select("a", "b").unionByName(links(distinct))
+    edges = _verified(_sketched(near, sketches, similarity), texts, similarity, "simhash-first").unionByName(same)
     joined = common.components(edges, "simhash-copies")
 
     many = met.where("gram is not null").select("gram", F.col("a").alias("doc_id"), "n", "pos")
@@ -258,7 +260,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, crowd: int = CROWD, ti
 
 
 def _sketched(met: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs (a, b) of met that their sketches don't rule out."""
+    """The distinct pairs of met(a, b) that their sketches don't rule out."""
 
     @F.pandas_udf("boolean")
     def allowed(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -40,7 +40,7 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """encode() gives each text's ids as little-endian bytes of the given dtype."""
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,6 +48,7 @@ class Encoder:
         added = self.library.get_added_tokens_decoder().values()
         self.special = [t.content for t in added if t.content and not t.normalized]
         self.folded = [t.content.lower() for t in added if t.content and t.normalized]  # found after the text is normalised
+        self.room = REMEMBERED if remembered is None else remembered
         self.dtype = np.dtype(dtype)
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         spaced = self._ids([" a", "a"])
@@ -101,7 +102,7 @@ class Encoder:
         self.first |= dict(zip(stops, self._ids(stops)))
         for piece, (stem, stop) in halves.items():
             fresh[piece] = (fresh.get(stem) or known[stem]) + self.first[stop]
-        room = REMEMBERED - len(known)
+        room = self.room - len(known)
         if room >= len(fresh):
             known |= fresh
         elif room > 0:
@@ -125,7 +126,7 @@ class Encoder:
         fresh = self._learn(list(missing)) if missing else {}
         heads = list({p[0] for p in parts if p and p[0] not in self.first})
         head_ids = dict(zip(heads, self._ids(heads)))
-        if len(self.first) < REMEMBERED // 10:
+        if len(self.first) < self.room // 10:
             self.first |= head_ids
         entire = dict(zip(whole, self._ids([texts[n] for n in whole])))
         out = []
@@ -140,8 +141,14 @@ class Encoder:
         return out
 
 
-def encoder(path: str, dtype: str = "<u4") -> Encoder:
-    """One encoder for each worker process."""
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = Encoder(path, dtype)
-    return _ENCODERS[path, dtype]
+    def forget(self) -> None:
+        self.first.clear()
+        self.known.clear()
+
+
+def encoder(path: str, dtype: str = "<u4", remembered: int | None = None) -> Encoder:
+    """One encoder for each worker process and number of pieces that it may remember."""
+    key = (path, dtype, remembered)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, dtype, remembered)
+    return _ENCODERS[key]

@@ -84,15 +84,29 @@ def in_pairs(rows: list[np.ndarray], y: np.ndarray, tried: np.ndarray) -> np.nda
     return tried[(z >= PAIR_Z).any(axis=1)]
 
 
+def hashed(text: str | None) -> np.ndarray:
+    """terms in order."""
+    found = terms(text)
+    return np.sort(np.fromiter(found, np.int32, len(found)))
+
+
 def train(sample: pd.DataFrame, share: float, epochs: int = 12, seed: int = 7) -> dict:
-    """A model from rows (text, y); share is the share of y = 1 among all rows that may be learned from."""
+    """A model from rows (terms, y); share is the share of y = 1 among all rows that may be learned from.
+
+    terms are hashed() of a text, so a task that learns holds no texts; counts are kept for each possible term.
+    """
     y = sample["y"].to_numpy(np.float64)
     empty = {"terms": np.zeros(0, np.int64), "w": np.zeros(0), "v": np.zeros((0, FACTORS)), "w0": float(np.log((share + 1e-3) / (1 - share + 1e-3)))}
     if len(set(y)) < 2:
         return empty
-    rows = [np.array(sorted(terms(t)), np.int64) for t in sample["text"]]
-    held, counts = np.unique(np.concatenate(rows), return_counts=True)
-    there = np.bincount(np.searchsorted(held, np.concatenate([r for r, k in zip(rows, y) if k] or [held[:0]])), minlength=len(held))
+    rows = [np.asarray(t, np.int32) for t in sample["terms"]]
+    counts, there = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for r, k in zip(rows, y):  # a row holds a term once
+        counts[r] += 1
+        if k:
+            there[r] += 1
+    held = np.flatnonzero(counts)
+    counts, there = counts[held].astype(np.int64), there[held].astype(np.int64)
     n, n1 = len(y), y.sum()
     spread = np.sqrt(counts / n * (1 - counts / n) * (1 / n1 + 1 / (n - n1)) + 1e-12)
     z = np.abs(there / n1 - (counts - there) / (n - n1)) / spread
@@ -100,7 +114,10 @@ def train(sample: pd.DataFrame, share: float, epochs: int = 12, seed: int = 7) -
     some = np.lexsort((held, -counts))[:PAIR_TERMS]
     strong = np.lexsort((held, -z * (counts >= MIN_DOCS)))[:PAIR_TERMS]
     held = np.union1d(alone, in_pairs(rows, y, np.unique(held[np.concatenate([some, strong])])))
-    rows = [np.searchsorted(held, r[np.isin(r, held, assume_unique=True)]) for r in rows]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[held] = np.arange(len(held))
+    rows = [p[p >= 0].astype(np.int64) for p in (place[r] for r in rows)]
+    del counts, there, place
     rng = np.random.default_rng(seed)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     p = {"w0": np.array([empty["w0"]]), "w": np.zeros(len(held)), "v": rng.normal(0, 0.01, (len(held), FACTORS))}
@@ -135,8 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> dict:
     """A model from labels(doc_id, toxic) that meet may_learn."""
     count = labels.where(may_learn & F.col("toxic").isin(0, 1)).agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
     share = count["k"] / count["n"] if count["n"] else 0.0
+
+    @F.pandas_udf("array<int>")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series([hashed(t) for t in texts], dtype=object)
+
     rows = learn.training_rows(docs, labels, "toxic", may_learn, PER_CLASS, [0, 1])
-    return learn.fit_in_task(rows, lambda sample: train(sample, share))
+    rows = rows.select("doc_id", features("text").alias("terms"), "y", F.xxhash64("text").alias("tie"))
+    return learn.fit_in_task(rows, lambda sample: train(sample, share), ["terms", "tie"])
 
 
 #: Words whose model terms a worker remembers; others are worked out anew.

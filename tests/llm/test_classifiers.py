@@ -44,13 +44,17 @@ def test_toxicity_learns_pairs_and_stems(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in range(600) if i % 4} | {900, 901, 902}
 
 
+def hashed(sample):
+    return sample.assign(terms=[toxicity.hashed(t) for t in sample.text])
+
+
 def test_factorization_machine_finds_an_interaction():
     """Two words that tell nothing alone: only together, or only apart, do they mark a text."""
     rng = random.Random(1)
     for rule, marked, clean in ((lambda a, b: a == b, ("alpha beta", ""), ("alpha", "beta")), (lambda a, b: a and b, ("alpha beta",), ("alpha", "beta", ""))):
         pairs = [(rng.random() < 0.5, rng.random() < 0.5) for _ in range(1600)]
         sample = pd.DataFrame([(prose(rng, 6) + " alpha" * a + " beta" * b, int(rule(a, b))) for a, b in pairs], columns=["text", "y"])
-        scorer = toxicity.Scorer(toxicity.train(sample, sample.y.mean(), epochs=60))
+        scorer = toxicity.Scorer(toxicity.train(hashed(sample), sample.y.mean(), epochs=60))
         assert scorer.scores(list(marked)).min() > 0.5 > scorer.scores(list(clean)).max()
 
 
@@ -58,7 +62,7 @@ def test_scores_by_the_definition():
     """A score from first principles: intercept, a weight for each term, and a product for each pair of terms."""
     rng = random.Random(4)
     rows = [(prose(rng, 30) + (" vermin horde" if i % 3 == 0 else " vermin" if i % 3 == 1 else ""), int(i % 3 == 0)) for i in range(400)]
-    model = toxicity.train(pd.DataFrame(rows, columns=["text", "y"]), 0.3)
+    model = toxicity.train(hashed(pd.DataFrame(rows, columns=["text", "y"])), 0.3)
     place = {int(t): i for i, t in enumerate(model["terms"])}
     texts = [t for t, _ in rows[:20]] + ["", None, "Vermin, VERMIN! horde", "unseen words"]
     for text, got in zip(texts, toxicity.Scorer(model).scores(texts)):
