@@ -258,14 +258,31 @@ def _before(row: np.ndarray, step: np.ndarray) -> np.ndarray:
     return total - np.repeat(total[head], np.diff(np.concatenate([np.flatnonzero(head), [len(row)]])))
 
 
+#: What a run of each kind moves on in the reference and in the read, and the runs that match; H and P move nothing.
+_ALONG_REF, _ALONG_READ, _MATCHED = (np.isin(np.arange(256), [ord(c) for c in some]) for some in ("M=XDN", "M=XIS", "M=X"))
+SKIP = ord("N")
+
+
 def cigar_runs(column: pa.Array, start: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, op, n, ref, read): each run with the 0-based places where it starts; S clips read bases alone."""
+    """(row, op, n, ref, read): each run with the 0-based places where it starts; S clips read bases alone, N skips
+    bases of the reference."""
     data, offsets = text_bytes(column)
     last, n = _numbers(data, offsets)
     last, n = last[last + 1 < len(data)], n[last + 1 < len(data)]
     op, row = data[last + 1], _rows(offsets, last)
-    ref = _before(row, np.where((op == ord("M")) | (op == D), n, 0)) + start[row]
-    return row, op, n, ref, _before(row, np.where(op == D, 0, n))
+    ref = _before(row, np.where(_ALONG_REF[op], n, 0)) + start[row]
+    return row, op, n, ref, _before(row, np.where(_ALONG_READ[op], n, 0))
+
+
+def _past_skips(row: np.ndarray, op: np.ndarray, n: np.ndarray, ref: np.ndarray, m_row: np.ndarray, m_pos: np.ndarray) -> np.ndarray:
+    """Places of MD marks, which don't count the bases that N skips, as places of the reference."""
+    if not (op == SKIP).any():
+        return m_pos
+    gone = _before(row, np.where(op == SKIP, n, 0))
+    use = _ALONG_REF[op] & (op != SKIP)
+    wide = np.int64(1) << 40
+    keys = row[use] * wide + ref[use] - gone[use]
+    return m_pos + gone[use][np.maximum(np.searchsorted(keys, m_row * wide + m_pos, side="right") - 1, 0)] if use.any() else m_pos
 
 
 def md_marks(column: pa.Array, start: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -295,7 +312,8 @@ def alignment_events(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     row, op, n, ref, read = cigar_runs(batch.column("cigar"), start)
     letters, offsets = text_bytes(batch.column("read"))
     m_row, m_pos, m_kind, m_base = md_marks(batch.column("md"), start)
-    match = op == ord("M")
+    m_pos = _past_skips(row, op, n, ref, m_row, m_pos)
+    match = _MATCHED[op]
     wide = np.int64(1) << 40
     keys = row[match] * wide + ref[match]
     sub = m_kind == S

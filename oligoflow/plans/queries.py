@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..functions.depth import depth_cdf, depth_params
 from ..operators import channel, consensus, fountain, order, profile
+from ..sources import sam
 from ..sources import strands as source
 
 SEED, LENGTH, CHUNK = 42, channel.LENGTH, 1000
@@ -734,6 +735,49 @@ def aln_offset(spark, sf_dir):
     return profile.alignment_events(aligned).groupBy("kind", F.col("pos").cast("long").alias("pos")).agg(F.count("*").alias("n"))
 
 
+def _records(spark, sf_dir):
+    """The simulated reads as SAM, one in ten unmapped and half of them of the other strand, and read again."""
+    rows = alignments(spark, sf_dir, "read", "cigar", "md")
+    name = lambda c, n: F.concat(F.lit(n), (F.col(c) + 1).cast("string"))
+    rows = rows.select(
+        name("read_id", "seq_").alias("read_id"), name("ref_idx", "ref_").alias("ref_name"), (F.col("ref_idx") % 7).cast("int").alias("ref_start"), "cigar", "md", "read",
+        (F.pmod(dna.mix(F.col("read_id"), 30, SEED), F.lit(10)) == 0).alias("unmapped"), (F.pmod(dna.mix(F.col("read_id"), 31, SEED), F.lit(2)) == 0).alias("reverse"),
+    )
+    path = _new_path(spark, "sam")
+    refs = strands(spark, sf_dir).select(name("ref_idx", "ref_").alias("ref_name"), (F.length("seq") + 7).alias("length"))
+    sam.write(rows, path, refs)
+    return path, order.written(sam.scan(spark, path), "records")
+
+
+_MAPPED = f"mapped AS MATERIALIZED (SELECT *, {dna.mix_sql('read_id', 30, SEED)} % 10 = 0 AS lost, {dna.mix_sql('read_id', 31, SEED)} % 2 = 0 AS other FROM reads)"
+
+
+@query("sam_scan", f"""WITH {SQL_ERRORS}, {_MAPPED}, e AS (SELECT errs.pos + ref_idx % 7 AS pos, etype FROM errs JOIN mapped USING (read_id, ref_idx) WHERE NOT lost),
+cnt AS (SELECT pos, count(*) FILTER (etype = 'S') AS n_sub, count(*) FILTER (etype = 'I') AS n_ins, count(*) FILTER (etype = 'D') AS n_del FROM e GROUP BY pos),
+st AS (SELECT ref_idx % 7 AS s, count(*) AS n FROM mapped WHERE NOT lost GROUP BY 1), cov AS (SELECT i AS pos, CAST(sum(n) AS BIGINT) AS n FROM range(0, {LENGTH} + 6) t(i) JOIN st ON s <= i AND i < s + {LENGTH} GROUP BY i)
+SELECT CAST(pos AS INTEGER) AS pos, n - coalesce(n_del, 0) AS coverage, coalesce(n_sub, 0) AS n_sub, coalesce(n_ins, 0) AS n_ins, coalesce(n_del, 0) AS n_del FROM cov LEFT JOIN cnt USING (pos)""")
+def sam_scan(spark, sf_dir):
+    """Position counts of the records that are mapped; each lies up to six places into its reference."""
+    return profile.position_counts(sam.aligned(_records(spark, sf_dir)[1]).withColumn("ref_idx", F.col("ref_name")))
+
+
+@query("sam_mapping", f"""WITH {SQL_MUTATED}, {_MAPPED} SELECT count(*) AS n_reads, count(*) FILTER (NOT lost) AS n_mapped, count(*) FILTER (NOT lost AND other) AS n_reverse, CAST(sum(length(read)) AS BIGINT) AS n_bases,
+CAST(sum(length(read)) FILTER (NOT lost) AS BIGINT) AS mapped_bases, round(count(*) FILTER (NOT lost) / count(*), 8) AS mapping_rate FROM mutated JOIN mapped USING (read_id)""")
+def sam_mapping(spark, sf_dir):
+    return sam.mapping(_records(spark, sf_dir)[1])
+
+
+@query("sam_depth", f"WITH {SQL_READS}, {_MAPPED} SELECT 'ref_' || (ref_idx + 1) AS ref_name, {LENGTH} + 7 AS length, (SELECT count(*) FROM mapped WHERE NOT lost) AS n_mapped, coalesce(n, 0) AS n_reads FROM strands LEFT JOIN (SELECT ref_idx, count(*) AS n FROM mapped WHERE NOT lost GROUP BY ref_idx) USING (ref_idx)")
+def sam_depth(spark, sf_dir):
+    """Reads of every reference that the header names."""
+    path, records = _records(spark, sf_dir)
+    rows = sam.aligned(records)
+    depth = rows.groupBy("ref_name").agg(F.count("*").alias("n"))
+    every = sam.references(spark, path).join(depth, "ref_name", "left")
+    total = F.lit(rows.count()).cast("long").alias("n_mapped")
+    return every.select("ref_name", F.col("length").cast("int").alias("length"), total, F.coalesce("n", F.lit(0).cast("long")).alias("n_reads"))
+
+
 @query("shuffle_mapping", f"WITH {SQL_READS} SELECT read_id // {CHUNK} AS chunk_idx, count(*) AS dealt, count(*) AS n_reads FROM reads GROUP BY ALL")
 def shuffle_mapping(spark, sf_dir):
     """What the allocation deals out of each chunk, beside what the chunk has."""

@@ -13,6 +13,7 @@ from ..functions import batch as kernel
 from ..functions import dna
 from ..functions.batch import Noise
 from ..operators import channel, order, profile
+from ..sources import sam
 from ..sources import strands as source
 
 #: Reads in a chunk where none is asked for, at most.
@@ -175,13 +176,20 @@ def write_command(spark: SparkSession, out: str, argv: list[str]) -> None:
     spark.range(1).select(F.lit(" ".join(argv)).alias("value")).write.mode("overwrite").text(f"{out}/command_line")
 
 
-def extract(aligned: DataFrame, refs: DataFrame, out: str | None = None) -> dict[str, DataFrame]:
+def extract_sam(spark: SparkSession, path: str, refs: DataFrame, out: str | None = None) -> dict[str, DataFrame]:
+    """Noise profile of the records of SAM files with strands refs(ref_idx, name, seq); the mapping rate is of all records."""
+    order.shared_dir(spark)
+    records = order.written(sam.scan(spark, path), "records")
+    return extract(sam.aligned(records), refs, out, records.count())
+
+
+def extract(aligned: DataFrame, refs: DataFrame, out: str | None = None, n_reads: int | None = None) -> dict[str, DataFrame]:
     """Noise profile of alignments(read_id, ref_idx or ref_name, cigar, md, read [, ref_start]) with strands refs.
 
     With ref_name, refs(ref_idx, name, seq) give the index, and reads of no known reference count as unmapped.
     """
     order.shared_dir(aligned.sparkSession)
-    n_reads = aligned.count()
+    n_reads = aligned.count() if n_reads is None else n_reads
     rows = profile.mapped(aligned.drop("seq", "ref_idx"), refs) if "ref_name" in aligned.columns else aligned.drop("seq").join(refs.select("ref_idx", "seq"), "ref_idx")
     rows = order.written(rows, "mapped")
     length = refs.agg(F.max(F.length("seq"))).first()[0] or 0
