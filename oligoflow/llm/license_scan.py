@@ -4,6 +4,7 @@ Texts are read as words (letters and digits, A-Z lower-cased) joined by single s
 where its words stand consecutively. A notice may differ from the text by up to its number of edits k: it is cut into
 k + 1 pieces, at least one of which then stands in the text as it is; all pieces are found in one pass, and around
 each the regex library's bounded-error matching verifies the notice between word ends and reports span and edits.
+Clauses and versions must stand exactly, with none added; edits are for the other words.
 
 Cases: null and empty texts have no words, no labels and score 0; a text of any length is read whole; a notice that
 occurs many times gives a span each time; of spans that overlap the one with the fewest edits stays, of equals the
@@ -48,6 +49,8 @@ NOTICES = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "proprietary",
 }
+#: Clauses of a licence, which must stand as they are in a notice, as versions must.
+CLAUSES = {"cc", "by", "nc", "nd", "sa"}
 #: Letters of a notice for each edit allowed, and the most edits.
 LETTERS_PER_EDIT, MOST_EDITS = 8, 4
 
@@ -83,30 +86,26 @@ def _pattern(notice: str):
     return regex.compile(rf"(?<=\s)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits(notice)}}}(?=\s)", regex.BESTMATCH)
 
 
+def decisive(words: list[str]) -> list[str]:
+    """The words that tell licences of one family apart: clauses, and versions and other words with a digit."""
+    return [w for w in words if w in CLAUSES or any(c.isdigit() for c in w)]
+
+
 def fuzzy_spans(joined: str) -> list[tuple[str, int, int, int]]:
-    """(notice, start, end, edits) in a text of words with a space before, between and after them."""
-    windows: dict[str, list[list[int]]] = {}
+    """(notice, start, end, edits) in a text of words with a space before, between and after them.
+
+    Each seed is verified in a window of its own, as long as the notice and its edits, so the work grows with the seeds.
+    """
+    windows = set()
     for end, (size, where) in _seeds().iter(joined):
-        start = end + 1 - size
         for notice, offset in where:
-            k = edits(notice)
-            low, high = max(0, start - offset - k - 1), start - offset + len(notice) + k + 1
-            spans = windows.setdefault(notice, [])
-            if spans and low <= spans[-1][1]:
-                spans[-1] = [min(low, spans[-1][0]), max(high, spans[-1][1])]
-            else:
-                spans.append([low, high])
-    out = []
-    for notice, spans in windows.items():
-        for low, high in spans:
-            # The best match of a stretch comes first; what lies before it is searched again, then what lies behind.
-            stretches = [(low, min(high, len(joined)))]
-            while stretches:
-                first, stop = stretches.pop()
-                m = _pattern(notice).search(joined, first, stop) if stop - first >= len(notice) - edits(notice) else None
-                if m and m.end() > m.start():
-                    out.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    stretches += [(first, m.start() + 1), (m.end() - 1, stop)]
+            k, begin = edits(notice), end + 1 - size - offset
+            windows.add((notice, max(0, begin - k - 1), min(len(joined), begin + len(notice) + k + 1)))
+    out = set()
+    for notice, low, high in windows:
+        m = _pattern(notice).search(joined, low, high)
+        if m and m.end() > m.start() and decisive(m[0].split()) == decisive(notice.split()):
+            out.add((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
     return _best(sorted(out, key=lambda s: (s[1], s[2], s[0])))
 
 
