@@ -91,20 +91,39 @@ def tiles(item: list[int], text: list[int], least: int = MIN_TILE) -> list[tuple
             if held == size:
                 yield at - size + 1, value
 
+    def before(used: list[bool], seq: list[int], at: int) -> int:
+        """The free word before a place, -1 if there is none."""
+        return seq[at - 1] if at and not used[at - 1] else -1
+
     def matches(size: int) -> list[tuple[int, int, int]]:
-        table = defaultdict(list)
+        """For each place of the text the longest run that begins there and nowhere before, the first of equals.
+
+        A pair of places with the same free word before them lies inside a longer run, so it isn't looked at; of the
+        others only those are compared word by word that hold a word more than the best so far.
+        """
+        table: dict[int, dict[int, list[int]]] = defaultdict(dict)
         for at, value in runs(used_i, item, size):
-            table[value].append(at)
+            table[value].setdefault(before(used_i, item, at), []).append(at)
         found = []
         for at, value in runs(used_t, text, size):
-            best = (0, 0)
-            for start in table.get(value, ()):
-                n = 0
-                while start + n < len(item) and at + n < len(text) and item[start + n] == text[at + n] >= 0 and not used_i[start + n] and not used_t[at + n]:
-                    n += 1
-                best = max(best, (n, -start))
-            if best[0] >= size:
-                found.append((-best[1], at, best[0]))
+            groups = table.get(value)
+            if not groups:
+                continue
+            best, where, word = 0, 0, before(used_t, text, at)
+            for lead, starts in groups.items():
+                if lead == word >= 0:
+                    continue
+                for start in starts:
+                    more = start + best < len(item) and at + best < len(text) and item[start + best] == text[at + best] >= 0
+                    if best and not more and start > where:
+                        continue
+                    n = 0
+                    while start + n < len(item) and at + n < len(text) and item[start + n] == text[at + n] >= 0 and not used_i[start + n] and not used_t[at + n]:
+                        n += 1
+                    if n > best or (n == best and start < where):
+                        best, where = n, start
+            if best >= size:
+                found.append((where, at, best))
         return found
 
     out = []
