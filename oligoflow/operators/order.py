@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -103,3 +103,68 @@ def allocate(chunks: DataFrame, window: int) -> DataFrame:
     band = Window.partitionBy("chunk_idx")
     shares = near.join(sizes, "target").withColumn("share", F.col("n_reads") * F.col("room") / F.sum("room").over(band))
     return largest_remainder(shares, ["chunk_idx"], "share", "n_reads", "target").select("chunk_idx", "target", "n")
+
+
+def as_of(left: DataFrame, at: str, right: DataFrame, start: str) -> DataFrame:
+    """left with the columns of the right row that has the largest start not beyond at; null where there is none.
+
+    Both sides are range-partitioned and sorted together, and the last right row is carried along as the rows pass; what
+    a partition begins with comes from the partitions before it, one row each. Left rows that share a place are dealt out
+    as well. No product of the sides is made, and neither side is broadcast. Of right rows with one start any may count.
+    Rows without at match nothing, rows without start are left out.
+    """
+    clash = {c.lower() for c in left.columns} & {c.lower() for c in right.columns}
+    if clash:
+        raise ValueError(f"columns of both sides: {sorted(clash)}")
+    mine, theirs = left.schema.fields, right.schema.fields
+    nulls = lambda fields: [F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+    rows = right.where(F.col(start).isNotNull()).select(F.col(start).alias("_at"), F.lit(0).alias("_side"), *nulls(mine), *right.columns)
+    rows = rows.unionByName(left.select(F.col(at).alias("_at"), F.lit(1).alias("_side"), *left.columns, *nulls(theirs)))
+    keys = ["_at", "_side", "_tie"]
+    ordered = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = written(ordered.drop("_tie").withColumn("_mark", F.monotonically_increasing_id()), "as-of")
+    names = right.columns
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = None
+        for batch in batches:
+            side = batch.column("_side").to_numpy()
+            some = batch.select(names)
+            # Row 0 is what was carried; a row behind the n-th right row of the batch takes row n.
+            stock = pa.Table.from_batches([carried if carried is not None else pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in some.schema], schema=some.schema), some.filter(pa.array(side == 0))])
+            which = np.cumsum(side == 0)
+            last = stock.slice(len(stock) - 1, 1).combine_chunks().to_batches()
+            keep = side == 1
+            taken = stock.take(pa.array(which[keep])).combine_chunks()
+            own = batch.filter(pa.array(keep))
+            opened = pa.array((which[keep] == 0) & (carried is None))
+            if len(which):
+                carried = last[0] if carried is not None or (side == 0).any() else None
+            columns = [own.column(c) for c in own_names] + [taken[c].combine_chunks() if taken.num_rows else pa.nulls(0, some.schema.field(c).type) for c in names]
+            columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            yield pa.record_batch([*columns, own.column("_mark"), opened], names=[*own_names, *names, "_mark", "_open"])
+
+    own_names = left.columns
+    schema = StructType([*mine, *theirs, StructField("_mark", LongType()), StructField("_open", BooleanType())])
+    filled = ordered.mapInArrow(fill, schema).withColumn("_part", F.shiftright("_mark", 33))
+    lasts = ordered.where("_side = 0").groupBy(F.shiftright("_mark", 33).alias("_part")).agg(F.max_by(F.struct(*names), "_mark").alias("_last"))
+    every = ordered.select(F.shiftright("_mark", 33).alias("_part")).distinct().join(lasts, "_part", "left")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    heads = every.select("_part", F.last("_last", ignorenulls=True).over(before).alias("_head"))
+    found = filled.join(F.broadcast(heads), "_part")
+    null_at = F.col(at).isNull()
+    return found.select(*left.columns, *[F.when(~null_at, F.when(F.col("_open"), F.col(f"_head.{c}")).otherwise(F.col(c))).alias(c) for c in names])
+
+
+def overlaps(rows: DataFrame, columns: DataFrame, row: str, column: str, row_start: str, row_size: str, column_start: str, column_size: str) -> DataFrame:
+    """(row, column, n): how much the interval of each row has in common with that of each column; n is never 0.
+
+    Rows and columns each lie one behind the other from 0, so every place where one of either begins is in one row and in
+    one column, and the n of all places fill both margins. There are no more of them than rows and columns together.
+    """
+    r = rows.where(F.col(row_size) > 0).select(F.col(row), F.col(row_start).alias("_r0"), (F.col(row_start) + F.col(row_size)).alias("_r1"))
+    c = columns.where(F.col(column_size) > 0).select(F.col(column), F.col(column_start).alias("_c0"), (F.col(column_start) + F.col(column_size)).alias("_c1"))
+    places = r.select(F.col("_r0").alias("_p")).unionByName(c.select(F.col("_c0").alias("_p"))).distinct()
+    met = as_of(as_of(places, "_p", r, "_r0"), "_p", c, "_c0")
+    n = F.least("_r1", "_c1") - F.col("_p")
+    return met.select(row, column, n.alias("n")).where("n > 0")

@@ -786,6 +786,27 @@ def shuffle_mapping(spark, sf_dir):
     return dealt.join(chunks.select("chunk_idx", "n_reads"), "chunk_idx")
 
 
+@query("read_lookup", f"WITH {SQL_READS} SELECT read_id, ref_idx, copy_idx FROM reads")
+def read_lookup(spark, sf_dir):
+    """Reference and copy of every read, from the numbers of the references' first reads alone."""
+    known = order.written(depths(spark, sf_dir).where("n_reads > 0").select("ref_idx", "first_read", "n_reads"), "depth")
+    asked = channel.expand(known).select("read_id")
+    found = order.as_of(asked, "read_id", known.select("ref_idx", "first_read"), "first_read")
+    return found.select("read_id", "ref_idx", (F.col("read_id") - F.col("first_read")).alias("copy_idx"))
+
+
+@query("alloc_capacity", f"""WITH {SQL_DEPTH}, cap AS (SELECT doc_id, CAST(sum(n_reads) AS BIGINT) AS size FROM depth GROUP BY doc_id), co AS (SELECT doc_id, size, CAST(sum(size) OVER (ORDER BY {dna.mix_sql("doc_id", 32, SEED)}, doc_id) - size AS BIGINT) AS start FROM cap),
+t AS (SELECT CAST(sum(size) AS BIGINT) AS total FROM cap), ro AS (SELECT CAST(i AS BIGINT) AS chunk_idx, CAST(i * {CHUNK} AS BIGINT) AS start, CAST(least((i + 1) * {CHUNK}, total) AS BIGINT) AS stop FROM t, range(0, CAST(ceil(total / {CHUNK}) AS BIGINT)) r(i))
+SELECT chunk_idx, doc_id, least(ro.stop, co.start + size) - greatest(ro.start, co.start) AS n FROM ro JOIN co ON ro.start < co.start + size AND co.start < ro.stop""")
+def alloc_capacity(spark, sf_dir):
+    """The reads of each chunk dealt to documents in an order of chance, each of which takes as many as it has reads."""
+    depth = order.written(depths(spark, sf_dir, "doc_id"), "depth")
+    chunks = order.running(channel.chunk_meta(channel.pack_chunks(depth, CHUNK)), ["chunk_idx"], F.col("n_reads"), before="row_start")
+    room = depth.groupBy("doc_id").agg(F.sum("n_reads").alias("size")).withColumn("draw", dna.mix(F.col("doc_id"), 32, SEED))
+    columns = order.running(room, ["draw", "doc_id"], F.col("size"), before="column_start")
+    return order.overlaps(chunks.select("chunk_idx", "row_start", F.col("n_reads").alias("row_size")), columns.select("doc_id", "column_start", F.col("size").alias("column_size")), "chunk_idx", "doc_id", "row_start", "row_size", "column_start", "column_size")
+
+
 @query("simple_chunks", f"WITH {SQL_PLAN}, {SQL_STRANDS}, r AS (SELECT CAST(sum(plan.n) AS BIGINT) AS n FROM strands JOIN plan USING (ref_idx)) SELECT CAST(i AS BIGINT) AS chunk_idx, CAST(i * {CHUNK} AS BIGINT) AS first_read, CAST(least((i + 1) * {CHUNK}, n) - 1 AS BIGINT) AS last_read, CAST(least((i + 1) * {CHUNK}, n) - i * {CHUNK} AS BIGINT) AS n_reads FROM r, range(0, CAST(ceil(n / {CHUNK}) AS BIGINT)) t(i)")
 def simple_chunks(spark, sf_dir):
     from .runs import simple_chunks as cut
