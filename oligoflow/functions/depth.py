@@ -112,6 +112,23 @@ def log_density(family: str, p: dict[str, float], x: np.ndarray) -> np.ndarray:
     return np.nan_to_num(out, nan=-np.inf, neginf=-np.inf)
 
 
+def below(family: str, p: dict[str, float], x: np.ndarray) -> np.ndarray | None:
+    """The share of a family below x, for those that have a closed form; None for the others."""
+    erf = np.vectorize(math.erf, otypes=[float])
+    with np.errstate(divide="ignore"):
+        if family == "exponential":
+            return -np.expm1(-np.maximum(x, 0) / p["scale"])
+        if family == "uniform":
+            return np.clip((x - p["a"]) / (p["b"] - p["a"]), 0, 1)
+        if family == "weibull":
+            return -np.expm1(-((np.maximum(x, 0) / p["lambda"]) ** p["k"]))
+        if family == "normal":
+            return (1 + erf((x - p["mu"]) / p["sigma"] / math.sqrt(2))) / 2
+        if family == "lognormal":
+            return (1 + erf((np.log(np.maximum(x, 0)) - p["mu"]) / p["sigma"] / math.sqrt(2))) / 2
+    return None
+
+
 def depth_cdf(family: str, params: dict[str, float], most: int = 100_000) -> list[int]:
     """Bounds on [0, 2**31): depth k is drawn where the draw is below bound k and not below bound k - 1.
 
@@ -123,6 +140,9 @@ def depth_cdf(family: str, params: dict[str, float], most: int = 100_000) -> lis
     top = int(mean * (1 + 60 * cv)) + 20
     if top > most:
         raise ValueError(f"depths beyond {most} may be drawn; the mean or its spread is too large")
+    closed = below(family, params, np.arange(0, top + 1) + 0.5)
+    if closed is not None:
+        return _ended(np.floor(closed * (M31 + 1)).astype(np.int64))
     if family in ("poisson", "nbinom"):
         mass = np.exp(log_density(family, params, np.arange(1, top + 1).astype(float)))
     else:
@@ -132,11 +152,14 @@ def depth_cdf(family: str, params: dict[str, float], most: int = 100_000) -> lis
         weights /= 3 * (steps - 1)
         grid = np.arange(1, top + 1)[:, None] + np.linspace(-0.5, 0.5, steps)[None, :]
         mass = np.exp(log_density(family, params, grid)) @ weights
-        if family in ("uniform", "beta"):  # a density with ends is no polynomial there
+        if family == "beta":  # a density with ends is no polynomial there
             fine = np.arange(1, top + 1)[:, None] + (np.arange(2000)[None, :] + 0.5) / 2000 - 0.5
             mass = np.exp(log_density(family, params, fine)).mean(axis=1)
     zero = max(0.0, 1 - mass.sum())
-    bounds = np.floor(np.cumsum(np.r_[zero, mass]) * (M31 + 1)).astype(np.int64)
+    return _ended(np.floor(np.cumsum(np.r_[zero, mass]) * (M31 + 1)).astype(np.int64))
+
+
+def _ended(bounds: np.ndarray) -> list[int]:
     end = int(np.searchsorted(bounds, M31 - 1)) + 1
     bounds = bounds[: min(end, len(bounds))]
     bounds[-1] = M31 + 1

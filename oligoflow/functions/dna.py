@@ -31,6 +31,25 @@ def dna_decode(seq: Column, order: str = CODING) -> Column:
     return F.unhex(F.translate(pairs, "ghijklmnopqrstuv", "0123456789abcdef"))
 
 
+#: Letters of the six-letter alphabet, and how many stand for how many bytes.
+SIX, SIX_LETTERS, SIX_BYTES = "ACGTPZ", 16, 5
+
+
+def six_encode(data: Column, letters: str = SIX) -> Column:
+    """SIX_LETTERS letters for a block of SIX_BYTES bytes, given as hexadecimal digits: its number to the base of six."""
+    return F.translate(F.lpad(F.conv(data, 16, 6), SIX_LETTERS, "0"), "012345", letters)
+
+
+def six_decode(seq: Column, letters: str = SIX) -> Column:
+    """The hexadecimal digits of a block's bytes."""
+    return F.lower(F.lpad(F.conv(F.translate(seq, letters, "012345"), 6, 16), 2 * SIX_BYTES, "0"))
+
+
+def six_screen(seq: Column, homopolymer: int = 3, letters: str = SIX) -> Column:
+    """True for strands of six letters without a run over homopolymer; their GC share isn't looked at."""
+    return ~F.rlike(seq, F.lit("|".join(f"{b}{{{homopolymer + 1}}}" for b in letters)))
+
+
 def gc_count(seq: Column) -> Column:
     return F.length(F.regexp_replace(seq, "[^GC]", "")).cast("long")
 
