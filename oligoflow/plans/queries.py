@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna
+from ..functions import sql as functions
 from ..functions.depth import depth_cdf, depth_params
 from ..operators import channel, clusters, consensus, fountain, order, profile
 from ..sources import sam
@@ -401,6 +402,21 @@ def aln_base_matrix(spark, sf_dir):
     return profile.base_counts(profile.alignment_events(alignments(spark, sf_dir, "read", "cigar", "md")))
 
 
+@query("events_sql", f"WITH {SQL_ERRORS} SELECT etype AS kind, CASE WHEN etype = 'I' THEN '-' ELSE ref_base END AS ref_base, coalesce(base, '-') AS read_base, count(*) AS n FROM errs GROUP BY ALL")
+def events_sql(spark, sf_dir):
+    """The base matrix by the registered table function alone."""
+    functions.register(spark)
+    aligned = alignments(spark, sf_dir, "read", "cigar", "md")
+    return spark.sql("SELECT kind, coalesce(ref_base, '-') AS ref_base, coalesce(read_base, '-') AS read_base, count(*) AS n FROM alignment_events(TABLE(SELECT cigar, md, read FROM {aligned})) GROUP BY 1, 2, 3", aligned=aligned)
+
+
+@query("strands_sql", f"WITH {SQL_STRANDS} SELECT doc_id, CAST(sum(length(regexp_replace(seq, '[^GC]', '', 'g'))) AS BIGINT) AS gc, CAST(max(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda x: length(x)))) AS BIGINT) AS longest_run, CAST(max(coalesce(list_max(list_transform(regexp_extract_all(seq, 'ATG{dna.NO_STOP}*{dna.STOP}'), lambda x: length(x))), 0)) AS BIGINT) AS longest_frame, md5(min(reverse(translate(seq, 'ACGT', 'TGCA')))) AS first_turned FROM strands GROUP BY doc_id")
+def strands_sql(spark, sf_dir):
+    """What the registered functions tell of each document's strands."""
+    functions.register(spark)
+    return spark.sql("SELECT doc_id, sum(dna_gc(seq)) AS gc, max(dna_longest_run(seq)) AS longest_run, max(dna_longest_frame(seq)) AS longest_frame, md5(min(dna_other_strand(seq))) AS first_turned FROM {strands} GROUP BY doc_id", strands=strands(spark, sf_dir))
+
+
 def _kmer(kind: str):
     shift, low = (0, 3) if kind == "S" else (1, 4)
     k3 = "(" + " + ".join(f"{m} * {_code(f'substr(ctx, {2 - shift + i}, 1)')}" for i, m in enumerate((16, 4, 1))) + ")"
