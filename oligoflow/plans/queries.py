@@ -586,6 +586,29 @@ def decode_completion(spark, sf_dir):
     return fountain.completion(_peeled(spark, found, k), found)
 
 
+@query("stream_decode", "SELECT item_id AS file_id, CAST(seg AS INTEGER) AS seg, rpad(substr(h, seg * 64 + 1, 64), 64, '0') AS payload FROM (SELECT *, unnest(range(0, CAST(ceil(length(h) / 64.0) AS BIGINT))) AS seg FROM (SELECT item_id, lower(hex(encode(text))) AS h FROM benchmark WHERE text <> ''))")
+def stream_decode(spark, sf_dir):
+    """The benchmark's items as files of one pool, their oligos read as a stream of several text files, some twice."""
+    from ..streaming import decode
+
+    found = order.written(source.segments(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8")), "segments")
+    files = order.written(found.groupBy(F.col("item_id").alias("file_id")).agg(F.count("*").cast("long").alias("k")), "files")
+    plan = decode.file_plan(files, SEED, 3.0, 40).select("file_id", "droplet", F.explode("seg_ids").alias("seg"))
+    parts = plan.join(found.select(F.col("item_id").alias("file_id"), "seg", "payload"), ["file_id", "seg"])
+    words = [F.bit_xor(F.conv(F.substring("payload", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"w{i}") for i in range(fountain.WORDS)]
+    coded = fountain.oligos(parts.groupBy("file_id", "droplet").agg(*words).select("file_id", "droplet", fountain.payload().alias("payload")))
+    twice = coded.withColumn("copy", F.explode(F.when(F.col("droplet") % 5 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))))
+    path, part = _new_path(spark, "pool"), (F.col("droplet") % 2 + F.col("copy")).alias("part")
+    line = F.concat(F.col("file_id").cast("string"), F.lit("|"), (F.col("droplet") % 3 + 1).cast("string"), F.lit("\t"), F.col("dna"))
+    twice.select(line.alias("value"), part).repartition(3, "part").write.partitionBy("part").text(path)
+    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").text(path)
+    cut = F.split("value", "[|]")
+    stream = lines.select(cut[0].cast("long").alias("file_id"), cut[1].alias("value"))
+    out = _new_path(spark, "decoded")
+    decode.run_pool(stream, files, SEED, out, _new_path(spark, "stream-state")).awaitTermination()
+    return spark.read.schema(decode.SOLVED).parquet(out).select("file_id", "seg", "payload")
+
+
 @query("seed_histogram", f"WITH {SQL_SEGMENTS}, k AS (SELECT count(*) AS k FROM f), came AS (SELECT i, {dna.mix_sql('i', 7, SEED)} % 5 AS n FROM k, range(0, 2 * k) t(i)) SELECT CAST(n AS BIGINT) AS n, count(*) AS droplets FROM came WHERE n > 0 GROUP BY n")
 def seed_histogram(spark, sf_dir):
     """How often each droplet came among reads of which every droplet has none to four."""
