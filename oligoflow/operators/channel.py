@@ -18,7 +18,7 @@ from ..functions import batch as kernel
 from ..functions import dna
 from ..functions.batch import Cuts, Noise
 from ..functions.depth import depth_cdf, depth_params
-from .order import running, smallest
+from .order import running, written
 
 LENGTH = 128
 #: Substitutions, insertions and deletions per 1000 bases at the first position; rates rise linearly to twice that.
@@ -73,14 +73,31 @@ def sample_depth(refs: DataFrame, family: str, mean: float, cv: float | None, se
 
 
 def calibrate_dropout(depth: DataFrame, rate: float, seed: int) -> DataFrame:
-    """depth(ref_idx, n_reads) with exactly int(N * rate) zeros: surplus zeros become 1, missing ones are made."""
+    """depth(ref_idx, n_reads) with exactly int(N * rate) zeros: surplus zeros become 1, missing ones are made.
+
+    Of the rows that may change, those with the k smallest (draw, ref_idx) do. The k-th is found by counting draws by
+    their leading 16 bits, then by all of them in one such slot, and last among the rows of one draw; what comes to the
+    driver is bounded. depth is written once, and every row then changes by itself: nothing is joined or ranked.
+    """
+    depth = written(depth, "dropout")
     state = depth.agg(F.count("*").alias("n"), F.count_if(F.col("n_reads") == 0).alias("zero")).first()
     change = state["zero"] - int(state["n"] * rate)
-    drawn = depth.withColumn("_draw", dna.mix(F.col("ref_idx"), 1, seed)).withColumn("_zero", (F.col("n_reads") == 0).cast("int"))
-    quota = depth.sparkSession.createDataFrame([(int(change > 0), abs(change))], "_zero int, k long")
-    picked = smallest(drawn, ["_zero"], "_draw", ["ref_idx"], quota).select("ref_idx", F.lit(1).alias("_picked"))
-    joined = depth.join(picked, "ref_idx", "left")
-    return joined.withColumn("n_reads", F.when(F.col("_picked").isNull(), F.col("n_reads")).otherwise(int(change > 0)).cast("long")).drop("_picked")
+    left, draw = abs(change), dna.mix(F.col("ref_idx"), 1, seed)
+    if not left:
+        return depth
+    may = (F.col("n_reads") == 0) if change > 0 else (F.col("n_reads") > 0)
+    rows = depth.where(may).select(draw.alias("draw"), "ref_idx")
+    for slot in (F.shiftright("draw", 15), F.col("draw")):
+        for name, n in sorted(tuple(r) for r in rows.groupBy(slot.alias("slot")).count().collect()):  # at most 2**16 rows
+            if left <= n:
+                break
+            left -= n
+        else:
+            return depth.withColumn("n_reads", F.when(may, int(change > 0)).otherwise(F.col("n_reads")).cast("long"))  # fewer rows than asked for
+        rows = rows.where(slot == name)
+    last = rows.select("ref_idx").orderBy("ref_idx").limit(left).agg(F.max("ref_idx")).first()[0]  # rows of one draw
+    picked = may & ((draw < name) | ((draw == name) & (F.col("ref_idx") <= last)))
+    return depth.withColumn("n_reads", F.when(picked, int(change > 0)).otherwise(F.col("n_reads")).cast("long"))
 
 
 def number_reads(depth: DataFrame) -> DataFrame:

@@ -62,26 +62,6 @@ def running(df: DataFrame, order: list[str], total: Column | None = None, ordina
     return out.drop("_value", "_inner", "_mark", "_part", "_rows0", "_sum0")
 
 
-def smallest(df: DataFrame, group: list[str], draw: str, ties: list[str], quota: DataFrame, bits: int = 12) -> DataFrame:
-    """The rows of each group with the k smallest draws (31 bits), ties settled by further columns.
-
-    quota has the group columns and k. A histogram of the draws' leading bits finds the slot where the k-th row of a
-    group falls; rows in earlier slots are in, rows in later ones out, and only that slot's rows are ranked.
-    """
-    slot = F.shiftright(draw, 31 - bits)
-    counts = df.groupBy(*group, slot.alias("_slot")).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*group).orderBy("_slot")
-    counts = counts.withColumn("_upto", F.sum("_n").over(upto)).join(quota, group)
-    edge = counts.where((F.col("_upto") >= F.col("k")) & (F.col("_upto") - F.col("_n") < F.col("k"))).select(*group, F.col("_slot").alias("_edge"), (F.col("k") - F.col("_upto") + F.col("_n")).alias("_left"))
-    whole = quota.join(edge, group, "left")
-    rows = df.join(F.broadcast(whole), group).withColumn("_slot", slot).where(F.col("k") > 0)
-    sure = rows.where(F.col("_edge").isNull() | (F.col("_slot") < F.col("_edge")))
-    near = rows.where(F.col("_slot") == F.col("_edge"))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(draw, *ties))
-    near = near.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left")).drop("_rank")
-    return sure.unionByName(near).drop("_slot", "_edge", "_left", "k")
-
-
 def largest_remainder(shares: DataFrame, group: list[str], share: str, total: str, key: str) -> DataFrame:
     """shares with whole numbers n that add up to total in each group: floors, then one each by (fraction, key) falling."""
     whole = F.floor(share)
