@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..functions import sql as functions
 from ..functions.depth import depth_cdf, depth_params
-from ..operators import channel, clusters, consensus, fountain, order, profile
+from ..operators import channel, clusters, consensus, fits, fountain, order, profile
 from ..sources import sam
 from ..sources import strands as source
 
@@ -468,6 +468,38 @@ def fit_closed_forms(spark, sf_dir):
     return found.select("family", "n_params", F.round("loglik", 2).alias("loglik"), F.round("aic", 2).alias("aic"))
 
 
+def skewed_depths(spark, sf_dir):
+    """Lines of each part and supplier's day as depth: counts whose variance passes their mean."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy((F.col("l_orderkey") % 97 * F.col("l_linenumber")).alias("ref_idx")).agg(F.count("*").alias("n_reads"))
+
+
+SQL_SKEWED = "h AS (SELECT CAST(n AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS w FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey % 97 * l_linenumber) GROUP BY n)"
+
+
+@query("fit_gamma", f"""WITH RECURSIVE {SQL_SKEWED}, m AS (SELECT CAST(sum(w) AS BIGINT) AS n, sum(w * x) / sum(w) AS mean, ln(sum(w * x) / sum(w)) - sum(w * ln(x)) / sum(w) AS s FROM h),
+g AS (SELECT 0 AS i, (3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s) AS k FROM m UNION ALL SELECT i + 1, k - (ln(k) - {fits.digamma_sql("k")} - s) / (1 / k - {fits.trigamma_sql("k")}) FROM g, m WHERE i < {fits.STEPS})
+SELECT n, round(k, 6) AS k, round(mean / k, 6) AS theta FROM g, m WHERE i = {fits.STEPS}""")
+def fit_gamma(spark, sf_dir):
+    return fits.fit_gamma(skewed_depths(spark, sf_dir)).select("n", F.round("k", 6).alias("k"), F.round("theta", 6).alias("theta"))
+
+
+@query("fit_weibull", f"""WITH RECURSIVE {SQL_SKEWED}, m AS (SELECT list(x) AS xs, list(w) AS ws, CAST(sum(w) AS BIGINT) AS n, sum(w * ln(x)) / sum(w) AS l, max(x) AS top FROM h),
+g AS (SELECT 0 AS i, CAST(1 AS DOUBLE) AS k UNION ALL SELECT i + 1, CASE WHEN k > d THEN k - d ELSE k / 2 END FROM (SELECT i, k, (b / a - 1 / k - l) / (c / a - (b / a) * (b / a) + 1 / (k * k)) AS d FROM (SELECT i, k, l,
+list_sum(list_transform(range(1, len(xs) + 1), lambda j: ws[j] * pow(xs[j] / top, k))) AS a, list_sum(list_transform(range(1, len(xs) + 1), lambda j: ws[j] * pow(xs[j] / top, k) * ln(xs[j]))) AS b, list_sum(list_transform(range(1, len(xs) + 1), lambda j: ws[j] * pow(xs[j] / top, k) * ln(xs[j]) * ln(xs[j]))) AS c FROM g, m WHERE i < {fits.STEPS})))
+SELECT n, round(k, 6) AS k, round(top * pow(list_sum(list_transform(range(1, len(xs) + 1), lambda j: ws[j] * pow(xs[j] / top, k))) / n, 1 / k), 6) AS lambda FROM g, m WHERE i = {fits.STEPS}""")
+def fit_weibull(spark, sf_dir):
+    return fits.fit_weibull(skewed_depths(spark, sf_dir)).select("n", F.round("k", 6).alias("k"), F.round("lambda", 6).alias("lambda"))
+
+
+@query("fit_nbinom", f"""WITH RECURSIVE {SQL_SKEWED}, m AS (SELECT list(x) AS xs, list(w) AS ws, CAST(sum(w) AS BIGINT) AS n, sum(w * x) / sum(w) AS mean, sum(w * x * x) / sum(w) AS sq FROM h),
+g AS (SELECT 0 AS i, mean * mean / (sq - mean * mean - mean) AS r FROM m UNION ALL SELECT i + 1, CASE WHEN r > d THEN r - d ELSE r / 2 END FROM (SELECT i, r, (a / n - {fits.digamma_sql("r")} + ln(r / (r + mean))) / (b / n - {fits.trigamma_sql("r")} + 1 / r - 1 / (r + mean)) AS d FROM (SELECT i, r, n, mean,
+list_sum(list_transform(range(1, len(xs) + 1), lambda j: ws[j] * {fits.digamma_sql("(xs[j] + r)")})) AS a, list_sum(list_transform(range(1, len(xs) + 1), lambda j: ws[j] * {fits.trigamma_sql("(xs[j] + r)")})) AS b FROM g, m WHERE i < {fits.STEPS})))
+SELECT n, round(r, 6) AS r, round(r / (r + mean), 6) AS p FROM g, m WHERE i = {fits.STEPS}""")
+def fit_nbinom(spark, sf_dir):
+    return fits.fit_nbinom(skewed_depths(spark, sf_dir)).select("n", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"))
+
+
 # ---- clusters and consensus
 
 
