@@ -25,6 +25,25 @@ def test_as_of(spark, n, m, parts, hot):
         assert got[i] == (at, starts[k] if k >= 0 else None, f"v{starts[k]}" if k >= 0 else None)
 
 
+def test_as_of_when_files_are_read_in_another_order(spark):
+    """All written files in one task, the largest first, and in one case cut into many parts."""
+    prepare(spark)
+    held = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1", "spark.sql.shuffle.partitions": "6", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in held}
+    left = spark.range(20_000).select(F.col("id").alias("at"))
+    right = spark.range(0, 3000, 7).select((F.col("id") * F.col("id") % 20_011).alias("start")).distinct()
+    starts = sorted(r.start for r in right.collect())
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r.at: r.start for r in order.as_of(left, "at", right, "start").collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    places = [bisect.bisect_right(starts, at) - 1 for at in range(20_000)]
+    assert got == {at: starts[k] if k >= 0 else None for at, k in enumerate(places)}
+
+
 def test_as_of_makes_no_product(spark):
     prepare(spark)
     left, right = spark.range(1000).select(F.col("id").alias("at")), spark.range(0, 1000, 10).select(F.col("id").alias("start"))
