@@ -82,11 +82,11 @@ def mapping(records: DataFrame) -> DataFrame:
     return found.withColumn("mapping_rate", F.round(F.col("n_mapped") / F.greatest("n_reads", F.lit(1)), 8))
 
 
-def write(rows: DataFrame, path: str, refs: DataFrame | None = None) -> None:
+def write(rows: DataFrame, path: str, refs: DataFrame | None = None, compression: str | None = None) -> None:
     """rows(read_id, ref_name, ref_start, cigar, md, read [, unmapped, reverse]) as records, refs(ref_name, length) as header.
 
     Reads of the other strand stand in the reference's direction already. Unmapped ones lose place, CIGAR and MD, and
-    stand as they were sequenced.
+    stand as they were sequenced. With compression, a codec of Spark's text files, scan reads them all the same.
     """
     held = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in rows.columns else F.lit(False)
     lost, other = held("unmapped"), held("reverse")
@@ -98,6 +98,6 @@ def write(rows: DataFrame, path: str, refs: DataFrame | None = None) -> None:
         "\t", F.col("read_id").cast("string"), flag.cast("string"), text("ref_name"), place, F.when(lost, "0").otherwise("255"), text("cigar"), F.lit("*"), F.lit("0"), F.lit("0"),
         F.when(F.coalesce(seq, F.lit("")) == "", "*").otherwise(seq), F.lit("*"), F.when(~lost & F.col("md").isNotNull(), F.concat(F.lit("MD:Z:"), "md")),
     )
-    rows.select(line.alias("value")).write.text(path)
+    rows.select(line.alias("value")).write.text(path, compression=compression)
     if refs is not None:
-        refs.select(F.concat(F.lit("@SQ\tSN:"), "ref_name", F.lit("\tLN:"), F.col("length").cast("string")).alias("value")).write.mode("append").text(path)
+        refs.select(F.concat(F.lit("@SQ\tSN:"), "ref_name", F.lit("\tLN:"), F.col("length").cast("string")).alias("value")).write.mode("append").text(path, compression=compression)
