@@ -65,6 +65,17 @@ def test_near_copies_join_what_resembles(spark, crowd):
             assert max(jaccard(text[i], text[j]) for j in members if j != i) >= 0.8
 
 
+@pytest.mark.parametrize("made_up", [False, True])
+def test_order_of_shingles_changes_no_result(spark, monkeypatch, made_up):
+    """Without the sample, and with counts made up for half of all shingles, the same texts are joined."""
+    rows = copies(2)
+    grams = np.unique(np.concatenate([simhash.shingle_hashes(t) for _, t in rows]))[::2] if made_up else np.zeros(0, np.uint64)
+    counts = np.random.default_rng(5).integers(3, 1000, len(grams))
+    monkeypatch.setattr(simhash, "_common_shingles", lambda texts: (grams, counts))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()}
+    assert got == groups_by_brute_force(rows)
+
+
 def test_fingerprints_alone_link_nothing(spark):
     """Texts less alike than 0.8 whose fingerprints differ in two bits at most stay apart."""
     rng = random.Random(9)
