@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oligoflow.operators import order
+from oligoflow.plans import queries
 from oligoflow.plans.queries import prepare
 
 
@@ -72,3 +73,14 @@ def test_margins_are_met(spark, seed):
         assert sum(n for (x, _), n in got.items() if x == r) == rn
     for c, _, cn in columns:
         assert sum(n for (_, x), n in got.items() if x == c) == cn
+
+
+def test_documents_without_reads_take_nothing(spark, tmp_path):
+    """As overlaps says, no part is 0: neither the query's nor its SQL's."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(i, "x") for i in range(2000)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.QUERIES["alloc_capacity"](spark, str(tmp_path)).collect()}
+    documents = duckdb.connect()
+    documents.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = documents.execute(queries.SQL["alloc_capacity"]).fetchall()
+    assert got == set(want) and len({d for _, d, _ in got}) < 2000 and min(n for _, _, n in want) > 0
