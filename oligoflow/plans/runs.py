@@ -128,8 +128,7 @@ def simple(refs: DataFrame, copies: DataFrame, errors: DataFrame) -> DataFrame:
     """(read_id, ref_idx, read): every reference as often as copies say, with the errors given and no others."""
     reads = channel.expand(channel.number_reads(refs.join(copies.withColumnRenamed("n", "n_reads"), "ref_idx"))).select("read_id", "ref_idx", "seq")
     plan = source.parse_error_plan(errors, reads.count())
-    rows = reads.join(channel.explicit_events(reads, plan), "read_id", "left")
-    return rows.select("read_id", "ref_idx", F.when(F.col("places").isNull(), F.col("seq")).otherwise(channel.apply_places(F.col("seq"), F.col("places"))).alias("read"))
+    return channel.explicit_reads(reads, plan)
 
 
 def simple_chunks(reads: DataFrame, size: int) -> DataFrame:
