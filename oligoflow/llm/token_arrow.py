@@ -113,7 +113,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, leng
                 continue
             writer = writer or ShardWriter(folder, shard, length, np.dtype(dtype))
             counts = []
-            for ids in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
+            for ids in encoder.encode(batch.column("text").fill_null("")):
                 counts.append(len(ids) // end.itemsize + 1)
                 writer.append(np.frombuffer(ids, dtype))
                 writer.append(end)

@@ -45,6 +45,30 @@ def test_encoder_gives_the_librarys_ids(path, monkeypatch):
         assert len(encoder.known) <= max(room, 0)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_cuts_give_the_librarys_ids(path):
+    """White space of every kind in runs, letters that change under a normaliser, contractions and the mark itself."""
+    rng, texts = random.Random(2), []
+    parts = [*"abCzÉßſİΣ日🙂129'’.,;%$_(\"", " ", " ", " ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u200b", "\x00", "\x01", "\u0301", "\u0307", "\u0338", "'s", "'LL", "<|endoftext|>"]
+    for _ in range(6000):
+        texts.append("".join(rng.choices(parts, k=rng.choice([1, 3, 8, 40]))))
+    encoder = tokens.Encoder(path)
+    assert encoder.cuts and encoder.direct
+    assert encoder.encode(texts) == [np.array(x, "<u4").tobytes() for x in library_ids(path, texts)]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_word_is_encoded_once_whatever_follows_it(path, monkeypatch):
+    words = ["".join(random.Random(i).choices("abcdefghij", k=9)) for i in range(200)]
+    texts = [" ".join(f"{w}{stop}" for w in words) for stop in ("", ",", ".", "%%%", "$$$", ".'", ".\nThen")]
+    encoder = tokens.Encoder(path)
+    want = [np.array(x, "<u4").tobytes() for x in library_ids(path, texts)]
+    assert [encoder.encode([t])[0] for t in texts] == want
+    assert len(encoder.known) < 2 * len(words)
+    monkeypatch.setattr(tokens, "AT_ONCE", 1000)
+    assert tokens.Encoder(path).encode(texts) == want
+
+
 def test_token_files_round_trip(spark):
     rows = sample()
     random.Random(4).shuffle(rows)
