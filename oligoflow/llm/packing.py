@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, k
         encoder, end = tokens.encoder(tokenizer, remembered=remembered), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").fill_null(""))):
                 ids += end
                 n = len(ids) // 4
                 edges = [0, *range((n - 1) % size + 1, n + 1, size)]
