@@ -1,6 +1,12 @@
 """Allocation across chunks and substitution tables."""
 
+import gzip
+from pathlib import Path
+from urllib.parse import unquote, urlparse
+
 from oligoflow.operators import order, profile
+from oligoflow.plans import queries
+from oligoflow.sources import strands as source
 
 
 def test_allocation_deals_out_every_read_within_its_window(spark):
@@ -29,3 +35,30 @@ def test_alignment_lines(spark, tmp_path):
     found = profile.read_alignments(spark, str(tmp_path / "a.tsv"))
     assert found.count() == 2
     assert [(r.read_id, r.ref_idx, r.ref_start) for r in profile.mapped(found, refs).collect()] == [("r1", 7, 0)]
+
+
+def test_strands_in_order_move_texts_alone(spark):
+    rows = [(k * 7919 % 500, "é" * (k % 9) + "x" * (k * 31 % 400) if k % 11 else (None, "")[k % 2]) for k in range(500)]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    for some, kind in ((rows, "long"), ([(f"k{k:04}", t) for k, t in rows], "string"), (rows[:1], "long"), ([], "long")):
+        docs = spark.createDataFrame(some, f"doc_id {kind}, text string").repartition(3)
+        plain = source.strands_of(docs, "doc_id", "text")
+        spark.conf.set(size, "3")
+        found = source.strands_of(docs, "doc_id", "text", ordered=True)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        got = [tuple(r) for r in found.collect()]
+        spark.conf.set(size, before)
+        assert got == sorted(map(tuple, plain.collect())) and [r[0] for r in got] == list(range(len(got)))
+        assert plan.count("RepartitionByExpression") == 1 and plan.index("MapInArrow") < plan.index("RepartitionByExpression")
+
+
+def test_fasta_is_packed_and_in_order(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(queries, "_new_path", lambda s, label, new=queries._new_path: paths.append(new(s, label)) or paths[-1])
+    found = queries.fasta_roundtrip(spark, "/root/testdata/sf0.001")
+    files = sorted(Path(unquote(urlparse(paths[0]).path)).glob("part-*"))
+    lines = [line for f in files for line in gzip.open(f, "rt").read().splitlines()]
+    names = lines[::2]
+    assert names == [f">seq_{k + 1}" for k in range(len(names))] and found.count() == len(names)
+    assert sum(f.stat().st_size for f in files) < sum(map(len, lines)) / 4
